@@ -1,0 +1,27 @@
+"""Phrase x text join: which phrases occur as whole tokens in which texts.
+
+A phrase hit ("c++", "ci/cd", "spring boot") always places the phrase's first [a-z0-9] run in the
+text as a complete [a-z0-9] token. So candidates come from an equi-join of the text's distinct
+words with the phrases' first words (no cross product, nothing broadcast unless AQE measures it
+small); each distinct candidate pair is then verified with the exact lookaround pattern on the
+whole text.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lcarank.functions.text import contains_phrase, first_word, words
+
+
+def phrase_hits(texts: DataFrame, id_col: str, text_col: str, phrases: DataFrame,
+                phrase_col: str = "phrase") -> DataFrame:
+    """texts(id, text) x phrases(phrase) -> distinct (id, phrase) with a whole-token hit.
+    Texts are matched as given (lowercase them first for case-free matching)."""
+    w = texts.select(id_col, F.explode(words(F.col(text_col))).alias("_w"))
+    p = (phrases.select(phrase_col).distinct()
+         .withColumn("_w", first_word(F.col(phrase_col))).filter(F.col("_w") != ""))
+    cand = w.join(p, "_w").select(id_col, phrase_col).distinct()
+    checked = cand.join(texts.select(id_col, text_col), id_col)
+    return checked.filter(contains_phrase(F.col(text_col), F.col(phrase_col))).select(id_col, phrase_col)
