@@ -14,6 +14,9 @@ from lcarank.constants import (GENERIC_TOKENS, LEGAL_SUFFIXES, MIN_FUZZY_TOKEN_L
 
 # Python's str.strip()/\s treat U+001C..U+001F as whitespace; Java's Unicode \s does not.
 _WS = r"[\s\x1c-\x1f]"
+# FIXED VALUES — the characters Python's str.isspace() accepts (what str.strip() removes).
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+                 + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
 _SUFFIX_TAIL = "(?: (?:" + "|".join(LEGAL_SUFFIXES) + "))+$"
 
 
@@ -22,8 +25,9 @@ def _c(col: Column | str) -> Column:
 
 
 def py_strip(col: Column | str) -> Column:
-    """Unicode-whitespace strip (Spark's trim only removes U+0020)."""
-    return F.regexp_replace(_c(col), rf"(?U)^{_WS}+|{_WS}+$", "")
+    """Python-style strip: removes Unicode whitespace at both ends (Spark's trim only removes
+    U+0020). A character-set trim, no regex."""
+    return F.btrim(_c(col), F.lit(PY_WHITESPACE))
 
 
 def normalize_company(col: Column | str) -> Column:

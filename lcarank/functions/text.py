@@ -79,24 +79,33 @@ def _lit_array(values: list[str]) -> Column:
 def extract_titles(text: Column | str) -> Column:
     """Ordered distinct title phrases: at every role noun among the [a-z]+ tokens of the lowercased
     text, take up to three contiguous preceding modifiers; a role noun without modifiers gives
-    nothing. Phrases may overlap ("lead" is both a noun and a modifier)."""
+    nothing. Phrases may overlap ("lead" is both a noun and a modifier).
+
+    The token array is zipped once with its copies shifted by 1..3, so the per-token lambda only
+    sees its own struct (referring to the array inside the lambda would re-tokenise per token)."""
     tk = F.regexp_extract_all(F.lower(_c(text)), F.lit("[a-z]+"), 0)
-    roles, mods = _lit_array(ROLE_NOUNS), _lit_array(TITLE_MODIFIERS)
+    n = F.size(tk)
 
-    def at(i):
-        def is_mod(k):
-            return (i >= k) & F.array_contains(mods, F.get(tk, i - k))
-        n = F.lit(0)
-        run = F.lit(True)
-        for k in range(1, MAX_TITLE_MODIFIERS + 1):
-            run = run & F.coalesce(is_mod(k), F.lit(False))
-            n = n + run.cast("int")
-        phrase = F.array_join(F.slice(tk, i + 1 - n, n + 1), " ")
-        return F.when(F.array_contains(roles, F.get(tk, i)) & (n > 0), phrase)
-
-    idx = F.sequence(F.lit(0), F.size(tk) - 1)
-    found = F.transform(F.when(F.size(tk) > 0, idx).otherwise(F.array().cast("array<int>")), at)
-    return F.array_distinct(F.filter(found, lambda p: p.isNotNull()))
+    def shifted(k: int) -> Column:
+        pad = F.array_repeat(F.lit(None).cast("string"), k)
+        return F.when(n > k, F.concat(pad, F.slice(tk, 1, F.greatest(n - k, F.lit(1))))).otherwise(
+            F.array_repeat(F.lit(None).cast("string"), n))
+
+    roles, mods = _lit_array(ROLE_NOUNS), _lit_array(TITLE_MODIFIERS)
+    zipped = F.arrays_zip(tk.alias("t"), shifted(1).alias("p1"), shifted(2).alias("p2"),
+                          shifted(3).alias("p3"))
+
+    def at(e: Column) -> Column:
+        is_mod = lambda c: F.coalesce(F.array_contains(mods, c), F.lit(False))
+        m1 = is_mod(e["p1"])
+        m2 = m1 & is_mod(e["p2"])
+        m3 = m2 & is_mod(e["p3"])
+        phrase = F.concat_ws(" ", F.when(m3, e["p3"]), F.when(m2, e["p2"]), e["p1"], e["t"])
+        return F.when(F.array_contains(roles, e["t"]) & m1, phrase)
+
+    found = F.transform(F.when(n > 0, zipped), at)
+    return F.coalesce(F.array_distinct(F.filter(found, lambda p: p.isNotNull())),
+                      F.array().cast("array<string>"))
 
 
 def build_queries(titles: Column | str) -> Column:

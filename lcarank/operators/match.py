@@ -30,9 +30,13 @@ DECISION_SCHEMA = "v string, norm_name string, confidence double, method string"
 
 def best_candidate(pairs: DataFrame, allow: DataFrame, band: float = TIE_BAND) -> DataFrame:
     """pairs(v, norm_name, score) -> one (v, norm_name, score) per name: within ``band`` of the
-    top score, most filings, then higher score, then earliest key."""
-    top = pairs.groupBy("v").agg(F.max("score").alias("_top"))
-    near = pairs.join(top, "v").filter(F.col("score") >= F.col("_top") - F.lit(band))
+    top score, most filings, then higher score, then earliest key.
+
+    The pairs are hash-partitioned by name once; the top-score aggregate and the join back both
+    read that one exchange (reused), so the verified pairs are computed a single time."""
+    by_name = pairs.repartition("v")
+    top = by_name.groupBy("v").agg(F.max("score").alias("_top"))
+    near = by_name.join(top, "v").filter(F.col("score") >= F.col("_top") - F.lit(band))
     ranked = near.join(allow.select("norm_name", "filings", "first_ord"), "norm_name")
     pick = ranked.groupBy("v").agg(F.min_by(
         F.struct("norm_name", "score"),
@@ -43,19 +47,27 @@ def best_candidate(pairs: DataFrame, allow: DataFrame, band: float = TIE_BAND) -
 
 def decide(strings: DataFrame, allow: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
     """strings(v) -> (v, norm_name, confidence, method) for every v with a hit; names without a
-    row decided 'none'."""
+    row decided 'none'.
+
+    Exact hits leave the cascade before the expensive similarity join. Both fuzzy stages then run
+    on the remaining names and the stage order is applied by one aggregate (fuzzy before
+    fuzzy-subset), so every stage result is consumed once."""
     keys = allow.select("norm_name")
     s = strings.select("v").filter(F.length("v") >= MIN_NAME_LEN)
     exact = (s.join(keys, s.v == keys.norm_name)
-             .select("v", "norm_name", F.lit(100.0).alias("confidence"), F.lit("exact").alias("method")))
-    rest = s.join(exact.select("v"), "v", "left_anti").filter(has_fuzzy_anchor(F.col("v")))
+             .select("v", "norm_name", F.lit(100.0).alias("confidence"), F.lit("exact").alias("method"),
+                     F.lit(3).alias("_stage")))
+    rest = s.join(keys, s.v == keys.norm_name, "left_anti").filter(has_fuzzy_anchor(F.col("v")))
     fuzzy = (best_candidate(similarity_pairs(rest, keys, threshold), allow)
-             .select("v", "norm_name", F.col("score").alias("confidence"), F.lit("fuzzy").alias("method")))
-    rest2 = rest.join(fuzzy.select("v"), "v", "left_anti")
-    subset = (best_candidate(containment_pairs(rest2, keys, threshold), allow)
+             .select("v", "norm_name", F.col("score").alias("confidence"), F.lit("fuzzy").alias("method"),
+                     F.lit(2).alias("_stage")))
+    subset = (best_candidate(containment_pairs(rest, keys, threshold), allow)
               .select("v", "norm_name", F.col("score").alias("confidence"),
-                      F.lit("fuzzy-subset").alias("method")))
-    return exact.unionByName(fuzzy).unionByName(subset)
+                      F.lit("fuzzy-subset").alias("method"), F.lit(1).alias("_stage")))
+    staged = fuzzy.unionByName(subset)
+    first = (staged.groupBy("v").agg(F.max_by(F.struct("norm_name", "confidence", "method"), F.col("_stage")).alias("d"))
+             .select("v", "d.norm_name", "d.confidence", "d.method"))
+    return exact.drop("_stage").unionByName(first)
 
 
 def method_rank(method: Column) -> Column:

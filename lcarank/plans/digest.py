@@ -65,7 +65,8 @@ def intake(spark: SparkSession, sf_dir: str, p: RunParams = RunParams()) -> Data
 def matched_postings(spark: SparkSession, sf_dir: str, p: RunParams = RunParams(),
                      keep_unmatched: bool = False) -> DataFrame:
     allow = allowlist(spark, sf_dir)
-    return match_postings(intake(spark, sf_dir, p), allow, p.threshold, keep_unmatched)
+    posts = materialize(intake(spark, sf_dir, p))
+    return match_postings(posts, allow, p.threshold, keep_unmatched)
 
 
 def digest_rows(spark: SparkSession, sf_dir: str, p: RunParams = RunParams()) -> DataFrame:
@@ -73,7 +74,8 @@ def digest_rows(spark: SparkSession, sf_dir: str, p: RunParams = RunParams()) ->
     extra, note."""
     matched = materialize(matched_postings(spark, sf_dir, p))
     resumes = views.resumes(spark, sf_dir)
-    rows = rank_resumes(matched, resumes, resume_keywords(resumes), p.top_n, p.cap)
+    keywords = materialize(resume_keywords(resumes))
+    rows = rank_resumes(matched, resumes, keywords, p.top_n, p.cap)
     return rows.select(
         "resume_id", F.col("rank").cast("bigint").alias("rank"), "posting_id", "fetch_ord", "title",
         "company_raw", "emp_key", "raw_name", "filings", "latest_year", "method", "confidence",
