@@ -1,8 +1,8 @@
 """Employer allowlist: certified filings grouped by normalised employer key.
 
-One hash aggregate (partial per map task, final per key): filings = count, latest_year = max
-fiscal year, first_ord = earliest (file, row, raw name) — the ordinal that stands in for "first
-seen" (Spark has no row order), and raw_name = that row's stripped raw name.
+Two aggregates: first per (raw employer string, file) — plain hash aggregate over the raw columns,
+combined map-side — then per normalised key over those (far fewer) groups: filings = sum,
+latest_year = max fiscal year, first_ord = earliest (file, row, raw name).
 """
 
 from __future__ import annotations
@@ -30,22 +30,44 @@ def is_certified(status) -> F.Column:
     return F.coalesce(F.startswith(F.lower(py_strip(status)), F.lit("certified")), F.lit(False))
 
 
+def _named(c: F.Column) -> F.Column:
+    return c.isNotNull() & (c != "")
+
+
+def raw_groups(filings: DataFrame) -> DataFrame:
+    """One row per (raw employer string, source file): all rows, certified rows, certified rows
+    with a non-empty employer, and the earliest certified row. Pure hash aggregate on the raw
+    columns, combined map-side, so a hot employer collapses in every task before the shuffle and
+    the costly name normalisation below runs once per distinct string instead of once per row."""
+    cert = is_certified(F.col("case_status"))
+    return filings.groupBy("employer_name", "source_file").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(cert).alias("n_cert"),
+        F.count_if(cert & _named(F.col("employer_name"))).alias("n_keep"),
+        F.min(F.when(cert, F.col("row_ord"))).alias("first_row"),
+    )
+
+
 def keyed_filings(filings: DataFrame) -> DataFrame:
-    """Certified filings with a non-empty employer and key, plus their fiscal year."""
-    cert = filings.filter(is_certified(F.col("case_status")))
-    named = cert.filter(F.col("employer_name").isNotNull() & (F.col("employer_name") != ""))
-    return (named.select(
+    """Per (raw employer, file) with certified filings and a non-empty key: norm_name, fiscal
+    year, filing count and the (file, row, raw) ordinal of its first certified row."""
+    g = raw_groups(filings).filter(F.col("n_keep") > 0)
+    return (g.select(
         normalize_company(F.col("employer_name")).alias("norm_name"),
         fiscal_year(F.col("source_file")).alias("fy"),
-        F.struct(F.col("source_file").alias("file"), F.col("row_ord").alias("row"),
+        F.col("n_keep").alias("n"),
+        F.struct(F.col("source_file").alias("file"), F.col("first_row").alias("row"),
                  F.col("employer_name").alias("raw")).alias("ord"))
         .filter(F.col("norm_name") != ""))
 
 
 def build_allowlist(filings: DataFrame) -> DataFrame:
-    """norm_name, raw_name, filings, latest_year, first_ord — one row per employer key."""
+    """norm_name, raw_name, filings, latest_year, first_ord — one row per employer key.
+
+    first_ord = earliest (file, row, raw name): the ordinal that stands in for "first seen" (Spark
+    has no row order); raw_name = that row's stripped raw name."""
     agg = keyed_filings(filings).groupBy("norm_name").agg(
-        F.count(F.lit(1)).alias("filings"),
+        F.sum("n").alias("filings"),
         F.max("fy").alias("latest_year"),
         F.min("ord").alias("first_ord"),
     )
@@ -55,15 +77,15 @@ def build_allowlist(filings: DataFrame) -> DataFrame:
 
 def allowlist_stats(filings: DataFrame) -> DataFrame:
     """One row: files, rows_total, rows_certified (counted before the empty-employer test) and
-    employers_unique — a single aggregation pass over the filings."""
-    cert = is_certified(F.col("case_status"))
-    key = normalize_company(F.col("employer_name"))
-    keep = cert & F.col("employer_name").isNotNull() & (F.col("employer_name") != "") & (key != "")
-    return filings.agg(
+    employers_unique — from the per-(raw name, file) groups, so keys are computed per distinct
+    raw string."""
+    g = raw_groups(filings)
+    key = F.when(F.col("n_keep") > 0, normalize_company(F.col("employer_name")))
+    return g.agg(
         F.count_distinct("source_file").alias("files"),
-        F.count(F.lit(1)).alias("rows_total"),
-        F.count_if(cert).alias("rows_certified"),
-        F.count_distinct(F.when(keep, key)).alias("employers_unique"),
+        F.sum("n_rows").alias("rows_total"),
+        F.sum("n_cert").alias("rows_certified"),
+        F.count_distinct(F.when(key != "", key)).alias("employers_unique"),
     )
 
 

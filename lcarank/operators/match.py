@@ -24,6 +24,7 @@ from lcarank.constants import FUZZY_THRESHOLD, METHOD_RANK, MIN_NAME_LEN, TIE_BA
 from lcarank.functions.names import company_key, despaced_variant, has_fuzzy_anchor
 from lcarank.operators.containment import containment_pairs
 from lcarank.operators.similarity import similarity_pairs
+from lcarank.session import materialize
 
 DECISION_SCHEMA = "v string, norm_name string, confidence double, method string"
 
@@ -80,8 +81,10 @@ def method_rank(method: Column) -> Column:
 def match_names(raw_names: DataFrame, allow: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
     """raw_names(company_raw) -> company_raw, norm_used, norm_name (null if none), confidence,
     method — one row per distinct raw name."""
-    names = (raw_names.select("company_raw").distinct()
-             .withColumn("v0", company_key(F.col("company_raw"))))
+    # the distinct names are read by every stage of the cascade: written once (a small table,
+    # one row per distinct company string) so the postings are scanned and cleaned a single time
+    names = materialize(raw_names.select("company_raw").distinct()
+                        .withColumn("v0", company_key(F.col("company_raw"))))
     keys = allow.select(F.col("norm_name").alias("_k"))
     gated = names.join(keys, (names.v0 == keys._k) & (F.length(names.v0) >= MIN_NAME_LEN), "left")
     plain_exact = (gated.filter(F.col("_k").isNotNull())

@@ -3,7 +3,8 @@
 A phrase hit ("c++", "ci/cd", "spring boot") always places the phrase's first [a-z0-9] run in the
 text as a complete [a-z0-9] token. So candidates come from an equi-join of the text's distinct
 words with the phrases' first words (no cross product, nothing broadcast unless AQE measures it
-small); each distinct candidate pair is then verified with the exact lookaround pattern on the
+small). A one-word phrase needs nothing more; for a phrase with symbols or several words ("c++",
+"spring boot") each distinct candidate pair is verified with the exact lookaround pattern on the
 whole text.
 """
 
@@ -15,13 +16,29 @@ from pyspark.sql import functions as F
 from lcarank.functions.text import contains_phrase, first_word, words
 
 
+# Phrase tables up to this many rows (a few MB) are broadcast to the word scan; a larger one is
+# joined by shuffle. The text side is never broadcast: it grows with the data.
+BROADCAST_PHRASES = 200_000
+
+
 def phrase_hits(texts: DataFrame, id_col: str, text_col: str, phrases: DataFrame,
-                phrase_col: str = "phrase") -> DataFrame:
+                phrase_col: str = "phrase", broadcast_limit: int = BROADCAST_PHRASES) -> DataFrame:
     """texts(id, text) x phrases(phrase) -> distinct (id, phrase) with a whole-token hit.
     Texts are matched as given (lowercase them first for case-free matching)."""
-    w = texts.select(id_col, F.explode(words(F.col(text_col))).alias("_w"))
+    # explode_outer: a plain explode makes Catalyst infer "size(words(text)) > 0" and push it below
+    # the scan-side exchange, tokenising every text twice
+    w = (texts.select(id_col, F.explode_outer(words(F.col(text_col))).alias("_w"))
+         .filter(F.col("_w").isNotNull()))
     p = (phrases.select(phrase_col).distinct()
-         .withColumn("_w", first_word(F.col(phrase_col))).filter(F.col("_w") != ""))
-    cand = w.join(p, "_w").select(id_col, phrase_col).distinct()
-    checked = cand.join(texts.select(id_col, text_col), id_col)
-    return checked.filter(contains_phrase(F.col(text_col), F.col(phrase_col))).select(id_col, phrase_col)
+         .withColumn("_w", first_word(F.col(phrase_col))).filter(F.col("_w") != "")
+         .withColumn("_single", F.col(phrase_col) == F.col("_w")))
+    # size check on the (small, bounded-by-vocabulary) phrase side before broadcasting it
+    small = p.limit(broadcast_limit + 1).count() <= broadcast_limit
+    cand = w.join(F.broadcast(p) if small else p, "_w").select(id_col, phrase_col, "_single")
+    # a one-word phrase ("java") hits exactly when it is one of the text's maximal [a-z0-9] runs,
+    # which is what the join found: no second look at the text
+    single = cand.filter(F.col("_single")).select(id_col, phrase_col)
+    multi = cand.filter(~F.col("_single")).select(id_col, phrase_col).distinct()
+    checked = multi.join(texts.select(id_col, text_col), id_col)
+    verified = checked.filter(contains_phrase(F.col(text_col), F.col(phrase_col))).select(id_col, phrase_col)
+    return single.unionByName(verified)

@@ -33,7 +33,8 @@ def resume_skills(resumes: DataFrame) -> DataFrame:
 
 def resume_keywords(resumes: DataFrame) -> DataFrame:
     """(resume_id, kw): skills union title phrases."""
-    titles = resume_titles(resumes).select("resume_id", F.explode("titles").alias("kw"))
+    titles = (resume_titles(resumes).select("resume_id", F.explode_outer("titles").alias("kw"))
+              .filter(F.col("kw").isNotNull()))  # outer: no inferred size() filter re-running extraction
     return resume_skills(resumes).unionByName(titles).distinct()
 
 

@@ -1,8 +1,9 @@
 """End-to-end plans: allowlist, posting intake, employer resolution, ranking and the digest.
 
-Small intermediates that the plan reads many times (the allowlist, the per-name decisions) are
-materialised with a reliable ``checkpoint()`` in the session's shared checkpoint directory, so the
-filings scan is not repeated per reference and a lost executor does not send the plan back to it.
+Intermediates that the plan reads many times (the allowlist, the cleaned postings, the matched
+postings, the resume keywords) are materialised as parquet tables in the session's shared
+checkpoint directory, so the sources are not re-scanned per reference and a lost executor does not
+send the plan back to them.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from lcarank.operators.allowlist import build_allowlist
 from lcarank.operators.match import match_postings
 from lcarank.operators.rank import rank_resumes
 from lcarank.operators.vocab import resume_keywords
-from lcarank.session import ensure_checkpoint_dir
+from lcarank.session import materialize
 from lcarank.sources import views
 from lcarank.sources.postings import dedupe, in_location, ingest, page_limit, recent
 
@@ -38,12 +39,6 @@ class RunParams:
     dry_run: bool = False                   # one query, one page
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint directory (cuts lineage)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(build_allowlist(views.lca_filings(spark, sf_dir)))
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job here assumes: AQE re-plans joins at run time (broadcast only when the
 # measured side is small, split skewed partitions), zone-free dates, Arrow for the two pandas UDFs.
@@ -59,3 +60,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lcarank-ckpt-"))
     return sc.getCheckpointDir()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a parquet table under the session's shared checkpoint directory and read it
+    back. Cuts lineage like ``checkpoint()`` (a lost executor does not send the plan back to the
+    sources), but the result stays columnar: later reads prune columns and push filters into the
+    scan, where a checkpointed RDD would deserialise every column (e.g. whole posting texts) on
+    every reference."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
