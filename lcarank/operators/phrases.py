@@ -34,11 +34,17 @@ def phrase_hits(texts: DataFrame, id_col: str, text_col: str, phrases: DataFrame
          .withColumn("_single", F.col(phrase_col) == F.col("_w")))
     # size check on the (small, bounded-by-vocabulary) phrase side before broadcasting it
     small = p.limit(broadcast_limit + 1).count() <= broadcast_limit
-    cand = w.join(F.broadcast(p) if small else p, "_w").select(id_col, phrase_col, "_single")
+    cand = (w.join(F.broadcast(p) if small else p, "_w").select(id_col, phrase_col, "_single")
+            # one exchange shared by both branches below (reused), so every text is tokenised once
+            .repartition(id_col))
     # a one-word phrase ("java") hits exactly when it is one of the text's maximal [a-z0-9] runs,
     # which is what the join found: no second look at the text
     single = cand.filter(F.col("_single")).select(id_col, phrase_col)
-    multi = cand.filter(~F.col("_single")).select(id_col, phrase_col).distinct()
+    # the other candidates of a text are checked together: one join with the text per text, not
+    # one per candidate
+    multi = (cand.filter(~F.col("_single")).groupBy(id_col)
+             .agg(F.collect_set(phrase_col).alias("_cands")))
     checked = multi.join(texts.select(id_col, text_col), id_col)
-    verified = checked.filter(contains_phrase(F.col(text_col), F.col(phrase_col))).select(id_col, phrase_col)
+    verified = checked.select(id_col, F.explode(F.filter(
+        "_cands", lambda ph: contains_phrase(F.col(text_col), ph))).alias(phrase_col))
     return single.unionByName(verified)

@@ -164,10 +164,12 @@ def overlap_scores(spark, sf):
     resumes = views.resumes(spark, sf)
     rv, _, terms = vocabularies(resumes, D.materialize(resume_keywords(resumes)))
     ov = overlap_pairs(terms, posting_hits(m, terms)).join(m.select("fetch_ord", "boost"), "fetch_ord")
-    out = rv.join(ov, "vocab_id")
-    return out.select("resume_id", "fetch_ord",
-                      fit_score(F.size("title_terms"), F.size("desc_terms"), F.col("boost")).alias("score"),
-                      why_text(F.col("title_terms"), F.col("desc_terms")).alias("why"))
+    # score and explain once per (distinct vocabulary, posting), then fan out to the resumes that
+    # share the vocabulary (AQE splits a vocabulary held by very many resumes)
+    scored = ov.select("vocab_id", "fetch_ord",
+                       fit_score(F.size("title_terms"), F.size("desc_terms"), F.col("boost")).alias("score"),
+                       why_text(F.col("title_terms"), F.col("desc_terms")).alias("why"))
+    return rv.join(scored, "vocab_id").select("resume_id", "fetch_ord", "score", "why")
 
 
 def _digest_cols(rows: DataFrame) -> DataFrame:
