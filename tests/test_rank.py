@@ -149,3 +149,29 @@ def test_ingest_dedupe_and_page_limit(spark):
     assert got[4].company_raw == "" and got[4].url == "" and got[5].title == ""
     lim = page_limit(raw, "company_raw", pages=1, page_size=1).collect()
     assert sorted(r.fetch_ord for r in lim) == [1, 2, 4, 5]   # one per raw company value
+
+
+def test_read_posting_pages(spark):
+    import json
+    import os
+    import tempfile
+
+    from lcarank.sources.postings import read_posting_pages
+
+    d = tempfile.mkdtemp(prefix="lcarank-pages-")
+    p1 = {"results": [
+        {"id": 11, "title": " Data Engineer ", "company": {"display_name": "Acme Inc"},
+         "location": {"display_name": "Austin, TX"}, "created": "2026-07-01T12:00:00Z",
+         "redirect_url": "u1", "description": "java"},
+        {"title": "No id"},
+    ]}
+    p2 = {"results": [{"id": "11", "title": "dup", "company": {"display_name": "Acme Inc"}}]}
+    for name, page in [("page_001.json", p1), ("page_002.json", p2)]:
+        with open(os.path.join(d, name), "w") as fh:
+            json.dump(page, fh)
+    raw = read_posting_pages(spark, d)
+    rows = sorted(raw.collect(), key=lambda r: r.fetch_ord)
+    assert [r.posting_id for r in rows] == ["11", None, "11"]
+    assert rows[0].company_raw == "Acme Inc" and rows[1].company_raw is None
+    got = dedupe(ingest(raw)).collect()
+    assert sorted((r.posting_id, r.title) for r in got) == [("", "No id"), ("11", "Data Engineer")]
