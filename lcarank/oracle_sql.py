@@ -365,6 +365,9 @@ ORACLE["allowlist_stats"] = (f"WITH {LCA_FILINGS},\n{norm_ctes('fn', 'lca_filing
                              "AND employer_name IS NOT NULL AND employer_name <> '' AND norm <> '') AS employers_unique "
                              "FROM fn")
 
+ORACLE["filings_files"] = f"WITH {LCA_FILINGS},\n{ALLOW}\nSELECT norm_name, filings, latest_year FROM allow"
+ORACLE["filings_files_stats"] = ORACLE["allowlist_stats"]
+
 ORACLE["allowlist_sample"] = (f"WITH {LCA_FILINGS},\n{ALLOW}\nSELECT norm_name, raw_name, filings, latest_year "
                               "FROM allow ORDER BY md5(norm_name) LIMIT 20")
 

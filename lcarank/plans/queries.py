@@ -6,6 +6,7 @@ match the DuckDB oracle statements in ``lcarank.oracle_sql``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,8 @@ from lcarank.operators.similarity import similarity_pairs
 from lcarank.operators.vocab import resume_keywords, resume_report
 from lcarank.plans import digest as D
 from lcarank.sources import views
-from lcarank.sources.filings import fiscal_year
+from lcarank.sources.filings import fiscal_year, read_filings
+from lcarank.session import ensure_checkpoint_dir, materialize
 from lcarank.sources.postings import dedupe, in_location, ingest, page_limit, recent
 
 AS_OF = "2024-01-31"          # run date used by the recency query (the feed spans January 2024)
@@ -53,6 +55,41 @@ def filings_scan(spark, sf):
                     fiscal_year(F.col("source_file")).alias("fiscal_year"))
 
 
+# FIXED VALUES — header layouts of the staged yearly filing files (rotated by file), drifting the way
+# yearly disclosure files do: renamed columns, extra columns, an employer_city column first.
+FILE_LAYOUTS = [
+    {"employer_name": "EMPLOYER_NAME", "case_status": "CASE_STATUS"},
+    {"employer_name": "LCA_CASE_EMPLOYER_NAME", "case_status": "STATUS", "_city": "EMPLOYER_CITY"},
+    {"_city": "employer_city", "employer_name": "Employer Name", "case_status": "Case Status"},
+]
+
+
+def _stage_filing_files(spark, sf):
+    """Write the derived filings as one parquet dataset per fiscal-year file name, each with its own
+    header layout, plus an editor lock entry that the reader must skip; returns the directory.
+    Staged under the session's shared checkpoint directory."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/staging/{uuid.uuid4().hex}"
+    staged = materialize(views.lca_filings(spark, sf))
+    # one name per fiscal-year file: a handful of rows, not data
+    names = sorted(r[0] for r in staged.select("source_file").distinct().collect())
+    for i, name in enumerate(names):
+        layout = FILE_LAYOUTS[i % len(FILE_LAYOUTS)]
+        cols = [(F.lit("n/a") if c == "_city" else F.col(c)).alias(h) for c, h in layout.items()]
+        staged.filter(F.col("source_file") == name).select(*cols).write.parquet(f"{base}/{name}")
+    staged.limit(0).select(F.lit(1).alias("x")).write.parquet(f"{base}/~$lock.parquet")
+    return base
+
+
+def filings_files(spark, sf):
+    """Allowlist read back from yearly files with drifting headers (O1-O5 + O40)."""
+    a = AL.build_allowlist(read_filings(spark, _stage_filing_files(spark, sf)))
+    return a.select("norm_name", "filings", "latest_year")
+
+
+def filings_files_stats(spark, sf):
+    return AL.allowlist_stats(read_filings(spark, _stage_filing_files(spark, sf)))
+
+
 def allowlist(spark, sf):
     a = AL.build_allowlist(views.lca_filings(spark, sf))
     return a.select("norm_name", "raw_name", "filings", "latest_year",
@@ -193,6 +230,8 @@ def digest_markdown(spark, sf):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "filings_scan": filings_scan,
     "allowlist": allowlist,
+    "filings_files": filings_files,
+    "filings_files_stats": filings_files_stats,
     "allowlist_stats": allowlist_stats,
     "allowlist_sample": allowlist_sample,
     "allowlist_spot_check": allowlist_spot_check,
