@@ -1,0 +1,2 @@
+"""Intentionally empty: every operator of this engine is a one-shot batch transformation (the
+behaviour it reproduces runs once on demand and exits); there is no stream, watermark or state."""
