@@ -17,7 +17,7 @@ the two wins by method rank, then (confidence, filings) strictly greater, else p
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lcarank.constants import FUZZY_THRESHOLD, METHOD_RANK, MIN_NAME_LEN, TIE_BAND
@@ -33,11 +33,12 @@ def best_candidate(pairs: DataFrame, allow: DataFrame, band: float = TIE_BAND) -
     """pairs(v, norm_name, score) -> one (v, norm_name, score) per name: within ``band`` of the
     top score, most filings, then higher score, then earliest key.
 
-    The pairs are hash-partitioned by name once; the top-score aggregate and the join back both
-    read that one exchange (reused), so the verified pairs are computed a single time."""
-    by_name = pairs.repartition("v")
-    top = by_name.groupBy("v").agg(F.max("score").alias("_top"))
-    near = by_name.join(top, "v").filter(F.col("score") >= F.col("_top") - F.lit(band))
+    The top score comes from a window over the name's candidates, so the verified pairs (the LCS
+    UDF output) are computed once and shuffled once; a self-join with a grouped maximum would
+    plan the pairs twice (the two branches prune different columns, so the exchange is not
+    reused). The final pick is a ``min_by`` aggregate on the same partitioning."""
+    top = F.max("score").over(Window.partitionBy("v"))
+    near = pairs.withColumn("_top", top).filter(F.col("score") >= F.col("_top") - F.lit(band))
     ranked = near.join(allow.select("norm_name", "filings", "first_ord"), "norm_name")
     pick = ranked.groupBy("v").agg(F.min_by(
         F.struct("norm_name", "score"),
