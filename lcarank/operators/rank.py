@@ -31,6 +31,7 @@ from lcarank.constants import PER_EMPLOYER_CAP, TOP_N
 from lcarank.functions.scoring import fit_score, sponsor_boost, why_text
 from lcarank.operators.ordering import positions
 from lcarank.operators.phrases import phrase_hits
+from lcarank.session import materialize
 
 def _empty():
     return F.array().cast("array<string>")
@@ -118,7 +119,9 @@ def rank_vocabularies(matched: DataFrame, vocab_ids: DataFrame, terms: DataFrame
     """Kept rows per vocabulary: vocab_id, rank, fetch_ord, score, why, extra, note + posting cols."""
     scored = with_boost(matched)
     hits = posting_hits(matched, terms)
-    overlap = overlap_pairs(terms, hits)
+    # read three times below (employer counts, exclusion of zero candidates, scoring): written
+    # once so the posting texts are tokenised and verified a single time
+    overlap = materialize(overlap_pairs(terms, hits))
     zero = zero_candidates(vocab_ids, overlap, scored, top_n, cap)
     cols = ["fetch_ord", "emp_key", "boost", "zscore"]
     ov = overlap.join(scored.select(*cols), "fetch_ord").select(
