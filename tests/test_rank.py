@@ -175,3 +175,20 @@ def test_read_posting_pages(spark):
     assert rows[0].company_raw == "Acme Inc" and rows[1].company_raw is None
     got = dedupe(ingest(raw)).collect()
     assert sorted((r.posting_id, r.title) for r in got) == [("", "No id"), ("11", "Data Engineer")]
+
+
+def test_resume_variants_posting_canonical(spark):
+    """Resume side matches skill variants, posting side only the canonical term (T9)."""
+    from lcarank.operators.rank import posting_hits
+    from lcarank.operators.vocab import resume_keywords
+
+    resumes = spark.createDataFrame([(1, "Senior Backend Engineer. Golang, cards; k8s.\nme@x.io")],
+                                    "resume_id bigint, text string")
+    kws = {r.kw for r in resume_keywords(resumes).collect()}
+    assert {"go", "cards", "kubernetes", "senior backend engineer"} <= kws
+    assert "golang" not in kws and "k8s" not in kws
+    posts = spark.createDataFrame([(1, "Go developer", "cards"), (2, "Golang developer", "card")],
+                                  "fetch_ord bigint, title string, description string")
+    terms = spark.createDataFrame([(k,) for k in sorted(kws)], "kw string")
+    hits = {(r.fetch_ord, r.kw, r.in_title, r.in_desc) for r in posting_hits(posts, terms).collect()}
+    assert hits == {(1, "go", True, False), (1, "cards", False, True)}
