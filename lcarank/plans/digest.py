@@ -2,7 +2,7 @@
 
 Intermediates that the plan reads many times (the allowlist, the cleaned postings, the matched
 postings, the resume keywords) are materialised as parquet tables in the session's shared
-checkpoint directory, so the sources are not re-scanned per reference and a lost executor does not
+checkpoint directory, so the sources are not re-scanned for every use and a lost executor does not
 send the plan back to them.
 """
 

@@ -67,7 +67,7 @@ def materialize(df: DataFrame) -> DataFrame:
     back. Cuts lineage like ``checkpoint()`` (a lost executor does not send the plan back to the
     sources), but the result stays columnar: later reads prune columns and push filters into the
     scan, where a checkpointed RDD would deserialise every column (e.g. whole posting texts) on
-    every reference."""
+    every use."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
