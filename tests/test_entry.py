@@ -29,3 +29,11 @@ def test_entry_smoke(spark):
         for r in rs:
             emp[r.emp_key] = emp.get(r.emp_key, 0) + 1
         assert max(emp.values()) <= 2
+
+
+@pytest.mark.skipif(not os.path.isdir(SMOKE), reason="driver test tables not present")
+@pytest.mark.parametrize("name", ["digest", "match_decisions", "overlap_scores", "resume_vocabulary"])
+def test_plans_have_no_cross_join(spark, name):
+    df = E.queries()[name](spark, SMOKE)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
