@@ -1,6 +1,7 @@
 """Driver contract: entry() runs on sf0.001, every oracle statement has a registered query."""
 
 import os
+import re
 
 import pytest
 
@@ -37,3 +38,14 @@ def test_plans_have_no_cross_join(spark, name):
     df = E.queries()[name](spark, SMOKE)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(SMOKE), reason="driver test tables not present")
+def test_scans_read_only_needed_columns(spark):
+    plan = E.queries()["allowlist_stats"](spark, SMOKE)._jdf.queryExecution().executedPlan().toString()
+    assert "l_partkey" in plan
+    for unused in ("l_extendedprice", "l_discount", "l_tax", "l_suppkey", "l_quantity"):
+        assert unused not in plan
+    plan = E.queries()["resume_pii_strip"](spark, SMOKE)._jdf.queryExecution().executedPlan().toString()
+    schemas = re.findall(r"ReadSchema: (struct<[^>]*>)", plan)
+    assert schemas and all(s == "struct<doc_id:bigint,text:string>" for s in schemas)
