@@ -78,8 +78,8 @@ def _lit_array(values: list[str]) -> Column:
 
 def extract_titles(text: Column | str) -> Column:
     """Ordered distinct title phrases: at every role noun among the [a-z]+ tokens of the lowercased
-    text, take up to three contiguous preceding modifiers; a role noun without modifiers gives
-    nothing. Phrases may overlap ("lead" is both a noun and a modifier).
+    text, take up to MAX_TITLE_MODIFIERS (3) contiguous preceding modifiers; a role noun without
+    modifiers gives nothing. Phrases may overlap ("lead" is both a noun and a modifier).
 
     The token array is zipped once with its copies shifted by 1..3, so the per-token lambda only
     sees its own struct (referring to the array inside the lambda would re-tokenise per token)."""
@@ -92,16 +92,19 @@ def extract_titles(text: Column | str) -> Column:
             F.array_repeat(F.lit(None).cast("string"), n))
 
     roles, mods = _lit_array(ROLE_NOUNS), _lit_array(TITLE_MODIFIERS)
-    zipped = F.arrays_zip(tk.alias("t"), shifted(1).alias("p1"), shifted(2).alias("p2"),
-                          shifted(3).alias("p3"))
+    depth = range(1, MAX_TITLE_MODIFIERS + 1)
+    zipped = F.arrays_zip(tk.alias("t"), *[shifted(k).alias(f"p{k}") for k in depth])
 
     def at(e: Column) -> Column:
         is_mod = lambda c: F.coalesce(F.array_contains(mods, c), F.lit(False))
-        m1 = is_mod(e["p1"])
-        m2 = m1 & is_mod(e["p2"])
-        m3 = m2 & is_mod(e["p3"])
-        phrase = F.concat_ws(" ", F.when(m3, e["p3"]), F.when(m2, e["p2"]), e["p1"], e["t"])
-        return F.when(F.array_contains(roles, e["t"]) & m1, phrase)
+        # run[k]: the k tokens before this one are all modifiers (contiguous run)
+        run, acc = {}, F.lit(True)
+        for k in depth:
+            acc = acc & is_mod(e[f"p{k}"])
+            run[k] = acc
+        words_before = [F.when(run[k], e[f"p{k}"]) for k in reversed(depth) if k > 1]
+        phrase = F.concat_ws(" ", *words_before, e["p1"], e["t"])
+        return F.when(F.array_contains(roles, e["t"]) & run[1], phrase)
 
     found = F.transform(F.when(n > 0, zipped), at)
     return F.coalesce(F.array_distinct(F.filter(found, lambda p: p.isNotNull())),

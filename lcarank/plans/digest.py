@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lcarank.constants import (FUZZY_THRESHOLD, MAX_DAYS_OLD, MAX_PAGES, PER_EMPLOYER_CAP,
+from lcarank.constants import (FUZZY_THRESHOLD, MAX_DAYS_OLD, PER_EMPLOYER_CAP,
                                RESULTS_PER_PAGE, TOP_N)
 from lcarank.functions.scoring import match_label
 from lcarank.operators.allowlist import build_allowlist
