@@ -163,7 +163,8 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def digest(df: DataFrame) -> DataFrame:
     """The registered query's columns, from ``pii_spans``."""
     spans = pii_spans(df)
-    count = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    of = lambda k: F.filter("spans", lambda x: x["kind"] == k)
+    count = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
     base = F.filter("spans", lambda x: x["kind"].isin(*BASE_KINDS))
     return spans.select("doc_id", *count, F.sha2(spans_text(base), 256).alias("base_sha256"),
                         spans_text(F.col("spans")).alias("spans"))
