@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from lcarank.llm.common import CACHE_ENTRIES, arrow_rows, id_and_text
+from lcarank.llm.common import CACHE_ENTRIES, arrow_rows, id_and_text, worker_state
 
 #: Code points of a text up to which all its pieces are held at once.
 WHOLE = 1 << 20
@@ -232,15 +232,13 @@ class Encoder:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
 def _encoder(held) -> Encoder:
-    """One encoder in a worker for a broadcast vocabulary."""
-    if held.value["id"] not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[held.value["id"]] = Encoder(held.value["vocabulary"])
-    return _ENCODERS[held.value["id"]]
+    """One encoder in a worker, for the vocabulary that it last used."""
+    kept = worker_state("encoder", dict)
+    if held.value["id"] not in kept:
+        kept.clear()
+        kept[held.value["id"]] = Encoder(held.value["vocabulary"])
+    return kept[held.value["id"]]
 
 
 def _broadcast(df: DataFrame, path: str):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -16,6 +18,15 @@ CACHE_ENTRIES = 200_000
 CHUNK_BYTES = 8 << 20
 
 
+def worker_state(key: str, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task (caches, automata). The package travels by value, so
+    its own module variables are new in every task; this is a module of the worker process instead."""
+    held = sys.modules.setdefault("_lcarank_worker", types.ModuleType("_lcarank_worker")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str, binary: bool = True) -> DataFrame:
     """The two columns that an operator reads, as ``id`` and ``text`` (UTF-8 bytes when ``binary``)."""
     text = F.col(f"`{text_col}`").cast("string")
@@ -70,6 +81,10 @@ class WordHashes(dict):
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
+    @staticmethod
+    def shared() -> WordHashes:
+        return worker_state("word hashes", WordHashes)
+
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 

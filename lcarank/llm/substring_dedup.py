@@ -39,8 +39,6 @@ ROWS, SKETCH_SHARE, MIN_BITS, MAX_BITS = 4, 4, 20, 28
 SLICES, HELD = 16, 1 << 20
 PIECE = 4 << 20
 
-_HASHES = WordHashes()
-
 
 class Piece:
     """Words of some texts, their windows and runs. Windows are numbered over all texts; ``doc`` is
@@ -50,7 +48,8 @@ class Piece:
         self.words = [t.split() if t else [] for t in texts]
         counts = np.fromiter(map(len, self.words), np.int64, len(texts))
         self.starts = np.concatenate([[0], np.cumsum(counts)])
-        hashes = np.concatenate([_HASHES.of(w) for w in self.words]) if len(texts) else np.empty(0, np.uint64)
+        known = WordHashes.shared()
+        hashes = np.concatenate([known.of(w) for w in self.words]) if len(texts) else np.empty(0, np.uint64)
         n = np.maximum(counts - window + 1, 0)
         self.window_doc = np.repeat(np.arange(len(texts)), n)
         self.window_base = np.concatenate([[0], np.cumsum(n)])
