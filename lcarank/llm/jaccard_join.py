@@ -36,14 +36,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lcarank.llm.common import WordHashes, arrow_rows, as_long, chunks, id_and_text, mix, window_hashes
+from lcarank.llm.common import arrow_rows, chunks, hashed_words, id_and_text, mix, window_hashes
 from lcarank.session import materialize
 
 SHINGLE, PERCENT = 3, 90
 #: Largest boundary considered: above it the subsets of one set run into thousands.
 LIGHT_MAX = 29
 SLICES, SKETCH_SHARE, MIN_BITS, MAX_BITS = 16, 128, 16, 24
-PIECE = 4 << 20
+PIECE = 1 << 20
 MAP_BITS = 256
 
 
@@ -65,15 +65,17 @@ def subset_count(s: int) -> int:
     return sum(comb(s, c) for c in subset_sizes(s))
 
 
-def shingle_set(words: np.ndarray) -> np.ndarray:
-    """Sorted distinct shingle hashes."""
-    k = min(SHINGLE, len(words))
-    return np.unique(window_hashes(words, k, seed=k)) if k else np.empty(0, np.uint64)
-
-
 def _sets(texts: list) -> list[np.ndarray]:
-    known = WordHashes.shared()
-    return [shingle_set(known.of(t.lower().split())) if t else np.empty(0, np.uint64) for t in texts]
+    """Sorted distinct shingle hashes of each text."""
+    words, counts = hashed_words([t and t.lower() for t in texts])
+    shingles, sets, at = window_hashes(words, SHINGLE, seed=SHINGLE), [], 0
+    for n in counts.tolist():
+        if n >= SHINGLE:
+            sets.append(np.unique(shingles[at:at + n - SHINGLE + 1]))
+        else:
+            sets.append(window_hashes(words[at:at + n], n, seed=n) if n else np.empty(0, np.uint64))
+        at += n
+    return sets
 
 
 def _name(s: np.ndarray) -> int:

@@ -22,6 +22,7 @@ other; each keeps its own result. Texts of any length are worked on whole, one a
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -30,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lcarank.llm.common import WordHashes, arrow_rows, as_long, chunks, id_and_text, mix, window_hashes
+from lcarank.llm.common import arrow_rows, as_long, chunks, hashed_words, id_and_text, mix, window_hashes
 from lcarank.session import materialize
 
 WINDOW, GRAM = 20, 8
 ROWS, SKETCH_SHARE, MIN_BITS, MAX_BITS = 4, 4, 20, 28
 #: Slices of a sketch row; anchors held before a task writes what it has counted.
 SLICES, HELD = 16, 1 << 20
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 
 class Piece:
@@ -45,11 +46,9 @@ class Piece:
     the text of a run, ``first`` its first window, ``at`` the word at which a window starts."""
 
     def __init__(self, texts: list, window: int = WINDOW, gram: int = GRAM):
-        self.words = [t.split() if t else [] for t in texts]
-        counts = np.fromiter(map(len, self.words), np.int64, len(texts))
+        self.texts = texts
+        hashes, counts = hashed_words(texts)
         self.starts = np.concatenate([[0], np.cumsum(counts)])
-        known = WordHashes.shared()
-        hashes = np.concatenate([known.of(w) for w in self.words]) if len(texts) else np.empty(0, np.uint64)
         n = np.maximum(counts - window + 1, 0)
         self.window_doc = np.repeat(np.arange(len(texts)), n)
         self.window_base = np.concatenate([[0], np.cumsum(n)])
@@ -84,7 +83,8 @@ class Piece:
 
     def repeats_inside(self) -> np.ndarray:
         """Windows that equal an earlier window of the same text."""
-        order = np.lexsort((np.arange(len(self.hash)), self.hash, self.window_doc))
+        with np.errstate(over="ignore"):
+            order = np.argsort(mix(self.hash + self.window_doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), kind="stable")
         h, d = self.hash[order], self.window_doc[order]
         again = np.zeros(len(h), bool)
         again[order[1:]] = (h[1:] == h[:-1]) & (d[1:] == d[:-1])
@@ -97,9 +97,9 @@ class Piece:
         np.add.at(edge, at, 1)
         np.add.at(edge, at + window, -1)
         gone = np.cumsum(edge[:-1]) > 0
-        for i, words in enumerate(self.words):
+        for i, text in enumerate(self.texts):
             mask = gone[self.starts[i]:self.starts[i + 1]]
-            n = int(mask.sum())
+            n, words = int(mask.sum()), text.split() if text else []
             if n:
                 words = [w for w, g in zip(words, mask.tolist(), strict=True) if not g]
             yield len(mask), n, b" ".join(words)
@@ -195,7 +195,12 @@ RUN = "struct<no:int,anchor:long,key:long,windows:binary>"
 _RUN = pa.struct([("no", pa.int32()), ("anchor", pa.int64()), ("key", pa.int64()), ("windows", pa.binary())])
 
 
-def _candidates(source: DataFrame, bitmap: np.ndarray, bits: int) -> DataFrame:
+def _kept(words: list[bytes], hashed: bool) -> pa.Array:
+    """The kept words, or only their SHA-256 in hexadecimal."""
+    return pa.array([w if w is None or not hashed else hashlib.sha256(w).hexdigest().encode() for w in words], pa.binary())
+
+
+def _candidates(source: DataFrame, bitmap: np.ndarray, bits: int, hashed: bool) -> DataFrame:
     """Per document: finished, or its text and the runs that may repeat elsewhere."""
     held = source.sparkSession.sparkContext.broadcast(bitmap)
 
@@ -212,7 +217,7 @@ def _candidates(source: DataFrame, bitmap: np.ndarray, bits: int) -> DataFrame:
         open_ = [bool(x) for x in runs]
         return {
             "id": ids, "n_words": pa.array([x[0] for x in done], pa.int64()), "n_removed": pa.array([x[1] for x in done], pa.int64()),
-            "kept": pa.array([None if o else x[2] for o, x in zip(open_, done, strict=True)], pa.binary()),
+            "kept": _kept([None if o else x[2] for o, x in zip(open_, done, strict=True)], hashed),
             "text": pa.array([t if o else None for o, t in zip(open_, texts, strict=True)], pa.binary()),
             "runs": pa.array([[dict(zip(("no", "anchor", "key", "windows"), x, strict=True)) for x in r] for r in runs], pa.list_(_RUN)),
         }
@@ -255,7 +260,7 @@ def _earlier(held: DataFrame) -> DataFrame:
         .groupBy("rid").agg(F.collect_list(F.struct("no", F.when(F.col("id") > F.col("first"), F.lit(None)).otherwise(F.col("part")).alias("part"))).alias("gone"))
 
 
-def _finish(opened: DataFrame, id_type: str) -> DataFrame:
+def _finish(opened: DataFrame, id_type: str, hashed: bool) -> DataFrame:
     """Documents with runs to remove, from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,24 +282,27 @@ def _finish(opened: DataFrame, id_type: str) -> DataFrame:
                 done = list(p.kept(removed))
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array([x[0] for x in done], pa.int64()), pa.array([x[1] for x in done], pa.int64()),
-                     pa.array([x[2] for x in done], pa.binary())], names=["id", "n_words", "n_removed", "kept"])
+                     _kept([x[2] for x in done], hashed)], names=["id", "n_words", "n_removed", "kept"])
 
     return opened.select("id", "text", "gone").mapInArrow(run, f"id {id_type}, n_words long, n_removed long, kept binary")
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> DataFrame:
-    """Per row of ``df``: id, ``n_words``, ``n_removed`` and ``kept``, the UTF-8 words that stay, joined
-    by one space. ``bits`` sets the sketch's size (else ``sketch_bits``)."""
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None,
+                   hashed: bool = False) -> DataFrame:
+    """Per row of ``df``: id, ``n_words``, ``n_removed`` and ``kept``, the words that stay, joined by one
+    space (with ``hashed``: ``kept_sha256``, so that texts without repeats are not written down).
+    ``bits`` sets the sketch's size (else ``sketch_bits``)."""
     source = id_and_text(df, id_col, text_col)
     bits = bits or sketch_bits(df)
-    found = _candidates(source, repeated_anchors(source, bits), bits)
+    found = _candidates(source, repeated_anchors(source, bits), bits, hashed)
     held = materialize(found.withColumn("rid", F.monotonically_increasing_id()))
     kind = source.schema["id"].dataType.simpleString()
     opened = held.where("text is not null").select("rid", "id", "text").join(_earlier(held), "rid", "left")
     closed = held.where("text is null").select("id", "n_words", "n_removed", "kept")
-    return closed.unionByName(_finish(opened, kind)).withColumnRenamed("id", id_col)
+    kept = F.col("kept").cast("string").alias("kept_sha256" if hashed else "kept")
+    return closed.unionByName(_finish(opened, kind, hashed)).select(F.col("id").alias(id_col), "n_words", "n_removed", kept)
 
 
 def digest(df: DataFrame) -> DataFrame:
-    """The registered query's columns, from ``remove_repeats``."""
-    return remove_repeats(df).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    """The registered query's columns."""
+    return remove_repeats(df, hashed=True)
