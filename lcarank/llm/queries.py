@@ -6,13 +6,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lcarank.llm import bpe, decontaminate, jaccard_join, pii, substring_dedup, warc
+from lcarank.llm import bpe, decontaminate, html_extract, jaccard_join, pii, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_classes(_table(spark, sf_dir, "documents"))
 
@@ -37,7 +41,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_jaccard_join, op4_decontamination, op7_warc, op8_substring_dedup, op9_pii, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op3_jaccard_join, op4_decontamination, op7_warc, op8_substring_dedup, op9_pii, op10_bpe)}
 
 ORACLE = {
     "op7_warc": """
