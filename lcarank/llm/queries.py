@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lcarank.llm import bpe, decontaminate, html_extract, jaccard_join, pii, quality_rules, substring_dedup, warc
+from lcarank.llm import bpe, decontaminate, html_extract, jaccard_join, language_id, pii, quality_rules, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.digest(_table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(_table(spark, sf_dir, "pages"))
 
@@ -45,7 +49,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op3_jaccard_join, op4_decontamination, op5_quality_rules, op7_warc, op8_substring_dedup, op9_pii, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op3_jaccard_join, op4_decontamination, op5_quality_rules, op6_language_id, op7_warc, op8_substring_dedup, op9_pii, op10_bpe)}
 
 ORACLE = {
     "op7_warc": """
