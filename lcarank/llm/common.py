@@ -76,30 +76,38 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
-def hashed_words(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words (runs of other bytes than x20 and x09 to x0D) of all texts, one after
-    another, and the number of words of each text. Words are hashed eight bytes at a time, all
-    words at once, without a Python object for each."""
-    data = b" ".join(t or b"" for t in texts) + b" " * 9
-    buf = np.frombuffer(data, np.uint8)
+def word_spans(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts in one array of bytes, where the words (runs of other bytes than x20 and x09 to x0D)
+    start and end in it, and the number of words of each text."""
+    buf = np.frombuffer(b" ".join(t or b"" for t in texts) + b" " * 9, np.uint8)
     ends_text = np.cumsum([len(t or b"") + 1 for t in texts]) if texts else np.empty(0, np.int64)
     inside = ~_SPACE[buf]
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    if len(inside) and inside[0]:
+    if inside[0]:
         edge = np.concatenate([[0], edge])
     starts, ends = edge[::2], edge[1::2]
     counts = np.diff(np.searchsorted(starts, ends_text), prepend=0) if texts else np.empty(0, np.int64)
-    size = ends - starts
+    return buf, starts, ends, counts
+
+
+def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes, eight bytes at a time, all spans at once."""
     eight = np.lib.stride_tricks.sliding_window_view(buf, 8)
-    h = mix(size.astype(np.uint64))
-    which, at = np.arange(len(starts)), starts
+    h = mix((ends - starts).astype(np.uint64))
+    which, at = np.flatnonzero(ends > starts), starts[ends > starts]
     while len(which):
         part = np.ascontiguousarray(eight[at]).view("<u8").ravel() & _LOW_BYTES[np.minimum(ends[which] - at, 8)]
         with np.errstate(over="ignore"):
             h[which] = mix(h[which] * np.uint64(0x9E3779B97F4A7C15) ^ part)
         more = ends[which] - at > 8
         which, at = which[more], at[more] + 8
-    return h, counts
+    return h
+
+
+def hashed_words(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one after another, and the number of words of each text."""
+    buf, starts, ends, counts = word_spans(texts)
+    return hash_spans(buf, starts, ends), counts
 
 
 def mix(x: np.ndarray) -> np.ndarray:

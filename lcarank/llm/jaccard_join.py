@@ -14,7 +14,7 @@ Two sets of sizes s and t can link only if they share at least c(s, t) shingles.
 Equal sets are one node. In each list all nodes are compared with two hubs: the node with the most
 copies and the smallest. Links found so far make classes; a list is taken up again only for pairs in
 different classes, so a group of many near copies costs a few comparisons per member. Pairs are
-dropped by size and by a 256-bit parity map (its distance never exceeds that of the sets), the rest
+dropped by size and by parity maps (their distance never exceeds that of the sets), the rest
 are verified on the whole sets.
 
 Words are runs of other bytes than x20 and x09 to x0D, A-Z in lower case. Shingles are 3 consecutive
@@ -26,16 +26,18 @@ document id is in its class but never names it, unless all ids are null.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lcarank.llm import sketch
 from lcarank.llm.common import arrow_rows, chunks, hashed_words, id_and_text, mix, window_hashes
 from lcarank.session import materialize
 
@@ -44,7 +46,10 @@ SHINGLE, PERCENT = 3, 90
 LIGHT_MAX = 29
 SLICES, SKETCH_SHARE, MIN_BITS, MAX_BITS = 16, 128, 16, 24
 PIECE = 1 << 20
-MAP_BITS = 256
+#: Bits of a set's parity map, and of its folded form inside joins.
+MAP_BITS, FOLDED_BITS = 2048, 256
+#: Bytes of the table for each cell in a row of the sketch of list keys; cells of the filter of ids.
+LIST_SHARE, ID_BITS = 8, 23
 
 
 def shared_needed(s: int, t: int) -> int:
@@ -157,8 +162,8 @@ def listings(s: np.ndarray, levels: np.ndarray, bits: int, light: int) -> np.nda
 
 
 def parity_map(s: np.ndarray) -> np.ndarray:
-    bits = np.bincount((s & np.uint64(MAP_BITS - 1)).astype(np.int64), minlength=MAP_BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).view("<i8")
+    """One bit for each cell of hashes: whether an odd number of shingles falls in it."""
+    return np.packbits((np.bincount((s & np.uint64(MAP_BITS - 1)).astype(np.int64), minlength=MAP_BITS) & 1).astype(np.uint8))
 
 
 def _listed(source: DataFrame, levels: np.ndarray, bits: int, light: int) -> DataFrame:
@@ -166,47 +171,96 @@ def _listed(source: DataFrame, levels: np.ndarray, bits: int, light: int) -> Dat
 
     def run(ids: pa.Array, texts: list) -> dict:
         sets = _sets(texts)
-        maps = np.array([parity_map(s) for s in sets]).reshape(-1, MAP_BITS // 64)
+        maps = np.array([parity_map(s) for s in sets]).reshape(-1, MAP_BITS // 8)
+        folded = np.bitwise_xor.reduce(maps.reshape(len(sets), -1, FOLDED_BITS // 8), axis=1).copy().view("<i8")
         return {"id": ids, "node": pa.array([_name(s) if len(s) else None for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int32()),
-                **{f"m{i}": pa.array(maps[:, i], pa.int64()) for i in range(MAP_BITS // 64)},
+                **{f"m{i}": pa.array(folded[:, i], pa.int64()) for i in range(FOLDED_BITS // 64)},
+                "map": pa.array([x.tobytes() for x in maps], pa.binary()),
                 "lists": pa.array([listings(s, held.value, bits, light).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64()))}
 
     kind = source.schema["id"].dataType.simpleString()
-    maps = ", ".join(f"m{i} long" for i in range(MAP_BITS // 64))
-    return arrow_rows(source, run, f"id {kind}, node long, n int, {maps}, lists array<long>", PIECE)
+    maps = ", ".join(f"m{i} long" for i in range(FOLDED_BITS // 64))
+    return arrow_rows(source, run, f"id {kind}, node long, n int, {maps}, map binary, lists array<long>", PIECE)
+
+
+def _shared_entries(listed: DataFrame, bits: int) -> DataFrame:
+    """(node, list) of the lists that the sketch does not rule out to have two entries."""
+
+    def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            for part in _parts(batch):
+                yield part.column("lists").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _parts(batch):
+                lists = part.column("lists")
+                flat = lists.flatten().to_numpy(zero_copy_only=False)
+                ok = sketch.maybe_twice(held.value, flat.view(np.uint64), bits)
+                node = np.repeat(part.column("node").to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([pa.array(node[ok], pa.int64()), pa.array(flat[ok], pa.int64())], names=["node", "list"])
+
+    rows = listed.select("node", "lists")
+    held = listed.sparkSession.sparkContext.broadcast(sketch.seen_twice(rows, keys, bits))
+    return rows.mapInArrow(run, "node long, list long")
+
+
+def _parts(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
 
 
 def _near(x: str, y: str) -> Column:
-    """Sizes and parity maps of the sides ``x`` and ``y`` allow a link."""
+    """Sizes and folded maps of the sides ``x`` and ``y`` allow a link."""
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    apart = sum((F.bit_count(F.col(f"{x}.m{i}").bitwiseXOR(F.col(f"{y}.m{i}"))) for i in range(MAP_BITS // 64)), F.lit(0))
-    need = F.ceil(PERCENT * (n + m) / (100 + PERCENT))
-    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (apart <= n + m - 2 * need)
+    apart = sum((F.bit_count(F.col(f"{x}.m{i}").bitwiseXOR(F.col(f"{y}.m{i}"))) for i in range(FOLDED_BITS // 64)), F.lit(0))
+    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (apart <= _may_differ(n, m))
+
+
+def _may_differ(n: Column, m: Column) -> Column:
+    return n + m - 2 * F.ceil(PERCENT * (n + m) / (100 + PERCENT))
+
+
+@F.pandas_udf("int")
+def _apart(x: pd.Series, y: pd.Series) -> pd.Series:
+    """Bits in which two maps differ."""
+    if not len(x):
+        return pd.Series([], dtype="int32")
+    a, b = (np.frombuffer(b"".join(s), np.uint64).reshape(len(s), -1) for s in (x, y))
+    return pd.Series(np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int32))
 
 
 def _sized_up(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes that sizes and parity maps allow."""
     return pairs.join(nodes.alias("x"), F.col("a") == F.col("x.node")).join(nodes.alias("y"), F.col("b") == F.col("y.node")) \
-        .where(_near("x", "y")).select("a", "b")
+        .where(_near("x", "y")).where(_apart("x.map", "y.map") <= _may_differ(F.col("x.n"), F.col("y.n"))).select("a", "b")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame:
-    """Those of the pairs that link, from the whole sets of one document of each node."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "id"), "node")
-    kind = source.schema["id"].dataType.simpleString()
+    """Those of the pairs that link, from the whole sets of one document of each node. The documents are
+    found in one scan by a filter of 2 ** ID_BITS cells of hashed ids; a few others may pass it, and drop
+    out when nodes are joined."""
+    cell = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - ID_BITS).cast("int")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "id"), "node") \
+        .select(cell("id").alias("cell")).distinct()
+    bitmap = np.zeros(1 << ID_BITS, bool)
+    for r in wanted.groupBy(F.shiftright("cell", 12)).agg(F.collect_list("cell").alias("cells")).toLocalIterator():
+        bitmap[r["cells"]] = True
+    held = source.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in chunks(batches, PIECE):
-            sets = _sets(texts)
-            yield pa.RecordBatch.from_arrays([pa.array([_name(s) if len(s) else None for s in sets], pa.int64()),
-                                              pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
+        want = np.unpackbits(held.value).astype(bool)
+        for batch in batches:
+            some = batch.filter(pa.array(want[batch.column(0).to_numpy()]))
+            for _, texts in chunks([some], PIECE):
+                sets = _sets(texts)
+                yield pa.RecordBatch.from_arrays([pa.array([_name(s) if len(s) else None for s in sets], pa.int64()),
+                                                  pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    texts = source.join(wanted.select(F.col("id").alias("own")), F.col("id").eqNullSafe(F.col("own")), "left_semi")
-    sets = materialize(texts.mapInArrow(run, "node long, shingles array<long>").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    sets = materialize(source.select(cell("id").alias("cell"), "text").mapInArrow(run, "node long, shingles array<long>"))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a") \
         .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
     shared = F.size(F.array_intersect("s", "t"))
-    return both.where(100 * shared >= PERCENT * (F.size("s") + F.size("t") - shared)).select("a", "b")
+    return both.where(100 * shared >= PERCENT * (F.size("s") + F.size("t") - shared)).select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -233,8 +287,7 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                        light: int | None = None) -> DataFrame:
     """Per row of ``df``: id, ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
     source = id_and_text(df, id_col, text_col)
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    bits = bits or min(MAX_BITS, max(MIN_BITS, (size // SKETCH_SHARE).bit_length()))
+    bits = bits or min(MAX_BITS, max(MIN_BITS, (sketch.table_bytes(df) // SKETCH_SHARE).bit_length()))
     survey = materialize(_survey(source, bits))
     levels, scanned = _levels(survey, bits)
     docs = survey.where("counts is null").select("id", "n", "node")
@@ -243,9 +296,9 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         light = boundary(sizes, scanned)
 
     listed = materialize(_listed(source, levels, bits, light).where("node is not null"))
-    maps = [F.min(f"m{i}").alias(f"m{i}") for i in range(MAP_BITS // 64)]
-    nodes = materialize(listed.groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"), *maps))
-    entries = listed.select("node", F.explode("lists").alias("list"))
+    nodes = materialize(listed.groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"),
+                                       *(F.min(f"m{i}").alias(f"m{i}") for i in range(FOLDED_BITS // 64)), F.first("map").alias("map")))
+    entries = materialize(_shared_entries(listed, sketch.bits_for(df, LIST_SHARE)))
     shared = entries.groupBy("list").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
     # Per list and node, once: rows = documents with the set.
     members = materialize(entries.join(shared.select("list", "least"), "list").groupBy("list", "least", "node").agg(F.count("*").alias("copies")))
@@ -263,11 +316,11 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rest = with_hub.where("node != hub and node != least").join(labels, "node", "left") \
         .select("list", "node", F.coalesce("label", "node").alias("label"))
     open_ = rest.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("list")
-    left = materialize(rest.join(open_, "list", "left_semi").join(nodes.drop("id"), "node").distinct())
+    left = materialize(rest.join(open_, "list", "left_semi").join(nodes.drop("id", "map"), "node").distinct())
     across = left.alias("x").join(left.alias("y"), (F.col("x.list") == F.col("y.list")) & (F.col("x.node") < F.col("y.node"))
                                   & (F.col("x.label") != F.col("y.label")) & _near("x", "y")) \
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    across = materialize(across)
+    across = materialize(_sized_up(across, nodes))
     if across.limit(1).count():
         more = materialize(_verified(across, nodes, source))
         if more.limit(1).count():

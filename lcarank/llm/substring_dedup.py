@@ -4,12 +4,9 @@ A window is WINDOW consecutive words of one document. Its anchor is the smallest
 GRAM-word sequences inside it, so equal windows have equal anchors, and consecutive windows mostly
 share one: a run is the longest row of consecutive windows with one anchor.
 
-1. Sketch. Every task counts the distinct anchors of each document in a count-min sketch whose
-   counters stop at two, and writes it as sorted cells by slice; slices of all tasks are merged. An
-   anchor's estimate is never below the number of documents that hold it, hence never below the
-   number of documents that hold any of its windows. The sketch has about a cell per SKETCH_SHARE
-   bytes of the table in each of ROWS rows, at most 2 ** MAX_BITS: beyond that it lets more pass and
-   loses nothing.
+1. Sketch. Every task counts the distinct anchors of each document in a count-min sketch (see sketch.py);
+   the tasks' sketches are merged. An anchor's estimate is never below the number of documents that hold
+   it, hence never below the number of documents that hold any of its windows.
 2. Exact groups. Only runs whose anchor is estimated to occur in two documents go on. Runs with equal
    words are grouped first (smallest document of each). Where one anchor has several different runs,
    as at the edges of a passage, the windows of one run of each kind are grouped as well. Windows
@@ -23,21 +20,20 @@ other; each keeps its own result. Texts of any length are worked on whole, one a
 from __future__ import annotations
 
 import hashlib
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lcarank.llm import sketch
 from lcarank.llm.common import arrow_rows, as_long, chunks, hashed_words, id_and_text, mix, window_hashes
 from lcarank.session import materialize
 
 WINDOW, GRAM = 20, 8
-ROWS, SKETCH_SHARE, MIN_BITS, MAX_BITS = 4, 4, 20, 28
-#: Slices of a sketch row; anchors held before a task writes what it has counted.
-SLICES, HELD = 16, 1 << 20
+#: Bytes of the table for each cell in a row of the sketch.
+SKETCH_SHARE = 4
 PIECE = 1 << 20
 
 
@@ -105,90 +101,15 @@ class Piece:
             yield len(mask), n, b" ".join(words)
 
 
-def _cells(anchors: np.ndarray, row: int, bits: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = mix(anchors * np.uint64(2 * row + 1) + np.uint64(0x632BE59BD9B4E019 * (row + 1) & (2**64 - 1)))
-    return (h >> np.uint64(64 - bits)).astype(np.uint32)
-
-
-def _sketch(source: DataFrame, bits: int) -> DataFrame:
-    """Cells of every task's sketch: ``row``, ``slice`` and sorted cells, twice if counted twice."""
-    per_slice = bits - (SLICES.bit_length() - 1)
-
-    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        anchors, out = np.concatenate(held), []
-        for row in range(ROWS):
-            cells = np.sort(_cells(anchors, row, bits))
-            cells = cells[~np.append(np.zeros(2, bool), (cells[2:] == cells[:-2]))[:len(cells)]] if len(cells) > 2 else cells
-            cuts = np.searchsorted(cells, np.arange(SLICES + 1, dtype=np.uint64) << np.uint64(per_slice))
-            for s in range(SLICES):
-                part = cells[cuts[s]:cuts[s + 1]]
-                if len(part):
-                    out.append((row, s, zlib.compress(np.diff(part, prepend=np.uint32(s << per_slice)).astype("<u4").tobytes(), 1)))
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()),
-                                           pa.array([x[2] for x in out], pa.binary())], names=["row", "slice", "cells"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for _, texts in chunks(batches, PIECE):
-            p = Piece(texts)
-            order = np.lexsort((p.anchor, p.doc))
-            a, d = p.anchor[order], p.doc[order]
-            new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (d[1:] != d[:-1])
-            held.append(a[new])
-            n += len(held[-1])
-            if n > HELD:
-                yield flush(held)
-                held, n = [], 0
-        if n:
-            yield flush(held)
-
-    return source.mapInArrow(run, "row int, slice int, cells binary")
-
-
-def _merged(cells: DataFrame, bits: int) -> DataFrame:
-    """One bitmap per row and slice of the cells that were counted at least twice."""
-    per_slice = bits - (SLICES.bit_length() - 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for row, s, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                at = np.cumsum(np.frombuffer(zlib.decompress(packed), "<u4"), dtype=np.uint32)
-                if (row, s) not in counts:
-                    counts[row, s] = np.zeros(1 << per_slice, np.uint8)
-                twice = at[1:][at[1:] == at[:-1]]
-                c = counts[row, s]
-                c[at] = np.minimum(c[at] + 1, 2)
-                c[twice] = 2
-        for (row, s), c in counts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([s], pa.int32()),
-                                              pa.array([np.packbits(c >= 2, bitorder="little").tobytes()], pa.binary())], names=["row", "slice", "cells"])
-
-    return cells.repartition(ROWS * SLICES, "row", "slice").mapInArrow(run, "row int, slice int, cells binary")
-
-
-def sketch_bits(df: DataFrame) -> int:
-    """Bits of a cell's number, from the optimiser's size of the table."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(MAX_BITS, max(MIN_BITS, (size // SKETCH_SHARE).bit_length()))
-
-
-def repeated_anchors(source: DataFrame, bits: int) -> np.ndarray:
-    """The merged sketch, as a bitmap for each row: at most ROWS * 2 ** MAX_BITS / 8 bytes."""
-    held = np.zeros((ROWS, SLICES, (1 << bits) // SLICES // 8), np.uint8)
-    for r in _merged(_sketch(source, bits), bits).toLocalIterator():
-        held[r["row"], r["slice"]] = np.frombuffer(bytes(r["cells"]), np.uint8)
-    return held.reshape(ROWS, -1)
-
-
-def _seen_twice(bitmap: np.ndarray, anchors: np.ndarray, bits: int) -> np.ndarray:
-    ok = np.ones(len(anchors), bool)
-    for row in range(ROWS):
-        c = _cells(anchors, row, bits)
-        ok &= (bitmap[row][c >> np.uint32(3)] >> (c & np.uint32(7)).astype(np.uint8) & 1).astype(bool)
-    return ok
+def anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Distinct anchors of each document."""
+    for _, texts in chunks(batches, PIECE):
+        p = Piece(texts)
+        order = np.lexsort((p.anchor, p.doc))
+        a, d = p.anchor[order], p.doc[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (d[1:] != d[:-1])
+        yield a[new]
 
 
 RUN = "struct<no:int,anchor:long,key:long,windows:binary>"
@@ -206,7 +127,7 @@ def _candidates(source: DataFrame, bitmap: np.ndarray, bits: int, hashed: bool)
 
     def run(ids: pa.Array, texts: list) -> dict:
         p = Piece(texts)
-        maybe = np.flatnonzero(_seen_twice(held.value, p.anchor, bits))
+        maybe = np.flatnonzero(sketch.maybe_twice(held.value, p.anchor, bits))
         keys = p.run_keys().view(np.int64)
         run_base = np.searchsorted(p.doc, np.arange(len(texts)))
         runs: list[list] = [[] for _ in texts]
@@ -291,10 +212,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                    hashed: bool = False) -> DataFrame:
     """Per row of ``df``: id, ``n_words``, ``n_removed`` and ``kept``, the words that stay, joined by one
     space (with ``hashed``: ``kept_sha256``, so that texts without repeats are not written down).
-    ``bits`` sets the sketch's size (else ``sketch_bits``)."""
+    ``bits`` sets the sketch's size."""
     source = id_and_text(df, id_col, text_col)
-    bits = bits or sketch_bits(df)
-    found = _candidates(source, repeated_anchors(source, bits), bits, hashed)
+    bits = bits or sketch.bits_for(df, SKETCH_SHARE)
+    found = _candidates(source, sketch.seen_twice(source, anchors, bits), bits, hashed)
     held = materialize(found.withColumn("rid", F.monotonically_increasing_id()))
     kind = source.schema["id"].dataType.simpleString()
     opened = held.where("text is not null").select("rid", "id", "text").join(_earlier(held), "rid", "left")
