@@ -49,7 +49,7 @@ def base_counts(texts: list) -> dict[str, np.ndarray]:
     ends = np.cumsum([len(t or b"") for t in texts])
     per_text = lambda x: np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[np.concatenate([[0], ends])])
     return {"n_words": counts, "word_chars": per_text(_WORD_CHAR[data]), "n_symbols": per_text(_SYMBOL[data]),
-            "n_dup_lines": np.array([_dup_lines(t) for t in texts], np.int64), "n_repeat_words": _repeat_words(words, counts)}
+            "n_dup_lines": np.array([_dup_lines(t) for t in texts], np.int64), "n_repeat_words": repeat_words(words, counts)}
 
 
 def _dup_lines(text: bytes | None) -> int:
@@ -59,7 +59,7 @@ def _dup_lines(text: bytes | None) -> int:
     return len(lines) - len(set(lines))
 
 
-def _repeat_words(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def repeat_words(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     k = REPEAT_WINDOW
     starts = np.concatenate([[0], np.cumsum(counts)])
     n = np.maximum(counts - k + 1, 0)

@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lcarank.llm import bpe, decontaminate, html_extract, jaccard_join, language_id, pii, quality_rules, substring_dedup, warc
+from lcarank.llm import bpe, decontaminate, html_extract, jaccard_join, language_id, pii, quality_classifier, quality_rules, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.digest(_table(spark, sf_dir, "documents"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_classes(_table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op3_jaccard_join, op4_decontamination, op5_quality_rules, op6_language_id, op7_warc, op8_substring_dedup, op9_pii, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_quality_classifier, op3_jaccard_join, op4_decontamination, op5_quality_rules, op6_language_id, op7_warc, op8_substring_dedup, op9_pii, op10_bpe)}
 
 ORACLE = {
     "op7_warc": """
