@@ -5,14 +5,36 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lcarank.llm import bpe, pii
+from lcarank.llm import bpe, decontaminate, jaccard_join, pii, quality_rules
 from lcarank.session import materialize
 
+#: Near duplicates: shingles of five words, similarity of 0.8 or more.
+NEAR = jaccard_join.Rule(shingle=5, percent=80)
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that the base rules or the fertility bands reject."""
+    return quality_rules.keep_good(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id."""
+    return jaccard_join.one_of_each(docs, NEAR)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that hold ten consecutive words of a benchmark item, or a whole shorter one."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data become their kind in angle brackets; no document goes."""
-    return pii.redact(docs)
+    redacted = pii.redact(docs)
+    if "n_chars" in docs.columns:
+        redacted = redacted.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return redacted.select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,14 +42,20 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("personal data", remove_personal_data), ("encoding", encode)]
+STAGES = [
+    ("quality rules", drop_low_quality),
+    ("near duplicates", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("personal data", remove_personal_data),
+    ("encoding", encode),
+]
 
-#: Similarity classes, regular expressions with checksums and BPE have no SQL form; see tests/llm.
+#: Tokenizer bands, similarity classes, checksums and BPE have no SQL form; see tests/llm.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each written as Parquet and read again."""
+    """All stages on ``documents``, each but the last written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))

@@ -1,4 +1,4 @@
-"""Near-duplicate classes by a size-aware join of shingle sets: Jaccard similarity >= 90 %.
+"""Near-duplicate classes by a size-aware join of shingle sets of at least a given Jaccard similarity.
 
 Two sets of sizes s and t can link only if they share at least c(s, t) shingles.
 
@@ -6,7 +6,7 @@ Two sets of sizes s and t can link only if they share at least c(s, t) shingles.
   need: two small sets link only if they are listed under a common subset.
 * Large sets scan inverted lists. Shingles have one global order, rarest first (a sketch of document
   counts over the whole table, then the hash); a set stands in the lists of its first
-  s - ceil(0.9 s) + 1 shingles, and two linked sets meet in one. Small sets that a large one may link
+  s - ceil(j s) + 1 shingles, and two linked sets meet in one. Small sets that a large one may link
   with stand in these lists as well.
 * The boundary is the size at which the rows listed and scanned, summed over the table's sizes, are
   fewest.
@@ -17,8 +17,8 @@ different classes, so a group of many near copies costs a few comparisons per me
 dropped by size and by parity maps (their distance never exceeds that of the sets), the rest
 are verified on the whole sets.
 
-Words are runs of other bytes than x20 and x09 to x0D, A-Z in lower case. Shingles are 3 consecutive
-words, or the whole text if it has fewer; texts without words (null, empty) have an empty set and no
+Words are runs of other bytes than x20 and x09 to x0D, A-Z in lower case. Shingles are 3 consecutive words
+(a parameter, as the similarity j of 90 %), or the whole text if it has fewer; texts without words (null, empty) have an empty set and no
 links. Shingles and sets are identified by 64-bit hashes. Repeated rows get a result each; a null
 document id is in its class but never names it, unless all ids are null.
 """
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from itertools import combinations
 from math import comb
 
@@ -41,9 +42,8 @@ from lcarank.llm import sketch
 from lcarank.llm.common import arrow_rows, chunks, hashed_words, id_and_text, mix, window_hashes
 from lcarank.session import materialize
 
-SHINGLE, PERCENT = 3, 90
-#: Largest boundary considered: above it the subsets of one set run into thousands.
-LIGHT_MAX = 29
+#: Largest boundary considered, and most subsets of one set.
+LIGHT_MAX, SUBSETS_MAX = 40, 1000
 SLICES, SKETCH_SHARE, MIN_BITS, MAX_BITS = 16, 128, 16, 24
 PIECE = 1 << 20
 #: Bits of a set's parity map, and of its folded form inside joins.
@@ -52,31 +52,51 @@ MAP_BITS, FOLDED_BITS = 2048, 256
 LIST_SHARE, ID_BITS = 8, 23
 
 
-def shared_needed(s: int, t: int) -> int:
-    """Least overlap of linked sets: 100 o >= 90 (s + t - o)."""
-    return -(-PERCENT * (s + t) // (100 + PERCENT))
+@dataclass(frozen=True)
+class Rule:
+    """Words of a shingle; the least similarity of linked sets in percent."""
 
+    shingle: int = 3
+    percent: int = 90
 
-def prefix_size(s: int) -> int:
-    return s - -(-PERCENT * s // 100) + 1
+    def fits(self, s: int, t: int) -> bool:
+        return 100 * min(s, t) >= self.percent * max(s, t)
 
+    def shared_needed(self, s: int, t: int) -> int:
+        """Least overlap of linked sets: 100 o >= percent (s + t - o)."""
+        return -(-self.percent * (s + t) // (100 + self.percent))
 
-def subset_sizes(s: int) -> list[int]:
-    """Sizes of the subsets that a small set of s is listed under."""
-    return sorted({shared_needed(s, t) for t in range(1, 2 * s + 2) if 100 * min(s, t) >= PERCENT * max(s, t)})
+    def prefix_size(self, s: int) -> int:
+        return s - -(-self.percent * s // 100) + 1
 
+    def subset_sizes(self, s: int) -> list[int]:
+        """Sizes of the subsets that a small set of s is listed under."""
+        return sorted({self.shared_needed(s, t) for t in range(1, 100 * s // self.percent + 1) if self.fits(s, t)})
 
-def subset_count(s: int) -> int:
-    return sum(comb(s, c) for c in subset_sizes(s))
+    def subset_count(self, s: int) -> int:
+        return sum(comb(s, c) for c in self.subset_sizes(s))
 
+    def boundary(self, sizes: dict[int, int], scanned: float) -> int:
+        """The largest size of small sets. ``sizes``: sets by size up to LIGHT_MAX; ``scanned``: rows that
+        a probe of an inverted list reads."""
+        best, least = 0, None
+        for b in range(LIGHT_MAX + 1):
+            if b and self.subset_count(b) > SUBSETS_MAX:
+                break
+            cost = sum(n * (self.subset_count(s) if s <= b else self.prefix_size(s) * (1 + scanned)) for s, n in sizes.items())
+            cost += sum(n * self.prefix_size(s) for s, n in sizes.items() if s <= b and self.fits(s, b + 1))
+            if least is None or cost < least:
+                best, least = b, cost
+        return best
 
-def _sets(texts: list) -> list[np.ndarray]:
+
+def _sets(texts: list, rule: Rule) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     words, counts = hashed_words([t and t.lower() for t in texts])
-    shingles, sets, at = window_hashes(words, SHINGLE, seed=SHINGLE), [], 0
+    shingles, sets, at = window_hashes(words, rule.shingle, seed=rule.shingle), [], 0
     for n in counts.tolist():
-        if n >= SHINGLE:
-            sets.append(np.unique(shingles[at:at + n - SHINGLE + 1]))
+        if n >= rule.shingle:
+            sets.append(np.unique(shingles[at:at + n - rule.shingle + 1]))
         else:
             sets.append(window_hashes(words[at:at + n], n, seed=n) if n else np.empty(0, np.uint64))
         at += n
@@ -87,7 +107,7 @@ def _name(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def _survey(source: DataFrame, bits: int) -> DataFrame:
+def _survey(source: DataFrame, rule: Rule, bits: int) -> DataFrame:
     """Per document ``id``, ``n`` and ``node`` (null: empty set); per task and slice ``counts``, the
     sketch of how many documents hold the shingles of a cell, at most 255 of each task."""
     names = ["id", "n", "node", "slice", "counts"]
@@ -96,7 +116,7 @@ def _survey(source: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, id_type = np.zeros(1 << bits, np.uint32), None
         for ids, texts in chunks(batches, PIECE):
-            sets, id_type = _sets(texts), ids.type
+            sets, id_type = _sets(texts, rule), ids.type
             counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
             n = len(texts)
             yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([_name(s) if len(s) else None for s in sets], pa.int64()),
@@ -133,31 +153,19 @@ def _levels(survey: DataFrame, bits: int) -> tuple[np.ndarray, float]:
     return held.ravel(), float(np.mean(low[1:] or low))
 
 
-def boundary(sizes: dict[int, int], scanned: float) -> int:
-    """The largest size of small sets. ``sizes``: sets by size up to LIGHT_MAX; ``scanned``: rows that a
-    probe of an inverted list reads."""
-    best, least = 0, None
-    for b in range(LIGHT_MAX + 1):
-        cost = sum(n * (subset_count(s) if s <= b else prefix_size(s) * (1 + scanned)) for s, n in sizes.items())
-        cost += sum(n * prefix_size(s) for s, n in sizes.items() if s <= b and 100 * s >= PERCENT * (b + 1))
-        if least is None or cost < least:
-            best, least = b, cost
-    return best
-
-
-def listings(s: np.ndarray, levels: np.ndarray, bits: int, light: int) -> np.ndarray:
+def listings(s: np.ndarray, rule: Rule, levels: np.ndarray, bits: int, light: int) -> np.ndarray:
     """The lists that a set stands in."""
     out, n = [], len(s)
     if n <= light:
         with np.errstate(over="ignore"):
             parts = mix(s)
             whole = parts.sum(dtype=np.uint64)
-            for c in subset_sizes(n):
+            for c in rule.subset_sizes(n):
                 left = np.array(list(combinations(range(n), n - c)), np.int64).reshape(comb(n, c), n - c)
                 out.append(mix((whole - parts[left].sum(axis=1, dtype=np.uint64)) ^ np.uint64(0xA5A5 + c)))
-    if n > light or 100 * n >= PERCENT * (light + 1):
+    if n > light or rule.fits(n, light + 1):
         order = np.argsort(levels[(s >> np.uint64(64 - bits)).astype(np.int64)], kind="stable")
-        out.append(s[order[:prefix_size(n)]])
+        out.append(s[order[:rule.prefix_size(n)]])
     return np.concatenate(out)
 
 
@@ -166,17 +174,17 @@ def parity_map(s: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount((s & np.uint64(MAP_BITS - 1)).astype(np.int64), minlength=MAP_BITS) & 1).astype(np.uint8))
 
 
-def _listed(source: DataFrame, levels: np.ndarray, bits: int, light: int) -> DataFrame:
+def _listed(source: DataFrame, rule: Rule, levels: np.ndarray, bits: int, light: int) -> DataFrame:
     held = source.sparkSession.sparkContext.broadcast(levels)
 
     def run(ids: pa.Array, texts: list) -> dict:
-        sets = _sets(texts)
+        sets = _sets(texts, rule)
         maps = np.array([parity_map(s) for s in sets]).reshape(-1, MAP_BITS // 8)
         folded = np.bitwise_xor.reduce(maps.reshape(len(sets), -1, FOLDED_BITS // 8), axis=1).copy().view("<i8")
         return {"id": ids, "node": pa.array([_name(s) if len(s) else None for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int32()),
                 **{f"m{i}": pa.array(folded[:, i], pa.int64()) for i in range(FOLDED_BITS // 64)},
                 "map": pa.array([x.tobytes() for x in maps], pa.binary()),
-                "lists": pa.array([listings(s, held.value, bits, light).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64()))}
+                "lists": pa.array([listings(s, rule, held.value, bits, light).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64()))}
 
     kind = source.schema["id"].dataType.simpleString()
     maps = ", ".join(f"m{i} long" for i in range(FOLDED_BITS // 64))
@@ -209,15 +217,15 @@ def _parts(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[pa.RecordBatch]:
     return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
 
 
-def _near(x: str, y: str) -> Column:
+def _near(x: str, y: str, rule: Rule) -> Column:
     """Sizes and folded maps of the sides ``x`` and ``y`` allow a link."""
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
     apart = sum((F.bit_count(F.col(f"{x}.m{i}").bitwiseXOR(F.col(f"{y}.m{i}"))) for i in range(FOLDED_BITS // 64)), F.lit(0))
-    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (apart <= _may_differ(n, m))
+    return (100 * F.least(n, m) >= rule.percent * F.greatest(n, m)) & (apart <= _may_differ(n, m, rule))
 
 
-def _may_differ(n: Column, m: Column) -> Column:
-    return n + m - 2 * F.ceil(PERCENT * (n + m) / (100 + PERCENT))
+def _may_differ(n: Column, m: Column, rule: Rule) -> Column:
+    return n + m - 2 * F.ceil(rule.percent * (n + m) / (100 + rule.percent))
 
 
 @F.pandas_udf("int")
@@ -229,13 +237,13 @@ def _apart(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series(np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int32))
 
 
-def _sized_up(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _sized_up(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b) of nodes that sizes and parity maps allow."""
     return pairs.join(nodes.alias("x"), F.col("a") == F.col("x.node")).join(nodes.alias("y"), F.col("b") == F.col("y.node")) \
-        .where(_near("x", "y")).where(_apart("x.map", "y.map") <= _may_differ(F.col("x.n"), F.col("y.n"))).select("a", "b")
+        .where(_near("x", "y", rule)).where(_apart("x.map", "y.map") <= _may_differ(F.col("x.n"), F.col("y.n"), rule)).select("a", "b")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame, rule: Rule) -> DataFrame:
     """Those of the pairs that link, from the whole sets of one document of each node. The documents are
     found in one scan by a filter of 2 ** ID_BITS cells of hashed ids; a few others may pass it, and drop
     out when nodes are joined."""
@@ -252,7 +260,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFram
         for batch in batches:
             some = batch.filter(pa.array(want[batch.column(0).to_numpy()]))
             for _, texts in chunks([some], PIECE):
-                sets = _sets(texts)
+                sets = _sets(texts, rule)
                 yield pa.RecordBatch.from_arrays([pa.array([_name(s) if len(s) else None for s in sets], pa.int64()),
                                                   pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
 
@@ -260,7 +268,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFram
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a") \
         .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
     shared = F.size(F.array_intersect("s", "t"))
-    return both.where(100 * shared >= PERCENT * (F.size("s") + F.size("t") - shared)).select("a", "b").distinct()
+    return both.where(100 * shared >= rule.percent * (F.size("s") + F.size("t") - shared)).select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -283,19 +291,19 @@ def components(edges: DataFrame) -> DataFrame:
     return materialize(labels)
 
 
-def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None,
-                       light: int | None = None) -> DataFrame:
+def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = Rule(),  # noqa: B008
+                       bits: int | None = None, light: int | None = None) -> DataFrame:
     """Per row of ``df``: id, ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
     source = id_and_text(df, id_col, text_col)
     bits = bits or min(MAX_BITS, max(MIN_BITS, (sketch.table_bytes(df) // SKETCH_SHARE).bit_length()))
-    survey = materialize(_survey(source, bits))
+    survey = materialize(_survey(source, rule, bits))
     levels, scanned = _levels(survey, bits)
     docs = survey.where("counts is null").select("id", "n", "node")
     if light is None:
         sizes = {r["n"]: r["count"] for r in docs.where(f"n between 1 and {LIGHT_MAX}").groupBy("n").count().collect()}
-        light = boundary(sizes, scanned)
+        light = rule.boundary(sizes, scanned)
 
-    listed = materialize(_listed(source, levels, bits, light).where("node is not null"))
+    listed = materialize(_listed(source, rule, levels, bits, light).where("node is not null"))
     nodes = materialize(listed.groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"),
                                        *(F.min(f"m{i}").alias(f"m{i}") for i in range(FOLDED_BITS // 64)), F.first("map").alias("map")))
     entries = materialize(_shared_entries(listed, sketch.bits_for(df, LIST_SHARE)))
@@ -309,7 +317,7 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     with_hub = members.join(top, "list")
     ordered = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     pairs = with_hub.select(*ordered("node", "hub")).union(members.select(*ordered("node", "least"))).where("a < b").distinct()
-    links = materialize(_verified(materialize(_sized_up(pairs, nodes)), nodes, source))
+    links = materialize(_verified(materialize(_sized_up(pairs, nodes, rule)), nodes, source, rule))
 
     # Lists whose other members are in different classes: the pairs across classes.
     labels = components(links)
@@ -318,11 +326,11 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     open_ = rest.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("list")
     left = materialize(rest.join(open_, "list", "left_semi").join(nodes.drop("id", "map"), "node").distinct())
     across = left.alias("x").join(left.alias("y"), (F.col("x.list") == F.col("y.list")) & (F.col("x.node") < F.col("y.node"))
-                                  & (F.col("x.label") != F.col("y.label")) & _near("x", "y")) \
+                                  & (F.col("x.label") != F.col("y.label")) & _near("x", "y", rule)) \
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    across = materialize(_sized_up(across, nodes))
+    across = materialize(_sized_up(across, nodes, rule))
     if across.limit(1).count():
-        more = materialize(_verified(across, nodes, source))
+        more = materialize(_verified(across, nodes, source, rule))
         if more.limit(1).count():
             labels = components(links.union(more))
 
@@ -332,3 +340,10 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return docs.where("node is not null").join(classes, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")) \
         .union(docs.where("node is null").select("id", "n", "id"))
 
+
+def one_of_each(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` whose id names their class, unchanged: one document of each class. Rows without
+    an id cannot be told apart and stay."""
+    classes = similarity_classes(df, id_col, text_col, rule)
+    later = classes.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    return df.join(later, id_col, "left_anti").select(*df.columns)

@@ -10,8 +10,8 @@
    that hold it; a text's score is the mean weight of its features, mapped to 0..1 by the
    point between the classes at which the expected errors are fewest.
 
-A text is kept unless its score is below 0.5 and its votes do not say good, or its votes say bad
-(posterior under BAD). All counts cover the whole table and merge by addition.
+A text is kept unless its score is below 0.5 and its votes do not say good, its votes say bad (posterior
+under BAD), or the labeller of insults does. All counts cover the whole table and merge by addition.
 
 Null and empty texts vote bad by length, have no features and score 0. Repeated rows get a result each;
 texts are read whole.
@@ -36,7 +36,7 @@ GOOD_VOTES, BAD_VOTES = (0.01, 0.3, 0.69), (0.25, 0.3, 0.45)
 PIECE = 1 << 20
 #: Insults that count against a text (two of them or more).
 INSULTS = frozenset(b"""idiot idiots moron morons stupid scum trash worthless disgusting pathetic loser losers imbecile vermin
-filth dumb jerk creep garbage hideous""".split())
+filth dumb jerk creep garbage hideous clown""".split())
 
 LABELLERS = ("length", "symbols", "marked_words", "bare_words", "capitals", "capital_words", "repeats", "distinct_words",
              "doubled_words", "sentences", "rows", "word_length", "insults", "insult_share")
@@ -246,7 +246,8 @@ def classify(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
         v, p = votes(texts), _posteriors(texts, m)
         raw = raw_scores(texts, m["weights"])
         score = np.where([bool(t) for t in texts], 1 / (1 + np.exp(-4 * (raw - m["middle"]))), 0.0)
-        kept = (p >= BAD) & ((score >= 0.5) | (p >= 0.5)) & np.array([bool(t and t.strip()) for t in texts], bool)
+        rude = v[:, LABELLERS.index("insults")] == -1
+        kept = ~rude & (p >= BAD) & ((score >= 0.5) | (p >= 0.5)) & np.array([bool(t and t.strip()) for t in texts], bool)
         return {"id": ids, "votes": pa.array(v.tolist(), pa.list_(pa.int8())), "posterior": pa.array(p, pa.float64()),
                 "score": pa.array(score, pa.float64()), "kept": pa.array(kept, pa.bool_())}
 
