@@ -13,7 +13,7 @@ share one: a run is the longest row of consecutive windows with one anchor.
    that repeat within a document are found there.
 
 Words are the runs of other bytes than x20 and x09 to x0D. Null and empty texts have no words. A null
-document id counts as no earlier document. Rows that share an id do not count as earlier than each
+document id counts as no earlier document, and such a document loses only what it repeats itself. Rows that share an id do not count as earlier than each
 other; each keeps its own result. Texts of any length are worked on whole, one at a time if long.
 """
 
@@ -77,6 +77,18 @@ class Piece:
             return np.arange(len(h))
         return np.sort(np.unique(h, return_index=True)[1])
 
+    def windows_of(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The windows that ``distinct`` leaves of each run, one run after another, and their number."""
+        sizes = self.length[runs].copy()
+        at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.first[runs], sizes)
+        if (long := np.flatnonzero(sizes > WINDOW - GRAM + 1)).size:
+            parts = np.split(at, np.cumsum(sizes)[:-1])
+            for i in long.tolist():
+                parts[i] = self.first[runs[i]] + self.distinct(runs[i])
+                sizes[i] = len(parts[i])
+            at = np.concatenate(parts)
+        return self.hash[at], sizes
+
     def repeats_inside(self) -> np.ndarray:
         """Windows that equal an earlier window of the same text."""
         with np.errstate(over="ignore"):
@@ -128,34 +140,49 @@ def _candidates(source: DataFrame, bitmap: np.ndarray, bits: int, hashed: bool)
     def run(ids: pa.Array, texts: list) -> dict:
         p = Piece(texts)
         maybe = np.flatnonzero(sketch.maybe_twice(held.value, p.anchor, bits))
-        keys = p.run_keys().view(np.int64)
-        run_base = np.searchsorted(p.doc, np.arange(len(texts)))
-        runs: list[list] = [[] for _ in texts]
-        for r in maybe.tolist():
-            d, s = p.doc[r], p.first[r]
-            runs[d].append((r - run_base[d], p.anchor[r].astype(np.int64), keys[r], p.hash[s + p.distinct(r)].astype("<u8").tobytes()))
+        each = np.bincount(p.doc[maybe], minlength=len(texts)).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(each)]).astype(np.int32)
+        windows, sizes = p.windows_of(maybe)
+        runs = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([
+            pa.array((maybe - np.searchsorted(p.doc, p.doc[maybe])).astype(np.int32)), as_long(p.anchor[maybe]), as_long(p.run_keys()[maybe]),
+            pa.Array.from_buffers(pa.binary(), len(maybe), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(8 * sizes)]).astype(np.int32).tobytes()),
+                                                            pa.py_buffer(windows.astype("<u8").tobytes())])], fields=list(_RUN)))
         done = list(p.kept(p.repeats_inside()))
-        open_ = [bool(x) for x in runs]
+        open_ = (each > 0).tolist()
         return {
             "id": ids, "n_words": pa.array([x[0] for x in done], pa.int64()), "n_removed": pa.array([x[1] for x in done], pa.int64()),
             "kept": _kept([None if o else x[2] for o, x in zip(open_, done, strict=True)], hashed),
             "text": pa.array([t if o else None for o, t in zip(open_, texts, strict=True)], pa.binary()),
-            "runs": pa.array([[dict(zip(("no", "anchor", "key", "windows"), x, strict=True)) for x in r] for r in runs], pa.list_(_RUN)),
+            "runs": runs,
         }
 
     kind = source.schema["id"].dataType.simpleString()
     return arrow_rows(source, run, f"id {kind}, n_words long, n_removed long, kept binary, text binary, runs array<{RUN}>", PIECE)
 
 
-def _earlier(held: DataFrame) -> DataFrame:
+def _earlier(held: DataFrame, bits: int) -> DataFrame:
     """Per row ``rid``: ``gone``, the runs that stand in an earlier document as a whole (``part`` null)
     or in the windows numbered in ``part``."""
     runs = held.where(F.size("runs") > 0).select("rid", "id", F.explode("runs").alias("run")) \
         .select("rid", "id", "run.no", "run.anchor", "run.key", "run.windows")
-    kinds = materialize(runs.groupBy("anchor", "key").agg(F.min("id").alias("first"), F.max("id").alias("last"),
-                                                          F.first("windows").alias("windows")))
+    kinds = materialize(runs.groupBy("anchor", "key").agg(F.min("id").alias("first"), F.max("id").alias("last")))
     several = kinds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    edges = kinds.join(several, "anchor", "left_semi")
+    edges = kinds.join(several, "anchor", "left_semi").select("anchor", "key", "first")
+
+    # Windows are needed of one run for each kind of these anchors only: a sketch rules most others out.
+    def anchors_of(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            yield batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+
+    bitmap = held.sparkSession.sparkContext.broadcast(sketch.seen_twice(kinds.select("anchor"), anchors_of, bits))
+
+    def at_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(sketch.maybe_twice(bitmap.value, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits)))
+
+    kind = held.schema["id"].dataType.simpleString()
+    near = runs.select("anchor", "key", F.col("id").alias("first"), "windows").mapInArrow(at_edges, f"anchor long, key long, first {kind}, windows binary")
+    edges = near.join(edges, ["anchor", "key", "first"], "left_semi").dropDuplicates(["anchor", "key"])
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,7 +196,6 @@ def _earlier(held: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(no.astype(np.int32)), as_long(windows)],
                                              names=["anchor", "key", "first", "no", "window"])
 
-    kind = held.schema["id"].dataType.simpleString()
     windows = edges.select("anchor", "key", "first", "windows").mapInArrow(
         unpacked, f"anchor long, key long, first {kind}, no int, window long")
     oldest = windows.groupBy("window").agg(F.min("first").alias("oldest"), F.max("first").alias("newest")).where("oldest < newest")
@@ -218,7 +244,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = _candidates(source, sketch.seen_twice(source, anchors, bits), bits, hashed)
     held = materialize(found.withColumn("rid", F.monotonically_increasing_id()))
     kind = source.schema["id"].dataType.simpleString()
-    opened = held.where("text is not null").select("rid", "id", "text").join(_earlier(held), "rid", "left")
+    opened = held.where("text is not null").select("rid", "id", "text").join(_earlier(held, bits), "rid", "left")
     closed = held.where("text is null").select("id", "n_words", "n_removed", "kept")
     kept = F.col("kept").cast("string").alias("kept_sha256" if hashed else "kept")
     return closed.unionByName(_finish(opened, kind, hashed)).select(F.col("id").alias(id_col), "n_words", "n_removed", kept)
