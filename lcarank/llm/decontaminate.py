@@ -23,9 +23,11 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lcarank.llm.common import arrow_rows, chunks, id_and_text, mix
 
@@ -209,18 +211,27 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
         every = every.unionByName(x)
     # Rows alike in id and text have alike results: count them once and give each its own again.
     merged = every.groupBy("id", "mark").agg(
-        F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_set("hit"))).alias("hit"),
+        F.first("n_words").alias("n_words"), F.flatten(F.collect_set("hit")).alias("hit"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
         (F.count("*") / len(found)).cast("int").alias("copies"))
-    joined = F.aggregate(
-        "hit", F.lit(None).cast("array<struct<start:int,end:int>>"),
-        lambda done, x: F.when(done.isNull(), F.array(x))
-        .when(F.element_at(done, -1)["end"] >= x["start"], F.concat(
-            F.slice(done, 1, F.size(done) - 1),
-            F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end")))))
-        .otherwise(F.concat(done, F.array(x))))
-    return merged.select(F.col("id").alias(id_col), "n_words", F.coalesce(joined, F.expr("array()").cast("array<struct<start:int,end:int>>")).alias("hit"),
-                         "items", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
+    return merged.select(F.col("id").alias(id_col), "n_words", _joined("hit").alias("hit"), "items",
+                         F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
+def _joined(hits: pd.Series) -> pd.Series:
+    """Overlapping intervals of different blocks as one."""
+
+    def one(spans):
+        out: list[dict] = []
+        for s in sorted(spans, key=lambda x: x["start"]):
+            if out and s["start"] <= out[-1]["end"]:
+                out[-1]["end"] = max(out[-1]["end"], s["end"])
+            else:
+                out.append({"start": s["start"], "end": s["end"]})
+        return out
+
+    return hits.map(one)
 
 
 def longest_matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -253,8 +264,6 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", i
 
         @F.pandas_udf("boolean")
         def clean(texts, held=held):
-            import pandas as pd
-
             at, out = 0, np.ones(len(texts), bool)
             raw = pa.array([None if t is None else bytes(t) for t in texts], pa.binary())
             for ids, some in chunks([pa.RecordBatch.from_arrays([pa.array(np.arange(len(raw))), raw], names=["id", "text"])], PIECE):

@@ -30,7 +30,7 @@ from lcarank.llm.common import arrow_rows, chunks, hash_spans, id_and_text, mix,
 from lcarank.llm.quality_rules import repeat_words
 
 FEATURE_BITS, HISTOGRAM, BAD = 18, 400, 0.2
-EM_ROUNDS, PRIOR = 100, 1.0
+EM_ROUNDS, PRIOR = 100, 0.3
 #: Usual shares of the votes -1, 0, 1 in good and in bad texts.
 GOOD_VOTES, BAD_VOTES = (0.01, 0.3, 0.69), (0.25, 0.3, 0.45)
 PIECE = 1 << 20

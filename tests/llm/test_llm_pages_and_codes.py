@@ -1,0 +1,230 @@
+"""Pages, archives, personal data, BPE and the pipeline."""
+
+import gzip
+import hashlib
+import json
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from lcarank.llm import bpe, html_extract, pii, warc
+from lcarank.llm.common import hashed_words, window_hashes
+
+BPE = public_tokenizers.path("byte_bpe_50k.json")
+
+# --- shared helpers
+
+
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=" \t\n\x0b\x0cab\xa0é日", max_size=30)), max_size=6))
+@settings(max_examples=80, deadline=None)
+def test_word_hashes_follow_words(texts):
+    raw = [t if t is None else t.encode() for t in texts]
+    hashes, counts = hashed_words(raw)
+    words = [w for t in texts for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+    assert counts.sum() == len(words) == len(hashes)
+    assert len({*zip(words, hashes.tolist(), strict=True)}) == len(set(words)) == len(set(hashes.tolist()))
+
+
+def test_window_hashes_follow_windows():
+    x = np.array([1, 2, 3, 1, 2, 3, 4, 1, 2], np.uint64)
+    for k in range(1, 10):
+        seen = {tuple(x[i:i + k].tolist()): h for i, h in enumerate(window_hashes(x, k).tolist())}
+        assert len(window_hashes(x, k)) == len(x) - k + 1
+        assert all(seen[tuple(x[i:i + k].tolist())] == h for i, h in enumerate(window_hashes(x, k).tolist()))
+        assert len(set(seen.values())) == len(seen)
+
+
+# --- personal data
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def _base(t):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    for m in EMAIL.finditer(t):
+        yield "email", m.start(), m.end()
+    for m in IP.finditer(t):
+        if all(int(p) <= 255 for p in m.group().split(".")):
+            yield "ip", m.start(), m.end()
+    for m in CARD.finditer(t):
+        d = digits(m.group())
+        if 12 <= len(d) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0:
+            yield "card", m.start(), m.end()
+    for m in PHONE.finditer(t):
+        if 9 <= len(digits(m.group())) <= 15:
+            yield "phone", m.start(), m.end()
+
+
+@given(st.text(alphabet="a.@-+ 0123459%é()\n", max_size=60))
+@settings(max_examples=400, deadline=None)
+def test_base_spans_equal_plain_patterns(text):
+    want = sorted(_base(text), key=lambda x: (x[1], pii.KINDS.index(x[0]), x[2]))
+    assert [x[:3] for x in pii.find_spans(text) if x[0] in pii.BASE_KINDS] == want
+
+
+def test_method_spans_need_checksum_or_context():
+    kinds = lambda t: [x[0] for x in pii.find_spans(t)]
+    assert kinds("IBAN DE89 3704 0044 0532 0130 00.") == ["iban"] and kinds("IBAN DE88 3704 0044 0532 0130 00.") == []
+    assert kinds("please call 212-555-0187 today") == ["phone_local"] and kinds("part 212-555-0187 in stock") == []
+    near, far = pii.find_spans("card 4111 1111 1111 1111")[0], pii.find_spans("4111 1111 1111 1111")[0]
+    assert near[0] == far[0] == "card" and near[3] > far[3]
+
+
+def test_pii_rows_and_redaction(spark):
+    rows = [(1, "mail a.b@c.de or 10.0.0.1, é +1 (555) 010-9999", "x"), (2, None, "y"), (2, None, "y"), (3, "", None), (None, "no data " * 5000 + "z@y.xx", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    got = pii.digest(df).collect()
+    assert Counter((r["doc_id"], r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) for r in got) == Counter(
+        [(1, 1, 1, 0, 1), (2, 0, 0, 0, 0), (2, 0, 0, 0, 0), (3, 0, 0, 0, 0), (None, 1, 0, 0, 0)])
+    text = ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(_base(rows[0][1]), key=lambda x: x[1]))
+    assert {r["base_sha256"]: r["spans"] for r in got if r["doc_id"] == 1} == {hashlib.sha256(text.encode()).hexdigest(): text}
+    masked = pii.redact(df)
+    assert masked.columns == df.columns
+    assert {r["text"] for r in masked.where("doc_id < 4").collect()} == {"mail <email> or <ip>, é <phone>", None, ""}
+
+
+# --- BPE
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return bpe.Encoder(bpe.read_vocabulary(BPE))
+
+
+def test_bpe_equals_the_library(encoder):
+    lib = Tokenizer.from_file(BPE)
+    rng = random.Random(1)
+    parts = ["a", "b", " ", "the", "er", "é", "ß", "1", "'s", "'ll", "\n", "\t", "!!", "##", "日", "ing", "A", "\x1f", "\x85", " ", "՘", "😀", "²", "_", "<|endoftext|>", "ʔ", "й"]
+    texts = ["", "a" * 300, " " * 40, "".join(map(chr, range(1, 0x300)))] + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 60))) for _ in range(1500)]
+    for t in texts:
+        ids = lib.encode(t, add_special_tokens=False).ids
+        coded = encoder.encode(t)
+        assert np.frombuffer(coded, "<u4").tolist() == ids, t
+        assert encoder.decode(coded) == lib.decode(ids, skip_special_tokens=False) == t
+
+
+def test_bpe_long_texts_piece_by_piece(encoder, monkeypatch):
+    t = "Some words, 123 and more\n\n  of them. " * 200
+    whole = encoder.encode(t)
+    monkeypatch.setattr(bpe, "WHOLE", 10)
+    monkeypatch.setattr(bpe, "PIECES", 7)
+    assert encoder.encode(t) == whole and encoder.decode(whole[:4] + np.array([255], "<u4").tobytes())
+
+
+def test_bpe_refuses_other_tokenizers(tmp_path):
+    spec = json.load(open(BPE, encoding="utf-8"))
+    spec["normalizer"] = {"type": "Lowercase"}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec))
+    with pytest.raises(ValueError):
+        bpe.read_vocabulary(str(path))
+
+
+def test_bpe_rows(spark):
+    df = spark.createDataFrame([(1, "hello world", 0), (2, None, 0), (2, None, 0), (None, "", 0)], "doc_id long, text string, ids int")
+    coded = bpe.encode(df, BPE)
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in coded.collect()) == Counter([(1, 2), (2, 0), (2, 0), (None, 0)])
+    assert {r["text"] for r in bpe.decode(coded, BPE).collect()} == {"hello world", ""}
+    assert bpe.digest(df.limit(0), BPE).count() == 0
+
+
+# --- pages
+
+PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style></head><body><header><h1>Site name</h1></header>
+<nav><ul><li><a href="/a">Home</a><li><a href="/b">News</a></ul></nav><div class="cookie-notice"><p>We use cookies, please accept them, all of them.</p></div>
+%s<aside><p>Sidebar text, long enough, with marks. And more.</p></aside><div id="comments"><p>A reader says: nice, very nice, indeed.</p></div>
+<form><p>Name, please. <input></p></form><footer>Copyright, all rights reserved. Really.</footer><script>var a="</p>";</script></body></html>"""
+BODY = """<h2>The  title</h2><p>First &amp; long sentence, with <b>bold<i> text</b> and a <a href=x>link</a>. It goes on&hellip; and on.<p>Short.</p>
+<!-- no <p>comment</p> --><ul><li>one, two</li><li>three</ul><p>Last paragraph, long enough to count, and so on.<br>Next&nbsp;line</p>"""
+WANT = "The title First & long sentence, with bold text and a link. It goes on… and on. Short. one, two three Last paragraph, long enough to count, and so on. Next line"
+
+
+@pytest.mark.parametrize("around", ["<article>%s</article>", "<main>%s</main>", '<div class="story">%s</div>', '<div class="a"><div class="ad">Buy, now.</div>%s</div>'])
+def test_main_text(around):
+    assert html_extract.main_text(PAGE % (around % BODY)) == WANT
+
+
+def test_main_text_of_odd_pages():
+    f = html_extract.main_text
+    assert [f(x) for x in (None, "", "<p>", "just text", "<p a='x>b", "<", "<script>x", "<!-- x")] == ["", "", "", "just text", "b", "<", "", ""]
+    assert f("<p>" + "word, " * 20000) == ("word, " * 20000).strip()
+    assert f("<div>" * 20000 + "deep. text") == "deep. text"
+
+
+def test_extract_rows(spark):
+    df = spark.createDataFrame([(1, "u", "<p>Some é text.</p>", 5), (2, None, None, 5), (2, None, None, 5), (None, "v", "", 5)], "page_id long, url string, html string, n_chars int")
+    got = Counter(map(tuple, html_extract.extract(df).collect()))
+    assert got == Counter([(1, "u", "Some é text.", 12), (2, None, "", 0), (2, None, "", 0), (None, "v", "", 0)])
+
+
+# --- archives
+
+
+def test_archive_round_trip(spark, tmp_path):
+    same, tricky = "<p>same page</p>" * 10, "x\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n" * 5
+    rows = [(5, "u5", same), (3, "u3", same), (9, None, same), (9, None, same), (4, "u 4", tricky), (6, "é", tricky), (7, "a", "short"), (8, "b", "short"), (1, "c", None), (2, "d", ""), (None, "n", same)]
+    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, payload string").repartition(2)
+    sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    first = {same: 3, tricky: 4}
+    want = Counter((i, len((t or "").encode()), sha(t), "response" if t not in first or i == first[t] else "revisit", None if t not in first or i == first[t] else first[t]) for i, _, t in rows)
+    assert Counter(map(tuple, warc.digest(pages).collect())) == want
+    path = str(tmp_path / "archive")
+    warc.write_archives(warc.plan_captures(pages.where("page_id in (3, 5)")), path)
+    records = warc.read_records(spark, path, payloads=True)
+    assert Counter(r["type"] for r in records.collect()) == Counter(request=2, response=1, revisit=1, metadata=2)
+    assert {bytes(r["payload"]) for r in records.where("type = 'response'").collect()} == {same.encode()}
+    captures = {r["page"]: r for r in warc.assemble(records).collect()}
+    assert captures[5]["original"]["page"] == 3 and captures[5]["request"]["target"] == "u5" and captures[3]["original"] is None
+    assert warc.digest(pages.limit(0)).count() == 0
+
+
+def test_archives_of_any_framing(monkeypatch):
+    monkeypatch.setattr(warc, "CHUNK_BYTES", 64)
+    records = [x + warc.END for i in range(5) for x in warc.capture_records(i, f"http://h/{i}", b"ab\r\n\r\n" * 40 * i, 240 * i, "d", None)]
+    for raw in (b"".join(records), gzip.compress(b"".join(records)), b"".join(map(gzip.compress, records))):
+        found = list(warc.parse_archive(raw))
+        assert len(found) == 15 and [len(b.partition(warc.END)[2]) for f, b in found if f["warc-type"] == "response"] == [240 * i for i in range(5)]
+    for broken in (records[0][:20], records[1][:-40], b"HTTP/1.1 200 OK\r\n\r\n"):
+        with pytest.raises(ValueError):
+            list(warc.parse_archive(broken))
+
+
+# --- pipeline
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(11)
+    prose = lambda n: " ".join(f"w{rng.zipf(1.4) % 300}{'.' if rng.random() < 0.1 else ''}" for _ in range(n))
+    item, base = prose(20), prose(100)
+    rows = [(i, prose(100)) for i in range(30)] + [(40, base), (41, base + " end"), (42, base), (50, f"{prose(50)} {item} {prose(20)}"), (51, "few words"), (52, None),
+                                                   (53, prose(80) + " mail me@host.org now"), (54, "again and again " * 50)]
+    spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        if k < 4:
+            assert out.schema.simpleString() == docs.schema.simpleString()
+        out.write.parquet(f"{tmp_path}/out{k}")
+        docs = spark.read.parquet(f"{tmp_path}/out{k}")
+        kept.append({r["doc_id"] for r in docs.select("doc_id").collect()})
+    assert not kept[0] & {51, 52, 54} and len(kept[0] & set(range(30))) >= 28
+    assert kept[0] - kept[1] == {41, 42} and kept[1] - kept[2] == {50} and kept[2] == kept[3] == kept[4]
+    masked = spark.read.parquet(f"{tmp_path}/out3").where("doc_id = 53").first()
+    assert "mail <email> now" in masked["text"] and masked["n_chars"] == len(masked["text"])
+    e = bpe.Encoder(bpe.read_vocabulary(BPE))
+    assert all(bytes(r["ids"]) == e.encode(r["text"]) for r in docs.join(spark.read.parquet(f"{tmp_path}/out3").select("doc_id", "text"), "doc_id").collect())
+    assert docs.where(F.col("n_tokens") != F.length("ids") / 4).count() == 0
