@@ -276,7 +276,7 @@ def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``label`` (the same in a component) of the nodes of the links (a, b). Each round every
     node takes the smallest of its neighbours and itself, and links between the taken ones go on."""
     maps: list[DataFrame] = []
-    while edges.limit(1).count():
+    while not edges.isEmpty():
         ways = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).union(edges.select("b", "a"))
         step = materialize(ways.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("to")))
         maps.append(step)
@@ -330,10 +330,16 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                                   & (F.col("x.label") != F.col("y.label")) & _near("x", "y", rule)) \
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     across = materialize(_sized_up(across, nodes, rule))
-    if across.limit(1).count():
-        more = materialize(_verified(across, nodes, source, rule))
-        if more.limit(1).count():
-            labels = components(links.union(more))
+    if not across.isEmpty():
+        more = _verified(across, nodes, source, rule)
+        found = labels.select(F.col("node").alias("a"), F.col("label").alias("x")), labels.select(F.col("node").alias("b"), F.col("label").alias("y"))
+        between = materialize(more.join(found[0], "a", "left").join(found[1], "b", "left")
+                              .select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).where("a != b").distinct())
+        if not between.isEmpty():  # classes that the new links join, themselves as nodes
+            joined = components(between)
+            known = labels.unionByName(joined.select("node", F.col("node").alias("label")).join(labels, "node", "left_anti"))
+            labels = materialize(known.join(joined.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
+                                 .select("node", F.coalesce("to", "label").alias("label")))
 
     named = nodes.join(labels, "node").groupBy("label").agg(F.min("id").alias("component"))
     classes = nodes.select("node", F.col("id").alias("own")).join(labels.join(named, "label").select("node", "component"), "node", "left") \
