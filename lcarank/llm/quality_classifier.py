@@ -6,9 +6,9 @@
    patterns estimates, for good and bad texts, how often each labeller casts each vote, and the share of
    good texts, from where most votes agree. This gives every pattern its posterior.
 3. A linear scorer over hashed features (words, word endings, letter case and marks) is fitted to the
-   posteriors of all texts: a feature's weight is the log ratio of the shares of good and of bad texts
-   that hold it; a text's score is the mean weight of its features, mapped to 0..1 by the
-   point between the classes at which the expected errors are fewest.
+   posteriors of all texts: a feature's weight is the log ratio of its shares in good and in bad texts (every
+   text counts once); a text's score is the mean weight of its features, mapped to 0..1 by the point
+   between the classes at which the expected errors are fewest.
 
 A text is kept unless its score is below 0.5 and its votes do not say good, its votes say bad (posterior
 under BAD), or the labeller of insults does. All counts cover the whole table and merge by addition.
@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lcarank.llm.common import arrow_rows, chunks, hash_spans, id_and_text, mix, word_spans
-from lcarank.llm.quality_rules import repeat_words
+from lcarank.llm.common import arrow_rows, chunks, hash_spans, id_and_text, mix, window_hashes, word_spans
+from lcarank.session import materialize
 
-FEATURE_BITS, HISTOGRAM, BAD = 18, 400, 0.2
+FEATURE_BITS, BAD = 18, 0.2
 EM_ROUNDS, PRIOR = 100, 0.3
 #: Usual shares of the votes -1, 0, 1 in good and in bad texts.
 GOOD_VOTES, BAD_VOTES = (0.01, 0.3, 0.69), (0.25, 0.3, 0.45)
@@ -43,7 +43,7 @@ LABELLERS = ("length", "symbols", "marked_words", "bare_words", "capitals", "cap
 
 
 def _flags(chars: bytes) -> np.ndarray:
-    out = np.zeros(256, np.int64)
+    out = np.zeros(256, np.uint8)
     out[list(chars)] = 1
     return out
 
@@ -61,53 +61,70 @@ class Texts:
         self.n = len(texts)
         self.buf, self.starts, self.ends, self.counts = word_spans(texts)
         self.doc = np.repeat(np.arange(self.n), self.counts)
-
-    def in_words(self, flags: np.ndarray) -> np.ndarray:
-        """Flagged bytes of each word."""
-        c = np.concatenate([[0], np.cumsum(flags[self.buf])])
-        return c[self.ends] - c[self.starts]
-
-    def per_text(self, x: np.ndarray) -> np.ndarray:
-        return np.bincount(self.doc, weights=x, minlength=self.n)
-
-    def bare(self) -> tuple[np.ndarray, np.ndarray]:
-        """Words in lower case without marks at their ends: hashes."""
         low = self.buf.copy()
         low[(low >= 65) & (low <= 90)] += 32
+        self.words = hash_spans(low, self.starts, self.ends)  # in lower case
         starts, ends = self.starts.copy(), self.ends.copy()
+        left = np.flatnonzero(_EDGE[low[np.maximum(ends - 1, 0)]] | _EDGE[low[starts]])
+        changed = left
         for _ in range(4):
-            ends -= (ends > starts) & _EDGE[low[np.maximum(ends - 1, 0)]]
-            starts += (ends > starts) & _EDGE[low[np.minimum(starts, len(low) - 1)]]
-        return hash_spans(low, starts, ends), hash_spans(low, self.starts, self.ends)
+            ends[left] -= (ends[left] > starts[left]) & _EDGE[low[np.maximum(ends[left] - 1, 0)]]
+            starts[left] += (ends[left] > starts[left]) & _EDGE[low[starts[left]]]
+            left = left[(ends[left] > starts[left]) & (_EDGE[low[np.maximum(ends[left] - 1, 0)]] | _EDGE[low[starts[left]]])]
+        self.bare = self.words.copy()  # without marks at their ends
+        self.bare[changed] = hash_spans(low, starts[changed], ends[changed])
+
+    def in_words(self, *flags: np.ndarray) -> list[np.ndarray]:
+        """Flagged bytes of each word, for up to three kinds of bytes in one sum (21 bits for each)."""
+        lanes = sum(f.astype(np.uint64) << np.uint64(21 * i) for i, f in enumerate(flags))
+        c = np.concatenate([np.zeros(1, np.uint64), np.cumsum(lanes[self.buf])])
+        d = c[self.ends] - c[self.starts]
+        return [(d >> np.uint64(21 * i) & np.uint64((1 << 21) - 1)).astype(np.int64) for i in range(len(flags))]
+
+    def per_text(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.doc, weights=x, minlength=self.n)
+
+    def repeated(self, hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text the number of different hashes, and of hashes that occur twice or more."""
+        key = np.sort(doc.astype(np.uint64) << np.uint64(40) | hashes >> np.uint64(24))
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        alone = new & np.append(new[1:], True)[:len(new)]
+        own = (key >> np.uint64(40)).astype(np.int64)
+        return np.bincount(own[new], minlength=self.n), np.bincount(own[~alone], minlength=self.n)
 
 
 _INSULT_HASHES = np.sort(hash_spans(*(lambda b, s, e, _: (b, s, e))(*word_spans(sorted(INSULTS)))))
 
 
+def _is_insult(hashes: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(_INSULT_HASHES, hashes), len(_INSULT_HASHES) - 1)
+    return _INSULT_HASHES[at] == hashes
+
+
 def votes(texts: list) -> np.ndarray:
     """Texts by labellers: 1 good, -1 bad, 0 nothing."""
-    return _votes(texts, Texts(texts))
+    return _votes(Texts(texts))
 
 
-def _votes(texts: list, t: Texts) -> np.ndarray:
+def _votes(t: Texts) -> np.ndarray:
     n = np.maximum(1, t.counts)
-    letters, upper, lower, symbols = (t.in_words(f) for f in (_LETTER, _UPPER, _LOWER, _SYMBOL))
-    bare, _ = t.bare()
+    letters, upper, lower = t.in_words(_LETTER, _UPPER, _LOWER)
+    symbols, bars = t.in_words(_SYMBOL, _ROW)
     last = t.buf[np.maximum(t.ends - 1, 0)]
-    insults = t.per_text(np.isin(bare, _INSULT_HASHES))
+    insults = t.per_text(_is_insult(t.bare))
     capitals = t.per_text(upper) / np.maximum(1, t.per_text(upper + lower))
     shout = t.per_text((upper > 1) & (lower == 0)) / n
     marked = t.per_text(_MARK[last]) / n
     empty = t.per_text(letters == 0) / n
-    with np.errstate(over="ignore"):
-        own = np.unique(mix(bare + t.doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
-    distinct = np.bincount(t.doc[own], minlength=t.n) / n
-    same = np.zeros(len(bare), bool)
-    same[1:] = (bare[1:] == bare[:-1]) & (t.doc[1:] == t.doc[:-1])
+    distinct = t.repeated(t.bare, t.doc)[0] / n
+    same = np.zeros(len(t.bare), bool)
+    same[1:] = (t.bare[1:] == t.bare[:-1]) & (t.doc[1:] == t.doc[:-1])
     doubled = t.per_text(same) / n
+    whole = np.flatnonzero(t.doc[:-4] == t.doc[4:]) if len(t.doc) > 4 else np.empty(0, np.int64)
+    repeated = t.repeated(window_hashes(t.bare, 5)[whole], t.doc[whole])[1] / n
     stops = t.per_text(_STOP[last]) / n
-    rows = t.per_text(t.in_words(_ROW)) / n
-    repeated = repeat_words(bare, t.counts) / n
+    rows = t.per_text(bars) / n
     mean = t.per_text(t.ends - t.starts) / n
     signs = t.per_text(symbols) / n
     say = lambda good, bad: np.where(bad, -1, np.where(good, 1, 0))
@@ -155,24 +172,18 @@ def fit_labellers(patterns: dict[tuple[int, ...], int]) -> dict:
     return {"good": tables[0], "bad": tables[1], "share": share, "posterior": {tuple(k): float(x) for k, x in zip(keys.tolist(), p, strict=True)}}
 
 
-def features(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """(text, cell) of the distinct hashed features: words in lower case, and the last three bytes of
-    words with whether they are in capitals."""
-    return _features(Texts(texts))
-
-
-def _features(t: Texts) -> tuple[np.ndarray, np.ndarray]:
-    _, words = t.bare()
-    capital = ((t.in_words(_UPPER) > 1) & (t.in_words(_LOWER) == 0)).astype(np.uint64)
+def cells(t: Texts) -> np.ndarray:
+    """Hashed features of the words, two of each: the word in lower case, and its last three bytes with
+    whether it is in capitals."""
+    upper, lower = t.in_words(_UPPER, _LOWER)
+    capital = ((upper > 1) & (lower == 0)).astype(np.uint64)
     tail = hash_spans(t.buf, np.maximum(t.starts, t.ends - 3), t.ends) + (capital << np.uint64(1)) + np.uint64(1)
-    cells = np.concatenate([mix(words), mix(tail)]) >> np.uint64(64 - FEATURE_BITS)
-    key = np.unique(np.concatenate([t.doc, t.doc]) << FEATURE_BITS | cells.astype(np.int64))
-    return key >> FEATURE_BITS, key & ((1 << FEATURE_BITS) - 1)
+    return (np.concatenate([mix(t.words), mix(tail)]) >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
 
 
-def _posteriors(texts: list, model: dict) -> np.ndarray:
+def _posteriors(v: np.ndarray, model: dict) -> np.ndarray:
     known = model["posterior"]
-    return np.array([known.get(tuple(v), model["share"]) for v in votes(texts).tolist()])
+    return np.array([known.get(tuple(x), model["share"]) for x in v.tolist()])
 
 
 def fit(df: DataFrame, text_col: str = "text") -> dict:
@@ -186,17 +197,19 @@ def fit(df: DataFrame, text_col: str = "text") -> dict:
     counted = arrow_rows(source, vote, "votes array<tinyint>", PIECE).groupBy("votes").count()
     patterns = {tuple(r["votes"]): r["count"] for r in counted.collect()}
     if not patterns:
-        return {"posterior": {}, "share": 0.5, "weights": np.zeros(1 << FEATURE_BITS, np.float32), "middle": 0.0, "scale": 1.0}
+        return {"posterior": {}, "share": 0.5, "weights": np.zeros(1 << FEATURE_BITS, np.float32)}
     model = fit_labellers(patterns)
     held = spark.sparkContext.broadcast(model)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, seen = np.zeros((2, 1 << FEATURE_BITS)), False
         for _, texts in chunks(batches, PIECE):
-            p = _posteriors(texts, held.value)
-            doc, cell = features(texts)
+            t = Texts(texts)
+            p, each = _posteriors(_votes(t), held.value), 0.5 / np.maximum(1, t.counts)
+            c = cells(t)
             for i, q in enumerate((p, 1 - p)):
-                sums[i] += np.bincount(cell, weights=q[doc], minlength=1 << FEATURE_BITS)
+                own = (q * each)[t.doc]
+                sums[i] += np.bincount(c, weights=np.concatenate([own, own]), minlength=1 << FEATURE_BITS)
             seen = True
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([sums.astype(np.float32).tobytes()], pa.binary())], names=["sums"])
@@ -204,37 +217,22 @@ def fit(df: DataFrame, text_col: str = "text") -> dict:
     total = np.zeros((2, 1 << FEATURE_BITS))
     for r in source.mapInArrow(count, "sums binary").toLocalIterator():
         total += np.frombuffer(bytes(r["sums"]), np.float32).reshape(2, -1)
-    n = sum(patterns.values())
-    share = (total + 0.5) / (np.array([[model["share"]], [1 - model["share"]]]) * n + 1)
+    share = (total + 1e-2) / (total.sum(axis=1, keepdims=True) + 1e-2 * total.shape[1])
     model["weights"] = np.clip(np.log(share[0]) - np.log(share[1]), -4, 4).astype(np.float32)
-    held = spark.sparkContext.broadcast(model)
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, HISTOGRAM))
-        for _, texts in chunks(batches, PIECE):
-            p = _posteriors(texts, held.value)
-            cell = _cell(raw_scores(texts, held.value["weights"]))
-            for i, q in enumerate((p, 1 - p)):
-                sums[i] += np.bincount(cell, weights=q, minlength=HISTOGRAM)
-        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
-
-    sums = np.zeros((2, HISTOGRAM))
-    for r in source.mapInArrow(spread, "sums binary").toLocalIterator():
-        sums += np.frombuffer(bytes(r["sums"])).reshape(2, -1)
-    errors = np.concatenate([[0], np.cumsum(sums[0])]) + np.concatenate([np.cumsum(sums[1][::-1])[::-1], [0]])
-    best = np.flatnonzero(errors <= errors.min() + 1e-9)
-    model["middle"] = float(best.mean() / HISTOGRAM * 8 - 4)
     return model
 
 
-def _cell(raw: np.ndarray) -> np.ndarray:
-    return np.clip(((raw + 4) / 8 * HISTOGRAM).astype(np.int64), 0, HISTOGRAM - 1)
-
-
-def raw_scores(texts: list, weights: np.ndarray) -> np.ndarray:
-    doc, cell = features(texts)
-    n = np.bincount(doc, minlength=len(texts))
-    return np.bincount(doc, weights=weights[cell], minlength=len(texts)) / np.maximum(1, n)
+def _middle(judged: DataFrame) -> float:
+    """The raw score between the classes with the fewest expected errors, to a step of 0.02."""
+    rows = judged.groupBy(F.round(F.col("raw") / 0.02).cast("int").alias("step")).agg(F.sum("posterior").alias("good"), F.sum(1 - F.col("posterior")).alias("bad")).collect()
+    rows = sorted((r["step"], r["good"], r["bad"]) for r in rows)  # at most 401 steps
+    if not rows:
+        return 0.0
+    good, bad = (np.array([r[i] for r in rows]) for i in (1, 2))
+    errors = np.concatenate([[0], np.cumsum(good)]) + np.concatenate([np.cumsum(bad[::-1])[::-1], [0]])
+    best = np.flatnonzero(errors <= errors.min() + 1e-9)
+    steps = np.array([rows[0][0] - 1, *(r[0] for r in rows), rows[-1][0] + 1])
+    return float((steps[best] + steps[best + 1]).mean() / 2 * 0.02)
 
 
 def classify(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,19 +240,19 @@ def classify(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def run(ids: pa.Array, texts: list) -> dict:
-        m = held.value
-        v, p = votes(texts), _posteriors(texts, m)
-        raw = raw_scores(texts, m["weights"])
-        score = np.where([bool(t) for t in texts], 1 / (1 + np.exp(-4 * (raw - m["middle"]))), 0.0)
-        rude = v[:, LABELLERS.index("insults")] == -1
-        kept = ~rude & (p >= BAD) & ((score >= 0.5) | (p >= 0.5)) & np.array([bool(t and t.strip()) for t in texts], bool)
-        return {"id": ids, "votes": pa.array(v.tolist(), pa.list_(pa.int8())), "posterior": pa.array(p, pa.float64()),
-                "score": pa.array(score, pa.float64()), "kept": pa.array(kept, pa.bool_())}
+        t = Texts(texts)
+        v, w = _votes(t), held.value["weights"][cells(t)]
+        raw = np.bincount(np.concatenate([t.doc, t.doc]), weights=w, minlength=t.n) / np.maximum(1, 2 * t.counts)
+        return {"id": ids, "votes": pa.array(v.tolist(), pa.list_(pa.int8())), "posterior": pa.array(_posteriors(v, held.value), pa.float64()),
+                "raw": pa.array(raw, pa.float64()), "empty": pa.array(t.counts == 0)}
 
     source = id_and_text(df, id_col, text_col)
     kind = source.schema["id"].dataType.simpleString()
-    return arrow_rows(source, run, f"id {kind}, votes array<tinyint>, posterior double, score double, kept boolean", PIECE) \
-        .withColumnRenamed("id", id_col)
+    judged = materialize(arrow_rows(source, run, f"id {kind}, votes array<tinyint>, posterior double, raw double, empty boolean", PIECE))
+    score = F.when(F.col("empty"), 0.0).otherwise(1 / (1 + F.exp(-4 * (F.col("raw") - _middle(judged.where("not empty"))))))
+    rude = F.element_at("votes", LABELLERS.index("insults") + 1) == -1
+    kept = ~F.col("empty") & ~rude & (F.col("posterior") >= BAD) & ((score >= 0.5) | (F.col("posterior") >= 0.5))
+    return judged.select(F.col("id").alias(id_col), "votes", "posterior", score.alias("score"), kept.alias("kept"))
 
 
 def digest(df: DataFrame) -> DataFrame:
