@@ -60,12 +60,6 @@ def company_key(col: Column | str) -> Column:
     return normalize_company(clean_company_name(col))
 
 
-def tokens(col: Column | str) -> Column:
-    """Key -> array of its space-separated tokens ("" -> [])."""
-    c = _c(col)
-    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, " "))
-
-
 def token_sort(col: Column | str) -> Column:
     """Tokens sorted and re-joined with single spaces (input of the order-insensitive score)."""
     return F.array_join(F.array_sort(F.split(_c(col), " ")), " ")

@@ -59,6 +59,3 @@ def match_label(method: Column | str, confidence: Column | str, markdown: bool =
     return F.when(_c(method) == "exact", F.lit("exact company match (verified)")).otherwise(
         F.concat(_c(method), F.lit(" match, confidence "), conf, F.lit(" — " + flag)))
 
-
-def verification_note(method: Column | str) -> Column:
-    return F.when(_c(method) == "exact", F.lit("verified")).otherwise(F.lit("UNVERIFIED — confirm"))

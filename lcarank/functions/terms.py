@@ -1,0 +1,60 @@
+"""Terms of a text, Column -> Column: curated skills and title phrases that it holds as whole tokens.
+
+The skill dictionary is fixed and title phrases are made of fixed words, so finding them takes no
+join: one-word terms are members of the text's set of words, the others are looked for one by one,
+with the pattern only where the plain string occurs.
+"""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from lcarank.constants import MAX_TITLE_MODIFIERS, ROLE_NOUNS, SKILLS, TITLE_MODIFIERS
+from lcarank.functions.text import contains_phrase, words
+
+
+def _strings(values: list[str]) -> Column:
+    return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
+
+
+def _found(low: Column, names: dict[str, str]) -> Column:
+    """Distinct ``names[v]`` of the strings v that ``low`` holds as whole tokens."""
+    single = {v: c for v, c in names.items() if re.fullmatch("[a-z0-9]+", v)}
+    other = [(v, c) for v, c in names.items() if v not in single]
+    by_word = F.create_map(*(F.lit(x) for pair in single.items() for x in pair))
+    one = F.transform(F.array_intersect(words(low), _strings(list(single))), lambda w: by_word[w])
+    more = F.filter(F.array(*(F.when(low.contains(v) & contains_phrase(low, F.lit(v)), F.lit(c)) for v, c in other)), lambda c: c.isNotNull())
+    return F.array_distinct(F.concat(one, more))
+
+
+def skills_in(low: Column) -> Column:
+    """Canonical skills with a variant in a lower-case text."""
+    return _found(low, {v: c for c, vs in SKILLS.items() for v in vs})
+
+
+def title_windows(low: Column) -> Column:
+    """Distinct phrases of one to three modifiers and a role noun that stand in a lower-case text word by
+    word with single spaces: whatever title phrase a vocabulary may hold."""
+    found = F.regexp_extract_all(low, F.lit("[a-z]+"), 0)
+    depth = range(1, MAX_TITLE_MODIFIERS + 1)
+    before = [F.concat(F.array_repeat(F.lit(""), k), found).alias(f"p{k}") for k in depth]
+    zipped = F.arrays_zip(found.alias("t"), *before)
+    mods, roles = _strings(TITLE_MODIFIERS), _strings(ROLE_NOUNS)
+
+    def phrases(e: Column) -> Column:
+        out, ok = [], F.array_contains(roles, e["t"])
+        for k in depth:
+            ok = ok & F.array_contains(mods, e[f"p{k}"])
+            out.append(F.when(ok, F.concat_ws(" ", *(e[f"p{j}"] for j in range(k, 0, -1)), e["t"])))
+        return F.array(*out)
+
+    every = F.array_distinct(F.flatten(F.transform(F.filter(zipped, lambda e: F.array_contains(roles, e["t"])), phrases)))
+    return F.filter(every, lambda p: p.isNotNull() & contains_phrase(low, p))
+
+
+def posting_terms(low: Column) -> Column:
+    """Canonical skills and title phrases in a posting's lower-case text."""
+    return F.concat(_found(low, {c: c for c in SKILLS}), title_windows(low))

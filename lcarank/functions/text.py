@@ -37,12 +37,6 @@ def contains_phrase(text: Column | str, phrase: Column | str) -> Column:
     return F.regexp_like(_c(text), phrase_pattern(phrase))
 
 
-def first_word(phrase: Column | str) -> Column:
-    """First [a-z0-9] run of a phrase: any whole-token hit of the phrase puts this run in the
-    text as a complete token, so it is a lossless join key for candidate generation."""
-    return F.regexp_extract(_c(phrase), "[a-z0-9]+", 0)
-
-
 def words(text: Column | str) -> Column:
     """Distinct [a-z0-9] runs of a (lowercased) text."""
     return F.array_distinct(F.regexp_extract_all(_c(text), F.lit("[a-z0-9]+"), 0))
@@ -67,9 +61,10 @@ def _unescape(s: pd.Series) -> pd.Series:
 
 
 def html_unescape(col: Column | str) -> Column:
-    """HTML entity decoding (full HTML5 entity table); only rows holding '&' cross to Python."""
+    """HTML entity decoding (full HTML5 entity table). The UDF sees null for texts without '&', so plain
+    texts do not travel to Python."""
     c = _c(col)
-    return F.when(c.contains("&"), _unescape(c)).otherwise(c)
+    return F.coalesce(_unescape(F.when(c.contains("&"), c)), c)
 
 
 def _lit_array(values: list[str]) -> Column:

@@ -50,18 +50,22 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when unset (tests) create one."""
+    """The cluster's shared folder: what the context was given, else ``spark.checkpoint.dir``. A local
+    master without either gets a temporary folder (tests); on a cluster executors would each write to
+    their own disk, so that is an error."""
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(configured)
-        return configured
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lcarank-ckpt-"))
+        configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not configured and not _is_local(sc.master):
+            raise RuntimeError(f"master {sc.master}: set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="lcarank-ckpt-"))
     return sc.getCheckpointDir()
 
 
+def _is_local(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a parquet table under the session's shared checkpoint directory and read it
     back. Cuts lineage like ``checkpoint()`` (a lost executor does not send the plan back to the

@@ -68,14 +68,12 @@ def ingest(raw: DataFrame) -> DataFrame:
 def dedupe(postings: DataFrame) -> DataFrame:
     """First posting per id in fetch order wins; blank ids are never de-duplicated.
 
-    Done as an aggregate (min_by over fetch_ord) rather than a window, so a heavily repeated id
-    is combined map-side; blank ids bypass the shuffle entirely."""
-    cols = [c for c in postings.columns if c != "posting_id"]
+    The first fetch_ord per id is a hash aggregate of two short columns, combined map-side, and the
+    postings meet it in a semi-join, which splits a hot id; blank ids bypass the shuffle."""
     keyed = postings.filter(F.col("posting_id") != "")
-    first = keyed.groupBy("posting_id").agg(
-        F.min_by(F.struct(*cols), F.col("fetch_ord")).alias("_r")).select("posting_id", "_r.*")
+    first = keyed.groupBy("posting_id").agg(F.min("fetch_ord").alias("fetch_ord"))
     blanks = postings.filter(F.col("posting_id") == "")
-    return first.unionByName(blanks)
+    return keyed.join(first, ["posting_id", "fetch_ord"], "left_semi").select(*postings.columns).unionByName(blanks)
 
 
 def recent(postings: DataFrame, as_of: dt.date | str, max_days: int = MAX_DAYS_OLD) -> DataFrame:

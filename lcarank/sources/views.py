@@ -28,16 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer partitions than the cluster has cores (a single
-    row-group file) so the per-row regex work that follows uses every core. On large inputs the
-    scan already has more splits than cores and this is a no-op."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
 def _pick(key: Column, values: list[Column]) -> Column:
     """CASE key WHEN 0 THEN values[0] ... (last value is the ELSE branch)."""
     expr = values[-1]
@@ -48,8 +38,8 @@ def _pick(key: Column, values: list[Column]) -> Column:
 
 def lca_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source_file, row_ord, employer_name, case_status — one row per filing."""
-    li = spread(table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_returnflag", "l_linestatus"))
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_returnflag", "l_linestatus")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     j = li.join(part, li.l_partkey == part.p_partkey)
     base = F.concat(F.col("p_name"), F.lit(" "), F.col("p_type"))
@@ -76,10 +66,11 @@ def lca_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The posting feed as fetched (flattened JSON fields, before ingest cleaning)."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     ev = table(spark, sf_dir, "events").select("event_id", "ts")
-    j = docs.join(part, part.p_partkey == docs.doc_id).join(ev, ev.event_id == docs.doc_id)
+    # part and events are lookups: a document without a partner stays, with empty fields
+    j = docs.join(part, part.p_partkey == docs.doc_id, "left").join(ev, ev.event_id == docs.doc_id, "left")
     d = F.col("doc_id")
     name, ptype = F.col("p_name"), F.col("p_type")
     base = F.concat(name, F.lit(" "), ptype)
@@ -109,7 +100,7 @@ def raw_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """resume_id, text — every document becomes one resume (contact header + role line + text)."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     d = F.col("doc_id")
     return docs.select(
         d.alias("resume_id"),

@@ -8,28 +8,39 @@ import pytest
 from pyspark.sql import functions as F
 
 from lcarank.operators.allowlist import build_allowlist
-from lcarank.sources.filings import (canonical_header, detect_columns, fiscal_year, read_filings,
-                                     resolve_column)
+from lcarank.sources.filings import canonical, fiscal_year, header_map, header_rows, read_filings
 
 
-@pytest.mark.parametrize("cell,canon", [
-    ("EMPLOYER_NAME", "employer_name"), (" Case Status ", "case_status"),
-    ("LCA_CASE_EMPLOYER_NAME", "lca_case_employer_name"), ("__x--Y__", "x_y"), (None, ""),
-])
-def test_canonical_header(cell, canon):
-    assert canonical_header(cell) == canon
-
-
-def test_resolution_rules():
-    assert resolve_column(["STATUS", "LCA_CASE_EMPLOYER_NAME"], "employer_name",
-                          ["employer_name", "employer"]) == 1
-    # hint order first, then leftmost: employer_city wins when no employer_name exists
-    assert resolve_column(["employer_city", "employer", "status"], "employer_name",
-                          ["employer_name", "employer"]) == 0
-    assert resolve_column(["employer_city", "EMPLOYER NAME"], "employer_name",
-                          ["employer_name", "employer"]) == 1
-    with pytest.raises(ValueError, match="actual headers"):
-        detect_columns(["foo", "bar"])
+def test_canonical_header(spark):
+    cells = ["EMPLOYER_NAME", " Case Status ", "LCA_CASE_EMPLOYER_NAME", "__x--Y__", None]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string").orderBy("i")
+    assert [r[0] for r in df.select(canonical(F.col("c"))).collect()] == ["employer_name", "case_status", "lca_case_employer_name", "x_y", ""]
+
+
+def test_columns_by_name_then_place(spark):
+    files = [("a", ["STATUS", "LCA_CASE_EMPLOYER_NAME"]), ("b", ["employer_city", "employer", "status"]),
+             ("c", ["employer_city", "EMPLOYER NAME", "x status", "Case-Status"]), ("d", ["foo", "bar"])]
+    got = {r["source_file"]: (r["employer"], r["status"]) for r in header_map(header_rows(spark, files)).collect()}
+    assert got == {"a": (1, 0), "b": (0, 2), "c": (1, 3), "d": (None, None)}
+
+
+def test_csv_rows_keep_file_order_and_may_be_short(spark, tmp_path):
+    d = tmp_path / "LCA_FY2022.csv"
+    d.mkdir()
+    (d / "part-00000-x-c000.csv").write_text("EMPLOYER_NAME,CASE_STATUS\nAcme LLC,Certified\n")
+    (d / "part-00001-x-c000.csv").write_text("EMPLOYER_NAME,CASE_STATUS\n" + "ACME INC,Certified\n" * 50 + "Short\n")
+    (tmp_path / "LCA_FY2023.csv").write_text("Employer,Status,More\nGlobex,Certified\n\"A, B\",Denied,x\n")
+    (tmp_path / "empty_FY2024.csv").write_text("")
+    rows = read_filings(spark, str(tmp_path), "csv")
+    assert rows.count() == 54 and rows.where("case_status is null").count() == 1
+    first = build_allowlist(rows).where("norm_name = 'acme'").first()
+    assert first["raw_name"] == "Acme LLC" and first["filings"] == 51
+
+
+def test_files_without_the_columns_are_refused(spark, tmp_path):
+    pd.DataFrame({"foo": [1]}).to_parquet(tmp_path / "LCA_FY2020.parquet")
+    with pytest.raises(ValueError, match="foo"):
+        read_filings(spark, str(tmp_path))
 
 
 @pytest.mark.parametrize("name,year", [
