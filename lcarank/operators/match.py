@@ -96,9 +96,9 @@ def match_names(raw_names: DataFrame, allow: DataFrame, threshold: float = FUZZY
                 .unionByName(open_names.select("company_raw", "v0", F.lit(1).alias("variant"),
                                                despaced_variant(F.col("v0")).alias("v"))
                              .filter(F.col("v").isNotNull())))
-    decided = decide(variants.select("v").distinct(), allow, threshold)
-    joined = (variants.join(decided, "v", "left")
-              .join(allow.select("norm_name", "filings"), "norm_name", "left"))
+    # filings are joined to the decided names only: undecided ones would all meet at the null key
+    decided = decide(variants.select("v").distinct(), allow, threshold).join(allow.select("norm_name", "filings"), "norm_name")
+    joined = variants.join(decided, "v", "left")
     order = F.struct(method_rank(F.coalesce(F.col("method"), F.lit("none"))).alias("rk"),
                      F.coalesce(F.col("confidence"), F.lit(0.0)).alias("c"),
                      F.coalesce(F.col("filings"), F.lit(-1)).alias("f"),
@@ -117,10 +117,11 @@ def match_postings(postings: DataFrame, allow: DataFrame, threshold: float = FUZ
     """Postings with their sponsor: adds norm_used, emp_key (matched key), raw_name, filings,
     latest_year, confidence, method. Unmatched postings are dropped unless ``keep_unmatched``."""
     decisions = match_names(postings.select("company_raw"), allow, threshold)
-    sponsor = allow.select(F.col("norm_name").alias("emp_key"), "raw_name", "filings", "latest_year")
-    out = (postings.join(decisions, "company_raw")
-           .withColumnRenamed("norm_name", "emp_key")
-           .join(sponsor, "emp_key", "left"))
-    if not keep_unmatched:
-        out = out.filter(F.col("method") != "none")
-    return out
+    sponsor = allow.select("norm_name", "raw_name", "filings", "latest_year")
+    # sponsors meet the names, one row per company, and not the postings; names without one bypass the join
+    known = decisions.filter(F.col("norm_name").isNotNull()).join(sponsor, "norm_name")
+    if keep_unmatched:
+        known = known.unionByName(decisions.filter(F.col("norm_name").isNull()), allowMissingColumns=True)
+    else:
+        known = known.filter(F.col("method") != "none")
+    return postings.join(known.withColumnRenamed("norm_name", "emp_key"), "company_raw")

@@ -28,17 +28,30 @@ from lcarank.functions.lcs import lcs_udf
 from lcarank.functions.names import token_sort
 
 
-def _int_threshold(threshold: float) -> int:
-    t = int(round(threshold))
-    if t != threshold:
-        raise ValueError(f"threshold must be a whole number, got {threshold}")
+#: Thresholds are taken in thousandths of a point, so that all bounds are whole-number arithmetic.
+SCALE = 1000
+
+
+def _scaled(threshold: float) -> int:
+    t = int(round(threshold * SCALE))
+    if abs(t - threshold * SCALE) > 1e-6 or t <= 0:
+        raise ValueError(f"threshold must be above 0 with at most three decimals (at 0 all pairs qualify), got {threshold}")
     return t
 
 
+def _longest(t: int, length):
+    """Largest length of a partner of a string of this length."""
+    return F.floor(length * F.lit(200 * SCALE - t).cast("bigint") / F.lit(t))
+
+
+def _tau(t: int, total):
+    """Largest admissible distance of two strings with this sum of lengths."""
+    return F.floor(F.lit(100 * SCALE - t).cast("bigint") * total / F.lit(100 * SCALE)).cast("int")
+
+
 def _tau_max(t: int, length):
     """Largest admissible distance for a key of this length over all admissible partners."""
-    longest = F.floor(length * F.lit(200 - t) / F.lit(t))
-    return F.floor(F.lit(100 - t) * (length + longest) / F.lit(100)).cast("int")
+    return _tau(t, length + _longest(t, length))
 
 
 def _segments(t: int, length, k):
@@ -55,7 +68,7 @@ def _segments(t: int, length, k):
 
 def candidate_pairs(names: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
     """names(v), keys(norm_name) -> distinct (v, s, norm_name, r) pairs that may qualify."""
-    t = _int_threshold(threshold)
+    t = _scaled(threshold)
     ns = names.select("v", token_sort("v").alias("s")).withColumn("m", F.length("s"))
     ks = keys.select("norm_name", token_sort("norm_name").alias("r")).withColumn("l", F.length("r"))
     ks = ks.withColumn("k", _tau_max(t, F.col("l")) + 1)
@@ -67,13 +80,13 @@ def candidate_pairs(names: DataFrame, keys: DataFrame, threshold: float) -> Data
                         F.expr("substring(r, g.start + 1, g.len)").alias("seg")))
 
     # name side: admissible key lengths, then every segment's shifted substrings
-    lo = F.ceil(F.col("m") * F.lit(t) / F.lit(200 - t)).cast("int")
-    hi = F.floor(F.col("m") * F.lit(200 - t) / F.lit(t)).cast("int")
+    lo = F.ceil(F.col("m") * F.lit(t).cast("bigint") / F.lit(200 * SCALE - t).cast("bigint")).cast("int")
+    hi = _longest(t, F.col("m")).cast("int")
     per_len = (ns.filter(F.col("m") > 0)
                .select("v", "s", "m", F.explode(F.sequence(F.greatest(lo, F.lit(1)), hi)).alias("l"))
                .withColumn("k", _tau_max(t, F.col("l")) + 1)
                .filter(F.col("k") <= F.col("l"))
-               .withColumn("tau", F.floor(F.lit(100 - t) * (F.col("m") + F.col("l")) / F.lit(100)).cast("int"))
+               .withColumn("tau", _tau(t, F.col("m") + F.col("l")))
                .withColumn("delta_n", (F.col("m") - F.col("l")).cast("int")))
     per_seg = per_len.select("v", "s", "m", "l", "tau", "delta_n",
                              F.explode(_segments(t, F.col("l"), F.col("k"))).alias("g"))
@@ -89,23 +102,29 @@ def candidate_pairs(names: DataFrame, keys: DataFrame, threshold: float) -> Data
                .select("v", "s", "norm_name", "r"))
 
     pairs = blocked
-    if t <= 66:
+    if t <= 66 * SCALE + 999:
         # keys too short to cut into tau + 1 segments: pair by a shared character
         short = ks.filter(F.col("k") > F.col("l"))
         kc = short.select("norm_name", "r", F.explode(F.array_distinct(F.split("r", ""))).alias("ch"))
         nc = ns.select("v", "s", F.explode(F.array_distinct(F.split("s", ""))).alias("ch"))
         pairs = pairs.unionByName(nc.join(kc, "ch").select("v", "s", "norm_name", "r"))
-    return pairs.dropDuplicates(["v", "norm_name"])
+    return pairs.distinct()
 
 
 def similarity_pairs(names: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
     """(v, norm_name, score) for every pair with token-sorted similarity >= threshold."""
-    t = _int_threshold(threshold)
-    if t > 100:
+    t = _scaled(threshold)
+    if t > 100 * SCALE:
         return names.sparkSession.createDataFrame([], "v string, norm_name string, score double")
-    cand = candidate_pairs(names, keys, t)
+    cand = candidate_pairs(names, keys, threshold)
     m, l = F.length("s"), F.length("r")
-    scored = cand.withColumn("lcs", lcs_udf(F.col("s"), F.col("r")))
-    ok = scored.filter(F.lit(200) * F.col("lcs") >= F.lit(t) * (m + l))
+    # Equal strings need no look; the others must be within the bound in edits already, since an edit costs
+    # at most two insertions or deletions and never more than they do.
+    same = F.col("s") == F.col("r")
+    tau = _tau(t, m + l)
+    close = cand.filter(same | ((m + l > 0) & (F.levenshtein("s", "r") <= tau)))
+    scored = close.withColumn("lcs", F.coalesce(lcs_udf(F.when(~same, F.col("s")), F.when(~same, F.col("r"))), F.lit(0))) \
+        .withColumn("lcs", F.when(same, m).otherwise(F.col("lcs")))
+    ok = scored.filter(F.lit(200 * SCALE) * F.col("lcs").cast("bigint") >= F.lit(t).cast("bigint") * (m + l))
     dist = (m + l - F.lit(2) * F.col("lcs")).cast("double")
     return ok.select("v", "norm_name", ((F.lit(1.0) - dist / (m + l).cast("double")) * F.lit(100.0)).alias("score"))

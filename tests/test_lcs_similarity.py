@@ -59,9 +59,9 @@ def _names(rng, n):
     return sorted(out)
 
 
-@pytest.mark.parametrize("t", [80, 90, 93, 100])
+@pytest.mark.parametrize("t", [66, 67, 80, 93, 93.5, 100])
 def test_similarity_join_equals_brute_force(spark, t):
-    rng = random.Random(t)
+    rng = random.Random(str(t))
     names, keys = _names(rng, 60), _names(rng, 80)
     nd = spark.createDataFrame([(v,) for v in names], "v string")
     kd = spark.createDataFrame([(k,) for k in keys], "norm_name string")
@@ -85,6 +85,13 @@ def test_similarity_score_values(spark):
     assert abs(got["meta platforms"] - 200 * 4 / 18) < 1e-9     # ~44, as the docs say
 
 
+@pytest.mark.parametrize("t", [0, -1, 93.00005])
+def test_similarity_threshold_out_of_range(spark, t):
+    nd = spark.createDataFrame([("acme",)], "v string")
+    with pytest.raises(ValueError, match="threshold"):
+        similarity_pairs(nd, nd.withColumnRenamed("v", "norm_name"), t)
+
+
 def test_similarity_threshold_above_100_is_empty(spark):
     nd = spark.createDataFrame([("acme",)], "v string")
     kd = spark.createDataFrame([("acme",)], "norm_name string")
