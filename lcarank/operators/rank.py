@@ -6,20 +6,23 @@ on the posting's employer only. Ranking: score descending, then fetch order. The
 ranking keeping at most ``cap`` postings per employer until ``top_n`` are kept, which equals
 "employer rank <= cap, then the first top_n".
 
-Scale plan:
-
-* Resumes sharing one vocabulary rank identically, so the ranking runs once per distinct
-  vocabulary (vocab_id) and is joined back to the resumes.
-* (vocabulary, posting) pairs with a shared term come from an equi-join on the term — never a
-  cross product of resumes and postings.
-* Postings sharing no term with a vocabulary score their boost alone. Only a bounded, exact
-  candidate set of those is generated: per employer that has overlap postings, its first
-  (2 + #overlap) postings in boost order; plus the first (n + 2 * #overlap employers) of the
-  global "first two per employer" list. Every zero-overlap posting the capped walk can keep is in
-  this set, and any posting outside it cannot displace a kept one, so the capped top-n over
-  (overlap pairs + candidates) equals the one over all pairs.
-* Positions in boost order come from ``positions`` (range-partitioned), so a hot employer or the
-  global order never lands in one task; per-group top-k filters are window-group limits.
+Resumes with one vocabulary rank identically, and so do, for any vocabulary, postings with one
+*profile* (terms in the title, terms in the description only) but for their boost. So vocabularies
+are scored against profiles, and only a few postings of a profile can be kept:
+
+* of one profile and employer all scores are equal, so the first ``cap`` in fetch order suffice;
+* if LEAST = 2 * top_n postings that are within the cap come before a posting, it is not kept:
+  of them at most top_n fail because their employer is full (top_n / cap employers can be full, each
+  with cap of them), so top_n others are kept before it. This bounds a profile's postings, a
+  vocabulary's overlapping postings and its postings without overlap alike.
+
+Within a profile the order is that of the rounded boost, then fetch order: adding whole points
+leaves rounding as it is, except next to a half cent, where floating point may round to either
+side. Boosts that close to a half cent are ranked among their equals only.
+
+Postings that share no term with a vocabulary score their boost alone. They matter only if fewer than
+LEAST overlapping postings score higher than any boost; then they come from the head of the list by
+boost, taken longer until it holds LEAST postings of other profiles than the overlapping.
 """
 
 from __future__ import annotations
@@ -29,10 +32,13 @@ from pyspark.sql import functions as F
 
 from lcarank.constants import PER_EMPLOYER_CAP, TOP_N
 from lcarank.functions.scoring import fit_score, sponsor_boost, why_text
-from lcarank.operators.ordering import positions
-from lcarank.operators.phrases import phrase_hits
+from lcarank.functions.terms import posting_terms
 from lcarank.session import materialize
 
+#: A head of the list by boost is broadcast up to this many rows; longer ones are joined by shuffle.
+HEAD_BROADCAST = 20_000
+
+
 def _empty():
     return F.array().cast("array<string>")
 
@@ -59,78 +65,102 @@ def vocabularies(resumes: DataFrame, keywords: DataFrame) -> tuple[DataFrame, Da
     return resume_vocab, ids.select("vocab_id"), terms
 
 
+def with_terms(matched: DataFrame, terms: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Adds title_terms and desc_terms (those not in the title), sorted, of the terms that some vocabulary
+    holds, and their profile. ``texts`` has the texts
+    if ``matched`` has not. Only ids and terms move."""
+    hits = posting_hits(matched if texts is None else texts, terms).groupBy("fetch_ord").agg(
+        F.array_sort(F.collect_list(F.when(F.col("in_title"), F.col("kw")))).alias("title_terms"),
+        F.array_sort(F.collect_list(F.when(~F.col("in_title"), F.col("kw")))).alias("desc_terms"))
+    none = [F.coalesce(F.col(c), _empty()).alias(c) for c in ("title_terms", "desc_terms")]
+    found = matched.join(hits, "fetch_ord", "left").select(*matched.columns, *none)
+    return found.withColumn("profile", F.concat(F.array_join("title_terms", "\x1f"), F.lit("\x1e"), F.array_join("desc_terms", "\x1f")))
+
+
 def posting_hits(matched: DataFrame, terms: DataFrame) -> DataFrame:
-    """(fetch_ord, kw, in_title, in_desc) for every vocabulary term found in a posting."""
-    kw = terms.select(F.col("kw").alias("phrase")).distinct()
-    t = phrase_hits(matched.select("fetch_ord", F.lower("title").alias("t")), "fetch_ord", "t", kw)
-    d = phrase_hits(matched.select("fetch_ord", F.lower("description").alias("d")), "fetch_ord", "d", kw)
-    t = t.withColumn("in_title", F.lit(True))
-    d = d.withColumn("in_desc", F.lit(True))
-    return (t.join(d, ["fetch_ord", "phrase"], "full")
-            .select("fetch_ord", F.col("phrase").alias("kw"),
-                    F.coalesce("in_title", F.lit(False)).alias("in_title"),
-                    F.coalesce("in_desc", F.lit(False)).alias("in_desc")))
-
-
-def overlap_pairs(terms: DataFrame, hits: DataFrame) -> DataFrame:
-    """(vocab_id, fetch_ord, title_terms, desc_terms) for pairs sharing at least one term."""
-    j = terms.join(hits, "kw")
-    return j.groupBy("vocab_id", "fetch_ord").agg(
+    """(fetch_ord, kw, in_title, in_desc) for every vocabulary term found in a posting; only ids and
+    terms move."""
+    found = matched.select("fetch_ord", posting_terms(F.lower("title")).alias("t"), posting_terms(F.lower("description")).alias("d"))
+    each = found.select("fetch_ord", F.explode(F.array_union("t", "d")).alias("kw"), "t", "d") \
+        .select("fetch_ord", "kw", F.array_contains("t", F.col("kw")).alias("in_title"), F.array_contains("d", F.col("kw")).alias("in_desc"))
+    return each.join(terms.select("kw").distinct(), "kw", "left_semi").select("fetch_ord", "kw", "in_title", "in_desc")
+
+
+def profile_scores(terms: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(vocab_id, profile, title_terms, desc_terms): the shared terms of every vocabulary and profile that
+    share one. ``profiles``: profile, title_terms, desc_terms, one row each."""
+    kws = profiles.select("profile", F.explode("title_terms").alias("kw"), F.lit(True).alias("in_title")) \
+        .unionByName(profiles.select("profile", F.explode("desc_terms").alias("kw"), F.lit(False).alias("in_title")))
+    return terms.join(kws, "kw").groupBy("vocab_id", "profile").agg(
         F.collect_list(F.when(F.col("in_title"), F.col("kw"))).alias("title_terms"),
-        F.collect_list(F.when(F.col("in_desc") & ~F.col("in_title"), F.col("kw"))).alias("desc_terms"))
-
-
-def zero_candidates(vocab_ids: DataFrame, overlap: DataFrame, scored: DataFrame,
-                    top_n: int, cap: int) -> DataFrame:
-    """(vocab_id, fetch_ord) zero-overlap postings that the capped walk could keep (superset)."""
-    order = [F.col("zscore").desc(), F.col("fetch_ord").asc()]
-    g = positions(scored.select("fetch_ord", "emp_key", "zscore"), order, ["emp_key"], "emp_pos")
-    firsts = positions(g.filter(F.col("emp_pos") <= cap), order, None, "pos")
-
-    per_emp = (overlap.join(scored.select("fetch_ord", "emp_key"), "fetch_ord")
-               .groupBy("vocab_id", "emp_key").agg(F.count(F.lit(1)).alias("c")))
-    # (a) employers with overlap postings: their first cap + c postings
-    deep = (per_emp.select("vocab_id", "emp_key",
-                           F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(cap) + F.col("c"))).alias("emp_pos"))
-            .join(g.select("emp_key", "emp_pos", "fetch_ord"), ["emp_key", "emp_pos"])
-            .select("vocab_id", "fetch_ord"))
-    # (b) other employers: a prefix of the global first-per-employer list
-    n_emp = per_emp.groupBy("vocab_id").agg(F.count(F.lit(1)).alias("m"))
-    bound = (vocab_ids.join(n_emp, "vocab_id", "left")
-             .select("vocab_id", (F.lit(top_n) + F.lit(cap) * F.coalesce(F.col("m"), F.lit(0))).alias("b")))
-    wide = (bound.select("vocab_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("b").cast("bigint"))).alias("pos"))
-            .join(firsts.select("pos", "fetch_ord", "emp_key"), "pos")
-            .join(per_emp.select("vocab_id", "emp_key"), ["vocab_id", "emp_key"], "left_anti")
-            .select("vocab_id", "fetch_ord"))
-    return deep.unionByName(wide).join(overlap.select("vocab_id", "fetch_ord"), ["vocab_id", "fetch_ord"], "left_anti")
-
-
-def capped_top(cands: DataFrame, top_n: int, cap: int) -> DataFrame:
-    """Per vocab_id: employer rank <= cap, then the first top_n by (score desc, fetch_ord)."""
+        F.collect_list(F.when(~F.col("in_title"), F.col("kw"))).alias("desc_terms"))
+
+
+def profiles_of(scored: DataFrame) -> DataFrame:
+    return scored.groupBy("profile").agg(F.first("title_terms").alias("title_terms"), F.first("desc_terms").alias("desc_terms"),
+                                         F.count(F.lit(1)).alias("postings"), F.min("fetch_ord").alias("first_ord"))
+
+
+def eligible(scored: DataFrame, top_n: int, cap: int) -> DataFrame:
+    """(fetch_ord, emp_key, boost, zscore, profile) of the postings that a capped top_n may keep."""
+    rows = scored.select("fetch_ord", "emp_key", "boost", "zscore", "profile")
+    own = Window.partitionBy("profile", "emp_key").orderBy("fetch_ord")
+    rows = rows.withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= cap)
+    cents = F.col("boost") * 100
+    edge = F.when(F.abs(cents - F.floor(cents) - 0.5) < 1e-6, F.col("boost"))
+    alike = Window.partitionBy("profile", "_edge").orderBy(F.col("zscore").desc(), "fetch_ord")
+    return rows.withColumn("_edge", edge).withColumn("_n", F.row_number().over(alike)).where(F.col("_n") <= 2 * top_n).drop("_n", "_edge")
+
+
+def _within_cap(cands: DataFrame, most: int, cap: int) -> DataFrame:
+    """Per vocabulary, the first ``most`` by (score desc, fetch_ord) of its first ``cap`` per employer."""
     order = [F.col("score").desc(), F.col("fetch_ord").asc()]
-    per_emp = cands.withColumn("_er", F.row_number().over(
-        Window.partitionBy("vocab_id", "emp_key").orderBy(*order))).filter(F.col("_er") <= cap)
-    ranked = per_emp.withColumn("rank", F.row_number().over(Window.partitionBy("vocab_id").orderBy(*order)))
-    return ranked.filter(F.col("rank") <= top_n).drop("_er")
+    first = cands.withColumn("_n", F.row_number().over(Window.partitionBy("vocab_id", "emp_key").orderBy(*order))).where(F.col("_n") <= cap)
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy("vocab_id").orderBy(*order))).where(F.col("rank") <= most).drop("_n")
+
+
+def without_overlap(todo: DataFrame, shared: DataFrame, rows: DataFrame, top_n: int, cap: int) -> DataFrame:
+    """(vocab_id, fetch_ord, emp_key, score): enough postings that share no term with the vocabularies
+    ``todo``. ``shared``: (vocab_id, profile) that do share one."""
+    columns, total, length, parts = ("vocab_id", "fetch_ord", "emp_key", "score"), rows.count(), 8 * top_n, []
+    while True:
+        by_boost = Window.orderBy(F.col("zscore").desc(), "fetch_ord")  # over the head only
+        head = rows.orderBy(F.col("zscore").desc(), "fetch_ord").limit(length).withColumn("pos", F.row_number().over(by_boost).cast("bigint"))
+        places = todo.select("vocab_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(max(1, min(length, total))).cast("bigint"))).alias("pos"))
+        free = places.join(F.broadcast(head) if length <= HEAD_BROADCAST else head, "pos").join(shared.select("vocab_id", "profile"), ["vocab_id", "profile"], "left_anti")
+        found = materialize(_within_cap(free.withColumn("score", F.col("zscore")), 2 * top_n, cap).select(*columns))
+        if length >= total:
+            parts.append(found)
+            break
+        full = materialize(found.groupBy("vocab_id").count().where(F.col("count") >= 2 * top_n).select("vocab_id"))
+        parts.append(found.join(full, "vocab_id", "left_semi").select(*columns))
+        todo = materialize(todo.join(full, "vocab_id", "left_anti"))
+        if todo.isEmpty():
+            break
+        length *= 8
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def rank_vocabularies(matched: DataFrame, vocab_ids: DataFrame, terms: DataFrame,
                       top_n: int = TOP_N, cap: int = PER_EMPLOYER_CAP) -> DataFrame:
     """Kept rows per vocabulary: vocab_id, rank, fetch_ord, score, why, extra, note + posting cols."""
-    scored = with_boost(matched)
-    hits = posting_hits(matched, terms)
-    # read three times below (employer counts, exclusion of zero candidates, scoring): written
-    # once so the posting texts are tokenised and verified a single time
-    overlap = materialize(overlap_pairs(terms, hits))
-    zero = zero_candidates(vocab_ids, overlap, scored, top_n, cap)
-    cols = ["fetch_ord", "emp_key", "boost", "zscore"]
-    ov = overlap.join(scored.select(*cols), "fetch_ord").select(
-        "vocab_id", "fetch_ord", "emp_key", "title_terms", "desc_terms",
-        fit_score(F.size("title_terms"), F.size("desc_terms"), F.col("boost")).alias("score"))
-    zr = zero.join(scored.select(*cols), "fetch_ord").select(
-        "vocab_id", "fetch_ord", "emp_key", _empty().alias("title_terms"), _empty().alias("desc_terms"),
-        F.col("zscore").alias("score"))
-    kept = capped_top(ov.unionByName(zr), top_n, cap)
+    boosted = with_boost(matched)
+    scored = materialize(with_terms(boosted.drop("description"), terms, boosted.select("fetch_ord", "title", "description")))
+    rows = materialize(eligible(scored, top_n, cap))
+    shared = materialize(profile_scores(terms, profiles_of(scored)))
+    pairs = shared.join(rows, "profile").withColumn("score", fit_score(F.size("title_terms"), F.size("desc_terms"), F.col("boost")))
+    overlapping = materialize(_within_cap(pairs, 2 * top_n, cap).drop("rank"))
+    # Vocabularies with enough overlapping postings above any boost need no other postings.
+    highest = rows.agg(F.coalesce(F.max("zscore"), F.lit(0.0))).first()[0]
+    enough = overlapping.where(F.col("score") > highest).groupBy("vocab_id").count().where(F.col("count") >= 2 * top_n)
+    todo = materialize(vocab_ids.join(enough, "vocab_id", "left_anti"))
+    cols = ("vocab_id", "fetch_ord", "emp_key", "title_terms", "desc_terms", "score")
+    cands = overlapping.select(*cols).unionByName(
+        without_overlap(todo, shared, rows, top_n, cap).withColumns({"title_terms": _empty(), "desc_terms": _empty()}).select(*cols))
+    kept = _within_cap(cands, top_n, cap)
     total = matched.groupBy("emp_key").agg(F.count(F.lit(1)).alias("_total"))
     w = Window.partitionBy("vocab_id", "emp_key")
     kept = (kept.join(total, "emp_key")
@@ -140,7 +170,7 @@ def rank_vocabularies(matched: DataFrame, vocab_ids: DataFrame, terms: DataFrame
                                                 F.lit(" more opening(s) at this employer"))))
             .withColumn("why", why_text(F.col("title_terms"), F.col("desc_terms")))
             .drop("_total", "title_terms", "desc_terms", "emp_key"))
-    return kept.join(scored.drop("boost", "zscore", "newest_year", "description"), "fetch_ord")
+    return kept.join(scored.drop("boost", "zscore", "newest_year", "title_terms", "desc_terms", "profile"), "fetch_ord")
 
 
 def rank_resumes(matched: DataFrame, resumes: DataFrame, keywords: DataFrame,
@@ -148,5 +178,5 @@ def rank_resumes(matched: DataFrame, resumes: DataFrame, keywords: DataFrame,
     """Digest rows per resume: resume_id, rank, posting and sponsor columns, score, why, extra,
     note."""
     resume_vocab, vocab_ids, terms = vocabularies(resumes, keywords)
-    kept = rank_vocabularies(matched, vocab_ids, terms, top_n, cap)
+    kept = rank_vocabularies(matched, materialize(vocab_ids), materialize(terms), top_n, cap)
     return resume_vocab.join(kept, "vocab_id").drop("vocab_id")

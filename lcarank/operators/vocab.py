@@ -1,73 +1,37 @@
-"""Resume vocabulary: curated skills found in the PII-stripped text plus title phrases."""
+"""Resume vocabulary: curated skills found in the PII-stripped text plus title phrases. Each text is
+read once and no text is shuffled."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lcarank.constants import SKILLS
+from lcarank.functions.terms import skills_in
 from lcarank.functions.text import build_queries, extract_titles, strip_pii
-from lcarank.operators.phrases import phrase_hits
-from lcarank.session import materialize
 
 
-def skills_table(spark: SparkSession) -> DataFrame:
-    """(canonical, variant) rows of the fixed skill dictionary (about 110 rows)."""
-    rows = [(c, v) for c, vs in SKILLS.items() for v in vs]
-    return spark.createDataFrame(rows, "canonical string, variant string")
-
-
-def prepared_resumes(resumes: DataFrame) -> DataFrame:
-    """resume_id, low (PII-stripped lowercase text), titles — every text is read and run through
-    the regexes once; written as a table because the skill join reads it twice (candidates and
-    verification) and the report a third time."""
-    return materialize(resumes.select(
-        "resume_id",
-        strip_pii(F.lower(F.col("text"))).alias("low"),
-        extract_titles(F.col("text")).alias("titles")))
+def resume_terms(resumes: DataFrame) -> DataFrame:
+    """resume_id, titles (ordered distinct title phrases of the unstripped text), kws (sorted skills and
+    title phrases)."""
+    low = resumes.select("resume_id", strip_pii(F.lower("text")).alias("low"), extract_titles(F.col("text")).alias("titles"))
+    return low.select("resume_id", "titles", F.array_sort(F.array_distinct(F.concat(skills_in(F.col("low")), "titles"))).alias("kws"))
 
 
 def resume_titles(resumes: DataFrame) -> DataFrame:
-    """resume_id, titles (ordered distinct title phrases of the unstripped text)."""
     return resumes.select("resume_id", extract_titles(F.col("text")).alias("titles"))
 
 
-def skills_from_prepared(prep: DataFrame) -> DataFrame:
-    """(resume_id, kw) for every canonical skill with a variant hit in the stripped text."""
-    sk = skills_table(prep.sparkSession)
-    hits = phrase_hits(prep.select("resume_id", "low"), "resume_id", "low",
-                       sk.select(F.col("variant").alias("phrase")))
-    # the dictionary is a fixed ~110-row table: broadcasting it is bounded
-    return (hits.join(F.broadcast(sk), hits.phrase == sk.variant)
-            .select("resume_id", F.col("canonical").alias("kw")).distinct())
-
-
-def resume_skills(resumes: DataFrame) -> DataFrame:
-    """(resume_id, kw) for every canonical skill with a variant hit in the stripped text."""
-    return skills_from_prepared(prepared_resumes(resumes))
-
-
-def keywords_from_prepared(prep: DataFrame) -> DataFrame:
-    titles = (prep.select("resume_id", F.explode_outer("titles").alias("kw"))
-              .filter(F.col("kw").isNotNull()))  # outer: no inferred size() filter
-    return skills_from_prepared(prep).unionByName(titles).distinct()
-
-
 def resume_keywords(resumes: DataFrame) -> DataFrame:
     """(resume_id, kw): skills union title phrases."""
-    return keywords_from_prepared(prepared_resumes(resumes))
+    return resume_terms(resumes).select("resume_id", F.explode("kws").alias("kw"))
 
 
 def resume_report(resumes: DataFrame) -> DataFrame:
     """resume_id, titles, queries, keywords (sorted), keyword_count — strings joined with ' | '."""
-    prep = prepared_resumes(resumes)
-    kws = keywords_from_prepared(prep).groupBy("resume_id").agg(F.array_sort(F.collect_set("kw")).alias("kws"))
-    out = prep.select("resume_id", "titles").join(kws, "resume_id", "left")
-    kw = F.coalesce(F.col("kws"), F.array().cast("array<string>"))
-    return out.select(
+    return resume_terms(resumes).select(
         "resume_id",
         F.array_join("titles", " | ").alias("titles"),
         F.array_join(build_queries(F.col("titles")), " | ").alias("queries"),
-        F.array_join(kw, " | ").alias("keywords"),
-        F.size(kw).cast("bigint").alias("keyword_count"),
+        F.array_join("kws", " | ").alias("keywords"),
+        F.size("kws").cast("bigint").alias("keyword_count"),
     )

@@ -11,10 +11,10 @@ from __future__ import annotations
 from lcarank.constants import (GENERIC_TOKENS, LEGAL_SUFFIXES, RATING_TAIL_PATTERN, ROLE_NOUNS,
                                SITE_TAIL_PATTERN, SKILLS, TITLE_MODIFIERS, EMAIL_PATTERN,
                                PHONE_PATTERN, URL_PATTERN, BROAD_QUERY, EXCLUDED_TITLE_TOKENS,
-                               NO_OVERLAP_WHY)
+                               MAX_QUERIES, NO_OVERLAP_WHY)
 from lcarank.operators.allowlist import SPOT_CHECK_NAMES
 from lcarank.plans.digest import DIGEST_EMPTY, DIGEST_INTRO, DIGEST_TITLE
-from lcarank.plans.queries import AS_OF, GENERATED_ON, LOCATION
+from lcarank.plans.queries import AS_OF, FILE_LAYOUTS, FILTERED_AS_OF, FILTERED_LOCATION, FILTERED_PAGES, GENERATED_ON, LOCATION
 from lcarank.sources.views import (POSTING_TAILS, POSTING_TITLES, RESUME_HEADER,
                                    RESUME_ROLE_LINES)
 
@@ -83,7 +83,7 @@ RAW_POSTINGS = f"""raw_postings AS (
          ELSE CAST(CAST(ts AS DATE) AS VARCHAR) || 'T23:30:00-05:00' END AS created,
     'https://example.com/apply/' || CAST(doc_id AS VARCHAR) AS url,
     text || {case("doc_id % 4", [q(t) for t in POSTING_TAILS])} AS description
-  FROM documents JOIN part ON p_partkey = doc_id JOIN events ON event_id = doc_id)"""
+  FROM documents LEFT JOIN part ON p_partkey = doc_id LEFT JOIN events ON event_id = doc_id)"""
 
 RESUMES = f"""resumes AS (
   SELECT doc_id AS resume_id,
@@ -308,6 +308,22 @@ final AS (
   FROM kept k JOIN totals t USING (emp_key))"""]) + pre
 
 
+def filtered_sql() -> str:
+    """The digest over postings that a search query of some resume finds, within the page limit, recent
+    and in the location."""
+    queries = f"""qset AS (SELECT DISTINCT unnest(list_concat([{q(BROAD_QUERY)}], list_filter(titles,
+      lambda t: NOT list_has_any(string_split(t, ' '), {lst(EXCLUDED_TITLE_TOKENS)})))[1:{MAX_QUERIES}]) AS query FROM res_uniq)"""
+    uniq = f"""res_uniq AS (SELECT resume_id, list_filter(titles, lambda t: t <> {q(BROAD_QUERY)}) AS titles FROM res_titles)"""
+    paged = ("raw_postings AS (SELECT * FROM raw_postings0 QUALIFY row_number() OVER (PARTITION BY title ORDER BY fetch_ord) "
+             f"<= {FILTERED_PAGES} * 50)")
+    kept = f"""deduped AS (SELECT * FROM deduped0 WHERE (posted IS NULL OR posted >= DATE '{FILTERED_AS_OF}' - INTERVAL 14 DAY)
+      AND contains(lower(location), {q(FILTERED_LOCATION)})
+      AND EXISTS (SELECT 1 FROM qset WHERE {contains("lower(title)", "query")}))"""
+    out = digest_sql().replace(f",\n{VOCAB}", "").replace("raw_postings AS (", "raw_postings0 AS (", 1)
+    out = out.replace(f"{RESUMES},", f"{RESUMES},\n{paged},\n{VOCAB},\n{uniq},\n{queries},", 1)
+    return out.replace(DEDUP, DEDUP.replace("deduped AS", "deduped0 AS") + ",\n" + kept, 1)
+
+
 DIGEST_COLS = f"""SELECT resume_id, rank, posting_id, fetch_ord, emp_key, method, confidence, score,
   {why("tt", "dt")} AS why, extra,
   CASE WHEN rank = last_rank AND extra > 0 THEN '+' || CAST(extra AS VARCHAR) || ' more opening(s) at this employer' END AS note
@@ -446,11 +462,45 @@ ORACLE["resume_vocabulary"] = (f"WITH {RESUMES},\n{VOCAB},\n"
 
 ORACLE["posting_term_hits"] = _with(MATCH, VOCAB, HITS) + "\nSELECT fetch_ord, kw, in_title, in_desc FROM hits"
 
-ORACLE["overlap_scores"] = _with(MATCH, VOCAB, HITS, OVERLAP) + f"""
-SELECT o.resume_id, o.fetch_ord, {score("len(coalesce(o.tt, []))", "len(coalesce(o.dt, []))", "b.boost")} AS score,
-       {why("o.tt", "o.dt")} AS why
-FROM ov o JOIN boosted b USING (fetch_ord)"""
+# One row per vocabulary (the smallest resume that has it) and profile (the smallest posting among those
+# whose hits are the same).
+ORACLE["overlap_scores"] = _with(MATCH, VOCAB, HITS) + f""",
+vocab AS (SELECT kws, min(resume_id) AS vocab_id FROM
+  (SELECT resume_id, list_sort(list(kw)) AS kws FROM res_kw GROUP BY resume_id) GROUP BY kws),
+vt AS (SELECT vocab_id, unnest(kws) AS kw FROM vocab),
+prof AS (SELECT key, min(fetch_ord) AS first_ord, count(*) AS postings FROM (
+  SELECT m.fetch_ord, string_agg(CASE WHEN h.kw IS NOT NULL THEN h.kw || CASE WHEN h.in_title THEN '+' ELSE '-' END END, '|' ORDER BY h.kw) AS key
+  FROM matched m LEFT JOIN hits h USING (fetch_ord) GROUP BY m.fetch_ord) GROUP BY key),
+po AS (SELECT v.vocab_id, p.first_ord, p.postings,
+    list_sort(list(v.kw) FILTER (WHERE h.in_title)) AS tt,
+    list_sort(list(v.kw) FILTER (WHERE h.in_desc AND NOT h.in_title)) AS dt
+  FROM prof p JOIN hits h ON h.fetch_ord = p.first_ord JOIN vt v USING (kw) GROUP BY ALL)
+SELECT vocab_id, first_ord, postings, {score("len(coalesce(tt, []))", "len(coalesce(dt, []))", "0.0")} AS score,
+       {why("tt", "dt")} AS why
+FROM po"""
 
 ORACLE["digest"] = digest_sql() + "\n" + DIGEST_COLS
 ORACLE["digest_dry_run"] = digest_sql(dry_run=True) + "\n" + DIGEST_COLS
 ORACLE["digest_markdown"] = markdown_sql()
+ORACLE["digest_filtered"] = filtered_sql() + "\n" + DIGEST_COLS
+
+# The staged files take the header layouts in turn; columns are found by canonical header.
+_HEADERS = ", ".join(f"({i}, {k}, {q(h)})" for i, layout in enumerate(FILE_LAYOUTS) for k, h in enumerate(layout.values()))
+
+
+def _column(exact: str, parts: list[str]) -> str:
+    rank = f"CASE WHEN c = {q(exact)} THEN 0 " + " ".join(f"WHEN contains(c, {q(p)}) THEN {i}" for i, p in enumerate(parts, 1)) + " END"
+    return f"(min(CASE WHEN {rank} IS NOT NULL THEN {rank} * 1000 + position END) % 1000)::INT"
+
+
+ORACLE["header_map"] = (
+    f"WITH {LCA_FILINGS},\nfiles AS (SELECT source_file, (row_number() OVER (ORDER BY source_file) - 1) % {len(FILE_LAYOUTS)} AS layout "
+    f"FROM (SELECT DISTINCT source_file FROM lca_filings)),\nhead(layout, position, header) AS (VALUES {_HEADERS}),\n"
+    "canon AS (SELECT source_file, position, trim(regexp_replace(lower(header), '[^a-z0-9]+', '_', 'g'), '_') AS c FROM files JOIN head USING (layout))\n"
+    f"SELECT source_file, {_column('employer_name', ['employer_name', 'employer'])} AS employer, "
+    f"{_column('case_status', ['case_status', 'status'])} AS status FROM canon GROUP BY source_file")
+
+ORACLE["filings_csv"] = (
+    f"WITH {LCA_FILINGS.replace('lca_filings AS', 'lca_filings0 AS', 1)},\nlca_filings AS (SELECT source_file, row_ord, employer_name, "
+    f"CASE WHEN row_ord % 7 <> 0 THEN case_status END AS case_status FROM lca_filings0),\n{ALLOW}\n"
+    "SELECT norm_name, filings, latest_year FROM allow")

@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from lcarank.constants import (FUZZY_THRESHOLD, MAX_DAYS_OLD, PER_EMPLOYER_CAP,
                                RESULTS_PER_PAGE, TOP_N)
 from lcarank.functions.scoring import match_label
+from lcarank.functions.terms import title_windows
+from lcarank.functions.text import build_queries, contains_phrase
 from lcarank.operators.allowlist import build_allowlist
 from lcarank.operators.match import match_postings
 from lcarank.operators.rank import rank_resumes
-from lcarank.operators.vocab import resume_keywords
+from lcarank.operators.vocab import resume_keywords, resume_titles
 from lcarank.session import materialize
 from lcarank.sources import views
 from lcarank.sources.postings import dedupe, in_location, ingest, page_limit, recent
@@ -37,6 +39,8 @@ class RunParams:
     location: str | None = None
     pages: int | None = None                # None: every fetched page is kept
     dry_run: bool = False                   # one query, one page
+    query: str | None = None                # search for this phrase only
+    by_queries: bool = False                # search for the resumes' query sets
 
 
 def allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +58,15 @@ def intake(spark: SparkSession, sf_dir: str, p: RunParams = RunParams()) -> Data
     posts = dedupe(ingest(raw))
     if p.as_of is not None:
         posts = recent(posts, p.as_of, p.max_days)
-    return in_location(posts, p.location)
+    posts = in_location(posts, p.location)
+    if p.query is None and not p.by_queries:
+        return posts
+    if p.query is not None:
+        return posts.where(contains_phrase(F.lower("title"), F.lit(p.query.lower())))
+    # a search query is a title phrase, so it is found among the title's phrases
+    queries = resume_titles(views.resumes(spark, sf_dir)).select(F.explode(build_queries(F.col("titles"))).alias("query")).distinct()
+    hits = posts.select("fetch_ord", F.explode(title_windows(F.lower("title"))).alias("query")).join(queries, "query", "left_semi")
+    return posts.join(hits.select("fetch_ord").distinct(), "fetch_ord", "left_semi")
 
 
 def matched_postings(spark: SparkSession, sf_dir: str, p: RunParams = RunParams(),

@@ -19,17 +19,19 @@ from lcarank.functions.text import strip_pii
 from lcarank.operators import allowlist as AL
 from lcarank.operators.containment import containment_pairs
 from lcarank.operators.match import match_names, match_postings
-from lcarank.operators.rank import overlap_pairs, posting_hits, vocabularies, with_boost
+from lcarank.operators.rank import posting_hits, profile_scores, profiles_of, vocabularies, with_boost, with_terms
 from lcarank.operators.similarity import similarity_pairs
 from lcarank.operators.vocab import resume_keywords, resume_report
 from lcarank.plans import digest as D
 from lcarank.sources import views
+from lcarank.sources import filings as FI
 from lcarank.sources.filings import fiscal_year, read_filings
 from lcarank.session import ensure_checkpoint_dir, materialize
 from lcarank.sources.postings import dedupe, in_location, ingest, page_limit, recent
 
 AS_OF = "2024-01-31"          # run date used by the recency query (the feed spans January 2024)
 LOCATION = "san francisco"
+FILTERED_AS_OF, FILTERED_PAGES, FILTERED_LOCATION = "2024-01-24", 3, "austin"    # of the filtered digest
 GENERATED_ON = "2024-01-31"
 
 
@@ -69,13 +71,14 @@ def _stage_filing_files(spark, sf):
     header layout, plus an editor lock entry that the reader must skip; returns the directory.
     Staged under the session's shared checkpoint directory."""
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/staging/{uuid.uuid4().hex}"
-    staged = materialize(views.lca_filings(spark, sf))
+    views.lca_filings(spark, sf).write.partitionBy("source_file").parquet(f"{base}-by-file")
+    staged = spark.read.parquet(f"{base}-by-file")
     # one name per fiscal-year file: a handful of rows, not data
     names = sorted(r[0] for r in staged.select("source_file").distinct().collect())
     for i, name in enumerate(names):
         layout = FILE_LAYOUTS[i % len(FILE_LAYOUTS)]
         cols = [(F.lit("n/a") if c == "_city" else F.col(c)).alias(h) for c, h in layout.items()]
-        staged.filter(F.col("source_file") == name).select(*cols).write.parquet(f"{base}/{name}")
+        staged.where(F.col("source_file") == name).select(*cols).write.parquet(f"{base}/{name}")  # reads one partition
     staged.limit(0).select(F.lit(1).alias("x")).write.parquet(f"{base}/~$lock.parquet")
     return base
 
@@ -90,6 +93,34 @@ def filings_files_stats(spark, sf):
     return AL.allowlist_stats(read_filings(spark, _stage_filing_files(spark, sf)))
 
 
+def header_map(spark, sf):
+    """Positions of the employer and status columns in each staged file (O2, O3)."""
+    files = FI.list_filing_files(spark, _stage_filing_files(spark, sf), "parquet")
+    return FI.header_map(FI.header_rows(spark, FI.file_headers(spark, files, "parquet")))
+
+
+def filings_csv(spark, sf):
+    """Allowlist from CSV files in which every seventh row breaks off after the employer (O1, O5)."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/staging/{uuid.uuid4().hex}"
+    f = views.lca_filings(spark, sf)
+    name = F.coalesce("employer_name", F.lit("")).alias("name")  # a row of one null field has no CSV text
+    line = F.when(F.col("row_ord") % 7 == 0, F.to_csv(F.struct(name))).otherwise(F.to_csv(F.struct(name, "case_status", F.lit("x"))))
+    lines = f.select("source_file", line.alias("line"))
+
+    def with_header(batches):
+        import pyarrow as pa
+
+        for k, batch in enumerate(batches):
+            head = ["EMPLOYER_NAME,CASE_STATUS,NOTE"] if k == 0 else []
+            yield pa.RecordBatch.from_arrays([pa.array(head + batch.column(0).to_pylist(), pa.string())], names=["line"])
+
+    for name in sorted(r[0] for r in lines.select("source_file").distinct().collect()):  # a handful of years
+        lines.where(F.col("source_file") == name).select("line").mapInArrow(with_header, "line string") \
+            .write.text(f"{base}/{name.replace('.parquet', '.csv')}")
+    read = FI.read_filings(spark, base, "csv")
+    return AL.build_allowlist(read).select("norm_name", "filings", "latest_year")
+
+
 def allowlist(spark, sf):
     a = AL.build_allowlist(views.lca_filings(spark, sf))
     return a.select("norm_name", "raw_name", "filings", "latest_year",
@@ -195,18 +226,16 @@ def posting_term_hits(spark, sf):
 
 
 def overlap_scores(spark, sf):
-    """Every (resume, posting) pair sharing a term: score and why."""
+    """Score without boost and reasons of every distinct vocabulary (named by its smallest resume) and every
+    distinct profile of postings (named by its first posting) that share a term."""
     from lcarank.functions.scoring import fit_score, why_text
-    m = with_boost(D.materialize(match_postings(_postings(spark, sf), _allow(spark, sf))))
     resumes = views.resumes(spark, sf)
-    rv, _, terms = vocabularies(resumes, D.materialize(resume_keywords(resumes)))
-    ov = overlap_pairs(terms, posting_hits(m, terms)).join(m.select("fetch_ord", "boost"), "fetch_ord")
-    # score and explain once per (distinct vocabulary, posting), then fan out to the resumes that
-    # share the vocabulary (AQE splits a vocabulary held by very many resumes)
-    scored = ov.select("vocab_id", "fetch_ord",
-                       fit_score(F.size("title_terms"), F.size("desc_terms"), F.col("boost")).alias("score"),
-                       why_text(F.col("title_terms"), F.col("desc_terms")).alias("why"))
-    return rv.join(scored, "vocab_id").select("resume_id", "fetch_ord", "score", "why")
+    _, _, terms = vocabularies(resumes, D.materialize(resume_keywords(resumes)))
+    postings = D.materialize(match_postings(_postings(spark, sf), _allow(spark, sf)))
+    profiles = D.materialize(profiles_of(with_terms(postings, terms)))
+    scored = profile_scores(terms, profiles).join(profiles.select("profile", "first_ord", "postings"), "profile")
+    return scored.select("vocab_id", "first_ord", "postings", fit_score(F.size("title_terms"), F.size("desc_terms"), F.lit(0.0)).alias("score"),
+                         why_text(F.col("title_terms"), F.col("desc_terms")).alias("why"))
 
 
 def _digest_cols(rows: DataFrame) -> DataFrame:
@@ -222,6 +251,12 @@ def digest_dry_run(spark, sf):
     return _digest_cols(D.digest_rows(spark, sf, D.RunParams(dry_run=True)))
 
 
+def digest_filtered(spark, sf):
+    """The digest over postings that the resumes' search queries find, three pages of each, dated
+    within two weeks before the run, in one location."""
+    return _digest_cols(D.digest_rows(spark, sf, D.RunParams(as_of=FILTERED_AS_OF, location=FILTERED_LOCATION, pages=FILTERED_PAGES, by_queries=True)))
+
+
 def digest_markdown(spark, sf):
     rows = D.digest_rows(spark, sf)
     return D.digest_markdown(rows, views.resumes(spark, sf), GENERATED_ON)
@@ -232,6 +267,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "allowlist": allowlist,
     "filings_files": filings_files,
     "filings_files_stats": filings_files_stats,
+    "header_map": header_map,
+    "filings_csv": filings_csv,
     "allowlist_stats": allowlist_stats,
     "allowlist_sample": allowlist_sample,
     "allowlist_spot_check": allowlist_spot_check,
@@ -255,5 +292,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "overlap_scores": overlap_scores,
     "digest": digest,
     "digest_dry_run": digest_dry_run,
+    "digest_filtered": digest_filtered,
     "digest_markdown": digest_markdown,
 }

@@ -1,40 +1,23 @@
-"""Scoring, ranking and the per-employer capped digest against a plain Python walk."""
+"""Scoring, ranking and the per-employer capped digest against windows over all pairs."""
 
-import math
 import random
-import re
-from decimal import ROUND_HALF_EVEN, Decimal
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lcarank.functions.scoring import fit_score, match_label, sponsor_boost, why_text
-from lcarank.operators.ordering import positions
-from lcarank.operators.rank import rank_vocabularies
+from lcarank.operators.rank import rank_vocabularies, with_boost
 from lcarank.sources.postings import dedupe, ingest, page_limit
 
 
-def _boost_py(f, ly, ny):
-    if f is None or f <= 0:
-        return 0.0
-    vol = min(1.0, math.log10(1 + f) / math.log10(5001))
-    rec = max(0.0, 1 - 0.25 * max(0, ny - ly)) if (ny and ly) else 1.0
-    return 3.0 * (0.7 * vol + 0.3 * rec)
-
-
-def _round2(x):
-    return float(Decimal(repr(x)).quantize(Decimal("0.01"), rounding=ROUND_HALF_EVEN))
-
-
 def test_boost_and_score(spark):
-    rows = [(10, 2024, 2024), (5000, 2020, 2024), (0, 2024, 2024), (None, 0, 2024), (3, 0, 2024),
-            (100000, 2010, 2024)]
-    df = spark.createDataFrame(rows, "f bigint, ly int, ny int")
-    got = [r[0] for r in df.select(sponsor_boost("f", "ly", "ny")).collect()]
-    for (f, ly, ny), b in zip(rows, got):
-        assert abs(b - _boost_py(f, ly, ny)) < 1e-12
-    assert 0.17 < _boost_py(1, 2024, 2024) and _boost_py(10 ** 9, 2024, 2024) <= 3.0
+    # filings, year, newest -> worked out by hand: 2.1 * log10(1 + f) / log10(5001) + 0.9 * recency
+    rows = [(5000, 2024, 2024, 3.0), (5000, 2020, 2024, 2.1), (5000, 2023, 2024, 2.775), (5000, 2021, 2024, 2.325), (0, 2024, 2024, 0.0),
+            (None, 0, 2024, 0.0), (100000, 2010, 2024, 2.1), (70, 2024, 2024, 1.9509820976), (1, 0, 2024, 1.0708984251)]
+    df = spark.createDataFrame(rows, "f bigint, ly int, ny int, want double")
+    for r in df.select(sponsor_boost("f", "ly", "ny").alias("b"), "want").collect():
+        assert abs(r.b - r.want) < 1e-9
     s = spark.range(1).select(fit_score(F.lit(2), F.lit(1), F.lit(0.125)).alias("a"),
                               fit_score(F.lit(0), F.lit(0), F.lit(2.675)).alias("b")).first()
     assert s.a == 11.12 and s.b == 2.68       # half-even on the decimal value
@@ -52,70 +35,60 @@ def test_why_and_label(spark):
                    "fuzzy-subset match, confidence 94 — ⚠ UNVERIFIED — confirm"]
 
 
-def test_positions_equals_row_number(spark):
-    rng = random.Random(5)
-    rows = [(i, rng.choice(["a", "b", "c"]) if i % 3 else "hot", rng.randint(0, 5)) for i in range(400)]
-    df = spark.createDataFrame(rows, "id int, g string, s int")
-    order = [F.col("s").desc(), F.col("id").asc()]
-    got = positions(df, order, ["g"], "p", num_partitions=7).select("id", "p")
-    want = df.select("id", F.row_number().over(Window.partitionBy("g").orderBy(*order)).alias("p"))
-    assert sorted(got.collect()) == sorted(want.collect())
-    glob = positions(df, order, None, "p", num_partitions=5).select("id", "p")
-    want = df.select("id", F.row_number().over(Window.orderBy(*order)).alias("p"))
-    assert sorted(glob.collect()) == sorted(want.collect())
-
-
-def _hit(text, kw):
-    return re.search(r"(?<![a-z0-9])" + re.escape(kw) + r"(?![a-z0-9])", text.lower()) is not None
-
-
-def _walk(posts, terms, top_n, cap):
-    ny = max((p["latest_year"] for p in posts), default=0)
-    scored = []
-    for p in posts:
-        th = {k for k in terms if _hit(p["title"], k)}
-        dh = {k for k in terms if _hit(p["description"], k)} - th
-        s = _round2(5.0 * len(th) + 1.0 * len(dh) + _boost_py(p["filings"], p["latest_year"], ny))
-        scored.append((-s, p["fetch_ord"], p["emp_key"]))
-    scored.sort()
-    kept, per = [], {}
-    for s, fo, emp in scored:
-        if len(kept) >= top_n:
-            break
-        if per.get(emp, 0) >= cap:
-            continue
-        per[emp] = per.get(emp, 0) + 1
-        kept.append((fo, -s))
-    return kept
-
-
 MATCHED = ("posting_id string, fetch_ord bigint, title string, description string, emp_key string, "
            "filings bigint, latest_year int")
 
 
-@pytest.mark.parametrize("top_n,cap", [(25, 2), (5, 1), (3, 2)])
-def test_capped_top_equals_greedy_walk(spark, top_n, cap):
+def _brute(spark, matched, vocabs, top_n, cap):
+    """Every vocabulary with every posting, scored from plain patterns, ranked by windows."""
+    terms = spark.createDataFrame([(v, k) for v, ks in vocabs.items() for k in [*ks, "\x00"]], "vocab_id bigint, kw string")
+    has = lambda c: F.expr(f"regexp_like(lower({c}), concat('(?<![a-z0-9])', regexp_replace(kw, '([^a-z0-9 ])', '[$1]'), '(?![a-z0-9])'))")
+    hits = with_boost(matched).crossJoin(terms).withColumns({"t": has("title"), "d": has("description")})
+    scored = hits.groupBy("vocab_id", "fetch_ord", "emp_key", "boost").agg(
+        F.sum(F.when(F.col("t"), 5).when(F.col("d"), 1).otherwise(0)).alias("points")) \
+        .withColumn("score", F.bround(F.col("points") * F.lit(1.0) + F.col("boost"), 2))
+    order = [F.col("score").desc(), F.col("fetch_ord")]
+    first = scored.withColumn("er", F.row_number().over(Window.partitionBy("vocab_id", "emp_key").orderBy(*order))).where(F.col("er") <= cap)
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("vocab_id").orderBy(*order))).where(F.col("rank") <= top_n)
+    return sorted((r.vocab_id, r["rank"], r.fetch_ord, r.score) for r in ranked.collect())
+
+
+def _matched(spark, rng, n, employers, words):
+    rows = []
+    for i in range(n):
+        name, filings, year = employers[0] if i % 3 == 0 else rng.choice(employers)
+        rows.append((str(i), i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 3))),
+                     " ".join(rng.choice(words) for _ in range(rng.randint(0, 6))), name, filings, year))
+    return spark.createDataFrame(rows, MATCHED)
+
+
+WORDS = ["java", "kafka", "python", "sql", "golang", "c++", "lead", "data", "engineer", "senior", "other", "words"]
+VOCABS = {1: ["java", "kafka"], 2: ["c++", "data engineer", "senior engineer"], 3: [], 4: ["rust"], 5: ["java", "python", "sql", "kafka", "c++"]}
+
+
+@pytest.mark.parametrize("top_n,cap,n", [(25, 2, 240), (3, 1, 400), (2, 2, 60)])
+def test_ranking_equals_windows_over_all_pairs(spark, top_n, cap, n):
     rng = random.Random(top_n * 10 + cap)
-    words = ["java", "kafka", "python", "sql", "go", "golang", "c++", "lead", "data", "engineer"]
-    emps = [("hot", 4000, 2024)] + [(f"e{i}", rng.randint(1, 900), rng.choice([2021, 2023, 2024]))
-                                     for i in range(15)]
-    posts = []
-    for i in range(120):
-        e = emps[0] if i % 3 == 0 else rng.choice(emps)
-        posts.append({"posting_id": str(i), "fetch_ord": i,
-                      "title": " ".join(rng.choice(words) for _ in range(rng.randint(0, 3))),
-                      "description": " ".join(rng.choice(words) for _ in range(rng.randint(0, 6))),
-                      "emp_key": e[0], "filings": e[1], "latest_year": e[2]})
-    vocabs = {1: ["java", "kafka"], 2: ["c++", "go", "data engineer"], 3: [], 4: ["nothing here"]}
-    matched = spark.createDataFrame([tuple(p[c.split()[0]] for c in MATCHED.split(", ")) for p in posts], MATCHED)
+    # boosts that end in a half cent (2.775, 2.325), equal boosts, and a hot employer
+    employers = [("hot", 4000, 2024), ("h1", 5000, 2023), ("h2", 5000, 2021), ("h3", 9000, 2023)] + [
+        (f"e{i}", rng.choice([7, 7, 80, rng.randint(1, 900)]), rng.choice([2021, 2023, 2024])) for i in range(40)]
+    matched = _matched(spark, rng, n, employers, WORDS)
+    ids = spark.createDataFrame([(v,) for v in VOCABS], "vocab_id bigint")
+    terms = spark.createDataFrame([(v, k) for v, ks in VOCABS.items() for k in ks], "vocab_id bigint, kw string")
+    out = rank_vocabularies(matched, ids, terms, top_n, cap).collect()
+    assert sorted((r.vocab_id, r["rank"], r.fetch_ord, r.score) for r in out) == _brute(spark, matched, VOCABS, top_n, cap)
+
+
+def test_ranking_of_many_employers(spark):
+    n = 100_000
+    matched = spark.range(n, numPartitions=8).selectExpr(
+        "cast(id as string) posting_id", "id fetch_ord", "case when id % 5 = 0 then 'Java engineer' when id % 7 = 0 then 'senior data engineer' else 'x' end title",
+        "case when id % 11 = 0 then 'kafka, sql' else '' end description", "concat('e', id % 50021) emp_key", "1 + id * 37 % 6001 filings", "cast(2020 + id % 5 as int) latest_year")
+    vocabs = {1: ["java", "kafka"], 2: ["senior data engineer"], 3: []}
     ids = spark.createDataFrame([(v,) for v in vocabs], "vocab_id bigint")
     terms = spark.createDataFrame([(v, k) for v, ks in vocabs.items() for k in ks], "vocab_id bigint, kw string")
-    out = rank_vocabularies(matched, ids, terms, top_n, cap).collect()
-    for v, ks in vocabs.items():
-        got = sorted((r["rank"], r.fetch_ord, r.score) for r in out if r.vocab_id == v)
-        want = _walk(posts, ks, top_n, cap)
-        assert [(g[1], g[2]) for g in got] == want, v
-        assert [g[0] for g in got] == list(range(1, len(want) + 1))
+    out = rank_vocabularies(matched, ids, terms, 40, 1).collect()
+    assert sorted((r.vocab_id, r["rank"], r.fetch_ord, r.score) for r in out) == _brute(spark, matched, vocabs, 40, 1)
 
 
 def test_extras_and_note(spark):
