@@ -55,7 +55,54 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_html_extract, op2_quality_classifier, op3_jaccard_join, op4_decontamination, op5_quality_rules, op6_language_id, op7_warc, op8_substring_dedup, op9_pii, op10_bpe)}
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _lower(text: str) -> str:
+    """A-Z only."""
+    return f"translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}')"
+
+
+_SPACED = r"'[^\x20\x09-\x0D]+'"
+_LETTERS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
 ORACLE = {
+    "op3_jaccard_join": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_lower("text")}, {_SPACED}) AS w FROM documents),
+        sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g
+               FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, CASE WHEN len(w) > 0 THEN 2 ELSE 1 END))) AS i FROM d)),
+        n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        links AS (SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * o >= 90 * (a.n + b.n - o)),
+        reach(doc_id, r) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.doc_id, links.y FROM reach JOIN links ON links.x = reach.r)
+        SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(reach.r) AS component_id
+        FROM d JOIN reach ON reach.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "op4_decontamination": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({_lower("text")}, {_LETTERS}) AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all({_lower("text")}, {_LETTERS}) AS w FROM benchmark),
+        bw AS (SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS g
+               FROM (SELECT item_id, w, size, unnest(range(1, len(w) - size + 2)) AS i
+                     FROM (SELECT item_id, w, least(10, len(w)) AS size FROM b WHERE len(w) > 0))),
+        dw AS (SELECT doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') AS g
+               FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT size FROM bw))),
+        hits AS (SELECT dw.doc_id, dw.i, dw.size, bw.item_id FROM dw JOIN bw ON bw.g = dw.g AND bw.size = dw.size),
+        covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+                    FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM (SELECT DISTINCT doc_id, i, size FROM hits)) GROUP BY doc_id),
+        found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+                  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+        SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN covered ON covered.doc_id = d.doc_id LEFT JOIN found ON found.doc_id = d.doc_id""",
+    "op8_substring_dedup": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_SPACED}) AS w FROM documents),
+        win AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+        later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM win) WHERE k > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM later),
+        kept AS (SELECT u.doc_id, string_agg(u.word, ' ' ORDER BY u.p) AS text, count(*) AS n
+                 FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) u
+                 LEFT JOIN gone ON gone.doc_id = u.doc_id AND gone.p = u.p WHERE gone.p IS NULL GROUP BY u.doc_id)
+        SELECT d.doc_id, len(d.w) AS n_words, len(d.w) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id""",
     "op7_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
         d AS (SELECT page_id, strlen(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
