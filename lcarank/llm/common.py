@@ -137,5 +137,25 @@ def window_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
             size *= 2
 
 
+def summed_arrays(parts: DataFrame, most: int) -> dict[int, np.ndarray]:
+    """Sums of the float32 arrays in ``parts`` (key int, data binary), one for each key; ``most`` keys at
+    most. Each key's arrays are added up in one task as they stream by, and only the sums are collected."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for key, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.frombuffer(data.as_buffer(), np.float32)
+                if key in sums:
+                    sums[key] += x
+                else:
+                    sums[key] = x.astype(np.float64)
+        for key, x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["key", "data"])
+
+    merged = parts.repartition(max(1, most), "key").mapInArrow(run, "key int, data binary")
+    return {r["key"]: np.frombuffer(bytes(r["data"])) for r in merged.collect()}
+
+
 def as_long(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))

@@ -167,7 +167,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int) ->
     n = -(-total // BLOCK_BYTES) or 1
     for b in range(n):
         part = source if n == 1 else source.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b)
-        yield TestItems([(r["id"], bytes(r["text"])) for r in part.where("text is not null").toLocalIterator()], window)
+        yield TestItems([(r["id"], bytes(r["text"])) for r in part.where("text is not null").collect()], window)
 
 
 _HIT = "n_words long, hit array<struct<start:int,end:int>>, items array<string>"

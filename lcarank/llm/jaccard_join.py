@@ -148,7 +148,7 @@ def _levels(survey: DataFrame, bits: int) -> tuple[np.ndarray, float]:
 
     held, low = np.zeros((SLICES, (1 << bits) // SLICES), np.uint8), [0.0]
     merged = survey.where("counts is not null").select("slice", "counts").repartition(SLICES, "slice")
-    for r in merged.mapInArrow(run, "slice int, level binary, low double").toLocalIterator():
+    for r in merged.mapInArrow(run, "slice int, level binary, low double").collect():
         held[r["slice"]] = np.frombuffer(bytes(r["level"]), np.uint8)
         low.append(r["low"])
     return held.ravel(), float(np.mean(low[1:] or low))
@@ -252,7 +252,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame, rule: Rule)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "id"), "node") \
         .select(cell("id").alias("cell")).distinct()
     bitmap = np.zeros(1 << ID_BITS, bool)
-    for r in wanted.groupBy(F.shiftright("cell", 12)).agg(F.collect_list("cell").alias("cells")).toLocalIterator():
+    for r in wanted.groupBy(F.shiftright("cell", 12)).agg(F.collect_list("cell").alias("cells")).collect():
         bitmap[r["cells"]] = True
     held = source.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
 

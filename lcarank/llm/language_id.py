@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lcarank.llm.common import arrow_rows, chunks, id_and_text, mix
+from lcarank.llm.common import arrow_rows, chunks, id_and_text, mix, summed_arrays
 from lcarank.llm.scripts import SCRIPTS, code_points, script_table
 
 SAMPLE = 4000
@@ -106,14 +106,13 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     scripts[i] += w.letters_by_script[lang == i].sum(axis=0)
         for i in range(len(langs)):
             if scripts[i].any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([cells[i].astype(np.float32).tobytes()], pa.binary()),
-                                                  pa.array([scripts[i].tobytes()], pa.binary())], names=["lang", "cells", "scripts"])
+                data = np.concatenate([cells[i], scripts[i]]).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([data.tobytes()], pa.binary())], names=["key", "data"])
 
     cells = np.zeros((len(langs), len(ORDERS) << CELL_BITS))
     scripts = np.zeros((len(langs), len(SCRIPTS)))
-    for r in picked.select("text", "lang", "id").mapInArrow(run, "lang int, cells binary, scripts binary").toLocalIterator():
-        cells[r["lang"]] += np.frombuffer(bytes(r["cells"]), np.float32)
-        scripts[r["lang"]] += np.frombuffer(bytes(r["scripts"]))
+    for i, x in summed_arrays(picked.select("text", "lang", "id").mapInArrow(run, "key int, data binary"), len(langs)).items():
+        cells[i], scripts[i] = x[:cells.shape[1]], x[cells.shape[1]:]
     tables = cells.reshape(len(langs), len(ORDERS), -1)
     logs = np.log((tables + 0.1) / (tables.sum(axis=2, keepdims=True) + 0.1 * tables.shape[2]))
     logs -= logs.mean(axis=0)

@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lcarank.llm.common import arrow_rows, chunks, hash_spans, id_and_text, mix, window_hashes, word_spans
+from lcarank.llm.common import arrow_rows, chunks, hash_spans, id_and_text, mix, summed_arrays, window_hashes, word_spans
 from lcarank.session import materialize
 
-FEATURE_BITS, BAD = 18, 0.2
+FEATURE_BITS, SLICES, BAD = 18, 16, 0.2
 EM_ROUNDS, PRIOR = 100, 0.3
 #: Usual shares of the votes -1, 0, 1 in good and in bad texts.
 GOOD_VOTES, BAD_VOTES = (0.01, 0.3, 0.69), (0.25, 0.3, 0.45)
@@ -212,11 +212,11 @@ def fit(df: DataFrame, text_col: str = "text") -> dict:
                 sums[i] += np.bincount(c, weights=np.concatenate([own, own]), minlength=1 << FEATURE_BITS)
             seen = True
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([sums.astype(np.float32).tobytes()], pa.binary())], names=["sums"])
+            parts = sums.astype(np.float32).reshape(SLICES, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["key", "data"])
 
-    total = np.zeros((2, 1 << FEATURE_BITS))
-    for r in source.mapInArrow(count, "sums binary").toLocalIterator():
-        total += np.frombuffer(bytes(r["sums"]), np.float32).reshape(2, -1)
+    found = summed_arrays(source.mapInArrow(count, "key int, data binary"), SLICES)
+    total = np.concatenate([found[i] for i in range(SLICES)]).reshape(2, -1)
     share = (total + 1e-2) / (total.sum(axis=1, keepdims=True) + 1e-2 * total.shape[1])
     model["weights"] = np.clip(np.log(share[0]) - np.log(share[1]), -4, 4).astype(np.float32)
     return model

@@ -87,7 +87,7 @@ def seen_twice(source: DataFrame, keys_of: Callable[[Iterable[pa.RecordBatch]],
             yield _packed(np.concatenate(held), bits)
 
     bitmap = np.zeros((ROWS, SLICES, (1 << bits) // SLICES // 8), np.uint8)
-    for r in _merged(source.mapInArrow(run, "row int, slice int, cells binary"), bits).toLocalIterator():
+    for r in _merged(source.mapInArrow(run, "row int, slice int, cells binary"), bits).collect():
         bitmap[r["row"], r["slice"]] = np.frombuffer(bytes(r["cells"]), np.uint8)
     return bitmap.reshape(ROWS, -1)
 
