@@ -353,4 +353,4 @@ def one_of_each(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str
     an id cannot be told apart and stay."""
     classes = similarity_classes(df, id_col, text_col, rule)
     later = classes.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return df.join(later, id_col, "left_anti").select(*df.columns)
+    return df.join(later, id_col, "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))

@@ -26,6 +26,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lcarank.llm.common import chunks, hashed_words, mix, window_hashes, worker_state
 from lcarank.llm.scripts import SCRIPTS, letter_scripts
@@ -106,7 +107,7 @@ def measure(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
     lang = F.col(f"`{lang_col}`").cast("string") if lang_col else F.lit(None).cast("string")
     own = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row") if keep else F.col(f"`{id_col}`").alias("row")
     source = df.select(own, F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"), lang.alias("lang"))
-    kind = source.schema["row"].dataType.simpleString()
+    schema = T.StructType([T.StructField("row", source.schema["row"].dataType), *T.StructType.fromDDL(f"band string, {FIGURES}").fields])
     names = ["row", "band", *(x.split()[0] for x in FIGURES.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +124,7 @@ def measure(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
                     [rows, pa.array(band, pa.string()), *(pa.array(x, pa.int64()) for x in base.values()),
                      *(pa.array([f[i] for f in figures], pa.int64() if i == 0 else pa.float64()) for i in range(4))], names=names)
 
-    return source.mapInArrow(run, f"row {kind}, band string, {FIGURES}")
+    return source.mapInArrow(run, schema)
 
 
 def main_script(text: str) -> str:

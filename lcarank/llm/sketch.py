@@ -22,9 +22,14 @@ ROWS, MIN_BITS, MAX_BITS = 4, 20, 28
 SLICES, HELD = 16, 1 << 20
 
 
+#: Bytes taken for a table whose size the optimiser does not know (it says so by a size beyond 2 ** 60).
+UNKNOWN = 64 << 20
+
+
 def table_bytes(df: DataFrame) -> int:
-    """The optimiser's size of the table: its files' bytes."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimiser's size of the table: its files' bytes. It sets sketches' sizes, never results."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else UNKNOWN
 
 
 def bits_for(df: DataFrame, share: int) -> int:
