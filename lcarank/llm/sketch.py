@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lcarank.llm.common import mix
 
@@ -103,3 +104,27 @@ def maybe_twice(bitmap: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
         c = _cells(keys, row, bits)
         ok &= (bitmap[row][c >> np.uint32(3)] >> (c & np.uint32(7)).astype(np.uint8) & 1).astype(bool)
     return ok
+
+
+#: Cells of a filter of 64-bit keys (a bit for each).
+FILTER_BITS = 23
+
+
+def filter_cells(keys: np.ndarray) -> np.ndarray:
+    return (keys.astype(np.uint64, copy=False) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """Bits of the cells that the keys (one long column, spread evenly) fall in: 2 ** FILTER_BITS of them,
+    however many keys. It lets all of the keys pass, and few others while keys are fewer than cells."""
+    cell = F.shiftrightunsigned(F.col(keys.columns[0]), 64 - FILTER_BITS).cast("int")
+    cells = keys.select(cell.alias("cell")).distinct().groupBy(F.shiftright("cell", 12)).agg(F.collect_list("cell").alias("cells"))
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    for r in cells.collect():  # at most a row for each 4,096 cells
+        bits[r["cells"]] = True
+    return np.packbits(bits)
+
+
+def passes(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    c = filter_cells(keys)
+    return (packed[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)

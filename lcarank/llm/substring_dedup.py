@@ -24,6 +24,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -133,8 +134,13 @@ def _kept(words: list[bytes], hashed: bool) -> pa.Array:
     return pa.array([w if w is None or not hashed else hashlib.sha256(w).hexdigest().encode() for w in words], pa.binary())
 
 
+def _row_ids(ids: pa.Array, texts: list) -> np.ndarray:
+    """A number for each row from its id and text, to find it again in another scan."""
+    return np.array([xxhash.xxh3_64_intdigest(t or b"", xxhash.xxh3_64_intdigest(repr(i).encode())) for i, t in zip(ids.to_pylist(), texts, strict=True)], np.uint64)
+
+
 def _candidates(source: DataFrame, bitmap: np.ndarray, bits: int, hashed: bool) -> DataFrame:
-    """Per document: finished, or its text and the runs that may repeat elsewhere."""
+    """Per document: what is left if only its own repeats go, and the runs that may repeat elsewhere."""
     held = source.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(ids: pa.Array, texts: list) -> dict:
@@ -148,16 +154,14 @@ def _candidates(source: DataFrame, bitmap: np.ndarray, bits: int, hashed: bool)
             pa.Array.from_buffers(pa.binary(), len(maybe), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(8 * sizes)]).astype(np.int32).tobytes()),
                                                             pa.py_buffer(windows.astype("<u8").tobytes())])], fields=list(_RUN)))
         done = list(p.kept(p.repeats_inside()))
-        open_ = (each > 0).tolist()
         return {
-            "id": ids, "n_words": pa.array([x[0] for x in done], pa.int64()), "n_removed": pa.array([x[1] for x in done], pa.int64()),
-            "kept": _kept([None if o else x[2] for o, x in zip(open_, done, strict=True)], hashed),
-            "text": pa.array([t if o else None for o, t in zip(open_, texts, strict=True)], pa.binary()),
+            "id": ids, "rid": as_long(_row_ids(ids, texts)), "n_words": pa.array([x[0] for x in done], pa.int64()), "n_removed": pa.array([x[1] for x in done], pa.int64()),
+            "kept": _kept([x[2] for x in done], hashed),
             "runs": runs,
         }
 
     kind = source.schema["id"].dataType.simpleString()
-    return arrow_rows(source, run, f"id {kind}, n_words long, n_removed long, kept binary, text binary, runs array<{RUN}>", PIECE)
+    return arrow_rows(source, run, f"id {kind}, rid long, n_words long, n_removed long, kept binary, runs array<{RUN}>", PIECE)
 
 
 def _earlier(held: DataFrame, bits: int) -> DataFrame:
@@ -207,19 +211,33 @@ def _earlier(held: DataFrame, bits: int) -> DataFrame:
         .groupBy("rid").agg(F.collect_list(F.struct("no", F.when(F.col("id") > F.col("first"), F.lit(None)).otherwise(F.col("part")).alias("part"))).alias("gone"))
 
 
+def _again(source: DataFrame, gone: DataFrame) -> DataFrame:
+    """(id, rid, text) of the rows that ``gone`` names, and of the few others that its filter lets pass."""
+    bits = source.sparkSession.sparkContext.broadcast(sketch.key_filter(gone.select("rid")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, texts in chunks([batch]):
+                rids = _row_ids(ids, texts)
+                ok = sketch.passes(bits.value, rids)
+                yield pa.RecordBatch.from_arrays([ids.filter(pa.array(ok)), as_long(rids[ok]), pa.array([t for t, o in zip(texts, ok.tolist(), strict=True) if o], pa.binary())],
+                                                 names=["id", "rid", "text"])
+
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, rid long, text binary")
+
+
 def _finish(opened: DataFrame, id_type: str, hashed: bool) -> DataFrame:
     """Documents with runs to remove, from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone_all = batch.column(2)
             row = 0
             for ids, texts in chunks([batch], PIECE):
                 p = Piece(texts)
                 removed = p.repeats_inside()
                 base = np.searchsorted(p.doc, np.arange(len(texts)))
-                for d, gone in enumerate(gone_all.slice(row, len(texts)).to_pylist()):
-                    for x in gone or ():
+                for d, gone in enumerate(batch.column(2).slice(row, len(texts)).to_pylist()):
+                    for x in gone:
                         r = base[d] + x["no"]
                         if x["part"] is None:
                             removed[p.first[r]:p.first[r] + p.length[r]] = True
@@ -242,10 +260,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     source = id_and_text(df, id_col, text_col)
     bits = bits or sketch.bits_for(df, SKETCH_SHARE)
     found = _candidates(source, sketch.seen_twice(source, anchors, bits), bits, hashed)
-    held = materialize(found.withColumn("rid", F.monotonically_increasing_id()))
+    held = materialize(found)
     kind = source.schema["id"].dataType.simpleString()
-    opened = held.where("text is not null").select("rid", "id", "text").join(_earlier(held, bits), "rid", "left")
-    closed = held.where("text is null").select("id", "n_words", "n_removed", "kept")
+    gone = materialize(_earlier(held, bits))
+    opened = _again(source, gone).join(gone, "rid")
+    closed = held.join(gone.select("rid"), "rid", "left_anti").select("id", "n_words", "n_removed", "kept")
     kept = F.col("kept").cast("string").alias("kept_sha256" if hashed else "kept")
     return closed.unionByName(_finish(opened, kind, hashed)).select(F.col("id").alias(id_col), "n_words", "n_removed", kept)
 
