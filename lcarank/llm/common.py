@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
@@ -26,6 +27,20 @@ def worker_state(key: str, make: Callable[[], object]) -> object:
     return held[key]
 
 
+def tidy(fn: Callable) -> Callable:
+    """For functions over a task's batches: gives freed memory back to the system at the task's end, since a
+    worker may wait idle beside others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return run
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str, binary: bool = True) -> DataFrame:
     """The two columns that an operator reads, as ``id`` and ``text`` (UTF-8 bytes when ``binary``)."""
     text = F.col(f"`{text_col}`").cast("string")
@@ -53,6 +68,7 @@ def arrow_rows(df: DataFrame, fn: Callable[[pa.Array, list], dict], schema: str,
     """``fn(ids, texts)`` over pieces of the (id, text) frame ``df``; it returns columns by name."""
     names = [x.split()[0] for x in _fields(schema)]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in chunks(batches, most):
             out = fn(ids, texts)
@@ -141,6 +157,7 @@ def summed_arrays(parts: DataFrame, most: int) -> dict[int, np.ndarray]:
     """Sums of the float32 arrays in ``parts`` (key int, data binary), one for each key; ``most`` keys at
     most. Each key's arrays are added up in one task as they stream by, and only the sums are collected."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:

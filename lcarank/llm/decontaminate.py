@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lcarank.llm.common import arrow_rows, chunks, id_and_text, mix
+from lcarank.llm.common import arrow_rows, chunks, id_and_text, mix, tidy
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -243,6 +243,7 @@ def longest_matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for test in _blocks(benchmark, item_col, item_text_col, window):
         held = source.sparkSession.sparkContext.broadcast(vars(test))
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for ids, texts in chunks(batches, PIECE):
                 rows = [(i, *m) for i, ms in enumerate(Shard(TestItems.of(held), texts).matches()) for m in ms]

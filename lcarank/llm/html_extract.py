@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lcarank.llm.common import chunks
+from lcarank.llm.common import chunks, tidy
 
 THRESHOLD, MOSTLY_LINKS = 0.2, 0.5
 
@@ -286,6 +286,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     source = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{html_col}`").cast("string").alias("html"), F.col(f"`{url_col}`").alias("url"))
     kind, url_kind = (source.schema[c].dataType.simpleString() for c in ("id", "url"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, urls = 0, batch.column(2)

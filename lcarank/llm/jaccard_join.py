@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lcarank.llm import sketch
-from lcarank.llm.common import arrow_rows, chunks, hashed_words, id_and_text, mix, window_hashes
+from lcarank.llm.common import arrow_rows, chunks, hashed_words, id_and_text, mix, tidy, window_hashes
 from lcarank.session import materialize
 
 #: Largest boundary considered, and most subsets of one set.
@@ -114,6 +114,7 @@ def _survey(source: DataFrame, rule: Rule, bits: int) -> DataFrame:
     names = ["id", "n", "node", "slice", "counts"]
     kind = source.schema["id"].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, id_type = np.zeros(1 << bits, np.uint32), None
         for ids, texts in chunks(batches, PIECE):
@@ -134,6 +135,7 @@ def _levels(survey: DataFrame, bits: int) -> tuple[np.ndarray, float]:
     """Of each cell the bit length of its count (at most 2 ** MAX_BITS bytes); the count that a tenth
     of the cells in use stay below."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -200,6 +202,7 @@ def _shared_entries(listed: DataFrame, bits: int) -> DataFrame:
             for part in _parts(batch):
                 yield part.column("lists").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _parts(batch):
@@ -256,6 +259,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame, rule: Rule)
         bitmap[r["cells"]] = True
     held = source.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         want = np.unpackbits(held.value).astype(bool)
         for batch in batches:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lcarank.llm.common import arrow_rows, chunks, id_and_text, mix, summed_arrays
+from lcarank.llm.common import arrow_rows, chunks, id_and_text, mix, summed_arrays, tidy
 from lcarank.llm.scripts import SCRIPTS, code_points, script_table
 
 SAMPLE = 4000
@@ -90,6 +90,7 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     picked = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < rate[F.col("lang")] * 1_000_000)
     number = {lang: i for i, lang in enumerate(langs)}
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros((len(langs), len(ORDERS) << CELL_BITS), np.float64)
         scripts = np.zeros((len(langs), len(SCRIPTS)), np.float64)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lcarank.llm.common import arrow_rows, chunks, hash_spans, id_and_text, mix, summed_arrays, window_hashes, word_spans
+from lcarank.llm.common import arrow_rows, chunks, hash_spans, id_and_text, mix, summed_arrays, tidy, window_hashes, word_spans
 from lcarank.session import materialize
 
 FEATURE_BITS, SLICES, BAD = 18, 16, 0.2
@@ -201,6 +201,7 @@ def fit(df: DataFrame, text_col: str = "text") -> dict:
     model = fit_labellers(patterns)
     held = spark.sparkContext.broadcast(model)
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, seen = np.zeros((2, 1 << FEATURE_BITS)), False
         for _, texts in chunks(batches, PIECE):

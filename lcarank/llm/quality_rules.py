@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lcarank.llm.common import chunks, hashed_words, mix, window_hashes, worker_state
+from lcarank.llm.common import chunks, hashed_words, mix, tidy, window_hashes, worker_state
 from lcarank.llm.scripts import SCRIPTS, letter_scripts
 from lcarank.session import materialize
 
@@ -110,6 +110,7 @@ def measure(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
     schema = T.StructType([T.StructField("row", source.schema["row"].dataType), *T.StructType.fromDDL(f"band string, {FIGURES}").fields])
     names = ["row", "band", *(x.split()[0] for x in FIGURES.split(", "))]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = worker_state("fertility tokenizer", lambda: Tokenizer(held.value))
         for batch in batches:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lcarank.llm.common import mix
+from lcarank.llm.common import mix, tidy
 
 ROWS, MIN_BITS, MAX_BITS = 4, 20, 28
 #: Slices of a sketch row; keys held before a task writes what it has counted.
@@ -62,6 +62,7 @@ def _merged(cells: DataFrame, bits: int) -> DataFrame:
     """One bitmap per row and slice of the cells that were counted at least twice."""
     per_slice = bits - (SLICES.bit_length() - 1)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
@@ -81,6 +82,7 @@ def seen_twice(source: DataFrame, keys_of: Callable[[Iterable[pa.RecordBatch]],
     """The merged sketch of the keys that ``keys_of`` finds in the batches of ``source``: a bitmap for
     each row, at most ROWS * 2 ** MAX_BITS / 8 bytes in all."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for keys in keys_of(batches):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lcarank.llm import sketch
-from lcarank.llm.common import arrow_rows, as_long, chunks, hashed_words, id_and_text, mix, window_hashes
+from lcarank.llm.common import arrow_rows, as_long, chunks, hashed_words, id_and_text, mix, tidy, window_hashes
 from lcarank.session import materialize
 
 WINDOW, GRAM = 20, 8
@@ -180,6 +180,7 @@ def _earlier(held: DataFrame, bits: int) -> DataFrame:
 
     bitmap = held.sparkSession.sparkContext.broadcast(sketch.seen_twice(kinds.select("anchor"), anchors_of, bits))
 
+    @tidy
     def at_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(sketch.maybe_twice(bitmap.value, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits)))
@@ -188,6 +189,7 @@ def _earlier(held: DataFrame, bits: int) -> DataFrame:
     near = runs.select("anchor", "key", F.col("id").alias("first"), "windows").mapInArrow(at_edges, f"anchor long, key long, first {kind}, windows binary")
     edges = near.join(edges, ["anchor", "key", "first"], "left_semi").dropDuplicates(["anchor", "key"])
 
+    @tidy
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = np.array([len(x) // 8 for x in batch.column(3).to_pylist()], np.int64)
@@ -215,6 +217,7 @@ def _again(source: DataFrame, gone: DataFrame) -> DataFrame:
     """(id, rid, text) of the rows that ``gone`` names, and of the few others that its filter lets pass."""
     bits = source.sparkSession.sparkContext.broadcast(sketch.key_filter(gone.select("rid")))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts in chunks([batch]):
@@ -229,6 +232,7 @@ def _again(source: DataFrame, gone: DataFrame) -> DataFrame:
 def _finish(opened: DataFrame, id_type: str, hashed: bool) -> DataFrame:
     """Documents with runs to remove, from their texts."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row = 0

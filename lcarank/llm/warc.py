@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lcarank.llm.common import CHUNK_BYTES
+from lcarank.llm.common import CHUNK_BYTES, tidy
 from lcarank.session import ensure_checkpoint_dir, materialize
 
 MIN_REVISIT = 100
@@ -89,6 +89,7 @@ def plan_captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 def write_archives(captures: DataFrame, path: str) -> None:
     """WARC files of the rows of ``plan_captures``. A capture is named by its page and payload."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         info = make_record("warcinfo", record_id("file", path), b"software: lcarank\r\nformat: WARC File Format 1.1\r\n",
                            [("Content-Type", "application/warc-fields")])
@@ -176,6 +177,7 @@ def read_records(spark: SparkSession, path: str, payloads: bool = False) -> Data
     responses; ``fields`` is the block of metadata; ``payload`` comes only if asked for."""
     names = [x.split()[0] for x in RECORD.split(", ")] + ["payload"] * payloads
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"n_bytes": pa.int64(), "payload": pa.binary()}
         pack = lambda rows: pa.RecordBatch.from_arrays(
