@@ -125,8 +125,8 @@ def anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield a[new]
 
 
-RUN = "struct<no:int,anchor:long,key:long,windows:binary>"
-_RUN = pa.struct([("no", pa.int32()), ("anchor", pa.int64()), ("key", pa.int64()), ("windows", pa.binary())])
+RUN = "struct<no:int,anchor:long,key:long>"
+_RUN = pa.struct([("no", pa.int32()), ("anchor", pa.int64()), ("key", pa.int64())])
 
 
 def _kept(words: list[bytes], hashed: bool) -> pa.Array:
@@ -148,11 +148,8 @@ def _candidates(source: DataFrame, bitmap: np.ndarray, bits: int, hashed: bool)
         maybe = np.flatnonzero(sketch.maybe_twice(held.value, p.anchor, bits))
         each = np.bincount(p.doc[maybe], minlength=len(texts)).astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(each)]).astype(np.int32)
-        windows, sizes = p.windows_of(maybe)
         runs = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([
-            pa.array((maybe - np.searchsorted(p.doc, p.doc[maybe])).astype(np.int32)), as_long(p.anchor[maybe]), as_long(p.run_keys()[maybe]),
-            pa.Array.from_buffers(pa.binary(), len(maybe), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(8 * sizes)]).astype(np.int32).tobytes()),
-                                                            pa.py_buffer(windows.astype("<u8").tobytes())])], fields=list(_RUN)))
+            pa.array((maybe - np.searchsorted(p.doc, p.doc[maybe])).astype(np.int32)), as_long(p.anchor[maybe]), as_long(p.run_keys()[maybe])], fields=list(_RUN)))
         done = list(p.kept(p.repeats_inside()))
         return {
             "id": ids, "rid": as_long(_row_ids(ids, texts)), "n_words": pa.array([x[0] for x in done], pa.int64()), "n_removed": pa.array([x[1] for x in done], pa.int64()),
@@ -164,11 +161,11 @@ def _candidates(source: DataFrame, bitmap: np.ndarray, bits: int, hashed: bool)
     return arrow_rows(source, run, f"id {kind}, rid long, n_words long, n_removed long, kept binary, runs array<{RUN}>", PIECE)
 
 
-def _earlier(held: DataFrame, bits: int) -> DataFrame:
+def _earlier(held: DataFrame, source: DataFrame, bits: int) -> DataFrame:
     """Per row ``rid``: ``gone``, the runs that stand in an earlier document as a whole (``part`` null)
     or in the windows numbered in ``part``."""
     runs = held.where(F.size("runs") > 0).select("rid", "id", F.explode("runs").alias("run")) \
-        .select("rid", "id", "run.no", "run.anchor", "run.key", "run.windows")
+        .select("rid", "id", "run.no", "run.anchor", "run.key")
     kinds = materialize(runs.groupBy("anchor", "key").agg(F.min("id").alias("first"), F.max("id").alias("last")))
     several = kinds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     edges = kinds.join(several, "anchor", "left_semi").select("anchor", "key", "first")
@@ -182,11 +179,18 @@ def _earlier(held: DataFrame, bits: int) -> DataFrame:
 
     @tidy
     def at_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(sketch.maybe_twice(bitmap.value, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits)))
+        for ids, texts in chunks(batches, PIECE):
+            p = Piece(texts)
+            some = np.flatnonzero(sketch.maybe_twice(bitmap.value, p.anchor, bits))
+            windows, sizes = p.windows_of(some)
+            ends = np.concatenate([[0], np.cumsum(8 * sizes)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [as_long(p.anchor[some]), as_long(p.run_keys()[some]), ids.take(pa.array(p.doc[some])),
+                 pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(windows.astype("<u8").tobytes())])],
+                names=["anchor", "key", "first", "windows"])
 
     kind = held.schema["id"].dataType.simpleString()
-    near = runs.select("anchor", "key", F.col("id").alias("first"), "windows").mapInArrow(at_edges, f"anchor long, key long, first {kind}, windows binary")
+    near = source.mapInArrow(at_edges, f"anchor long, key long, first {kind}, windows binary")
     edges = near.join(edges, ["anchor", "key", "first"], "left_semi").dropDuplicates(["anchor", "key"])
 
     @tidy
@@ -266,7 +270,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = _candidates(source, sketch.seen_twice(source, anchors, bits), bits, hashed)
     held = materialize(found)
     kind = source.schema["id"].dataType.simpleString()
-    gone = materialize(_earlier(held, bits))
+    gone = materialize(_earlier(held, source, bits))
     opened = _again(source, gone).join(gone, "rid")
     closed = held.join(gone.select("rid"), "rid", "left_anti").select("id", "n_words", "n_removed", "kept")
     kept = F.col("kept").cast("string").alias("kept_sha256" if hashed else "kept")
