@@ -45,7 +45,7 @@ from lcarank.session import materialize
 
 #: Largest boundary considered, and most subsets of one set.
 LIGHT_MAX, SUBSETS_MAX = 40, 1000
-SLICES, SKETCH_SHARE, MIN_BITS, MAX_BITS = 16, 128, 16, 24
+SLICES, SKETCH_SHARE, MIN_BITS, MAX_BITS = 16, 1024, 16, 24
 PIECE = 1 << 20
 #: Bits of a set's parity map, and of its folded form inside joins.
 MAP_BITS, FOLDED_BITS = 2048, 256
@@ -241,9 +241,23 @@ def _apart(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series(np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int32))
 
 
-def _sized_up(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+def _details(listed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Size and maps of the ``nodes`` (one column), a row each; a filter keeps most others from moving."""
+    bits = listed.sparkSession.sparkContext.broadcast(sketch.key_filter(nodes))
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(sketch.passes(bits.value, batch.column(0).to_numpy(zero_copy_only=False))))
+
+    folded = [f"m{i}" for i in range(FOLDED_BITS // 64)]
+    rows = listed.select("node", "n", *folded, "map")
+    return materialize(rows.mapInArrow(run, f"node long, n int, {', '.join(f'{m} long' for m in folded)}, map binary").dropDuplicates(["node"]))
+
+
+def _sized_up(pairs: DataFrame, details: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b) of nodes that sizes and parity maps allow."""
-    return pairs.join(nodes.alias("x"), F.col("a") == F.col("x.node")).join(nodes.alias("y"), F.col("b") == F.col("y.node")) \
+    return pairs.join(details.alias("x"), F.col("a") == F.col("x.node")).join(details.alias("y"), F.col("b") == F.col("y.node")) \
         .where(_near("x", "y", rule)).where(_apart("x.map", "y.map") <= _may_differ(F.col("x.n"), F.col("y.n"), rule)).select("a", "b")
 
 
@@ -309,8 +323,7 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         light = rule.boundary(sizes, scanned)
 
     listed = materialize(_listed(source, rule, levels, bits, light).where("node is not null"))
-    nodes = materialize(listed.groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"),
-                                       *(F.min(f"m{i}").alias(f"m{i}") for i in range(FOLDED_BITS // 64)), F.first("map").alias("map")))
+    nodes = materialize(listed.groupBy("node").agg(F.min("id").alias("id")))
     entries = materialize(_shared_entries(listed, sketch.bits_for(df, LIST_SHARE)))
     shared = entries.groupBy("list").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
     # Per list and node, once: rows = documents with the set.
@@ -322,18 +335,22 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     with_hub = members.join(top, "list")
     ordered = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     pairs = with_hub.select(*ordered("node", "hub")).union(members.select(*ordered("node", "least"))).where("a < b").distinct()
-    links = materialize(_verified(materialize(_sized_up(pairs, nodes, rule)), nodes, source, rule))
+    pairs = materialize(pairs)
+    details = _details(listed, pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    links = materialize(_verified(materialize(_sized_up(pairs, details, rule)), nodes, source, rule))
 
     # Lists whose other members are in different classes: the pairs across classes.
     labels = components(links)
     rest = with_hub.where("node != hub and node != least").join(labels, "node", "left") \
         .select("list", "node", F.coalesce("label", "node").alias("label"))
     open_ = rest.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("list")
-    left = materialize(rest.join(open_, "list", "left_semi").join(nodes.drop("id", "map"), "node").distinct())
+    left = materialize(rest.join(open_, "list", "left_semi").distinct())
+    details = _details(listed, left.select("node"))
+    left = materialize(left.join(details.drop("map"), "node"))
     across = left.alias("x").join(left.alias("y"), (F.col("x.list") == F.col("y.list")) & (F.col("x.node") < F.col("y.node"))
                                   & (F.col("x.label") != F.col("y.label")) & _near("x", "y", rule)) \
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    across = materialize(_sized_up(across, nodes, rule))
+    across = materialize(_sized_up(across, details, rule))
     if not across.isEmpty():
         more = _verified(across, nodes, source, rule)
         found = labels.select(F.col("node").alias("a"), F.col("label").alias("x")), labels.select(F.col("node").alias("b"), F.col("label").alias("y"))
