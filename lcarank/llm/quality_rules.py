@@ -5,9 +5,17 @@ Three figures of a text under a public vocabulary with byte fallback: characters
 and spread (median and median absolute deviation) are taken over the whole table for each language
 (the language column; where it is null, the script of most letters) and each half octave of token
 counts, since entropy grows with length. A text is rejected if a figure lies BAND spreads from the
-middle: fertility on either side, byte share above, entropy below (mixed languages raise it). Groups of fewer than LEAST texts take the bands of the
-language over all lengths; if those are too few as well, nothing is rejected. SPREAD keeps bands from closing where
-texts are alike.
+middle: fertility on either side, byte share above, entropy below (mixed languages raise it). SPREAD
+keeps bands from closing where texts are alike.
+
+Cells (language and half octave) of fewer than LEAST texts take bands as a function of length.
+Neighbouring such cells of a language are put together, from short to long, until they have LEAST
+texts. With the full cells they are knots at their median log2 of tokens; between knots the middle
+runs straight. Below the first knot entropy runs straight to 0 at one token (it is concave, so the
+line lies under clean texts); fertility and byte share stay as they are, and beyond the last knot all
+do. The spread is the knot's own, taken about that line, or the larger one of the two knots beside;
+for texts shorter than a knot, fertility and byte share spread with the square root of the ratio of
+tokens. A language of fewer than LEAST texts has no knot, and nothing of it is rejected.
 
 Base rules: fewer than LEAST_WORDS words, or more than REPEATED percent of the words in 5-word windows
 that occur twice or more in the text.
@@ -22,6 +30,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame
@@ -134,14 +143,88 @@ def main_script(text: str) -> str:
 
 
 def bands(figures: DataFrame) -> DataFrame:
-    """Per ``band`` and ``size`` (-1: all sizes): middle and spread of every figure, and the ``texts`` in it."""
-    sized = figures.where("n_tokens > 0").select("band", _size().alias("size"), *SPREAD)
-    every = sized.unionByName(sized.withColumn("size", F.lit(-1)))
-    middle = every.groupBy("band", "size").agg(F.count("*").alias("texts"), *(F.percentile_approx(c, 0.5, 1000).alias(f"{c}_mid") for c in SPREAD))
-    off = every.join(middle, ["band", "size"]).withColumns({c: F.abs(F.col(c) - F.col(f"{c}_mid")) for c in SPREAD})
-    return off.groupBy("band", "size").agg(
-        F.first("texts").alias("texts"), *(F.first(f"{c}_mid").alias(f"{c}_mid") for c in SPREAD),
-        *(F.greatest(1.4826 * F.percentile_approx(c, 0.5, 1000), F.lit(least)).alias(f"{c}_spread") for c, least in SPREAD.items()))
+    """Per ``band`` and ``size``: of every figure the middle as a line over log2 n_tokens (``_base``,
+    ``_slope``; flat for cells of LEAST texts or more), and its ``_spread``."""
+    sized = figures.where("n_tokens > 0").select("band", _size().alias("size"), F.log2("n_tokens").alias("x"), *SPREAD)
+    cells = sized.groupBy("band", "size").agg(F.count("*").alias("texts"))
+    binned = materialize(cells.groupBy("band").applyInPandas(_bins, "band string, size int, bin int, own boolean"))
+    median = lambda c: F.percentile_approx(c, 0.5, 1000)
+    in_bins = sized.join(binned.where("bin >= 0"), ["band", "size"])
+    middle = in_bins.groupBy("band", "bin").agg(median("x").alias("x"), *(median(c).alias(c) for c in SPREAD))
+    line = ", ".join(f"{c}_base double, {c}_slope double" for c in SPREAD)
+    lines = materialize(binned.join(middle, ["band", "bin"], "left").groupBy("band").applyInPandas(
+        _lines, f"band string, size int, bin int, own boolean, x double, {line}"))
+    off = sized.join(lines.where("bin >= 0").drop("x"), ["band", "size"]) \
+        .withColumns({c: F.abs(F.col(c) - _middle(c, "x")) for c in SPREAD})
+    spread = off.groupBy("band", "bin").agg(*((1.4826 * median(c)).alias(f"{c}_spread") for c in SPREAD))
+    return lines.join(spread, ["band", "bin"], "left").groupBy("band").applyInPandas(
+        _spreads, f"band string, size int, {line}, {', '.join(f'{c}_spread double' for c in SPREAD)}")
+
+
+def _middle(figure: str, x: str) -> Column:
+    return F.col(f"{figure}_base") + F.col(f"{figure}_slope") * F.col(x)
+
+
+def _bins(cells: pd.DataFrame) -> pd.DataFrame:
+    """Of one band: the bin of every size (its first size; -1: none), and whether it has LEAST texts by itself."""
+    cells = cells.sort_values("size").reset_index(drop=True)
+    own, bin_ = (cells["texts"] >= LEAST).to_numpy(), np.full(len(cells), -1)
+    start, held = 0, 0
+    for i, (size, texts) in enumerate(zip(cells["size"], cells["texts"], strict=True)):
+        if own[i]:
+            bin_[i], start, held = size, i + 1, 0
+        elif (held := held + texts) >= LEAST:
+            bin_[start:i + 1], start, held = cells["size"][start], i + 1, 0
+    return pd.DataFrame({"band": cells["band"], "size": cells["size"], "bin": bin_, "own": own})
+
+
+def _knots(cells: pd.DataFrame) -> pd.DataFrame:
+    """Of one band: a row for each bin, by length."""
+    return cells[cells["bin"] >= 0].drop_duplicates("bin").sort_values("x")
+
+
+def _lines(cells: pd.DataFrame) -> pd.DataFrame:
+    """Of one band: the middles of every size as lines."""
+    cells = cells.sort_values("size").reset_index(drop=True)
+    knots = _knots(cells)
+    if not len(knots):
+        return cells.iloc[:0].reindex(columns=[*_LINE_COLUMNS])
+    for c in SPREAD:
+        xs, ys = knots["x"].tolist(), knots[c].tolist()
+        # Ends: entropy comes from 0 at one token, the others are flat below; all are flat above.
+        xs, ys = [0.0, *xs, 64.0], [0.0 if c == "entropy" else ys[0], *ys, ys[-1]]
+        base, slope = [], []
+        for size, own, y in zip(cells["size"], cells["own"], cells[c], strict=True):
+            at = max(1, int(np.searchsorted(xs, _center(size))))
+            flat = own or xs[at] <= xs[at - 1]
+            slope.append(0.0 if flat else (ys[at] - ys[at - 1]) / (xs[at] - xs[at - 1]))
+            base.append(y if own else ys[at] - slope[-1] * xs[at])
+        cells[f"{c}_base"], cells[f"{c}_slope"] = base, slope
+    return cells[[*_LINE_COLUMNS]]
+
+
+def _spreads(cells: pd.DataFrame) -> pd.DataFrame:
+    """Of one band: the spreads of every size."""
+    cells = cells.sort_values("size").reset_index(drop=True)
+    knots = _knots(cells)
+    for c, least in SPREAD.items():
+        xs, spreads, out = knots["x"].tolist(), knots[f"{c}_spread"].tolist(), []
+        for size, bin_, own, x, spread in zip(cells["size"], cells["bin"], cells["own"], cells["x"], cells[f"{c}_spread"], strict=True):
+            at = int(np.searchsorted(xs, _center(size)))
+            near = [(x, spread)] if bin_ >= 0 else list(zip(xs, spreads, strict=True))[max(0, at - 1):at + 1]
+            # Sampling noise of a mean over tokens; entropy's line lies low enough for short texts.
+            wider = lambda k: 1.0 if own or c == "entropy" else max(1.0, 2 ** ((k - _center(size)) / 2))  # noqa: B023, E731
+            out.append(max(least, *(s * wider(k) for k, s in near)))
+        cells[f"{c}_spread"] = out
+    return cells[["band", "size", *(f"{c}_{x}" for c in SPREAD for x in ("base", "slope")), *(f"{c}_spread" for c in SPREAD)]]
+
+
+_LINE_COLUMNS = ("band", "size", "bin", "own", "x", *(f"{c}_{x}" for c in SPREAD for x in ("base", "slope")))
+
+
+def _center(size: int) -> float:
+    """log2 of the tokens in the middle of a half octave."""
+    return size / 2 + 0.25
 
 
 def _size() -> Column:
@@ -155,15 +238,14 @@ def base_failed() -> Column:
 def judged(figures: DataFrame) -> DataFrame:
     """``figures`` with ``base_failed`` and ``kept``. Bands are a few hundred rows (languages times half
     octaves of length) and meet the figures by an equi-join that Spark plans by their size."""
-    limits = materialize(bands(figures).where(f"texts >= {LEAST}"))
-    own, every = limits.where("size >= 0"), limits.where("size < 0").drop("size")
-    named = lambda d, p: d.select(*(F.col(c).alias(c if c in ("band", "size") else f"{p}_{c}") for c in d.columns))
-    joined = figures.withColumn("size", _size()).join(named(own, "own"), ["band", "size"], "left").join(named(every, "all"), "band", "left")
+    limits = materialize(bands(figures))
+    named = limits.select("band", "size", *(F.col(c).alias(f"limit_{c}") for c in limits.columns if c not in ("band", "size")))
+    joined = figures.withColumn("size", _size()).join(named, ["band", "size"], "left")
     out = F.lit(False)
     for c in SPREAD:
-        mid, spread = (F.coalesce(F.col(f"own_{c}_{x}"), F.col(f"all_{c}_{x}")) for x in ("mid", "spread"))
+        mid = F.col(f"limit_{c}_base") + F.col(f"limit_{c}_slope") * F.log2("n_tokens")
         far = {"fertility": F.abs(F.col(c) - mid), "byte_share": F.col(c) - mid, "entropy": mid - F.col(c)}[c]
-        out = out | F.coalesce(far > BAND * spread, F.lit(False))
+        out = out | F.coalesce(far > BAND * F.col(f"limit_{c}_spread"), F.lit(False))
     return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~out) \
         .select(*figures.columns, "base_failed", "kept")
 

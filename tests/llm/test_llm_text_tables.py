@@ -227,6 +227,20 @@ def test_quality_bands_reject_what_lies_far(spark):
     assert not got[900] and sum(got[i] for i in range(80)) >= 78
 
 
+def test_quality_bands_of_thin_cells_follow_length(spark):
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(["ka", "mo", "ti", "su", "re", "na", "lo"], 3)) for _ in range(300)]
+    make = lambda n: " ".join(rng.choice(words, n))
+    rows = [(i, make(int(rng.integers(280, 320))), "en") for i in range(80)]
+    rows += [(100 + i, make(10 + i % 11), "en") for i in range(12)] + [(200 + i, make(1200), "en") for i in range(4)]
+    rows += [(300, "to be or " * 5 + "not", "en"), (301, " ".join(f"\u16a0{c}\u16b1" for c in "abcdefghijklmn"), "en")]
+    rows += [(400 + i, make(10 + 3 * i), "es") for i in range(36)] + [(500 + i, make(12), "xx") for i in range(5)]
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.digest(spark.createDataFrame(rows, "doc_id long, text string, lang string"), _model()).collect()}
+    assert all(got[100 + i] for i in range(12)) and all(got[200 + i] for i in range(4))
+    assert not got[300] and not got[301]
+    assert sum(got[400 + i] for i in range(36)) >= 34 and all(got[500 + i] for i in range(5))
+
+
 def test_language_model_learns_and_splits(spark, docs):
     rng = np.random.default_rng(3)
     make = lambda stems, n: " ".join("".join(rng.choice(stems, 2)) for _ in range(n))
