@@ -6,7 +6,8 @@ and spread (median and median absolute deviation) are taken over the whole table
 (the language column; where it is null, the script of most letters) and each half octave of token
 counts, since entropy grows with length. A text is rejected if a figure lies BAND spreads from the
 middle: fertility on either side, byte share above, entropy below (mixed languages raise it). SPREAD
-keeps bands from closing where texts are alike.
+keeps bands from closing where texts are alike. Copies of a text count once in a language's statistics
+(by a 64-bit hash of the text) and are judged one by one; near copies count each.
 
 Cells (language and half octave) of fewer than LEAST texts take bands as a function of length.
 Neighbouring such cells of a language are put together, from short to long, until they have LEAST
@@ -103,19 +104,20 @@ class Tokenizer:
         return len(ids), len(text) / len(ids), float(self.is_byte[ids].mean()), float(-(n * np.log2(n)).sum())
 
 
-FIGURES = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, "
+FIGURES = ("text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, "
            "fertility double, byte_share double, entropy double")
 
 
 def measure(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang",
             keep: bool = False) -> DataFrame:
-    """Per row: id, ``band`` (language or script), the base counts and the tokenizer's figures; with
+    """Per row: id, ``band`` (language or script), a hash of the text, the base counts and the tokenizer's figures; with
     ``keep`` the row itself as ``row`` instead of the id."""
     with open(model_path, "rb") as f:
         held = df.sparkSession.sparkContext.broadcast(f.read())
     lang = F.col(f"`{lang_col}`").cast("string") if lang_col else F.lit(None).cast("string")
     own = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row") if keep else F.col(f"`{id_col}`").alias("row")
-    source = df.select(own, F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"), lang.alias("lang"))
+    text = F.col(f"`{text_col}`").cast("string").cast("binary")
+    source = df.select(own, text.alias("text"), lang.alias("lang"), F.xxhash64(text).alias("text_hash"))
     schema = T.StructType([T.StructField("row", source.schema["row"].dataType), *T.StructType.fromDDL(f"band string, {FIGURES}").fields])
     names = ["row", "band", *(x.split()[0] for x in FIGURES.split(", "))]
 
@@ -123,15 +125,16 @@ def measure(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = worker_state("fertility tokenizer", lambda: Tokenizer(held.value))
         for batch in batches:
-            at, langs = 0, batch.column(2)
+            at, langs, hashes = 0, batch.column(2), batch.column(3)
             for rows, texts in chunks([batch], PIECE):
                 base = base_counts(texts)
                 whole = [(t or b"").decode() for t in texts]
                 figures = [tokenizer.figures(t) for t in whole]
                 band = [x or main_script(t) for x, t in zip(langs.slice(at, len(texts)).to_pylist(), whole, strict=True)]
+                text_hash = hashes.slice(at, len(texts))
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [rows, pa.array(band, pa.string()), *(pa.array(x, pa.int64()) for x in base.values()),
+                    [rows, pa.array(band, pa.string()), text_hash, *(pa.array(x, pa.int64()) for x in base.values()),
                      *(pa.array([f[i] for f in figures], pa.int64() if i == 0 else pa.float64()) for i in range(4))], names=names)
 
     return source.mapInArrow(run, schema)
@@ -143,9 +146,10 @@ def main_script(text: str) -> str:
 
 
 def bands(figures: DataFrame) -> DataFrame:
-    """Per ``band`` and ``size``: of every figure the middle as a line over log2 n_tokens (``_base``,
+    """Per ``band`` and ``size``, over distinct texts: of every figure the middle as a line over log2 n_tokens (``_base``,
     ``_slope``; flat for cells of LEAST texts or more), and its ``_spread``."""
-    sized = figures.where("n_tokens > 0").select("band", _size().alias("size"), F.log2("n_tokens").alias("x"), *SPREAD)
+    once = figures.where("n_tokens > 0").groupBy("band", "text_hash").agg(*(F.first(c).alias(c) for c in ("n_tokens", *SPREAD)))
+    sized = materialize(once.select("band", _size().alias("size"), F.log2("n_tokens").alias("x"), *SPREAD))
     cells = sized.groupBy("band", "size").agg(F.count("*").alias("texts"))
     binned = materialize(cells.groupBy("band").applyInPandas(_bins, "band string, size int, bin int, own boolean"))
     median = lambda c: F.percentile_approx(c, 0.5, 1000)

@@ -241,6 +241,19 @@ def test_quality_bands_of_thin_cells_follow_length(spark):
     assert sum(got[400 + i] for i in range(36)) >= 34 and all(got[500 + i] for i in range(5))
 
 
+def test_quality_bands_count_copies_once(spark):
+    rng = np.random.default_rng(12)
+    words = ["".join(rng.choice(["ka", "mo", "ti", "su", "re", "na", "lo"], 3)) for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(words[:4 + i // 4], 200)), "en") for i in range(120)] + [(900, "to be or not " * 50, "en")]
+    kept = []
+    for copies in (0, 3000):
+        df = spark.createDataFrame(rows + [(1000 + i, rows[119][1], "en") for i in range(copies)], "doc_id long, text string, lang string")
+        got = {r["doc_id"]: r["kept"] for r in quality_rules.digest(df.repartition(4), _model()).collect()}
+        assert len(got) == len(rows) + copies and all(got[1000 + i] == got[119] for i in range(copies))
+        kept.append({i: got[i] for i, *_ in rows})
+    assert kept[0] == kept[1] and sum(kept[0].values()) >= 60
+
+
 def test_language_model_learns_and_splits(spark, docs):
     rng = np.random.default_rng(3)
     make = lambda stems, n: " ".join("".join(rng.choice(stems, 2)) for _ in range(n))
