@@ -9,7 +9,7 @@ Prediction. A word's score for a language is the mean-free log-likelihood of its
 WEIGHT of it; languages that do not write the script of most of its letters (less than SCRIPT_SHARE
 of their own) are out. Words without letters are neutral. The path of languages over the words that
 maximises the sum of scores, less SWITCH for every change, labels spans (Viterbi). Where no stretch of
-words would repay a single change, the best single language is that path, and the search is left out.
+words would repay half a change, the best single language is that path, and the search is left out.
 A text's language has the most letters in its path; ``score`` is their share.
 
 Null texts and texts without letters are ``und`` with score 0. Null languages teach nothing. Ties go
@@ -165,7 +165,8 @@ def paths(w: Words, model: dict) -> np.ndarray:
     sums[has] = np.add.reduceat(scores, w.base[:-1][has], axis=0)
     single = sums.argmax(axis=1)
     path = single[doc]
-    # The most that a stretch of words gains in any other language: the largest rise of the running sum.
+    # The most that a stretch of words gains in any other language: the largest rise of the running sum. A path
+    # of m switches has m + 1 such stretches at most, so none pays if each gains less than SWITCH / 2.
     worth = np.zeros(len(w.counts), bool)
     own = scores[np.arange(len(doc)), path]
     for lang in range(scores.shape[1]):
@@ -174,7 +175,7 @@ def paths(w: Words, model: dict) -> np.ndarray:
             s = run[w.base[d]:w.base[d + 1]]
             before = run[w.base[d] - 1] if w.base[d] else 0.0
             low = np.minimum.accumulate(np.concatenate([[before], s[:-1]]))
-            worth[d] |= (s - low).max() >= SWITCH
+            worth[d] |= (s - low).max() >= SWITCH / 2
     for d in np.flatnonzero(worth):
         path[w.base[d]:w.base[d + 1]] = best_path(scores[w.base[d]:w.base[d + 1]])
     return path

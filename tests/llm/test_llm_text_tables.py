@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -285,6 +286,23 @@ def test_viterbi_shortcut_equals_full_search(spark):
         assert tuple(language_id.best_path(scores[:len(best)])) == best
 
 
+def test_paths_equal_full_search(monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [np.array([[0, -4, -1.0]] * 5 + [[-4, 0, -1.0]] * 5)]  # two languages, neither the best single one
+    texts += [rng.normal(0, rng.uniform(0.5, 4), (int(rng.integers(1, 15)), 3)) for _ in range(300)]
+    counts = np.array([len(x) for x in texts])
+    w = SimpleNamespace(counts=counts, base=np.concatenate([[0], np.cumsum(counts)]), texts=lambda: np.repeat(np.arange(len(counts)), counts))
+    monkeypatch.setattr(language_id, "word_scores", lambda w, model: np.concatenate(texts))
+    got = language_id.paths(w, {})
+    assert got[:10].tolist() == [0] * 5 + [1] * 5
+
+    def value(scores, path):
+        return scores[np.arange(len(path)), path].sum() - language_id.SWITCH * (path[1:] != path[:-1]).sum()
+
+    for d, scores in enumerate(texts):
+        assert np.isclose(value(scores, got[w.base[d]:w.base[d + 1]]), value(scores, language_id.best_path(scores)))
+
+
 def test_classifier_tells_marked_and_repeated_texts(spark, docs):
     rng = np.random.default_rng(2)
     good = [(i, _prose(rng, 120).replace("w", "word").capitalize()) for i in range(60)]
