@@ -5,7 +5,8 @@ address, Luhn for cards, mod-97 for IBANs, digit counts for phones) adds CONFIRM
 of the kind within CONTEXT code points on either side adds NEARBY. Spans that reach THRESHOLD stay.
 Kinds with a validator must pass it: a failing match is dropped and not retried. The four base kinds
 reach the threshold by the validator alone; ``phone_local`` (a national number without ``+``) has no
-checksum and needs a context word, ``iban`` needs its checksum.
+checksum and needs a context word, ``iban`` needs its checksum. An IBAN ends at the length of its
+country (IBAN_LENGTHS), so that a following word in capitals stays out; the scan goes on from there.
 
 Null and empty texts have no spans. Repeated rows give repeated results. Any text length works: every
 pattern is scanned in time linear in the text. Offsets are code points, the end exclusive.
@@ -33,6 +34,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+IBAN_LENGTHS = {x[:2]: int(x[2:]) for x in """AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24
+DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27
+JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29
+PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30""".split()}
 _PHONE_LOCAL = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-]*[0-9])")
 _DIGIT = re.compile(r"[0-9]")
 _NON_DIGIT = re.compile(r"[^0-9]")
@@ -77,6 +82,21 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", floor)
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    at = 0
+    while m := _IBAN.search(text, at):
+        found, at = m.group(), m.end()
+        n = IBAN_LENGTHS.get(found[:2])
+        if n is not None:
+            ends = [i + 1 for i, c in enumerate(found) if c != " "]
+            cut = ends[n - 1] if len(ends) >= n else 0
+            if not cut or found[cut:cut + 1].isalnum():  # too short, or it ends within a word
+                continue
+            found, at = found[:cut], m.start() + cut
+        if 15 <= len(code := found.replace(" ", "")) <= 34 and mod97(code):
+            yield m.start(), at
+
+
 def _digits(s: str) -> str:
     return _NON_DIGIT.sub("", s)
 
@@ -98,9 +118,8 @@ def proposals(text: str) -> Iterator[tuple[str, int, int, bool]]:
         for m in _PHONE.finditer(text):
             if 9 <= len(_digits(m.group())) <= 15:
                 yield "phone", m.start(), m.end(), True
-    for m in _IBAN.finditer(text):
-        if 15 <= len(code := m.group().replace(" ", "")) <= 34 and mod97(code):
-            yield "iban", m.start(), m.end(), True
+    for s, e in _ibans(text):
+        yield "iban", s, e, True
     for m in _PHONE_LOCAL.finditer(text):
         yield "phone_local", m.start(), m.end(), False
 

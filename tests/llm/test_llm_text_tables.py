@@ -324,6 +324,16 @@ def test_em_recovers_accuracies():
     assert abs(model["share"] - 0.8) < 0.05 and model["good"][-1, 2] > model["good"][0, 2] > 0.6
 
 
+def test_ibans_end_at_their_countrys_length():
+    be, es, de = "BE68 5390 0754 7034", "ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00"
+    found = lambda text: [text[s:e] for kind, s, e, _ in pii.find_spans(text) if kind == "iban"]
+    for iban in (be, es, de, be.replace(" ", "")):
+        for after in ("", " BIC", " OR", " BANK NAME", " ABCDEFGH", ", then"):
+            assert found(f"pay {iban}{after}") == [iban]
+    assert found(f"{be} {es} {be}") == [be, es, be]
+    assert found("BE68 5390 0754 7035 BIC") == found("BE68539007547034BIC") == found("BE68 5390 0754") == []
+
+
 def test_operators_take_empty_tables(spark, empty):
     bench = spark.createDataFrame([], "item_id long, text string")
     for df in (jaccard_join.similarity_classes(empty), substring_dedup.digest(empty), decontaminate.digest(empty, bench),
