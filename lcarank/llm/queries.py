@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lcarank.llm import bpe, decontaminate, hard_negatives, html_extract, jaccard_join, language_id, pii, quality_classifier, quality_rules, simhash, substring_dedup, warc
+from lcarank.llm import bpe, collocations, decontaminate, hard_negatives, html_extract, jaccard_join, language_id, pii, quality_classifier, quality_rules, simhash, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,12 +57,16 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_classes(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_html_extract, op2_quality_classifier, op3_jaccard_join, op4_decontamination, op5_quality_rules, op6_language_id, op7_warc,
-                                   op8_substring_dedup, op9_pii, op10_bpe, op11_hard_negatives, op13_simhash_dedup)}
+                                   op8_substring_dedup, op9_pii, op10_bpe, op11_hard_negatives, op12_collocations, op13_simhash_dedup)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
