@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lcarank.constants import PER_EMPLOYER_CAP, TOP_N
 from lcarank.functions.scoring import fit_score, sponsor_boost, why_text
-from lcarank.functions.terms import posting_terms
+from lcarank.operators.term_index import find_terms
 from lcarank.session import materialize
 
 #: A head of the list by boost is broadcast up to this many rows; longer ones are joined by shuffle.
@@ -80,10 +80,9 @@ def with_terms(matched: DataFrame, terms: DataFrame, texts: DataFrame | None = N
 def posting_hits(matched: DataFrame, terms: DataFrame) -> DataFrame:
     """(fetch_ord, kw, in_title, in_desc) for every vocabulary term found in a posting; only ids and
     terms move."""
-    found = matched.select("fetch_ord", posting_terms(F.lower("title")).alias("t"), posting_terms(F.lower("description")).alias("d"))
-    each = found.select("fetch_ord", F.explode(F.array_union("t", "d")).alias("kw"), "t", "d") \
-        .select("fetch_ord", "kw", F.array_contains("t", F.col("kw")).alias("in_title"), F.array_contains("d", F.col("kw")).alias("in_desc"))
-    return each.join(terms.select("kw").distinct(), "kw", "left_semi").select("fetch_ord", "kw", "in_title", "in_desc")
+    low = matched.select("fetch_ord", F.lower("title").alias("title"), F.lower("description").alias("description"))
+    found = find_terms(low, terms.select("kw").distinct(), "kw", ["title", "description"])
+    return found.groupBy("fetch_ord", "kw").agg(F.bool_or(F.col("place") == 0).alias("in_title"), F.bool_or(F.col("place") == 1).alias("in_desc"))
 
 
 def profile_scores(terms: DataFrame, profiles: DataFrame) -> DataFrame:

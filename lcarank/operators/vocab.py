@@ -1,29 +1,40 @@
-"""Resume vocabulary: curated skills found in the PII-stripped text plus title phrases. Each text is
-read once and no text is shuffled."""
+"""Resume vocabulary: skills of a dictionary found in the PII-stripped text, and title phrases. Texts are
+not shuffled unless the dictionary is too large to broadcast, and then as n-grams."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lcarank.functions.terms import skills_in
 from lcarank.functions.text import build_queries, extract_titles, strip_pii
+from lcarank.operators.term_index import find_terms, skill_table
 
 
-def resume_terms(resumes: DataFrame) -> DataFrame:
+def resume_skills(resumes: DataFrame, skills: DataFrame | None = None) -> DataFrame:
+    """(resume_id, skills): distinct canonical skills with a variant in the text, of resumes that have any.
+    ``skills``: (canonical, variant), by default the curated ones."""
+    skills = skill_table(resumes.sparkSession) if skills is None else skills.distinct()
+    low = resumes.select("resume_id", strip_pii(F.lower("text")).alias("low"))
+    return find_terms(low, skills, "variant", ["low"]).groupBy("resume_id").agg(F.collect_set("canonical").alias("skills"))
+
+
+def resume_terms(resumes: DataFrame, skills: DataFrame | None = None) -> DataFrame:
     """resume_id, titles (ordered distinct title phrases of the unstripped text), kws (sorted skills and
     title phrases)."""
-    low = resumes.select("resume_id", strip_pii(F.lower("text")).alias("low"), extract_titles(F.col("text")).alias("titles"))
-    return low.select("resume_id", "titles", F.array_sort(F.array_distinct(F.concat(skills_in(F.col("low")), "titles"))).alias("kws"))
+    titles = resumes.select("resume_id", extract_titles(F.col("text")).alias("titles"))
+    both = titles.join(resume_skills(resumes, skills), "resume_id", "left")
+    kws = F.concat(F.coalesce("skills", F.array().cast("array<string>")), "titles")
+    return both.select("resume_id", "titles", F.array_sort(F.array_distinct(kws)).alias("kws"))
 
 
 def resume_titles(resumes: DataFrame) -> DataFrame:
     return resumes.select("resume_id", extract_titles(F.col("text")).alias("titles"))
 
 
-def resume_keywords(resumes: DataFrame) -> DataFrame:
+def resume_keywords(resumes: DataFrame, skills: DataFrame | None = None) -> DataFrame:
     """(resume_id, kw): skills union title phrases."""
-    return resume_terms(resumes).select("resume_id", F.explode("kws").alias("kw"))
+    # explode_outer: see term_index.find_terms
+    return resume_terms(resumes, skills).select("resume_id", F.explode_outer("kws").alias("kw")).where("kw is not null")
 
 
 def resume_report(resumes: DataFrame) -> DataFrame:

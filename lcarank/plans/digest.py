@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 from lcarank.constants import (FUZZY_THRESHOLD, MAX_DAYS_OLD, PER_EMPLOYER_CAP,
                                RESULTS_PER_PAGE, TOP_N)
 from lcarank.functions.scoring import match_label
-from lcarank.functions.terms import title_windows
 from lcarank.functions.text import build_queries, contains_phrase
 from lcarank.operators.allowlist import build_allowlist
 from lcarank.operators.match import match_postings
 from lcarank.operators.rank import rank_resumes
+from lcarank.operators.term_index import find_terms
 from lcarank.operators.vocab import resume_keywords, resume_titles
 from lcarank.session import materialize
 from lcarank.sources import views
@@ -63,9 +63,9 @@ def intake(spark: SparkSession, sf_dir: str, p: RunParams = RunParams()) -> Data
         return posts
     if p.query is not None:
         return posts.where(contains_phrase(F.lower("title"), F.lit(p.query.lower())))
-    # a search query is a title phrase, so it is found among the title's phrases
-    queries = resume_titles(views.resumes(spark, sf_dir)).select(F.explode(build_queries(F.col("titles"))).alias("query")).distinct()
-    hits = posts.select("fetch_ord", F.explode(title_windows(F.lower("title"))).alias("query")).join(queries, "query", "left_semi")
+    titles = resume_titles(views.resumes(spark, sf_dir))
+    queries = materialize(titles.select(F.explode_outer(build_queries(F.col("titles"))).alias("query")).distinct())
+    hits = find_terms(posts.select("fetch_ord", F.lower("title").alias("title")), queries, "query", ["title"])
     return posts.join(hits.select("fetch_ord").distinct(), "fetch_ord", "left_semi")
 
 
