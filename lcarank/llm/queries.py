@@ -137,4 +137,22 @@ ORACLE = {
                      row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) AS k
               FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
         SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE k <= 10""",
+    "op12_collocations": f"""
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_lower("text")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+        f AS (SELECT lang, p, m, count(*) AS f
+              FROM (SELECT lang, m, w[i:i + m - 1] AS p FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS m)))
+              GROUP BY lang, p, m),
+        c AS (SELECT lang, p, m, f AS a FROM f WHERE m > 1 AND f >= 30),
+        cuts AS (SELECT c.lang, c.p, c.a, k, x.f AS l, y.f AS r, CAST(2000000 * CAST(c.a AS HUGEINT) // (x.f + y.f) AS BIGINT) AS score
+                 FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c JOIN f x ON x.lang = c.lang AND x.p = c.p[1:k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1:m]),
+        low AS (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, k) AS q FROM cuts),
+        longer AS (SELECT lang, p, max(a) AS a
+                   FROM (SELECT lang, a, p[i:i + s - 1] AS p FROM (SELECT *, unnest(range(1, m - s + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS s FROM c)))
+                   GROUP BY lang, p),
+        kept AS (SELECT low.lang, array_to_string(low.p, ' ') AS phrase, low.a, l, r, score
+                 FROM low LEFT JOIN longer ON longer.lang = low.lang AND longer.p = low.p WHERE q = 1 AND (longer.a IS NULL OR 100 * longer.a < 80 * low.a)),
+        n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+        top AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT top.lang, rank, phrase, a, l, r, n, score FROM top JOIN n ON n.lang = top.lang WHERE rank <= 2000""",
 }
