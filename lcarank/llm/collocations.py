@@ -35,10 +35,10 @@ from lcarank.session import materialize
 
 LEAST, LONGEST, KEPT, COVERED = 30, 4, 2000, 80
 #: Words of a broadcast dictionary; n-grams that a task holds before it makes a filter of them.
-MOST_WORDS, HELD = 1 << 22, 1 << 21
+MOST_WORDS, HELD = 1 << 22, 1 << 20
 #: Bytes of the table for each section, and the fewest sections (as bits).
 SECTION_BYTES, SECTION_BITS = 8 << 20, 6
-PIECE = 4 << 20
+PIECE = 1 << 20
 _HARD, _SOFT = [*b".,;:!?", *range(0x0A, 0x0E)], [0x20, 0x09]
 _ENDS_PIECE, _ENDS_WORD = np.zeros(256, bool), np.zeros(256, bool)
 _ENDS_PIECE[_HARD] = True
@@ -219,9 +219,11 @@ def _frequent(source: DataFrame, seed: int, packing: Packing, dictionary: np.nda
     shared = source.sparkSession.sparkContext.broadcast(dictionary)
     kinds = {"section": pa.int32(), "entries": pa.int32(), "quotient": pa.int32(), "runs": pa.binary(), "remainders": pa.binary(), "counts": pa.binary(), "more": pa.binary()}
 
-    def filtered(held: list[list[np.ndarray]]) -> pa.RecordBatch:
-        ids = [np.concatenate(c) for c in zip(*held, strict=True)]
-        rows = list(QuotientFilter.of(packing, *packing.pack(ids)).sections(bits))
+    def filtered(held: list[tuple[np.ndarray, list[np.ndarray]]]) -> pa.RecordBatch:
+        first = np.concatenate([f for f, _ in held])
+        rest = [np.concatenate(r) for r in zip(*(r for _, r in held), strict=True)]
+        held.clear()
+        rows = list(QuotientFilter.of(packing, first, rest).sections(bits))
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values())], names=list(kinds))
 
     @tidy
@@ -235,11 +237,11 @@ def _frequent(source: DataFrame, seed: int, packing: Packing, dictionary: np.nda
                 ids = np.where(found, at + 1, 0).astype(np.uint64)
             grams = _ngrams(ids, piece)
             for i in range(0, len(grams[0]), held_most):  # a very long text fills several filters
-                held.append([g[i:i + held_most] for g in grams])
+                held.append(packing.pack([g[i:i + held_most] for g in grams]))
                 n += len(held[-1][0])
                 if n >= held_most:
                     yield filtered(held)
-                    held, n = [], 0
+                    n = 0
         if n:
             yield filtered(held)
 
