@@ -5,10 +5,11 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lcarank.functions.lcs import lcs_length
-from lcarank.operators.containment import containment_pairs
-from lcarank.operators.similarity import similarity_pairs
+from lcarank.operators.containment import containment_pairs, probes
+from lcarank.operators.similarity import candidate_pairs, similarity_pairs
 from lcarank.constants import GENERIC_TOKENS
 
 
@@ -69,6 +70,37 @@ def test_similarity_join_equals_brute_force(spark, t):
     assert got == _brute_similarity(names, keys, t)
 
 
+@pytest.mark.parametrize("t,heavy", [(80, 1), (93, 1), (93, 4), (85, 10), (70, 3)])
+def test_similarity_join_with_hot_segments(spark, t, heavy):
+    """Keys with lists of more than ``heavy`` keys are found by finer pieces, those left over by salted lists."""
+    rng = random.Random(f"{t} {heavy}")
+    names, keys = _names(rng, 50), _names(rng, 70)
+    names += [f"acme {x} international" for x in ("a", "ab", "abc", "b", "bc", "blue", "nord wind")]
+    keys += [f"acme {x} international" for x in ("c", "abd", "ac", "b", "blu", "bleu", "nord winds", "north wind")]
+    nd = spark.createDataFrame([(v,) for v in names], "v string")
+    kd = spark.createDataFrame([(k,) for k in keys], "norm_name string")
+    got = {(r.v, r.norm_name) for r in similarity_pairs(nd, kd, t, heavy).collect()}
+    assert got == _brute_similarity(names, keys, t)
+
+
+def test_hot_segment_gives_no_large_list(spark):
+    """Half of 6,000 keys end alike. Their names meet lists of at most 100 keys, where one list would pair each
+    with half of them; and rows are even over the tasks that verify them."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    hot = sorted({f"{word(12)} zz international" for _ in range(3000)})
+    keys = hot + sorted({f"{word(12)} {word(13)}" for _ in range(3000)})
+    names = [k[:3] + k[4:] for k in hot[::10]]
+    nd = spark.createDataFrame([(v,) for v in names], "v string")
+    kd = spark.createDataFrame([(k,) for k in keys], "norm_name string")
+    light = candidate_pairs(nd, kd, 93, heavy=100).select("v", "norm_name").cache()
+    assert light.count() * 5 < candidate_pairs(nd, kd, 93, heavy=10**6).count()  # no list of over 100 keys is met
+    got = {(r.v, r.norm_name) for r in similarity_pairs(nd, kd, 93, heavy=100).collect()}
+    assert {(k[:3] + k[4:], k) for k in hot[::10]} <= got
+    tasks = sorted(r["count"] for r in light.repartition(8, "v").groupBy(F.spark_partition_id()).count().collect())
+    assert tasks[-1] <= 4 * tasks[len(tasks) // 2]
+
+
 def test_similarity_join_low_threshold_short_keys(spark):
     names, keys = ["ab", "abc", "xyz", "abd"], ["ab", "ba", "abcd", "q"]
     nd = spark.createDataFrame([(v,) for v in names], "v string")
@@ -120,3 +152,22 @@ def test_containment_join_equals_brute_force(spark):
     got = {(r.v, r.norm_name) for r in containment_pairs(nd, kd, 93).collect()}
     assert got == _brute_containment(names, keys)
     assert containment_pairs(nd, kd, 101).count() == 0
+
+
+@pytest.mark.parametrize("heavy", [1, 3, 10])
+def test_containment_join_with_hot_tokens(spark, heavy):
+    rng = random.Random(heavy)
+    names, keys = _names(rng, 50), _names(rng, 120)
+    keys = sorted({f"acme {k}" for k in keys} | set(keys))  # one token in more than half of the keys
+    names += ["acme", "acme tools", "widget", "acme nowhere", "x", "acme acme tools"]
+    nd = spark.createDataFrame([(v,) for v in names], "v string")
+    kd = spark.createDataFrame([(k,) for k in keys], "norm_name string")
+    got = [(r.v, r.norm_name) for r in containment_pairs(nd, kd, 93, heavy).collect()]
+    assert set(got) == _brute_containment(names, keys) and len(got) == len(set(got))
+
+
+def test_a_token_of_every_key_is_no_probe_alone(spark):
+    frequency = spark.createDataFrame([("acme", 5000), ("tools", 9000), ("blue", 20), ("co", 7000)], "tok string, df long")
+    nd = spark.createDataFrame([("acme tools",), ("acme co tools",), ("acme blue",), ("acme",), ("acme gone",)], "v string")
+    got = {r.v: (r.tok, r.tok2, r.salts) for r in probes(nd, frequency, 1000).collect()}
+    assert got == {"acme tools": ("acme", "tools", 1), "acme co tools": ("acme", "co", 1), "acme blue": ("blue", None, 1), "acme": ("acme", None, 5)}
