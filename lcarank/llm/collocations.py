@@ -37,7 +37,7 @@ LEAST, LONGEST, KEPT, COVERED = 30, 4, 2000, 80
 #: Words of a broadcast dictionary; n-grams that a task holds before it makes a filter of them.
 MOST_WORDS, HELD = 1 << 22, 1 << 20
 #: Bytes of the table for each section, and the fewest sections (as bits).
-SECTION_BYTES, SECTION_BITS = 8 << 20, 6
+SECTION_BYTES, SECTION_BITS = 1 << 20, 6
 PIECE = 1 << 20
 _HARD, _SOFT = [*b".,;:!?", *range(0x0A, 0x0E)], [0x20, 0x09]
 _ENDS_PIECE, _ENDS_WORD = np.zeros(256, bool), np.zeros(256, bool)

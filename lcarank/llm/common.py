@@ -176,3 +176,27 @@ def summed_arrays(parts: DataFrame, most: int) -> dict[int, np.ndarray]:
 
 def as_long(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
+
+
+#: A key that at least one row in this many has is joined by broadcast; there are no more such keys than this.
+HOT_SHARE = 1000
+
+
+def join_once(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has each ``key`` once and in ``rows`` (dropped) how many rows have
+    it. The hottest keys, at most HOT_SHARE of them, are broadcast, so that their rows stay where they are; the
+    rest is an ordinary join. ``table`` should be a written one: it is read three times."""
+    total = table.agg(F.sum("rows")).first()[0] or 0
+    hot = table.where(F.col("rows") * HOT_SHARE >= total).drop("rows")
+    cool = table.where(F.col("rows") * HOT_SHARE < total).drop("rows")
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cool, key))
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialised tables that nothing will read again."""
+    for table in tables:
+        jvm = table.sparkSession.sparkContext._jvm
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            if path.getParent().getName() == "tables":
+                path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lcarank.llm import sketch
-from lcarank.llm.common import arrow_rows, chunks, hashed_words, id_and_text, mix, tidy, window_hashes
+from lcarank.llm.common import arrow_rows, chunks, discard, hashed_words, id_and_text, join_once, mix, tidy, window_hashes
 from lcarank.session import materialize
 
 #: Largest boundary considered, and most subsets of one set.
@@ -49,8 +49,12 @@ SLICES, SKETCH_SHARE, MIN_BITS, MAX_BITS = 16, 1024, 16, 24
 PIECE = 1 << 20
 #: Bits of a set's parity map, and of its folded form inside joins.
 MAP_BITS, FOLDED_BITS = 2048, 256
-#: Bytes of the table for each cell in a row of the sketch of list keys; cells of the filter of ids.
-LIST_SHARE, ID_BITS = 8, 23
+#: Bytes of the table for each cell in a row of the sketch of list keys.
+LIST_SHARE = 8
+#: Sets of more shingles are compared by counts of their shingles in COUNTED cells before they move as a whole.
+LONG, COUNTED = 1000, 8192
+#: Filter cells for each row that goes: few others then need a look.
+LOOKED_UP_EACH = 64
 
 
 @dataclass(frozen=True)
@@ -256,38 +260,60 @@ def _details(listed: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _sized_up(pairs: DataFrame, details: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (a, b) of nodes that sizes and parity maps allow."""
-    return pairs.join(details.alias("x"), F.col("a") == F.col("x.node")).join(details.alias("y"), F.col("b") == F.col("y.node")) \
-        .where(_near("x", "y", rule)).where(_apart("x.map", "y.map") <= _may_differ(F.col("x.n"), F.col("y.n"), rule)).select("a", "b")
+    """Pairs (a, b) of nodes that sizes and parity maps allow: folded maps first, whole ones for those that are left."""
+    folded = details.drop("map")
+    near = pairs.join(folded.alias("x"), F.col("a") == F.col("x.node")).join(folded.alias("y"), F.col("b") == F.col("y.node")) \
+        .where(_near("x", "y", rule)).select("a", "b", _may_differ(F.col("x.n"), F.col("y.n"), rule).alias("most"))
+    maps = details.select("node", "map")
+    return near.join(maps.alias("x"), F.col("a") == F.col("x.node")).join(maps.alias("y"), F.col("b") == F.col("y.node")) \
+        .where(_apart("x.map", "y.map") <= F.col("most")).select("a", "b")
+
+
+@F.pandas_udf(T.LongType())
+def _counts_apart(x: pd.Series, y: pd.Series) -> pd.Series:
+    """By how much two count maps differ, summed over the cells: no more than the sets do. -1 without both maps."""
+    out = np.full(len(x), -1, np.int64)
+    for i, (a, b) in enumerate(zip(x, y, strict=True)):
+        if a is not None and b is not None:
+            out[i] = np.abs(np.frombuffer(a, np.uint8).astype(np.int16) - np.frombuffer(b, np.uint8)).sum()
+    return pd.Series(out)
+
+
+def _counted(s: np.ndarray) -> bytes | None:
+    """Shingles in each cell of hashes, 255 at most; None for sets whose parity map says as much."""
+    if len(s) <= LONG:
+        return None
+    return np.minimum(np.bincount((s % np.uint64(COUNTED)).astype(np.int64), minlength=COUNTED), 255).astype(np.uint8).tobytes()
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame, rule: Rule) -> DataFrame:
     """Those of the pairs that link, from the whole sets of one document of each node. The documents are
-    found in one scan by a filter of 2 ** ID_BITS cells of hashed ids; a few others may pass it, and drop
-    out when nodes are joined."""
-    cell = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - ID_BITS).cast("int")
+    found in one scan by a filter of hashed ids; a few others may pass it, and drop out when nodes are
+    joined. Long sets move only for pairs whose count maps allow a link."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "id"), "node") \
-        .select(cell("id").alias("cell")).distinct()
-    bitmap = np.zeros(1 << ID_BITS, bool)
-    for r in wanted.groupBy(F.shiftright("cell", 12)).agg(F.collect_list("cell").alias("cells")).collect():
-        bitmap[r["cells"]] = True
-    held = source.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+        .select(F.xxhash64("id").alias("key"))
+    held = source.sparkSession.sparkContext.broadcast(sketch.key_filter(wanted))
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        want = np.unpackbits(held.value).astype(bool)
         for batch in batches:
-            some = batch.filter(pa.array(want[batch.column(0).to_numpy()]))
+            some = batch.filter(pa.array(sketch.passes(held.value, batch.column(0).to_numpy())))
             for _, texts in chunks([some], PIECE):
                 sets = _sets(texts, rule)
-                yield pa.RecordBatch.from_arrays([pa.array([_name(s) if len(s) else None for s in sets], pa.int64()),
-                                                  pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
-
-    sets = materialize(source.select(cell("id").alias("cell"), "text").mapInArrow(run, "node long, shingles array<long>"))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a") \
-        .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
-    shared = F.size(F.array_intersect("s", "t"))
-    return both.where(100 * shared >= rule.percent * (F.size("s") + F.size("t") - shared)).select("a", "b").distinct()
+                yield pa.RecordBatch.from_arrays([pa.array([_name(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
+                                                  pa.array([_counted(s) for s in sets], pa.binary()),
+                                                  pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "n", "counts", "shingles"])
+
+    sets = materialize(source.select(F.xxhash64("id").alias("key"), "text").mapInArrow(run, "node long, n int, counts binary, shingles array<long>"))
+    side = lambda c, *names: sets.select(F.col("node").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in names))
+    counted = pairs.join(side("a", "n", "counts"), "a").join(side("b", "n", "counts"), "b") \
+        .where(_counts_apart("a_counts", "b_counts") <= _may_differ(F.col("a_n"), F.col("b_n"), rule)).select("a", "b").distinct()
+    both = materialize(counted).join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
+    shared = F.size(F.array_intersect("a_shingles", "b_shingles"))
+    found = both.where(100 * shared >= rule.percent * (F.size("a_shingles") + F.size("b_shingles") - shared)).select("a", "b").distinct()
+    found = materialize(found)
+    discard(sets)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -310,10 +336,9 @@ def components(edges: DataFrame) -> DataFrame:
     return materialize(labels)
 
 
-def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = Rule(),  # noqa: B008
-                       bits: int | None = None, light: int | None = None) -> DataFrame:
-    """Per row of ``df``: id, ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
-    source = id_and_text(df, id_col, text_col)
+def _classes(source: DataFrame, df: DataFrame, rule: Rule, bits: int | None = None, light: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Of the texts in ``source`` (id, text), made from ``df``: (id, n, node) of every row, and (node, rows, component) of
+    every set: the rows that have it, and the smallest id reachable by links."""
     bits = bits or min(MAX_BITS, max(MIN_BITS, (sketch.table_bytes(df) // SKETCH_SHARE).bit_length()))
     survey = materialize(_survey(source, rule, bits))
     levels, scanned = _levels(survey, bits)
@@ -323,21 +348,18 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         light = rule.boundary(sizes, scanned)
 
     listed = materialize(_listed(source, rule, levels, bits, light).where("node is not null"))
-    nodes = materialize(listed.groupBy("node").agg(F.min("id").alias("id")))
-    entries = materialize(_shared_entries(listed, sketch.bits_for(df, LIST_SHARE)))
-    shared = entries.groupBy("list").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    # Per list and node, once: rows = documents with the set.
-    members = materialize(entries.join(shared.select("list", "least"), "list").groupBy("list", "least", "node").agg(F.count("*").alias("copies")))
+    nodes = materialize(listed.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("rows")))
+    # Per list and node, once: copies = documents with the set.
+    members = materialize(_shared_entries(listed, sketch.bits_for(df, LIST_SHARE)).groupBy("list", "node").agg(F.count("*").alias("copies")))
     rank = F.least("copies", F.lit(32767)) * F.lit(1 << 48) + F.col("node").bitwiseAND(F.lit((1 << 48) - 1))
-    ranked = members.withColumn("rank", rank)
-    top = ranked.join(ranked.groupBy("list").agg(F.max("rank").alias("rank")), ["list", "rank"], "left_semi") \
-        .select("list", F.col("node").alias("hub"))
-    with_hub = members.join(top, "list")
+    hubs = members.groupBy("list").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.max_by("node", rank).alias("hub"))
+    with_hub = materialize(members.select("list", "node").join(hubs.where("least < most").drop("most"), "list"))
     ordered = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    pairs = with_hub.select(*ordered("node", "hub")).union(members.select(*ordered("node", "least"))).where("a < b").distinct()
+    pairs = with_hub.select(*ordered("node", "hub")).union(with_hub.select(*ordered("node", "least"))).where("a < b").distinct()
     pairs = materialize(pairs)
+    discard(members)
     details = _details(listed, pairs.select(F.explode(F.array("a", "b")).alias("node")))
-    links = materialize(_verified(materialize(_sized_up(pairs, details, rule)), nodes, source, rule))
+    links = _verified(materialize(_sized_up(pairs, details, rule)), nodes, source, rule)
 
     # Lists whose other members are in different classes: the pairs across classes.
     labels = components(links)
@@ -345,12 +367,15 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .select("list", "node", F.coalesce("label", "node").alias("label"))
     open_ = rest.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("list")
     left = materialize(rest.join(open_, "list", "left_semi").distinct())
+    discard(with_hub, details, pairs)
     details = _details(listed, left.select("node"))
+    discard(listed)
     left = materialize(left.join(details.drop("map"), "node"))
     across = left.alias("x").join(left.alias("y"), (F.col("x.list") == F.col("y.list")) & (F.col("x.node") < F.col("y.node"))
                                   & (F.col("x.label") != F.col("y.label")) & _near("x", "y", rule)) \
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     across = materialize(_sized_up(across, details, rule))
+    discard(left, details)
     if not across.isEmpty():
         more = _verified(across, nodes, source, rule)
         found = labels.select(F.col("node").alias("a"), F.col("label").alias("x")), labels.select(F.col("node").alias("b"), F.col("label").alias("y"))
@@ -363,15 +388,38 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                                  .select("node", F.coalesce("to", "label").alias("label")))
 
     named = nodes.join(labels, "node").groupBy("label").agg(F.min("id").alias("component"))
-    classes = nodes.select("node", F.col("id").alias("own")).join(labels.join(named, "label").select("node", "component"), "node", "left") \
-        .select("node", F.coalesce("component", "own").alias("component"))
-    return docs.where("node is not null").join(classes, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")) \
+    classes = nodes.join(labels.join(named, "label").select("node", "component"), "node", "left") \
+        .select("node", "rows", F.coalesce("component", "id").alias("component"))
+    return docs, classes
+
+
+def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = Rule(),  # noqa: B008
+                       bits: int | None = None, light: int | None = None) -> DataFrame:
+    """Per row of ``df``: id, ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
+    docs, classes = _classes(id_and_text(df, id_col, text_col), df, rule, bits, light)
+    return join_once(docs.where("node is not null"), materialize(classes), "node") \
+        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")) \
         .union(docs.where("node is null").select("id", "n", "id"))
 
 
 def one_of_each(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose id names their class, unchanged: one document of each class. Rows without
-    an id cannot be told apart and stay."""
-    classes = similarity_classes(df, id_col, text_col, rule)
-    later = classes.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return df.join(later, id_col, "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
+    """The rows of ``df``, unchanged, of which one of each class stays: that of the smallest id (null last), of
+    rows of one id that of the smallest text hash, and of rows alike in both any one. Texts without words are in
+    no class and stay. A filter of the rows that go tells which rows need a look; the others do not move."""
+    text = F.col(f"`{text_col}`").cast("string").cast("binary")
+    own = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("text"))
+    docs, classes = _classes(df.select(own.alias("id"), text.alias("text")), df, rule)
+    rows = docs.where("node is not null").groupBy("id", "node").agg(F.count("*").alias("alike")).join(classes.drop("rows"), "node")
+    look = materialize(rows.where("id != component or alike > 1").select(F.col("id").alias("own"), (F.col("id") != F.col("component")).alias("goes")))
+    held = df.sparkSession.sparkContext.broadcast(sketch.key_filter(look.select(F.xxhash64("own")), LOOKED_UP_EACH))
+
+    @F.pandas_udf(T.BooleanType())
+    def maybe(key: pd.Series) -> pd.Series:
+        return pd.Series(sketch.passes(held.value, key.to_numpy(np.int64)))
+
+    names = [F.col(f"`{c}`") for c in df.columns]
+    keyed = df.select(F.struct(*names).alias("row"), own.alias("own")).withColumn("maybe", maybe(F.xxhash64("own")))
+    looked = keyed.where("maybe").join(look, "own", "left")
+    once = looked.where("not goes").dropDuplicates(["own"])
+    kept = keyed.where("not maybe").select("row").unionByName(looked.where("goes is null").select("row")).unionByName(once.select("row"))
+    return kept.select(*(F.col("row")[c].alias(c) for c in df.columns))

@@ -22,7 +22,6 @@ null id is in its class but names it only if all its ids are null. An empty tabl
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -32,13 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lcarank.llm.common import arrow_rows, as_long, id_and_text, mix, tidy, word_spans
+from lcarank.llm import sketch
+from lcarank.llm.common import arrow_rows, as_long, id_and_text, join_once, mix, tidy, word_spans
 from lcarank.llm.jaccard_join import components
 from lcarank.session import materialize
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Cells of the filter of inner variants: at most 2 ** FILTER_BITS, CELLS_EACH for each variant below that.
-FILTER_BITS, CELLS_EACH, SLICES, PROBES = 27, 16, 64, 2
+FILTER_BITS, CELLS_EACH, PROBES = 27, 16, 2
 #: Texts taken at once; variants made at once.
 PIECE, VARIANTS = 1 << 20, 1 << 18
 
@@ -152,32 +152,15 @@ def _odd(x: np.ndarray) -> np.ndarray:
 
 def _inner_filter(nodes: DataFrame, radius: int, bits: int) -> np.ndarray:
     """Bitmap of the cells of the inner variants that an outer one may equal (they have its parity)."""
-    masks, odd, per_slice = inner_masks(radius), bool((radius + 1) // 2 % 2), bits - (SLICES.bit_length() - 1)
+    masks, odd = inner_masks(radius), bool((radius + 1) // 2 % 2)
 
     @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for fps in _pieces(batches, len(masks)):
             variants = (fps[:, None] ^ masks).ravel()
-            cells = np.unique(np.concatenate(_cells(variants[_odd(variants) == odd], bits)))
-            cuts = np.searchsorted(cells, np.arange(SLICES + 1, dtype=np.uint64) << np.uint64(per_slice))
-            full = np.flatnonzero(np.diff(cuts))
-            packed = [zlib.compress(np.diff(cells[cuts[s]:cuts[s + 1]], prepend=np.uint32(s << per_slice)).tobytes(), 1) for s in full.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(packed, pa.binary())], names=["slice", "cells"])
+            yield sketch.packed_cells(np.unique(np.concatenate(_cells(variants[_odd(variants) == odd], bits))), bits)
 
-    @tidy
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for s, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault(s, np.zeros(1 << per_slice, bool))[np.cumsum(np.frombuffer(zlib.decompress(packed), np.uint32), dtype=np.uint32)] = True
-        for s, x in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(x, bitorder="little").tobytes()], pa.binary())], names=["slice", "cells"])
-
-    out = np.zeros((SLICES, (1 << per_slice) // 8), np.uint8)
-    parts = nodes.select("fp").mapInArrow(count, "slice int, cells binary")
-    for r in parts.repartition(SLICES, "slice").mapInArrow(merge, "slice int, cells binary").collect():
-        out[r["slice"]] = np.frombuffer(bytes(r["cells"]), np.uint8)
-    return out.ravel()
+    return sketch.merged_bitmap(nodes.select("fp").mapInArrow(count, "slice int, cells binary"), bits)
 
 
 def _variants(nodes: DataFrame, radius: int, bits: int) -> DataFrame:
@@ -197,8 +180,7 @@ def _variants(nodes: DataFrame, radius: int, bits: int) -> DataFrame:
                 variants = (even[:, None] ^ far).ravel()
                 at = np.arange(len(variants))
                 for i in range(PROBES):
-                    cell = _cells(variants[at], bits)[i]
-                    at = at[(held.value[cell >> np.uint32(3)] >> (cell & np.uint32(7)).astype(np.uint8) & 1).astype(bool)]
+                    at = at[sketch.has_bit(held.value, _cells(variants[at], bits)[i])]
                 yield rows(variants[at], even[at // len(far)], False)
 
     return nodes.select("fp").mapInArrow(run, "variant long, fp long, inner boolean")
@@ -223,10 +205,10 @@ def simhash_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     source = id_and_text(df, id_col, text_col)
     kind = source.schema["id"].dataType.simpleString()
     docs = materialize(arrow_rows(source, lambda ids, texts: {"id": ids, "fp": as_long(fingerprints(texts, shingle))}, f"id {kind}, fp long", PIECE))
-    nodes = materialize(docs.groupBy("fp").agg(F.min("id").alias("own")))
+    nodes = materialize(docs.groupBy("fp").agg(F.min("id").alias("own"), F.count("*").alias("rows")))
     labels = components(materialize(links(nodes, radius))).withColumnRenamed("node", "fp")
     named = nodes.join(labels, "fp").groupBy("label").agg(F.min("own").alias("component"))
     linked = labels.join(named, "label").select("fp", "component")
-    classes = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "own").alias("component"))
-    return docs.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+    classes = nodes.join(linked, "fp", "left").select("fp", "rows", F.coalesce("component", "own").alias("component"))
+    return join_once(docs, materialize(classes), "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                                            F.col("component").alias("component_id"))

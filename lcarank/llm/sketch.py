@@ -108,25 +108,60 @@ def maybe_twice(bitmap: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
     return ok
 
 
-#: Cells of a filter of 64-bit keys (a bit for each).
-FILTER_BITS = 23
+#: Cells (as bits) of a filter of 64-bit keys: CELLS_EACH for each key, within these bounds.
+FILTER_LEAST, FILTER_MOST, CELLS_EACH = 16, 27, 8
 
 
-def filter_cells(keys: np.ndarray) -> np.ndarray:
-    return (keys.astype(np.uint64, copy=False) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def _filter_cells(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys.astype(np.uint64, copy=False) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def key_filter(keys: DataFrame) -> np.ndarray:
-    """Bits of the cells that the keys (one long column, spread evenly) fall in: 2 ** FILTER_BITS of them,
-    however many keys. It lets all of the keys pass, and few others while keys are fewer than cells."""
-    cell = F.shiftrightunsigned(F.col(keys.columns[0]), 64 - FILTER_BITS).cast("int")
-    cells = keys.select(cell.alias("cell")).distinct().groupBy(F.shiftright("cell", 12)).agg(F.collect_list("cell").alias("cells"))
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    for r in cells.collect():  # at most a row for each 4,096 cells
-        bits[r["cells"]] = True
-    return np.packbits(bits)
+def merged_bitmap(cells: DataFrame, bits: int) -> np.ndarray:
+    """Bits of the cells in ``cells`` (slice int, cells binary, as ``packed_cells`` makes them). Slices are merged
+    in SLICES tasks; the driver gets 2 ** bits bits."""
+    per_slice = bits - (SLICES.bit_length() - 1)
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for s, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at = np.cumsum(np.frombuffer(zlib.decompress(packed), "<u4"), dtype=np.uint32)
+                held.setdefault(s, np.zeros(1 << per_slice, bool))[at] = True
+        for s, x in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(x, bitorder="little").tobytes()], pa.binary())], names=["slice", "cells"])
+
+    out = np.zeros((SLICES, (1 << per_slice) // 8), np.uint8)
+    for r in cells.repartition(SLICES, "slice").mapInArrow(run, "slice int, cells binary").collect():
+        out[r["slice"]] = np.frombuffer(bytes(r["cells"]), np.uint8)
+    return out.ravel()
+
+
+def packed_cells(cells: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Sorted distinct cells by slice, as gaps."""
+    per_slice = bits - (SLICES.bit_length() - 1)
+    cuts = np.searchsorted(cells, np.arange(SLICES + 1, dtype=np.uint64) << np.uint64(per_slice))
+    full = np.flatnonzero(np.diff(cuts)).tolist()
+    gaps = [zlib.compress(np.diff(cells[cuts[s]:cuts[s + 1]], prepend=np.uint32(s << per_slice)).astype("<u4").tobytes(), 1) for s in full]
+    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(gaps, pa.binary())], names=["slice", "cells"])
+
+
+def key_filter(keys: DataFrame, each: int = CELLS_EACH) -> np.ndarray:
+    """Bits of the cells that the keys (one long column, spread evenly) fall in: ``each`` cells for each key, 2 ** FILTER_MOST
+    at most. It lets all of the keys pass, and few others while there are several cells for each."""
+    bits = min(FILTER_MOST, max(FILTER_LEAST, (keys.count() * each).bit_length()))
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield packed_cells(np.unique(_filter_cells(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits)).astype(np.uint32), bits)
+
+    return merged_bitmap(keys.mapInArrow(run, "slice int, cells binary"), bits)
+
+
+def has_bit(bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    return (bitmap[cells >> 3] >> (cells & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def passes(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    c = filter_cells(keys)
-    return (packed[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)
+    return has_bit(packed, _filter_cells(keys.view(np.uint64), len(packed).bit_length() + 2))

@@ -103,10 +103,38 @@ def test_components_follow_long_chains(spark):
 
 
 def test_one_of_each_keeps_whole_rows(docs):
+    """Of every class one row stays: of its smallest id; texts without words stay."""
     kept = jaccard_join.one_of_each(docs, jaccard_join.Rule())
     assert kept.columns == docs.columns
-    want = Counter(i for (i, _, own), n in _classes(3, 90).items() for _ in range(n) if i is None or i == own)
-    assert Counter(r["doc_id"] for r in kept.select("doc_id").collect()) == want
+    classes = defaultdict(list)
+    for (i, _, own), n in _classes(3, 90).items():
+        classes[own].append((i, n))
+    empty = {i for i, t, *_ in ROWS if not WORD.findall(t or "")}
+    want = Counter(own for own in classes if own not in empty) + Counter(i for i, t, *_ in ROWS if i in empty)
+    got = kept.collect()
+    assert Counter(r["doc_id"] for r in got) == want
+    assert {tuple(r) for r in got} <= set(ROWS) and len({tuple(r) for r in got}) == len(got)
+
+
+def test_one_of_each_by_row(spark):
+    """Rows of one id and different texts are rows of their own; rows alike stay once; rows without an id too."""
+    a, b, c = "one two three four five six", "seven eight nine ten eleven twelve", "alpha beta gamma delta epsilon zeta"
+    rows = [(1, a, "x"), (2, a, "x"), (2, b, "x"), (3, c, "x"), (3, c, "y"), (3, c, "y"), (None, b, "x"), (None, "all alone here now", "x"), (None, "all alone here now", "x"),
+            (4, None, "x"), (4, None, "x"), (5, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, own string").repartition(3)
+    got = Counter((r.doc_id, r.text) for r in jaccard_join.one_of_each(df, jaccard_join.Rule()).collect())
+    assert got == Counter([(1, a), (2, b), (3, c), (None, "all alone here now"), (4, None), (4, None), (5, "")])
+
+
+def test_long_sets_are_compared_by_counts(spark):
+    """Sets beyond the count maps' limit: links stay, and pairs that share one passage only are ruled out."""
+    rng = np.random.default_rng(2)
+    base = [f"v{x}" for x in rng.integers(0, 10**6, 6000)]
+    near = [*base[:5900], *(f"u{x}" for x in range(100))]
+    part = [*base[:900], *(f"t{x}" for x in rng.integers(0, 10**6, 5100))]
+    df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(part)), (4, " ".join(base[:1500]))], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.similarity_classes(df).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
 def _repeats_removed():
