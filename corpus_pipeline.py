@@ -16,7 +16,7 @@ NEAR = jaccard_join.Rule(shingle=5, percent=80)
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that the base rules or the fertility bands reject."""
-    return quality_rules.keep_good(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return quality_rules.keep_good(docs, public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

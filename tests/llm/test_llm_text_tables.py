@@ -232,27 +232,27 @@ def _quality_base(t):
 def _model():
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def test_quality_rules_base_counts(docs):
-    got = quality_rules.digest(docs, _model()).collect()
+    got = quality_rules.digest(docs, *_model()).collect()
     assert Counter(tuple(r)[:7] for r in got) == Counter((i, *_quality_base(t)) for i, t, *_ in ROWS)
     assert not any(r["kept"] and r["base_failed"] for r in got)
-    kept = quality_rules.keep_good(docs, _model())
+    kept = quality_rules.keep_good(docs, *_model())
     assert kept.columns == docs.columns
     assert Counter(r["id"] for r in kept.collect()) == Counter(r2 for r2 in (x[3] for x in ROWS) if r2 in _kept_ids(docs))
 
 
 def _kept_ids(docs):
-    figures = quality_rules.measure(docs, _model(), keep=True)
+    figures = quality_rules.measure(docs, *_model(), keep=True)
     return {r["id"] for r in quality_rules.judged(figures).where("kept").select("row.id").collect()}
 
 
 def test_quality_bands_reject_what_lies_far(spark):
     rng = np.random.default_rng(1)
     rows = [(i, _prose(rng, 200), "en") for i in range(80)] + [(900, " ".join(f"#$%{c}@!~`^" for c in "qwertyuiopasdfghjklzxcvbnm" * 8), "en"), (901, _prose(rng, 200), "en")]
-    got = {r["doc_id"]: r["kept"] for r in quality_rules.digest(spark.createDataFrame(rows, "doc_id long, text string, lang string"), _model()).collect()}
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.digest(spark.createDataFrame(rows, "doc_id long, text string, lang string"), *_model()).collect()}
     assert not got[900] and sum(got[i] for i in range(80)) >= 78
 
 
@@ -264,12 +264,36 @@ def test_quality_bands_of_thin_cells_follow_length(spark):
     rows += [(100 + i, make(10 + i % 11), "en") for i in range(12)] + [(200 + i, make(1200), "en") for i in range(4)]
     rows += [(300, "to be or " * 5 + "not", "en"), (301, " ".join(f"\u16a0{c}\u16b1" for c in "abcdefghijklmn"), "en")]
     rows += [(400 + i, make(10 + 3 * i), "es") for i in range(36)] + [(500 + i, make(12), "xx") for i in range(5)]
-    got = {r["doc_id"]: r["kept"] for r in quality_rules.digest(spark.createDataFrame(rows, "doc_id long, text string, lang string"), _model()).collect()}
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.digest(spark.createDataFrame(rows, "doc_id long, text string, lang string"), *_model()).collect()}
     assert all(got[100 + i] for i in range(12)) and all(got[200 + i] for i in range(4))
     assert not got[300] and not got[301]
     assert sum(got[400 + i] for i in range(36)) >= 34 and all(got[500 + i] for i in range(5))
 
 
+def test_rare_languages_are_judged_by_their_script(spark):
+    """Junk of a language of few texts goes, its clean texts stay, however many there are; a script that no language
+    of LEAST texts writes has a band of its own, or none."""
+    rng = np.random.default_rng(21)
+    latin = ["".join(rng.choice(["ka", "mo", "ti", "su", "re", "na", "lo"], 3)) for _ in range(300)]
+    other = ["".join(rng.choice(["vel", "dor", "mis", "pan", "ces"], 2)) for _ in range(300)]
+    greek = ["".join(rng.choice(["και", "μον", "τις", "ερα"], 2)) for _ in range(300)]
+    make = lambda words, n: " ".join(rng.choice(words, n))
+    junk = lambda: " ".join(f"{c}@!~`^{c}{c}" for c in rng.choice(list("qwertyuiop"), 150))
+    rows = [(i, make(latin, int(rng.integers(80, 160))), "en") for i in range(90)] + [(100 + i, make(other, int(rng.integers(80, 160))), "de") for i in range(60)]
+    rows += [(200, make(latin, 120), "xx"), (201, junk(), "xx"), (202, make(other, 100), None), (203, junk(), None), (204, make(latin, 12), "yy"), (205, make(latin, 900), "yy")]
+    rows += [(300 + i, junk(), "zz") for i in range(29)] + [(400 + i, make(greek, 100), "el") for i in range(5)]
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.digest(spark.createDataFrame(rows, "doc_id long, text string, lang string"), *_model()).collect()}
+    assert [got[i] for i in (200, 202, 204, 205)] == [True] * 4 and not any(got[i] for i in (201, 203)) and not any(got[300 + i] for i in range(29))
+    assert all(got[400 + i] for i in range(5)) and sum(got[i] for i in range(90)) >= 87 and sum(got[100 + i] for i in range(60)) >= 58
+
+
+def test_quality_bands_do_not_depend_on_partitions(spark):
+    rows = [(i, t, lang) for i, t, lang, *_ in ROWS if i is not None]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, many = (sorted(str(tuple(r)) for r in quality_rules.digest(df.repartition(n), *_model()).collect()) for n in (1, 7))
+    assert one == many
+
+
 def test_quality_bands_count_copies_once(spark):
     rng = np.random.default_rng(12)
     words = ["".join(rng.choice(["ka", "mo", "ti", "su", "re", "na", "lo"], 3)) for _ in range(300)]
@@ -277,7 +301,7 @@ def test_quality_bands_count_copies_once(spark):
     kept = []
     for copies in (0, 3000):
         df = spark.createDataFrame(rows + [(1000 + i, rows[119][1], "en") for i in range(copies)], "doc_id long, text string, lang string")
-        got = {r["doc_id"]: r["kept"] for r in quality_rules.digest(df.repartition(4), _model()).collect()}
+        got = {r["doc_id"]: r["kept"] for r in quality_rules.digest(df.repartition(4), *_model()).collect()}
         assert len(got) == len(rows) + copies and all(got[1000 + i] == got[119] for i in range(copies))
         kept.append({i: got[i] for i, *_ in rows})
     assert kept[0] == kept[1] and sum(kept[0].values()) >= 60
@@ -365,6 +389,6 @@ def test_ibans_end_at_their_countrys_length():
 def test_operators_take_empty_tables(spark, empty):
     bench = spark.createDataFrame([], "item_id long, text string")
     for df in (jaccard_join.similarity_classes(empty), substring_dedup.digest(empty), decontaminate.digest(empty, bench),
-               quality_rules.digest(empty, _model()), language_id.digest(empty), quality_classifier.digest(empty), pii.digest(empty)):
+               quality_rules.digest(empty, *_model()), language_id.digest(empty), quality_classifier.digest(empty), pii.digest(empty)):
         assert df.count() == 0
     assert decontaminate.digest(spark.createDataFrame(ROWS[:5], SCHEMA), bench).where(F.col("contaminated")).count() == 0
