@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lcarank.llm import sketch
-from lcarank.llm.common import as_long, chunks, hash_spans, mix, tidy
+from lcarank.llm.common import as_long, chunks, hash_spans, mix, small_batches, tidy
 from lcarank.session import materialize
 
 LEAST, LONGEST, KEPT, COVERED = 30, 4, 2000, 80
@@ -292,7 +292,7 @@ def _candidates(grams: DataFrame, covered: int) -> DataFrame:
 def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, kept: int = KEPT, covered: int = COVERED,
                  most_words: int = MOST_WORDS, held: int = HELD) -> DataFrame:
     """lang, rank (from 1), phrase, a, l, r, n, score: each language's first ``kept`` phrases."""
-    source = df.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
+    source = small_batches(df).select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
     seed = 0
     while True:
         words = materialize(_counted_words(source, seed))

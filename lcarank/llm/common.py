@@ -16,15 +16,21 @@ from pyspark.sql import functions as F
 CACHE_ENTRIES = 200_000
 #: Rows a worker gathers before it works on them, and the text bytes after which it stops gathering.
 CHUNK_BYTES = 8 << 20
+#: Bytes of an Arrow batch between Spark and a Python worker.
+BATCH_BYTES = 8 << 20
 
 
-def worker_state(key: str, make: Callable[[], object]) -> object:
-    """What a Python worker keeps from task to task (caches, automata). The package travels by value, so
-    its own module variables are new in every task; this is a module of the worker process instead."""
+def worker_state(key: str, make: Callable[[], object], small: bool = False) -> object:
+    """What a Python worker keeps from task to task (caches, automata): what the operator that it last worked for
+    needs, and small tables. The package travels by value, so its own module variables are new in every task;
+    this is a module of the worker process instead."""
     held = sys.modules.setdefault("_lcarank_worker", types.ModuleType("_lcarank_worker")).__dict__
-    if key not in held:
-        held[key] = make()
-    return held[key]
+    state = held.setdefault("small" if small else "large", {})
+    if key not in state:
+        if not small:
+            state.clear()
+        state[key] = make()
+    return state[key]
 
 
 def tidy(fn: Callable) -> Callable:
@@ -41,10 +47,16 @@ def tidy(fn: Callable) -> Callable:
     return run
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session sends batches of BATCH_BYTES at most to Python workers from now on."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str, binary: bool = True) -> DataFrame:
     """The two columns that an operator reads, as ``id`` and ``text`` (UTF-8 bytes when ``binary``)."""
     text = F.col(f"`{text_col}`").cast("string")
-    return df.select(F.col(f"`{id_col}`").alias("id"),
+    return small_batches(df).select(F.col(f"`{id_col}`").alias("id"),
                      (text.cast("binary") if binary else text).alias("text"))
 
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lcarank.llm.common import tidy
+from lcarank.llm.common import small_batches, tidy
 from lcarank.session import materialize
 
 ANCHOR_EVERY, NOISE_EVERY, POSITIVES, NEGATIVES = 100, 7, 5, 10
@@ -114,7 +114,7 @@ def _first(score: np.ndarray, allowed: np.ndarray, n: int) -> tuple[np.ndarray,
 
 def _rows(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
     """(id, label, vec) of the rows that take part; labels of every NOISE_EVERY-th id move on by one."""
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("long").alias("label"),
+    rows = small_batches(df).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("long").alias("label"),
                      F.col(f"`{vector_col}`").cast("array<double>").alias("vec"))
     fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(256 * x) < F.lit(float("inf"))))
     moved = F.when(F.col("id") % NOISE_EVERY == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))

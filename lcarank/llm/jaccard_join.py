@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lcarank.llm import sketch
-from lcarank.llm.common import arrow_rows, chunks, discard, hashed_words, id_and_text, join_once, mix, tidy, window_hashes
+from lcarank.llm.common import arrow_rows, chunks, discard, hashed_words, id_and_text, join_once, mix, small_batches, tidy, window_hashes
 from lcarank.session import materialize
 
 #: Largest boundary considered, and most subsets of one set.
@@ -52,7 +52,7 @@ MAP_BITS, FOLDED_BITS = 2048, 256
 #: Bytes of the table for each cell in a row of the sketch of list keys.
 LIST_SHARE = 8
 #: Sets of more shingles are compared by counts of their shingles in COUNTED cells before they move as a whole.
-LONG, COUNTED = 1000, 8192
+LONG, COUNTED = 1000, 4096
 #: Filter cells for each row that goes: few others then need a look.
 LOOKED_UP_EACH = 64
 
@@ -408,7 +408,7 @@ def one_of_each(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str
     no class and stay. A filter of the rows that go tells which rows need a look; the others do not move."""
     text = F.col(f"`{text_col}`").cast("string").cast("binary")
     own = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("text"))
-    docs, classes = _classes(df.select(own.alias("id"), text.alias("text")), df, rule)
+    docs, classes = _classes(small_batches(df).select(own.alias("id"), text.alias("text")), df, rule)
     rows = docs.where("node is not null").groupBy("id", "node").agg(F.count("*").alias("alike")).join(classes.drop("rows"), "node")
     look = materialize(rows.where("id != component or alike > 1").select(F.col("id").alias("own"), (F.col("id") != F.col("component")).alias("goes")))
     held = df.sparkSession.sparkContext.broadcast(sketch.key_filter(look.select(F.xxhash64("own")), LOOKED_UP_EACH))

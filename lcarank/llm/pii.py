@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lcarank.llm.common import arrow_rows, id_and_text
+from lcarank.llm.common import arrow_rows, id_and_text, small_batches
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "phone_local")
@@ -176,7 +176,7 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             return "".join([*parts, t[at:]])
         return texts.map(one, na_action="ignore")
 
-    return df.withColumn(text_col, masked(F.col(f"`{text_col}`")))
+    return small_batches(df).withColumn(text_col, masked(F.col(f"`{text_col}`")))
 
 
 def digest(df: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lcarank.llm.common import chunks, hashed_words, mix, tidy, window_hashes, worker_state
+from lcarank.llm.common import chunks, hashed_words, mix, small_batches, tidy, window_hashes, worker_state
 from lcarank.llm.scripts import SCRIPTS, letter_scripts
 from lcarank.session import materialize
 
@@ -116,7 +116,7 @@ class Tokenizer:
             return 0, 0.0, 0.0, 0.0, 0.0
         n = np.unique(ids, return_counts=True)[1] / len(ids)
         return (len(ids), len(text) / len(ids), float(self.is_byte[ids].mean()), float(-(n * np.log2(n)).sum()),
-                len(text) / len(self.second.encode_ordinary(text)))
+                len(text) / max(1, len(self.second.encode_ordinary(text))))
 
 
 FIGURES = ("text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, "
@@ -132,7 +132,7 @@ def measure(df: DataFrame, model_path: str, second_path: str, id_col: str = "doc
     lang = F.col(f"`{lang_col}`").cast("string") if lang_col else F.lit(None).cast("string")
     own = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row") if keep else F.col(f"`{id_col}`").alias("row")
     text = F.col(f"`{text_col}`").cast("string").cast("binary")
-    source = df.select(own, text.alias("text"), lang.alias("lang"), F.xxhash64(text).alias("text_hash"))
+    source = small_batches(df).select(own, text.alias("text"), lang.alias("lang"), F.xxhash64(text).alias("text_hash"))
     schema = T.StructType([T.StructField("row", source.schema["row"].dataType), *T.StructType.fromDDL(f"lang string, script string, {FIGURES}").fields])
     names = ["row", "lang", "script", *(x.split()[0] for x in FIGURES.split(", "))]
 

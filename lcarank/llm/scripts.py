@@ -61,4 +61,4 @@ def letter_scripts(text: str) -> np.ndarray:
 
 
 def script_table() -> np.ndarray:
-    return worker_state("script table", _table)
+    return worker_state("script table", _table, small=True)
