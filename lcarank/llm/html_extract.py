@@ -13,7 +13,11 @@ that reach THRESHOLD are content, and their blocks make the text. Elements that
 (scripts, styles, head, navigation, forms ...) and elements whose class, id or role names boilerplate
 (advert, cookie, sidebar, comments ...) weigh nothing; neither do paths made mainly of links. If the
 page has an ``article`` or ``main`` with content in it, only paths inside compete, headings and short
-paragraphs beside selected paths of that element included.
+paragraphs beside selected paths of that element included, and so are lists, tables, quotations and figures
+beside them with all that they hold but paths made mainly of links.
+
+A name like "market-share" joins a word that may mean boilerplate (AMBIGUOUS) with one that does not: within an
+article such an element is boilerplate only if it is short, has hardly any punctuation or is mostly links.
 
 Null and empty pages give an empty text. Markup that breaks off, unclosed elements, stray ends and
 unquoted attributes are read as browsers do in outline; nothing is capped.
@@ -52,6 +56,16 @@ cookie cookies consent gdpr notice notices alert popup modal overlay newsletter
 sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs toolbar masthead footer foot copyright legal
 comment comments commentlist disqus reply replies respond discussion responses related recommended recommendations more share sharing social
 widget widgets login register search pagination pager tagcloud skip hidden""".split())
+#: Of these words, those that other names have as well; words that say nothing about what an element holds.
+AMBIGUOUS = frozenset("""share sharing social legal more side rail notice notices alert promo promotion banner related recommended recommendations
+response responses discussion search register login hidden skip foot copyright sponsor sponsored subscription menu reply replies""".split())
+GENERIC = frozenset("""box wrap wrapper container inner outer block list section area bar item items title body content contents links link button
+buttons btn icon icons group row col column panel top bottom left right main post article page site entry the and of js is has""".split())
+#: What a doubtful element of an article must hold to stay: code points, sentence punctuation, at most this share in links.
+LONG_ENOUGH, MARKS_ENOUGH, FEW_LINKS = 80, 2, 0.3
+#: Elements inside which an article goes on.
+INNER = frozenset("ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption p div h1 h2 h3 h4 h5 h6 details summary".split())
+CONTAINERS = frozenset("ul ol dl table blockquote figure details".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 PUNCTUATION = re.compile(r"[.,;:!?。、，！？；：…।؟،]")
 
@@ -83,20 +97,28 @@ def _tag_end(page: str, at: int) -> int:
     return first
 
 
-def _is_boilerplate(name: str, attributes: str) -> bool:
+NO, MAYBE, YES = 0, 1, 2
+
+
+def _is_boilerplate(name: str, attributes: str) -> int:
+    """Whether an element's attributes say so: NO, MAYBE (by a name that may mean something else) or YES."""
     if not attributes or attributes.isspace():
-        return False
+        return NO
+    found = NO
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return YES
         if key == "role" and value.strip().lower() in ROLES:
-            return True
+            return YES
         if key in ("class", "id") and name not in ("html", "body", "main", "article"):
-            words = {w.lower() for w in _NAME.findall(value)}
-            if not BOILERPLATE.isdisjoint(words):
-                return True
-    return False
+            for part in value.split():
+                words = {w.lower() for w in _NAME.findall(part)}
+                if said := words & BOILERPLATE:
+                    if not (said <= AMBIGUOUS and words - BOILERPLATE - GENERIC):
+                        return YES
+                    found = MAYBE
+    return found
 
 
 class Path:
@@ -116,10 +138,10 @@ class Path:
 
 
 class Block:
-    __slots__ = ("path", "parts", "linked", "dropped", "article")
+    __slots__ = ("path", "parts", "linked", "dropped", "article", "doubt")
 
-    def __init__(self, path: Path, dropped: bool, article: bool):
-        self.path, self.dropped, self.article = path, dropped, article
+    def __init__(self, path: Path, dropped: bool, article: bool, doubt: int):
+        self.path, self.dropped, self.article, self.doubt = path, dropped, article, doubt
         self.parts: list[str] = []
         self.linked = 0
 
@@ -127,9 +149,10 @@ class Block:
 def blocks_of(page: str) -> list[tuple[Path, str, int, bool, bool]]:
     """(path, text, code points in links, dropped, in an article) of the blocks with text."""
     done: list[Block] = []
-    stack: list[tuple[str, Path, bool, bool]] = [("", Path(), False, False)]  # name, path, dropped, article
+    # name, path, dropped, article, number of the doubtful element around (0: none)
+    stack: list[tuple[str, Path, bool, bool, int]] = [("", Path(), False, False, 0)]
     open_names: Counter[str] = Counter()
-    current, in_link, at, n = Block(stack[0][1], False, False), 0, 0, len(page)
+    current, in_link, at, n, doubts = Block(stack[0][1], False, False, 0), 0, 0, len(page), 0
 
     def close(depth: int) -> None:
         for x in stack[depth:]:
@@ -140,8 +163,8 @@ def blocks_of(page: str) -> list[tuple[Path, str, int, bool, bool]]:
         nonlocal current
         if current.parts:
             done.append(current)
-        _, path, dropped, article = stack[-1]
-        current = Block(path, dropped, article)
+        _, path, dropped, article, doubt = stack[-1]
+        current = Block(path, dropped, article, doubt)
 
     def add(text: str) -> None:
         if text:
@@ -214,21 +237,27 @@ def blocks_of(page: str) -> list[tuple[Path, str, int, bool, bool]]:
                 break
             if stack[depth][0] not in HEADINGS:
                 break
-        _, path, dropped, article = stack[-1]
-        dropped = dropped or name in NEVER or name == "header" and not article or _is_boilerplate(name, attributes)
+        _, path, dropped, article, doubt = stack[-1]
+        said = _is_boilerplate(name, attributes)
+        dropped = dropped or name in NEVER or name == "header" and not article or said == YES or said == MAYBE and not article
+        if said == MAYBE and not doubt:
+            doubts += 1
+            doubt = doubts
         marks = " ".join(sorted(x.lower() for m in _ATTRIBUTE.finditer(attributes) if m[1].lower() == "class" for x in (m[2] or m[3] or m[4] or "").split()))
-        stack.append((name, path.down(name, marks), dropped, article or name in ("article", "main")))
+        stack.append((name, path.down(name, marks), dropped, article or name in ("article", "main"), doubt))
         open_names[name] += 1
         in_link = 0
         cut()
     if current.parts:
         done.append(current)
-    out = []
-    for b in done:
-        text = " ".join("".join(b.parts).split())
-        if text:
-            out.append((b.path, text, b.linked, b.dropped, b.article))
-    return out
+    texts = [" ".join("".join(b.parts).split()) for b in done]
+    held: dict[int, list[int]] = defaultdict(lambda: [0, 0, 0])  # of doubtful elements: code points, marks, in links
+    for b, text in zip(done, texts, strict=True):
+        if b.doubt and not b.dropped:
+            for i, x in enumerate((len(text), len(PUNCTUATION.findall(text)), b.linked)):
+                held[b.doubt][i] += x
+    stay = {d for d, (size, marks, linked) in held.items() if size >= LONG_ENOUGH and marks >= MARKS_ENOUGH and linked <= FEW_LINKS * size}
+    return [(b.path, text, b.linked, b.dropped or bool(b.doubt) and b.doubt not in stay, b.article) for b, text in zip(done, texts, strict=True) if text]
 
 
 def _smoothed(series: list[float]) -> list[float]:
@@ -277,9 +306,21 @@ def main_text(page: str | None) -> str:
     parents = {p.parent for p in chosen}
     # Headings, and inside an article also short paragraphs, beside chosen paths.
     chosen |= {p for p in scores if p.parent in parents and p.parent is not None and (inside or p.name in HEADINGS)}
+    if inside:
+        chosen |= {p for p in scores if _within(p, parents)}
     return " ".join(text for path, text, _, dropped, _ in blocks if path in chosen and not dropped)
 
 
+def _within(path: Path, parents: set[Path]) -> bool:
+    """Whether a container that stands beside chosen paths holds this path."""
+    p: Path | None = path
+    while p is not None and p.name in INNER:
+        if p.name in CONTAINERS and p.parent in parents:
+            return True
+        p = p.parent
+    return False
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row of ``pages``: id, url, ``text`` and ``n_chars``."""
 

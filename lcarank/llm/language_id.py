@@ -12,7 +12,7 @@ maximises the sum of scores, less SWITCH for every change, labels spans (Viterbi
 words would repay half a change, the best single language is that path, and the search is left out.
 A text's language has the most letters in its path; ``score`` is their share.
 
-Null texts and texts without letters are ``und`` with score 0. Null languages teach nothing. Ties go
+Documents without an id are not held out and teach like others. Null texts and texts without letters are ``und`` with score 0. Null languages teach nothing. Ties go
 to the language that sorts first. With nothing to learn from, every text is ``und``. Texts of any length are
 worked on whole.
 """
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lcarank.llm.common import arrow_rows, chunks, id_and_text, mix, summed_arrays, tidy
+from lcarank.llm.common import arrow_rows, chunks, hash_spans, id_and_text, mix, summed_arrays, tidy
 from lcarank.llm.scripts import SCRIPTS, code_points, script_table
 
 SAMPLE = 4000
@@ -38,35 +38,43 @@ PIECE = 1 << 20
 
 
 class Words:
-    """Words of some texts: white space ends a word; ``letters`` of each, its ``script`` (0: none), and the
-    cells of its letter sequences."""
+    """Words of some texts: white space ends a word; ``letters`` of each, its ``script`` (0: none). Letter sequences are
+    made of the ``distinct`` words only (``inverse``: which one each word is): ``cells`` of the sequences that end in
+    their letters, and ``cell_word``, the distinct word of each. A word's border counts as a letter, what lies beyond as none."""
 
     def __init__(self, texts: list):
-        points = code_points(" ".join(["", *((t or "").lower() for t in texts), ""]))
-        script = script_table()[points]
+        lower = [(t or "").lower() for t in texts]
+        points = code_points(" ".join(["", *lower, ""]))
         space = (points == 0x20) | (points >= 9) & (points <= 13) | (points == 0xA0) | (points == 0x3000)
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
         starts, ends = edge[::2], edge[1::2]
-        at = np.concatenate([[0], np.cumsum([len((t or "").lower()) + 1 for t in texts])])
+        at = np.concatenate([[0], np.cumsum([len(t) + 1 for t in lower])])
         self.counts = np.diff(np.searchsorted(starts, at + 1)) if texts else np.empty(0, np.int64)
         self.base = np.concatenate([[0], np.cumsum(self.counts)])
-        word = np.repeat(np.arange(len(starts)), ends - starts)
-        inside = np.flatnonzero(~space)
-        own = script[inside]
-        self.letters = np.bincount(word[own > 0], minlength=len(starts))
-        by = np.bincount(word * (len(SCRIPTS) + 1) + own, minlength=len(starts) * (len(SCRIPTS) + 1)).reshape(-1, len(SCRIPTS) + 1)
-        self.letters_by_script = by[:, 1:]
-        self.script = np.where(self.letters > 0, by[:, 1:].argmax(axis=1) + 1, 0)
-        # Letters count as themselves, all else as a border; a sequence belongs to the word of its last letter.
-        sign = np.where(script > 0, points, 0).astype(np.uint64)
-        last = inside[own > 0]
-        self.cell_word = word[own > 0]
+        padded = np.concatenate([points, np.zeros(2, points.dtype)]).view(np.uint8)
+        _, first, self.inverse = np.unique(hash_spans(padded, starts * 4, ends * 4), return_index=True, return_inverse=True)
+        # the distinct words one after another, each behind a border
+        sizes, self.distinct = (ends - starts)[first] + 1, len(first)
+        begin = np.cumsum(sizes) - sizes
+        word = np.repeat(np.arange(len(first)), sizes)
+        within = np.arange(sizes.sum()) - begin[word]
+        own_points = points[starts[first][word] - 1 + within]
+        script = script_table()[own_points]
+        by = np.bincount(word * (len(SCRIPTS) + 1) + script, minlength=len(first) * (len(SCRIPTS) + 1)).reshape(-1, len(SCRIPTS) + 1)[:, 1:]
+        self.distinct_scripts, letters = by, by.sum(axis=1)
+        self.distinct_script = np.where(letters > 0, by.argmax(axis=1) + 1, 0)
+        self.distinct_letters, self.letters = letters, letters[self.inverse]
+        # Letters count as themselves, all else as a border.
+        sign = np.where(script > 0, own_points, 0).astype(np.uint64)
+        last = np.flatnonzero(script)
+        self.cell_word, depth = word[last], within[last]
         self.cells = []
+        before = [np.where(k <= depth, sign[np.maximum(last - k, 0)], np.uint64(0)) for k in range(max(ORDERS))]
         for n in ORDERS:
             h = np.full(len(last), n, np.uint64)
             with np.errstate(over="ignore"):
                 for k in range(n):
-                    h = h * np.uint64(0x9E3779B97F4A7C15) + sign[np.maximum(last - k, 0)]
+                    h = h * np.uint64(0x9E3779B97F4A7C15) + before[k]
             self.cells.append((mix(h) >> np.uint64(64 - CELL_BITS)).astype(np.int64))
 
     def texts(self) -> np.ndarray:
@@ -75,7 +83,7 @@ class Words:
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
@@ -100,11 +108,11 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 w = Words(texts)
                 lang = np.array(own[at:at + len(texts)], np.int64)[w.texts()]
                 at += len(texts)
-                for k, c in enumerate(w.cells):
-                    key = lang[w.cell_word] * cells.shape[1] + (k << CELL_BITS) + c
-                    cells += np.bincount(key, minlength=cells.size).reshape(cells.shape)
-                for i in range(len(langs)):
-                    scripts[i] += w.letters_by_script[lang == i].sum(axis=0)
+                for i in set(lang.tolist()):
+                    times = np.bincount(w.inverse[lang == i], minlength=w.distinct)
+                    for k, c in enumerate(w.cells):
+                        cells[i, k << CELL_BITS:(k + 1) << CELL_BITS] += np.bincount(c, weights=times[w.cell_word], minlength=1 << CELL_BITS)
+                    scripts[i] += times @ w.distinct_scripts
         for i in range(len(langs)):
             if scripts[i].any():
                 data = np.concatenate([cells[i], scripts[i]]).astype(np.float32)
@@ -124,18 +132,18 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def word_scores(w: Words, model: dict) -> np.ndarray:
-    """Words by languages."""
-    out = np.zeros((w.base[-1], len(model["langs"])))
+    """Words by languages; each distinct word is scored once."""
+    out = np.zeros((w.distinct, len(model["langs"])))
     total = np.zeros((len(w.cell_word), len(model["langs"])), np.float32)
     for table, cells in zip(model["logs"], w.cells, strict=True):
         total += table[cells]
     if len(total):
         first = np.flatnonzero(np.diff(w.cell_word, prepend=-1))
         out[w.cell_word[first]] = np.add.reduceat(total, first, axis=0) * (WEIGHT / len(ORDERS))
-    out[~model["writes"][w.script]] += OUT
+    out[~model["writes"][w.distinct_script]] += OUT
     out -= out.max(axis=1, keepdims=True) if out.size else 0
-    out[w.letters == 0] = 0
-    return out
+    out[w.distinct_letters == 0] = 0
+    return out[w.inverse]
 
 
 def best_path(scores: np.ndarray) -> np.ndarray:
@@ -155,6 +163,21 @@ def best_path(scores: np.ndarray) -> np.ndarray:
     return path
 
 
+def _rises(gains: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of every text (its words from ``starts`` on): the largest sum of consecutive gains."""
+    run = np.cumsum(gains)
+    text = np.zeros(len(gains), np.int64)
+    text[starts[1:]] = 1
+    text = np.cumsum(text)
+    run -= (run[starts] - gains[starts])[text]  # from 0 in every text
+    # Lower each text by more than any text ranges over, so that the running minimum starts anew in it.
+    lower = text * (run.max() - run.min() + 1.0)
+    low = np.minimum.accumulate(run - lower) + lower
+    before = np.concatenate([[0.0], low[:-1]])
+    before[starts] = 0.0
+    return np.maximum.reduceat(run - np.minimum(before, 0.0), starts)
+
+
 def paths(w: Words, model: dict) -> np.ndarray:
     """The language of every word of all texts."""
     scores, doc = word_scores(w, model), w.texts()
@@ -167,15 +190,12 @@ def paths(w: Words, model: dict) -> np.ndarray:
     path = single[doc]
     # The most that a stretch of words gains in any other language: the largest rise of the running sum. A path
     # of m switches has m + 1 such stretches at most, so none pays if each gains less than SWITCH / 2.
-    worth = np.zeros(len(w.counts), bool)
     own = scores[np.arange(len(doc)), path]
+    most = np.zeros(len(w.counts))
+    starts = w.base[:-1][has]
     for lang in range(scores.shape[1]):
-        run = np.cumsum(scores[:, lang] - own)
-        for d in np.flatnonzero(has & (single != lang)):
-            s = run[w.base[d]:w.base[d + 1]]
-            before = run[w.base[d] - 1] if w.base[d] else 0.0
-            low = np.minimum.accumulate(np.concatenate([[before], s[:-1]]))
-            worth[d] |= (s - low).max() >= SWITCH / 2
+        most[has] = np.maximum(most[has], np.where(single[has] == lang, 0, _rises(scores[:, lang] - own, starts)))
+    worth = most >= SWITCH / 2
     for d in np.flatnonzero(worth):
         path[w.base[d]:w.base[d + 1]] = best_path(scores[w.base[d]:w.base[d + 1]])
     return path

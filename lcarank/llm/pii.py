@@ -8,6 +8,12 @@ reach the threshold by the validator alone; ``phone_local`` (a national number w
 checksum and needs a context word, ``iban`` needs its checksum. An IBAN ends at the length of its
 country (IBAN_LENGTHS), so that a following word in capitals stays out; the scan goes on from there.
 
+Secrets: ``private_key`` is a PEM block (to the end of its header if nothing ends it), ``key`` a token of a
+provider's own form, ``secret`` the value behind a word like "password" or "token" and "=" or ":", of 8
+characters or more with a letter and a digit, ``hex_key`` 32 hexadecimal digits or more, which need a context
+word. ``national_id``: Spanish DNI and NIE (letter by mod 23), French NIR (mod 97) and German tax numbers (ISO 7064
+mod 11, 10), which need checksum and context word, and US social security numbers, which need the word.
+
 Null and empty texts have no spans. Repeated rows give repeated results. Any text length works: every
 pattern is scanned in time linear in the text. Offsets are code points, the end exclusive.
 """
@@ -24,9 +30,12 @@ from pyspark.sql import functions as F
 from lcarank.llm.common import arrow_rows, id_and_text, small_batches
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban", "phone_local")
+KINDS = (*BASE_KINDS, "iban", "phone_local", "private_key", "key", "secret", "hex_key", "national_id")
 THRESHOLD, CONFIRMED, NEARBY, CONTEXT = 0.6, 0.4, 0.25, 48
-PRIOR = {"email": 0.6, "ip": 0.3, "card": 0.3, "phone": 0.3, "iban": 0.3, "phone_local": 0.4}
+PRIOR = {"email": 0.6, "ip": 0.3, "card": 0.3, "phone": 0.3, "iban": 0.3, "phone_local": 0.4,
+         "private_key": 0.6, "key": 0.6, "secret": 0.6, "hex_key": 0.4, "national_id": 0.15}
+#: A social security number has no checksum to confirm it.
+UNCHECKED = 0.4
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -39,6 +48,16 @@ DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27
 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29
 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30""".split()}
 _PHONE_LOCAL = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-]*[0-9])")
+_BEGIN_KEY, _END_KEY = (re.compile(rf"-----{x} (?:[A-Z0-9]+ ){{0,3}}PRIVATE KEY-----") for x in ("BEGIN", "END"))
+# FIXED VALUES: beginnings and lengths of providers' keys.
+_KEY = re.compile(r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}"
+                  r"|xox[abeprs]-[A-Za-z0-9-]{10,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|npm_[A-Za-z0-9]{36}"
+                  r"|sk-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})(?![A-Za-z0-9_-])")
+_SECRET = re.compile(r"(?i)(?<![a-z])(?:password|passwd|passphrase|pwd|secret|token|credential|api[\x20_-]?key|access[\x20_-]?key|private[\x20_-]?key|auth[\x20_-]?key"
+                     r"|contraseña|mot[\x20]de[\x20]passe|passwort|kennwort)[\"']?[\x20\t]{0,3}(?:=>|:=|=|:)[\x20\t]{0,3}[\"']?([^\s\"'<>,;]{8,})")
+_HEX = re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,}(?![A-Za-z0-9])")
+_NATIONAL = re.compile(r"(?<![A-Za-z0-9.-])(?:[0-9]{8}-?[A-Z]|[XYZ]-?[0-9]{7}-?[A-Z]|[0-9]{11}|[12][0-9]{14}|[0-9]{3}-[0-9]{2}-[0-9]{4})(?![A-Za-z0-9-])")
+_LETTER = re.compile(r"[^\W\d_]")
 _DIGIT = re.compile(r"[0-9]")
 _NON_DIGIT = re.compile(r"[^0-9]")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -50,6 +69,9 @@ WORDS_NEAR = {
     "phone": frozenset("phone tel telephone call mobile fax telefon handy portable teléfono móvil".split()),
     "iban": frozenset("iban account bank konto compte cuenta transfer".split()),
     "phone_local": frozenset("phone tel telephone call mobile fax cell dial telefon handy teléfono".split()),
+    "private_key": frozenset(), "key": frozenset(), "secret": frozenset(),
+    "hex_key": frozenset("key keys token secret password apikey credential credentials auth bearer api clave clé schlüssel".split()),
+    "national_id": frozenset("dni nie nif nir insee ssn steuer steuernummer identifikationsnummer idnr social security sociale identity identidad ausweis tax".split()),
 }
 
 
@@ -68,6 +90,40 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def _dni(code: str) -> bool:
+    digits = code[:-1].translate(str.maketrans("XYZ", "012"))
+    return "TRWAGMYFPDXBNJZSQVHLCKE"[int(digits) % 23] == code[-1]
+
+
+def _german_tax_number(digits: str) -> bool:
+    left = 10
+    for c in digits[:-1]:
+        left = (left + int(c)) % 10 or 10
+        left = left * 2 % 11
+    return digits[0] != "0" and (11 - left) % 10 == int(digits[-1])
+
+
+def _national_id(code: str) -> bool | None:
+    """Whether the checksum of a national number holds; None: it has none, but the number may exist."""
+    if len(code) == 11 and code[3:4] == "-":
+        area, group, serial = code.split("-")
+        return None if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000" else False
+    code = code.replace("-", "")
+    if code[-1].isalpha():
+        return _dni(code)
+    if len(code) == 15:
+        return 97 - int(code[:13]) % 97 == int(code[13:])
+    return _german_tax_number(code)
+
+
+def _private_keys(text: str) -> Iterator[tuple[int, int]]:
+    at, ends = 0, True
+    while m := _BEGIN_KEY.search(text, at):
+        end = _END_KEY.search(text, m.end()) if ends else None
+        ends, at = end is not None, end.end() if end else m.end()
+        yield m.start(), at
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     # The local part cannot hold "@", so each "@" has one candidate: the run before it.
     floor, at = 0, text.find("@")
@@ -101,10 +157,13 @@ def _digits(s: str) -> str:
     return _NON_DIGIT.sub("", s)
 
 
-def proposals(text: str) -> Iterator[tuple[str, int, int, bool]]:
-    """(kind, start, end, confirmed) of the matches whose validator does not reject them."""
+def proposals(text: str) -> Iterator[tuple[str, int, int, bool | None]]:
+    """(kind, start, end, confirmed) of the matches whose validator does not reject them; None: it cannot tell."""
     for s, e in _emails(text):
         yield "email", s, e, True
+    if "PRIVATE KEY-----" in text:
+        for s, e in _private_keys(text):
+            yield "private_key", s, e, False
     if not _DIGIT.search(text):
         return
     if "." in text:
@@ -122,13 +181,25 @@ def proposals(text: str) -> Iterator[tuple[str, int, int, bool]]:
         yield "iban", s, e, True
     for m in _PHONE_LOCAL.finditer(text):
         yield "phone_local", m.start(), m.end(), False
+    for m in _KEY.finditer(text):
+        yield "key", m.start(), m.end(), False
+    if "=" in text or ":" in text:
+        for m in _SECRET.finditer(text):
+            if _DIGIT.search(m[1]) and _LETTER.search(m[1]):
+                yield "secret", m.start(1), m.end(1), False
+    for m in _HEX.finditer(text):
+        if _LETTER.search(m.group()) and _DIGIT.search(m.group()):
+            yield "hex_key", m.start(), m.end(), False
+    for m in _NATIONAL.finditer(text):
+        if (ok := _national_id(m.group())) is not False:
+            yield "national_id", m.start(), m.end(), ok
 
 
 def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) by start, then kind in the order of KINDS."""
     found = []
     for kind, s, e, confirmed in proposals(text or ""):
-        score = PRIOR[kind] + CONFIRMED * confirmed
+        score = UNCHECKED if confirmed is None else PRIOR[kind] + CONFIRMED * confirmed
         near = text[max(0, s - CONTEXT):s] + " " + text[e:e + CONTEXT]
         if not WORDS_NEAR[kind].isdisjoint(_WORD.findall(near.lower())):
             score += NEARBY
@@ -186,4 +257,4 @@ def digest(df: DataFrame) -> DataFrame:
     count = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
     base = F.filter("spans", lambda x: x["kind"].isin(*BASE_KINDS))
     return spans.select("doc_id", *count, F.sha2(spans_text(base), 256).alias("base_sha256"),
-                        spans_text(F.col("spans")).alias("spans"))
+                        spans_text(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
