@@ -259,7 +259,8 @@ def banded(figures: DataFrame) -> DataFrame:
     texts = figures.where("n_tokens > 0 and lang is not null").groupBy("lang", "text_hash").agg(F.first("script").alias("script"))
     by_script = texts.groupBy("lang", "script").agg(F.count("*").alias("texts"))
     large = by_script.groupBy("lang").agg(F.max_by("script", F.struct("texts", "script")).alias("written"), F.sum("texts").alias("texts")).where(F.col("texts") >= LEAST)
-    return figures.join(large.select("lang", "written"), "lang", "left") \
+    # written first: Spark then knows how small it is, broadcasts it, and no text is shuffled
+    return figures.join(materialize(large.select("lang", "written")), "lang", "left") \
         .withColumn("band", F.when(F.col("written").isNotNull(), F.concat(F.lit("language "), "lang")).otherwise(F.col("script")))
 
 
