@@ -89,6 +89,15 @@ def allowlist_stats(filings: DataFrame) -> DataFrame:
     )
 
 
+def filing_accounts(filings: DataFrame) -> DataFrame:
+    """Per file of ``read_filings(..., short_rows=True)``: rows (all), short_rows (they end before the employer or the
+    status and count as nothing else), rows_certified, and rows_named, the certified with an employer."""
+    cert = is_certified(F.col("case_status")) & ~F.col("short")
+    return filings.groupBy("source_file").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("short").alias("short_rows"), F.count_if(cert).alias("rows_certified"),
+        F.count_if(cert & _named(F.col("employer_name"))).alias("rows_named"))
+
+
 def allowlist_sample(allow: DataFrame, n: int = 20) -> DataFrame:
     """A reproducible inspection sample: the n keys first in md5 order (a top-k)."""
     return (allow.withColumn("_h", F.md5("norm_name")).orderBy("_h").limit(n)

@@ -7,8 +7,7 @@ Cascade per name string (later stages only see names with no earlier hit):
     none
 
 Near-tie choice (both fuzzy stages): candidates within 1.0 point of the best score, then most
-filings, then higher score, then earliest key (first_ord) — a ``min_by`` aggregate, combined
-map-side.
+filings, then higher score, then earliest key (first_ord) — two aggregates on one shuffle.
 
 Each distinct raw name is decided once (``distinct`` + join back). A run-together variant
 ("jp morgan" -> "jpmorgan") is tried only when the plain name is not an exact hit; the better of
@@ -17,7 +16,7 @@ the two wins by method rank, then (confidence, filings) strictly greater, else p
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lcarank.constants import FUZZY_THRESHOLD, METHOD_RANK, MIN_NAME_LEN, TIE_BAND
@@ -33,18 +32,16 @@ def best_candidate(pairs: DataFrame, allow: DataFrame, band: float = TIE_BAND) -
     """pairs(v, norm_name, score) -> one (v, norm_name, score) per name: within ``band`` of the
     top score, most filings, then higher score, then earliest key.
 
-    The top score comes from a window over the name's candidates, so the verified pairs (the LCS
-    UDF output) are computed once and shuffled once; a self-join with a grouped maximum would
-    plan the pairs twice (the two branches prune different columns, so the exchange is not
-    reused). The final pick is a ``min_by`` aggregate on the same partitioning."""
-    top = F.max("score").over(Window.partitionBy("v"))
-    near = pairs.withColumn("_top", top).filter(F.col("score") >= F.col("_top") - F.lit(band))
-    ranked = near.join(allow.select("norm_name", "filings", "first_ord"), "norm_name")
-    pick = ranked.groupBy("v").agg(F.min_by(
-        F.struct("norm_name", "score"),
-        F.struct((-F.col("filings")).alias("f"), (-F.col("score")).alias("s"), F.col("first_ord").alias("o")),
-    ).alias("b"))
-    return pick.select("v", F.col("b.norm_name").alias("norm_name"), F.col("b.score").alias("score"))
+    Of candidates with equal scores only the best can win, whatever the top score is, so the state of a name
+    is one candidate for each score that it has (a score is made of two lengths and a distance: a few
+    hundred at most). Both aggregates use the one shuffle by name."""
+    ranked = pairs.join(allow.select("norm_name", "filings", "first_ord"), "norm_name").repartition("v")
+    alike = ranked.groupBy("v", "score").agg(F.min(F.struct(
+        (-F.col("filings")).alias("f"), F.col("first_ord").alias("o"), F.col("norm_name").alias("key"))).alias("b"))
+    state = alike.groupBy("v").agg(F.max("score").alias("top"), F.collect_list(F.struct("score", "b")).alias("c"))
+    near = F.filter("c", lambda x: x["score"] >= F.col("top") - F.lit(band))
+    first = F.array_min(F.transform(near, lambda x: F.struct(x["b"]["f"].alias("f"), (-x["score"]).alias("s"), x["b"]["o"].alias("o"), x["b"]["key"].alias("key"))))
+    return state.select("v", first.alias("w")).select("v", F.col("w.key").alias("norm_name"), (-F.col("w.s")).alias("score"))
 
 
 def decide(strings: DataFrame, allow: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:

@@ -20,23 +20,35 @@ Within a profile the order is that of the rounded boost, then fetch order: addin
 leaves rounding as it is, except next to a half cent, where floating point may round to either
 side. Boosts that close to a half cent are ranked among their equals only.
 
+Pairs of vocabularies and postings are cut down where they arise: every task keeps the best ``cap`` of an
+employer and LEAST of a vocabulary of what it has seen (``best_pairs``), and only these are shuffled and ranked.
+
 Postings that share no term with a vocabulary score their boost alone. They matter only if fewer than
-LEAST overlapping postings score higher than any boost; then they come from the head of the list by
-boost, taken longer until it holds LEAST postings of other profiles than the overlapping.
+LEAST overlapping postings score higher than any boost. A boost depends on the employer only, so they come
+from a list of employers by boost, the first few postings of each; both grow for the vocabularies that may
+still miss one (``without_overlap``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lcarank.constants import PER_EMPLOYER_CAP, TOP_N
 from lcarank.functions.scoring import fit_score, sponsor_boost, why_text
+from lcarank.operators.skew import fan_out
 from lcarank.operators.term_index import find_terms
 from lcarank.session import materialize
 
-#: A head of the list by boost is broadcast up to this many rows; longer ones are joined by shuffle.
+#: Postings of the list of employers are broadcast up to this many rows; more of them are joined by shuffle.
 HEAD_BROADCAST = 20_000
+#: Pairs that a task holds before it cuts them down.
+HELD_PAIRS = 200_000
 
 
 def _empty():
@@ -60,7 +72,7 @@ def vocabularies(resumes: DataFrame, keywords: DataFrame) -> tuple[DataFrame, Da
     all_sets = (resumes.select("resume_id").join(sets, "resume_id", "left")
                 .select("resume_id", F.coalesce(F.col("vocab"), _empty()).alias("vocab")))
     ids = all_sets.groupBy("vocab").agg(F.min("resume_id").alias("vocab_id"))
-    resume_vocab = all_sets.join(ids, "vocab").select("resume_id", "vocab_id")
+    resume_vocab = fan_out(all_sets, ids, "vocab", "resume_id").select("resume_id", "vocab_id")
     terms = ids.select("vocab_id", F.explode("vocab").alias("kw"))
     return resume_vocab, ids.select("vocab_id"), terms
 
@@ -118,48 +130,112 @@ def _within_cap(cands: DataFrame, most: int, cap: int) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("vocab_id").orderBy(*order))).where(F.col("rank") <= most).drop("_n")
 
 
+def _best(pairs: pa.Table, most: int, cap: int) -> pa.Table:
+    """Of (vocab_id, emp_key, fetch_ord, score, ...): per vocabulary the first ``most`` by (score desc, fetch_ord) of its
+    first ``cap`` per employer."""
+    v, o, s = (pairs.column(c).to_numpy() for c in ("vocab_id", "fetch_ord", "score"))
+    e = pairs.column("emp_key").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+
+    def first(rows: np.ndarray, n: int, *keys: np.ndarray) -> np.ndarray:
+        rows = rows[np.lexsort((o[rows], -s[rows], *(k[rows] for k in keys)))]
+        new = np.zeros(len(rows), bool)
+        new[:1] = True
+        for k in keys:
+            new[1:] |= k[rows[1:]] != k[rows[:-1]]
+        begin = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
+        return rows[np.arange(len(rows)) - begin < n]
+
+    return pairs.take(pa.array(first(first(np.arange(len(v)), cap, e, v), most, v)))
+
+
+def best_pairs(pairs: DataFrame, most: int, cap: int, held_most: int = HELD_PAIRS) -> DataFrame:
+    """``pairs`` (vocab_id, emp_key, fetch_ord, score, others) without those that cannot be among the first ``most``
+    of their vocabulary within ``cap`` per employer, as far as a task sees. What is left of all tasks merges
+    to the same result."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= held_most:
+                table = _best(pa.Table.from_batches(held), most, cap)
+                if table.num_rows > held_most // 2:  # many vocabularies: these go on as they are
+                    yield from table.to_batches()
+                    held, n = [], 0
+                else:
+                    held, n = table.combine_chunks().to_batches(), table.num_rows
+        if n:
+            yield from _best(pa.Table.from_batches(held), most, cap).to_batches()
+
+    return pairs.mapInArrow(run, pairs.schema)
+
+
 def without_overlap(todo: DataFrame, shared: DataFrame, rows: DataFrame, top_n: int, cap: int) -> DataFrame:
     """(vocab_id, fetch_ord, emp_key, score): enough postings that share no term with the vocabularies
-    ``todo``. ``shared``: (vocab_id, profile) that do share one."""
-    columns, total, length, parts = ("vocab_id", "fetch_ord", "emp_key", "score"), rows.count(), 8 * top_n, []
+    ``todo``. ``shared``: (vocab_id, profile) that do share one.
+
+    Employers stand by (boost score, first posting); of the first ``n_emp`` the first ``depth`` postings are looked
+    at. What is not looked at begins at a bound: the next employer's first posting, or the next posting of an
+    employer of whom fewer than ``cap`` free ones were found. A vocabulary is done when 2 * top_n of its
+    postings stand before its bound, or nothing is left to look at."""
+    columns, most, parts = ("vocab_id", "fetch_ord", "emp_key", "score"), 2 * top_n, []
+    listed = materialize(rows.withColumn("er", F.row_number().over(Window.partitionBy("emp_key").orderBy("fetch_ord"))))
+    employers = materialize(listed.groupBy("emp_key").agg(F.max("zscore").alias("z"), F.min("fetch_ord").alias("first_ord")))
+    n_emp, depth = most, 2 * cap
     while True:
-        by_boost = Window.orderBy(F.col("zscore").desc(), "fetch_ord")  # over the head only
-        head = rows.orderBy(F.col("zscore").desc(), "fetch_ord").limit(length).withColumn("pos", F.row_number().over(by_boost).cast("bigint"))
-        places = todo.select("vocab_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(max(1, min(length, total))).cast("bigint"))).alias("pos"))
-        free = places.join(F.broadcast(head) if length <= HEAD_BROADCAST else head, "pos").join(shared.select("vocab_id", "profile"), ["vocab_id", "profile"], "left_anti")
-        found = materialize(_within_cap(free.withColumn("score", F.col("zscore")), 2 * top_n, cap).select(*columns))
-        if length >= total:
-            parts.append(found)
+        by_boost = [F.col("z").desc(), F.col("first_ord")]
+        head = employers.orderBy(*by_boost).limit(n_emp + 1).withColumn("place", F.row_number().over(Window.orderBy(*by_boost)))  # over the head only
+        next_one = F.col("place") == n_emp + 1
+        near = listed.join(head.select("emp_key", "z", "place"), "emp_key").where(F.when(next_one, F.col("er") == 1).otherwise(F.col("er") <= depth + 1))
+        near = materialize(near.select("emp_key", "z", "fetch_ord", "profile", next_one.alias("outside"), (F.col("er") > depth).alias("beyond"),
+                                       F.row_number().over(Window.orderBy("place", "er")).cast("bigint").alias("pos")))
+        total = near.count()
+        grid = todo.select("vocab_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(max(1, total)).cast("bigint"))).alias("pos")) \
+            .join(F.broadcast(near) if total <= HEAD_BROADCAST else near, "pos") \
+            .join(shared.select("vocab_id", "profile", F.lit(True).alias("hit")), ["vocab_id", "profile"], "left")
+        free = F.col("hit").isNull() & ~F.col("outside") & ~F.col("beyond")
+        per = grid.groupBy("vocab_id", "emp_key", "z").agg(
+            F.slice(F.sort_array(F.collect_list(F.when(free, F.col("fetch_ord")))), 1, cap).alias("ords"),
+            F.min(F.when(F.col("beyond"), F.col("fetch_ord"))).alias("beyond"), F.min(F.when(F.col("outside"), F.col("fetch_ord"))).alias("outside"))
+        unseen = F.coalesce("outside", F.when(F.size("ords") < cap, F.col("beyond")))
+        per = materialize(per.select("vocab_id", "emp_key", "z", "ords", F.when(unseen.isNotNull(), F.struct((-F.col("z")).alias("z"), unseen.alias("o"))).alias("unseen")))
+        bound = per.groupBy("vocab_id").agg(F.min("unseen").alias("bound"))
+        found = per.select("vocab_id", "emp_key", "z", F.explode_outer("ords").alias("fetch_ord")).where("fetch_ord is not null")
+        before = F.struct((-F.col("z")).alias("z"), F.col("fetch_ord").alias("o")) < F.col("bound")
+        enough = bound.join(found, "vocab_id", "left").groupBy("vocab_id").agg(F.count_if(before).alias("n"), F.first("bound").alias("bound")) \
+            .where(F.col("bound").isNull() | (F.col("n") >= most)).select("vocab_id")
+        enough = materialize(enough)
+        taken = found.join(enough, "vocab_id", "left_semi").select("vocab_id", "fetch_ord", "emp_key", F.col("z").alias("score"))
+        parts.append(_within_cap(taken, most, cap).select(*columns))
+        if not total:
             break
-        full = materialize(found.groupBy("vocab_id").count().where(F.col("count") >= 2 * top_n).select("vocab_id"))
-        parts.append(found.join(full, "vocab_id", "left_semi").select(*columns))
-        todo = materialize(todo.join(full, "vocab_id", "left_anti"))
+        todo = materialize(todo.join(enough, "vocab_id", "left_anti"))
         if todo.isEmpty():
             break
-        length *= 8
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        n_emp, depth = 8 * n_emp, 8 * depth
+    return reduce(DataFrame.unionByName, parts)
 
 
 def rank_vocabularies(matched: DataFrame, vocab_ids: DataFrame, terms: DataFrame,
                       top_n: int = TOP_N, cap: int = PER_EMPLOYER_CAP) -> DataFrame:
     """Kept rows per vocabulary: vocab_id, rank, fetch_ord, score, why, extra, note + posting cols."""
+    most = 2 * top_n
     boosted = with_boost(matched)
     scored = materialize(with_terms(boosted.drop("description"), terms, boosted.select("fetch_ord", "title", "description")))
     rows = materialize(eligible(scored, top_n, cap))
     shared = materialize(profile_scores(terms, profiles_of(scored)))
-    pairs = shared.join(rows, "profile").withColumn("score", fit_score(F.size("title_terms"), F.size("desc_terms"), F.col("boost")))
-    overlapping = materialize(_within_cap(pairs, 2 * top_n, cap).drop("rank"))
+    pairs = shared.join(rows, "profile").select("vocab_id", "emp_key", "fetch_ord", "profile",
+                                                fit_score(F.size("title_terms"), F.size("desc_terms"), F.col("boost")).alias("score"))
+    overlapping = materialize(_within_cap(best_pairs(pairs, most, cap), most, cap).drop("rank"))
     # Vocabularies with enough overlapping postings above any boost need no other postings.
-    highest = rows.agg(F.coalesce(F.max("zscore"), F.lit(0.0))).first()[0]
-    enough = overlapping.where(F.col("score") > highest).groupBy("vocab_id").count().where(F.col("count") >= 2 * top_n)
+    highest = rows.agg(F.coalesce(F.max("zscore"), F.lit(0.0))).scalar()
+    enough = overlapping.where(F.col("score") > highest).groupBy("vocab_id").count().where(F.col("count") >= most)
     todo = materialize(vocab_ids.join(enough, "vocab_id", "left_anti"))
-    cols = ("vocab_id", "fetch_ord", "emp_key", "title_terms", "desc_terms", "score")
-    cands = overlapping.select(*cols).unionByName(
-        without_overlap(todo, shared, rows, top_n, cap).withColumns({"title_terms": _empty(), "desc_terms": _empty()}).select(*cols))
-    kept = _within_cap(cands, top_n, cap)
+    others = without_overlap(todo, shared, rows, top_n, cap).withColumn("profile", F.lit(None).cast("string"))
+    kept = _within_cap(overlapping.unionByName(others), top_n, cap)
+    reasons = shared.select("vocab_id", "profile", "title_terms", "desc_terms")
+    kept = kept.join(reasons, ["vocab_id", "profile"], "left").withColumns({c: F.coalesce(c, _empty()) for c in ("title_terms", "desc_terms")}).drop("profile")
     total = matched.groupBy("emp_key").agg(F.count(F.lit(1)).alias("_total"))
     w = Window.partitionBy("vocab_id", "emp_key")
     kept = (kept.join(total, "emp_key")
@@ -178,4 +254,4 @@ def rank_resumes(matched: DataFrame, resumes: DataFrame, keywords: DataFrame,
     note."""
     resume_vocab, vocab_ids, terms = vocabularies(resumes, keywords)
     kept = rank_vocabularies(matched, materialize(vocab_ids), materialize(terms), top_n, cap)
-    return resume_vocab.join(kept, "vocab_id").drop("vocab_id")
+    return fan_out(resume_vocab, kept, "vocab_id", "resume_id").drop("vocab_id")

@@ -465,17 +465,17 @@ ORACLE["posting_term_hits"] = _with(MATCH, VOCAB, HITS) + "\nSELECT fetch_ord, k
 # One row per vocabulary (the smallest resume that has it) and profile (the smallest posting among those
 # whose hits are the same).
 ORACLE["overlap_scores"] = _with(MATCH, VOCAB, HITS) + f""",
-vocab AS (SELECT kws, min(resume_id) AS vocab_id FROM
+vocab AS (SELECT kws, min(resume_id) AS vocab_id, count(*) AS resumes FROM
   (SELECT resume_id, list_sort(list(kw)) AS kws FROM res_kw GROUP BY resume_id) GROUP BY kws),
-vt AS (SELECT vocab_id, unnest(kws) AS kw FROM vocab),
+vt AS (SELECT vocab_id, resumes, unnest(kws) AS kw FROM vocab),
 prof AS (SELECT key, min(fetch_ord) AS first_ord, count(*) AS postings FROM (
   SELECT m.fetch_ord, string_agg(CASE WHEN h.kw IS NOT NULL THEN h.kw || CASE WHEN h.in_title THEN '+' ELSE '-' END END, '|' ORDER BY h.kw) AS key
   FROM matched m LEFT JOIN hits h USING (fetch_ord) GROUP BY m.fetch_ord) GROUP BY key),
-po AS (SELECT v.vocab_id, p.first_ord, p.postings,
+po AS (SELECT v.vocab_id, v.resumes, p.first_ord, p.postings,
     list_sort(list(v.kw) FILTER (WHERE h.in_title)) AS tt,
     list_sort(list(v.kw) FILTER (WHERE h.in_desc AND NOT h.in_title)) AS dt
   FROM prof p JOIN hits h ON h.fetch_ord = p.first_ord JOIN vt v USING (kw) GROUP BY ALL)
-SELECT vocab_id, first_ord, postings, {score("len(coalesce(tt, []))", "len(coalesce(dt, []))", "0.0")} AS score,
+SELECT vocab_id, first_ord, resumes, postings, {score("len(coalesce(tt, []))", "len(coalesce(dt, []))", "0.0")} AS score,
        {why("tt", "dt")} AS why
 FROM po"""
 
@@ -504,3 +504,17 @@ ORACLE["filings_csv"] = (
     f"WITH {LCA_FILINGS.replace('lca_filings AS', 'lca_filings0 AS', 1)},\nlca_filings AS (SELECT source_file, row_ord, employer_name, "
     f"CASE WHEN row_ord % 7 <> 0 THEN case_status END AS case_status FROM lca_filings0),\n{ALLOW}\n"
     "SELECT norm_name, filings, latest_year FROM allow")
+
+# Pages of 50; a posting's place in its page.
+ORACLE["postings_pages"] = (
+    f"WITH {RAW_POSTINGS.replace('raw_postings AS', 'raw_postings0 AS', 1)},\nraw_postings AS (SELECT * EXCLUDE (fetch_ord), fetch_ord // 50 * 1048576 + "
+    f"row_number() OVER (PARTITION BY fetch_ord // 50 ORDER BY fetch_ord) - 1 AS fetch_ord FROM raw_postings0),\n{POSTINGS}\nSELECT {_PCOLS} FROM postings")
+
+ORACLE["digest_files"] = ("SELECT resume_id, row_number() OVER (PARTITION BY resume_id ORDER BY line_no) - 1 AS line_no, line FROM (\n"
+                          + markdown_sql() + ")")
+
+# In every other file the status comes first, so that a row of one cell has a status and no employer.
+ORACLE["filings_csv_accounts"] = (
+    f"WITH {LCA_FILINGS},\nwhole AS (SELECT *, row_ord % 7 <> 0 AND starts_with(lower(trim(case_status)), 'certified') AS cert FROM lca_filings)\n"
+    "SELECT replace(source_file, '.parquet', '.csv') AS source_file, count(*) AS rows, count(*) FILTER (WHERE row_ord % 7 = 0) AS short_rows, "
+    "count(*) FILTER (WHERE cert) AS rows_certified, count(*) FILTER (WHERE cert AND employer_name <> '') AS rows_named FROM whole GROUP BY source_file")

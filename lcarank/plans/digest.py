@@ -130,3 +130,25 @@ def digest_markdown(rows: DataFrame, resumes: DataFrame, generated_on: str) -> D
     body = rows.select("resume_id", "rank", F.posexplode(block).alias("pos", "line"))
     both = header.unionByName(body)
     return both.select("resume_id", (F.col("rank") * 100 + F.col("pos")).cast("bigint").alias("line_no"), "line")
+
+
+#: Resumes in a file of digests, on average.
+RESUMES_PER_FILE = 1000
+
+
+def write_digests(lines: DataFrame, path: str, files: int) -> None:
+    """Digest lines (resume_id, line_no, line) as text: ``files`` folders ``bucket=N``, dealt by a hash of the resume, each
+    one file in which every resume's digest stands as a whole, by resume. Line breaks in a line become spaces."""
+    text = F.regexp_replace("line", "[\\r\\n]+", " ")
+    dealt = lines.withColumn("bucket", F.pmod(F.xxhash64("resume_id"), F.lit(files)).cast("int")).repartition(files, "bucket")
+    dealt.sortWithinPartitions("bucket", "resume_id", "line_no").select("bucket", text.alias("line")).write.partitionBy("bucket").text(path)
+
+
+def read_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(resume_id, line_no from 0, line) of the digests in the files that ``write_digests`` wrote."""
+    files = spark.read.text(path, wholetext=True).select("value")
+    start = "(?m)(?=^\\Q" + DIGEST_TITLE + "\\E$)"
+    blocks = files.select(F.explode(F.split("value", start)).alias("block")).where("block != ''")
+    lines = F.split(F.regexp_replace("block", "\\n\\z", ""), "\n")
+    return blocks.select(F.regexp_extract("block", "\n_Resume: `resume_(-?\\d+)`", 1).cast("bigint").alias("resume_id"),
+                         F.posexplode(lines).alias("line_no", "line")).select("resume_id", F.col("line_no").cast("bigint").alias("line_no"), "line")

@@ -27,7 +27,7 @@ from lcarank.sources import views
 from lcarank.sources import filings as FI
 from lcarank.sources.filings import fiscal_year, read_filings
 from lcarank.session import ensure_checkpoint_dir, materialize
-from lcarank.sources.postings import dedupe, in_location, ingest, page_limit, recent
+from lcarank.sources.postings import dedupe, in_location, ingest, page_limit, read_posting_pages, recent, write_posting_pages
 
 AS_OF = "2024-01-31"          # run date used by the recency query (the feed spans January 2024)
 LOCATION = "san francisco"
@@ -99,6 +99,23 @@ def header_map(spark, sf):
     return FI.header_map(FI.header_rows(spark, FI.file_headers(spark, files, "parquet")))
 
 
+def _staging(spark) -> str:
+    """A new folder for staged files under the session's shared checkpoint directory."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/staging/{uuid.uuid4().hex}"
+
+
+def _headed(head: str):
+    """For ``mapInArrow`` over lines: the header line before the first of every part file."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for k, batch in enumerate(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(([head] if k == 0 else []) + batch.column(0).to_pylist(), pa.string())], names=["line"])
+
+    return run
+
+
 def filings_csv(spark, sf):
     """Allowlist from CSV files in which every seventh row breaks off after the employer (O1, O5)."""
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/staging/{uuid.uuid4().hex}"
@@ -107,20 +124,28 @@ def filings_csv(spark, sf):
     line = F.when(F.col("row_ord") % 7 == 0, F.to_csv(F.struct(name))).otherwise(F.to_csv(F.struct(name, "case_status", F.lit("x"))))
     lines = f.select("source_file", line.alias("line"))
 
-    def with_header(batches):
-        import pyarrow as pa
-
-        for k, batch in enumerate(batches):
-            head = ["EMPLOYER_NAME,CASE_STATUS,NOTE"] if k == 0 else []
-            yield pa.RecordBatch.from_arrays([pa.array(head + batch.column(0).to_pylist(), pa.string())], names=["line"])
-
     for name in sorted(r[0] for r in lines.select("source_file").distinct().collect()):  # a handful of years
-        lines.where(F.col("source_file") == name).select("line").mapInArrow(with_header, "line string") \
+        lines.where(F.col("source_file") == name).select("line").mapInArrow(_headed("EMPLOYER_NAME,CASE_STATUS,NOTE"), "line string") \
             .write.text(f"{base}/{name.replace('.parquet', '.csv')}")
     read = FI.read_filings(spark, base, "csv")
     return AL.build_allowlist(read).select("norm_name", "filings", "latest_year")
 
 
+def filings_csv_accounts(spark, sf):
+    """Accounts of ragged CSV files: every seventh row breaks off after its first cell, which is the employer in
+    every other file and the status in the others (O5, O41)."""
+    base = _staging(spark)
+    f = views.lca_filings(spark, sf)
+    name = F.coalesce("employer_name", F.lit("")).alias("name")
+    for i, file in enumerate(sorted(r[0] for r in f.select("source_file").distinct().collect())):  # a handful of years
+        cells = [name, F.col("case_status")] if i % 2 == 0 else [F.col("case_status"), name]
+        head = "EMPLOYER_NAME,CASE_STATUS,NOTE" if i % 2 == 0 else "CASE_STATUS,EMPLOYER_NAME,NOTE"
+        line = F.when(F.col("row_ord") % 7 == 0, F.to_csv(F.struct(cells[0]))).otherwise(F.to_csv(F.struct(*cells, F.lit("x").alias("note"))))
+        f.where(F.col("source_file") == file).select(line.alias("line")).mapInArrow(_headed(head), "line string") \
+            .write.text(f"{base}/{file.replace('.parquet', '.csv')}")
+    return AL.filing_accounts(FI.read_filings(spark, base, "csv", short_rows=True))
+
+
 def allowlist(spark, sf):
     a = AL.build_allowlist(views.lca_filings(spark, sf))
     return a.select("norm_name", "raw_name", "filings", "latest_year",
@@ -144,6 +169,14 @@ def postings_ingest(spark, sf):
     return ingest(views.raw_postings(spark, sf))
 
 
+def postings_pages(spark, sf):
+    """The feed written as fetched, nested JSON pages of 50 postings with missing fields, and read back (O6); fetch_ord is
+    the page times 2 ** 20 and the place in it."""
+    base = _staging(spark)
+    write_posting_pages(views.raw_postings(spark, sf), base)
+    return ingest(read_posting_pages(spark, base))
+
+
 def postings_dedupe(spark, sf):
     return dedupe(ingest(views.raw_postings(spark, sf)))
 
@@ -226,15 +259,16 @@ def posting_term_hits(spark, sf):
 
 
 def overlap_scores(spark, sf):
-    """Score without boost and reasons of every distinct vocabulary (named by its smallest resume) and every
-    distinct profile of postings (named by its first posting) that share a term."""
+    """Score without boost and reasons of every distinct vocabulary (named by its smallest resume; ``resumes`` have it) and
+    every distinct profile of postings (named by its first posting; ``postings`` have it) that share a term."""
     from lcarank.functions.scoring import fit_score, why_text
     resumes = views.resumes(spark, sf)
-    _, _, terms = vocabularies(resumes, D.materialize(resume_keywords(resumes)))
+    resume_vocab, _, terms = vocabularies(resumes, D.materialize(resume_keywords(resumes)))
+    sizes = resume_vocab.groupBy("vocab_id").agg(F.count(F.lit(1)).alias("resumes"))
     postings = D.materialize(match_postings(_postings(spark, sf), _allow(spark, sf)))
     profiles = D.materialize(profiles_of(with_terms(postings, terms)))
-    scored = profile_scores(terms, profiles).join(profiles.select("profile", "first_ord", "postings"), "profile")
-    return scored.select("vocab_id", "first_ord", "postings", fit_score(F.size("title_terms"), F.size("desc_terms"), F.lit(0.0)).alias("score"),
+    scored = profile_scores(terms, profiles).join(profiles.select("profile", "first_ord", "postings"), "profile").join(sizes, "vocab_id")
+    return scored.select("vocab_id", "first_ord", "resumes", "postings", fit_score(F.size("title_terms"), F.size("desc_terms"), F.lit(0.0)).alias("score"),
                          why_text(F.col("title_terms"), F.col("desc_terms")).alias("why"))
 
 
@@ -262,6 +296,15 @@ def digest_markdown(spark, sf):
     return D.digest_markdown(rows, views.resumes(spark, sf), GENERATED_ON)
 
 
+def digest_files(spark, sf):
+    """The markdown digests written as text files, a bucket of resumes each, and read back (O12)."""
+    base = _staging(spark)
+    resumes = views.resumes(spark, sf)
+    lines = D.digest_markdown(D.digest_rows(spark, sf), resumes, GENERATED_ON)
+    D.write_digests(lines, base, max(1, -(-resumes.count() // D.RESUMES_PER_FILE)))
+    return D.read_digests(spark, base)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "filings_scan": filings_scan,
     "allowlist": allowlist,
@@ -294,4 +337,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "digest_dry_run": digest_dry_run,
     "digest_filtered": digest_filtered,
     "digest_markdown": digest_markdown,
+    "digest_files": digest_files,
+    "postings_pages": postings_pages,
+    "filings_csv_accounts": filings_csv_accounts,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,18 +27,26 @@ RAW_COLUMNS = ["posting_id", "fetch_ord", "title", "company_raw", "location", "c
                "description"]
 
 
+#: Postings of a page at most, for the order of fetching.
+PAGE_SPAN = 1 << 20
+
+
+def page_number(path: Column) -> Column:
+    """Number of a page from its path: a folder ``page=N``, else the last number in the file's name, else 0."""
+    folder = F.regexp_extract(path, r"/page=(\d+)/", 1)
+    name = F.regexp_extract(F.regexp_extract(path, r"([^/]*)$", 1), r"(\d+)\D*$", 1)
+    return F.coalesce(folder.try_cast("bigint"), name.try_cast("bigint"), F.lit(0).cast("bigint"))
+
+
 def read_posting_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of ``{"results": [...]}`` JSON (one page per file, pages named in fetch order) ->
-    raw postings. fetch_ord orders by (file name, position in page)."""
-    pages = spark.read.schema(PAGE_SCHEMA).option("multiLine", True).json(path)
-    flat = pages.select(F.col("_metadata.file_name").alias("_file"),
-                        F.posexplode("results").alias("_pos", "r"))
-    # page number = rank of the file name among the (few) page files; only names are ranked
-    page_no = (flat.select("_file").distinct()
-               .withColumn("_page", F.row_number().over(Window.orderBy("_file")).cast("bigint")))
-    ordered = flat.join(page_no, "_file").select(
+    """Pages of ``{"results": [...]}`` JSON, one page per file, numbered by file name or by folder (see
+    ``page_number``) in the order of fetching -> raw postings. fetch_ord orders by (page, position in it); it comes
+    from the file's own path, so no file needs to know of the others. Files that are no JSON hold no postings."""
+    pages = spark.read.schema(PAGE_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+    flat = pages.select(page_number(F.col("_metadata.file_path")).alias("_page"), F.posexplode("results").alias("_pos", "r"))
+    return flat.select(
         F.col("r.id").alias("posting_id"),
-        (F.col("_page") * (1 << 20) + F.col("_pos")).alias("fetch_ord"),
+        (F.col("_page") * PAGE_SPAN + F.col("_pos")).alias("fetch_ord"),
         F.col("r.title").alias("title"),
         F.col("r.company.display_name").alias("company_raw"),
         F.col("r.location.display_name").alias("location"),
@@ -46,7 +54,19 @@ def read_posting_pages(spark: SparkSession, path: str) -> DataFrame:
         F.col("r.redirect_url").alias("url"),
         F.col("r.description").alias("description"),
     )
-    return ordered
+
+
+def write_posting_pages(raw: DataFrame, path: str, page_size: int = RESULTS_PER_PAGE) -> None:
+    """Raw postings as fetched: a JSON file ``{"results": [...]}`` in a folder ``page=N`` for each ``page_size`` values of
+    fetch_ord, its postings in that order. Null fields and empty ids are left out, as a provider does."""
+    named = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("display_name")))
+    posting = F.struct(
+        "fetch_ord", F.struct(
+            F.nullif(F.col("posting_id"), F.lit("")).alias("id"), "title", named("company_raw").alias("company"), named("location").alias("location"),
+            "created", F.col("url").alias("redirect_url"), "description").alias("r"))
+    pages = raw.select(F.floor(F.col("fetch_ord") / page_size).cast("bigint").alias("page"), posting.alias("p")) \
+        .groupBy("page").agg(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["r"]).alias("results"))
+    pages.write.partitionBy("page").json(path)
 
 
 def ingest(raw: DataFrame) -> DataFrame:

@@ -88,3 +88,22 @@ def test_read_filings_csv_ragged(spark):
 def test_read_filings_empty_dir(spark):
     with pytest.raises(FileNotFoundError):
         read_filings(spark, tempfile.mkdtemp(prefix="lcarank-empty-"))
+
+
+def test_short_rows_are_told_from_empty_cells(spark, tmp_path):
+    """A row that ends before the employer or the status is short; a row with an empty cell is not."""
+    from lcarank.operators.allowlist import filing_accounts
+
+    (tmp_path / "a_FY2022.csv").write_text('EMPLOYER_NAME,CASE_STATUS,NOTE\nAcme,Certified,x\n"A, ""B"" C"\n"A, B",Certified,x\nAcme,Certified\n,Certified,x\nAcme,,x\nAcme,Denied,x,more,cells\n')
+    (tmp_path / "b_FY2023.csv").write_text("STATUS,CITY,EMPLOYER\nCertified\nCertified,x\nCertified,x,Acme\nCertified,x,\n")
+    rows = read_filings(spark, str(tmp_path), "csv", short_rows=True)
+    assert rows.count() == 11 and build_allowlist(rows.drop("short")).where("norm_name = 'acme'").first()["filings"] == 3
+    got = {r.source_file: (r.rows, r.short_rows, r.rows_certified, r.rows_named) for r in filing_accounts(rows).collect()}
+    assert got == {"a_FY2022.csv": (7, 1, 4, 3), "b_FY2023.csv": (4, 2, 2, 1)}
+    plain = sorted(map(tuple, read_filings(spark, str(tmp_path), "csv").select("source_file", "employer_name", "case_status").collect()), key=str)
+    assert plain == sorted(map(tuple, rows.select("source_file", "employer_name", "case_status").collect()), key=str)
+
+
+def test_parquet_rows_are_never_short(spark, tmp_path):
+    pd.DataFrame({"CASE_STATUS": ["Certified", None], "EMPLOYER_NAME": [None, "Acme"]}).to_parquet(tmp_path / "x_FY2020.parquet")
+    assert [r.short for r in read_filings(spark, str(tmp_path), short_rows=True).collect()] == [False, False]

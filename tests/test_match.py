@@ -101,3 +101,27 @@ def test_spot_check(spark):
     names = spark.createDataFrame([("full", "Google LLC"), ("bare", "Meta")], "kind string, name string")
     got = {r.name: (r.norm_key, r.hit, r.filings) for r in spot_check(allow, names).collect()}
     assert got == {"Google LLC": ("google", True, 12), "Meta": ("meta", False, None)}
+
+
+def test_best_candidate_equals_sorting_all(spark):
+    """One aggregate state per name against sorting all of its candidates; no window, one shuffle by name."""
+    import random
+
+    from lcarank.operators.match import best_candidate
+
+    rng = random.Random(9)
+    keys = [(f"k{i}", rng.choice([1, 5, 5, 9, 40]), (rng.choice(["a", "b"]), rng.randint(0, 5), f"raw{i}")) for i in range(60)]
+    allow = spark.createDataFrame(keys, "norm_name string, filings long, first_ord struct<file:string,row:long,raw:string>")
+    pairs = [(f"v{n}", k, rng.choice([93.0, 93.4, 94.0, 94.2, 95.0, 99.9, 100.0, 98.95])) for n in range(40) for k, _, _ in rng.sample(keys, rng.randint(1, 25))]
+    df = spark.createDataFrame(pairs, "v string, norm_name string, score double").repartition(5)
+    own = {k: (f, o) for k, f, o in keys}
+    want = {}
+    for v in {p[0] for p in pairs}:
+        mine = [(k, s) for n, k, s in pairs if n == v]
+        top = max(s for _, s in mine)
+        want[v] = min(((-own[k][0], -s, own[k][1], k, s) for k, s in mine if s >= top - 1.0))[3:]
+    out = best_candidate(df, allow)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert {r.v: (r.norm_name, r.score) for r in out.collect()} == want
+    assert "Window" not in plan and plan.count("REPARTITION_BY_COL") == 1 and plan.count("Exchange hashpartitioning(v") == 1
+    assert best_candidate(df.limit(0), allow).count() == 0

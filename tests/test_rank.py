@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lcarank.functions.scoring import fit_score, match_label, sponsor_boost, why_text
-from lcarank.operators.rank import rank_vocabularies, with_boost
+from lcarank.operators.rank import best_pairs, rank_vocabularies, with_boost
 from lcarank.sources.postings import dedupe, ingest, page_limit
 
 
@@ -91,6 +91,48 @@ def test_ranking_of_many_employers(spark):
     assert sorted((r.vocab_id, r["rank"], r.fetch_ord, r.score) for r in out) == _brute(spark, matched, vocabs, 40, 1)
 
 
+@pytest.mark.parametrize("held", [7, 100, 10**6])
+def test_best_pairs_equal_windows(spark, held):
+    """Cut down in the tasks, then ranked: the same as ranking all pairs; ties in score, hot employers, few rows held."""
+    rng = random.Random(held)
+    pairs = [(rng.randint(1, 6), rng.choice(["hot", "hot", *"abcdefgh"]), i, float(rng.choice([1, 2, 2, 3, 5, 5.25])), f"p{i % 5}") for i in range(1500)]
+    df = spark.createDataFrame(pairs, "vocab_id long, emp_key string, fetch_ord long, score double, profile string").repartition(4)
+    left = best_pairs(df, 9, 2, held)
+    order = [F.col("score").desc(), F.col("fetch_ord")]
+
+    def ranked(x):
+        first = x.withColumn("er", F.row_number().over(Window.partitionBy("vocab_id", "emp_key").orderBy(*order))).where("er <= 2")
+        return sorted(map(tuple, first.withColumn("r", F.row_number().over(Window.partitionBy("vocab_id").orderBy(*order))).where("r <= 9").collect()))
+
+    assert ranked(left) == ranked(df)
+    assert left.count() <= (400 if held > 1500 else 1500) and best_pairs(df.limit(0), 9, 2).count() == 0
+
+
+def test_ranking_of_three_employers(spark):
+    """Few employers, many vocabularies: those that share a term with nearly every posting find the rare free ones
+    of an employer, and all rows are never paired with all vocabularies."""
+    rng = random.Random(31)
+    words = [f"w{i}" for i in range(30)]
+    rows = []
+    for i in range(600):
+        free = i in (3, 250, 555, 599)
+        rows.append((str(i), i, "free" if free else "java " + rng.choice(words), "" if free else rng.choice(words), f"e{i % 3}", [10, 4000, 10][i % 3], 2024))
+    matched = spark.createDataFrame(rows, MATCHED)
+    vocabs = {k: ["java", words[k % 30]] if k % 2 else sorted({words[k % 30], words[(7 * k) % 30]}) for k in range(1, 41)} | {50: [], 51: ["java"], 52: ["nothing"]}
+    ids = spark.createDataFrame([(v,) for v in vocabs], "vocab_id bigint")
+    terms = spark.createDataFrame([(v, k) for v, ks in vocabs.items() for k in ks], "vocab_id bigint, kw string")
+    for top_n, cap in ((25, 2), (4, 2)):
+        out = rank_vocabularies(matched, ids, terms, top_n, cap).collect()
+        assert sorted((r.vocab_id, r["rank"], r.fetch_ord, r.score) for r in out) == _brute(spark, matched, vocabs, top_n, cap)
+
+
+def test_no_postings_and_no_vocabularies(spark):
+    matched = spark.createDataFrame([("1", 1, "java", "", "acme", 3, 2024)], MATCHED)
+    ids, terms = spark.createDataFrame([(1,)], "vocab_id bigint"), spark.createDataFrame([(1, "java")], "vocab_id bigint, kw string")
+    assert rank_vocabularies(matched.limit(0), ids, terms).count() == 0
+    assert rank_vocabularies(matched, ids.limit(0), terms.limit(0)).count() == 0
+
+
 def test_extras_and_note(spark):
     posts = [(str(i), i, "Engineer", "java", "acme", 10, 2024) for i in range(5)]
     matched = spark.createDataFrame(posts, MATCHED)
