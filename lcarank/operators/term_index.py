@@ -1,11 +1,14 @@
-"""Which terms of a dictionary stand in which texts, as whole tokens: a token n-gram index.
-
-A token is a run of [a-z0-9] or any other single character, so "c++" has three and "spring boot" too. A
-term stands in a text where its tokens do, with no letter or digit next to it; so it is one of
-the text's n-grams that start and end at such a border. Texts are cut into their distinct n-grams of the
-lengths that terms have, and n-grams meet the dictionary in an equi-join: the dictionary is a table of any size and
-nothing of it is in the plan but the lengths. Spark broadcasts a small dictionary (then no text or n-gram
-moves); a large one is shuffled with the n-grams.
+"""Which terms of a dictionary stand in which texts, as whole tokens: an index by first words.
+
+A word is a run of [a-z0-9]. A term stands in a text where its characters do, with no letter or digit next to
+it on either side ("c++", "ci/cd", ".net", "spring boot"). Then the text has the term's first word among its
+words, so terms are looked up by it: the distinct words of a text meet a *table* of terms, of any size, in an
+equi-join, and nothing of the table is in the plan. Terms of one word are found by that alone; others are
+looked for in the text, few per text. Terms without a word ("++") are looked for in every text.
+
+Up to FEW_HEADS first words, a text's words are first intersected with them (one array for the whole job, from a
+scalar subquery), so a text is copied for the few terms that it may hold and nothing moves. With more, only keys
+and words move, and texts with terms of several words are met again by their key.
 """
 
 from __future__ import annotations
@@ -14,8 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lcarank.constants import SKILLS
+from lcarank.functions.text import contains_phrase
 
-_TOKEN = "[a-z0-9]++|[^a-z0-9]"
+#: First words that a text's words are intersected with.
+FEW_HEADS = 2000
 
 
 def skill_table(spark) -> DataFrame:
@@ -23,28 +28,29 @@ def skill_table(spark) -> DataFrame:
     return spark.createDataFrame([(c, v) for c, vs in SKILLS.items() for v in vs], "canonical string, variant string")
 
 
-def token_lengths(terms: DataFrame, term: str) -> list[int]:
-    """The numbers of tokens that terms have: as many values at most as the longest term has tokens."""
-    n = F.size(F.regexp_extract_all(F.col(term), F.lit(_TOKEN), 0))
-    return sorted(r[0] for r in terms.select(n.alias("n")).where("n > 0").distinct().collect())
-
-
-def ngrams(low: Column, lengths: list[int]) -> Column:
-    """Distinct n-grams of a lower-case text that no letter or digit touches. ``low`` is read once for each
-    length, so it should be a column of a projection of its own."""
-    found = [F.regexp_extract_all(low, F.lit(f"(?<![a-z0-9])(?=((?:{_TOKEN}){{{n}}})(?![a-z0-9]))"), 1) for n in lengths]
-    return F.array_distinct(F.concat(*found)) if found else F.array().cast("array<string>")
+def _words(low: Column) -> Column:
+    """Distinct words of a text, and the empty string, which terms without a word have as theirs."""
+    return F.array_union(F.array_distinct(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), 0)), F.array(F.lit("")))
 
 
-def find_terms(texts: DataFrame, terms: DataFrame, term: str, places: list[str]) -> DataFrame:
+def find_terms(texts: DataFrame, terms: DataFrame, term: str, places: list[str], few_heads: int = FEW_HEADS) -> DataFrame:
     """``texts``: other columns (a key) and lower-case texts in the columns ``places``; ``terms``: distinct strings in
     ``term``, other columns as they like. -> key, the columns of ``terms``, ``place`` (number of the column), a row for each
     term that stands in a place. Null texts hold nothing; an empty term stands nowhere."""
-    lengths = token_lengths(terms, term)
     keys = [c for c in texts.columns if c not in places]
-    at = lambda i: lambda g: F.struct(g.alias("gram"), F.lit(i).alias("place"))
-    in_place = [F.transform(ngrams(F.col(p), lengths), at(i)) for i, p in enumerate(places)]
-    none = F.array().cast("array<struct<gram:string,place:int>>")
+    own = [c for c in terms.columns]
+    listed = terms.where(F.col(term) != "").withColumn("_head", F.regexp_extract(term, "[a-z0-9]+", 0)).withColumn("_one", F.col("_head") == F.col(term))
+    heads = listed.select("_head").distinct()
+    each = F.array(*(F.struct(F.lit(i).alias("place"), F.col(p).alias("low")) for i, p in enumerate(places)))
     # explode_outer: from a plain explode Spark derives a filter on the array's size, which makes the array twice
-    grams = texts.select(*keys, F.explode_outer(F.concat(*(F.coalesce(g, none) for g in in_place))).alias("g")).select(*keys, "g.gram", "g.place")
-    return grams.join(terms, grams["gram"] == terms[term]).select(*keys, *(terms[c] for c in terms.columns), "place")
+    placed = texts.select(*keys, F.explode_outer(each).alias("p")).select(*keys, "p.place", "p.low") if len(places) > 1 else \
+        texts.select(*keys, F.lit(0).alias("place"), F.col(places[0]).alias("low"))
+    stands = F.col("_one") | (F.contains("low", term) & contains_phrase("low", term))
+    if heads.limit(few_heads + 1).count() <= few_heads:
+        known = heads.agg(F.collect_list("_head")).scalar()
+        words = placed.select(*keys, "place", "low", F.explode_outer(F.array_intersect(_words(F.col("low")), known)).alias("_head"))
+        return words.join(listed, "_head").where(stands).select(*keys, *own, "place")
+    words = placed.select(*keys, "place", F.explode_outer(_words(F.col("low"))).alias("_head"))
+    near = words.join(listed, "_head")
+    several = near.where(~F.col("_one")).join(placed, [*keys, "place"]).where(stands)
+    return near.where("_one").select(*keys, *own, "place").unionByName(several.select(*keys, *own, "place"))
