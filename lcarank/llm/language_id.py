@@ -163,6 +163,33 @@ def best_path(scores: np.ndarray) -> np.ndarray:
     return path
 
 
+def best_paths(scores: np.ndarray, starts: np.ndarray, counts: np.ndarray, path: np.ndarray) -> None:
+    """``best_path`` of several texts (their words from ``starts`` on) at once, written to ``path``: all texts take their
+    i-th word together, the longest first."""
+    order = np.argsort(-counts, kind="stable")
+    starts, counts = starts[order], counts[order]
+    if not len(starts):
+        return
+    k, offset = scores.shape[1], np.cumsum(counts) - counts
+    back = np.empty((int(counts.sum()), k), np.int16)
+    value, own = scores[starts].copy(), np.arange(k, dtype=np.int16)
+    longer = np.searchsorted(-counts, -np.arange(int(counts[0])), "left")  # texts of more than i words
+    for i in range(1, int(counts[0])):
+        a = longer[i]
+        v = value[:a]
+        top = v.argmax(axis=1)
+        best = v[np.arange(a), top] - SWITCH
+        move = best[:, None] > v
+        back[offset[:a] + i] = np.where(move, top[:, None], own)
+        value[:a] = np.where(move, best[:, None], v) + scores[starts[:a] + i]
+    now = value.argmax(axis=1)
+    for i in range(int(counts[0]) - 1, 0, -1):
+        a = longer[i]
+        path[starts[:a] + i] = now[:a]
+        now[:a] = back[offset[:a] + i, now[:a]]
+    path[starts] = now
+
+
 def _rises(gains: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Of every text (its words from ``starts`` on): the largest sum of consecutive gains."""
     run = np.cumsum(gains)
@@ -196,8 +223,7 @@ def paths(w: Words, model: dict) -> np.ndarray:
     for lang in range(scores.shape[1]):
         most[has] = np.maximum(most[has], np.where(single[has] == lang, 0, _rises(scores[:, lang] - own, starts)))
     worth = most >= SWITCH / 2
-    for d in np.flatnonzero(worth):
-        path[w.base[d]:w.base[d + 1]] = best_path(scores[w.base[d]:w.base[d + 1]])
+    best_paths(scores, w.base[:-1][worth], w.counts[worth], path)
     return path
 
 

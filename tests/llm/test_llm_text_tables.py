@@ -355,6 +355,23 @@ def test_paths_equal_full_search(monkeypatch):
         assert np.isclose(value(scores, got[w.base[d]:w.base[d + 1]]), value(scores, language_id.best_path(scores)))
 
 
+def test_rises_and_paths_of_many_texts():
+    rng = np.random.default_rng(8)
+    for _ in range(100):
+        counts = rng.integers(1, 9, rng.integers(1, 8))
+        starts, gains = np.cumsum(counts) - counts, rng.normal(0, rng.uniform(0.1, 1e4), counts.sum())
+        want = [max(gains[s + i:s + j + 1].sum() for i in range(c) for j in range(i, c)) for s, c in zip(starts, counts, strict=True)]
+        assert np.allclose(language_id._rises(gains, starts), want)
+        scores, path = rng.normal(0, 6, (counts.sum(), 3)), np.zeros(counts.sum(), np.int64)
+        language_id.best_paths(scores, starts, counts, path)
+        assert path.tolist() == [x for s, c in zip(starts, counts, strict=True) for x in language_id.best_path(scores[s:s + c]).tolist()]
+
+
+def test_null_ids_are_not_held_out(spark):
+    df = spark.createDataFrame([(None, "some words here", "en"), (1, "some words here", "en")], "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["held_out"] for r in language_id.digest(df).collect()}[None] is False
+
+
 def test_classifier_tells_marked_and_repeated_texts(spark, docs):
     rng = np.random.default_rng(2)
     good = [(i, _prose(rng, 120).replace("w", "word").capitalize()) for i in range(60)]
