@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lcarank.functions.names import normalize_company, py_strip
+from lcarank.functions.names import PY_WHITESPACE, normalize_company, py_strip
 from lcarank.sources.filings import fiscal_year
 
 ALLOWLIST_COLUMNS = ["norm_name", "raw_name", "filings", "latest_year", "first_ord"]
@@ -26,8 +26,9 @@ SPOT_CHECK_NAMES = [
 
 
 def is_certified(status) -> F.Column:
-    """Status, stripped and lowercased, starts with 'certified' (null -> false)."""
-    return F.coalesce(F.startswith(F.lower(py_strip(status)), F.lit("certified")), F.lit(False))
+    """Status, stripped and lowercased, starts with 'certified' (null -> false). As one anchored pattern: no
+    other letters than A-Z and a-z are lowercased to those of the word."""
+    return F.coalesce(F.rlike(status, F.lit(rf"\A[{PY_WHITESPACE}]*(?i:certified)")), F.lit(False))
 
 
 def _named(c: F.Column) -> F.Column:

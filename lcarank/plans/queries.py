@@ -66,15 +66,21 @@ FILE_LAYOUTS = [
 ]
 
 
+def _stage_by_file(spark, rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``rows`` written once, by source_file, so that each file is then written from its own partition without deriving
+    the filings again; and the names of the files, one per fiscal year: a handful of rows, not data."""
+    path = _staging(spark)
+    rows.write.partitionBy("source_file").parquet(path)
+    staged = spark.read.parquet(path)
+    return staged, sorted(r[0] for r in staged.select("source_file").distinct().collect())
+
+
 def _stage_filing_files(spark, sf):
     """Write the derived filings as one parquet dataset per fiscal-year file name, each with its own
     header layout, plus an editor lock entry that the reader must skip; returns the directory.
     Staged under the session's shared checkpoint directory."""
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/staging/{uuid.uuid4().hex}"
-    views.lca_filings(spark, sf).write.partitionBy("source_file").parquet(f"{base}-by-file")
-    staged = spark.read.parquet(f"{base}-by-file")
-    # one name per fiscal-year file: a handful of rows, not data
-    names = sorted(r[0] for r in staged.select("source_file").distinct().collect())
+    base = _staging(spark)
+    staged, names = _stage_by_file(spark, views.lca_filings(spark, sf))
     for i, name in enumerate(names):
         layout = FILE_LAYOUTS[i % len(FILE_LAYOUTS)]
         cols = [(F.lit("n/a") if c == "_city" else F.col(c)).alias(h) for c, h in layout.items()]
@@ -111,20 +117,20 @@ def _headed(head: str):
         import pyarrow as pa
 
         for k, batch in enumerate(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(([head] if k == 0 else []) + batch.column(0).to_pylist(), pa.string())], names=["line"])
+            line = batch.column(0)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array([head], line.type), line]) if k == 0 else line], names=["line"])
 
     return run
 
 
 def filings_csv(spark, sf):
     """Allowlist from CSV files in which every seventh row breaks off after the employer (O1, O5)."""
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/staging/{uuid.uuid4().hex}"
+    base = _staging(spark)
     f = views.lca_filings(spark, sf)
     name = F.coalesce("employer_name", F.lit("")).alias("name")  # a row of one null field has no CSV text
     line = F.when(F.col("row_ord") % 7 == 0, F.to_csv(F.struct(name))).otherwise(F.to_csv(F.struct(name, "case_status", F.lit("x"))))
-    lines = f.select("source_file", line.alias("line"))
-
-    for name in sorted(r[0] for r in lines.select("source_file").distinct().collect()):  # a handful of years
+    lines, names = _stage_by_file(spark, f.select("source_file", line.alias("line")))
+    for name in names:
         lines.where(F.col("source_file") == name).select("line").mapInArrow(_headed("EMPLOYER_NAME,CASE_STATUS,NOTE"), "line string") \
             .write.text(f"{base}/{name.replace('.parquet', '.csv')}")
     read = FI.read_filings(spark, base, "csv")
@@ -135,9 +141,9 @@ def filings_csv_accounts(spark, sf):
     """Accounts of ragged CSV files: every seventh row breaks off after its first cell, which is the employer in
     every other file and the status in the others (O5, O41)."""
     base = _staging(spark)
-    f = views.lca_filings(spark, sf)
+    f, names = _stage_by_file(spark, views.lca_filings(spark, sf))
     name = F.coalesce("employer_name", F.lit("")).alias("name")
-    for i, file in enumerate(sorted(r[0] for r in f.select("source_file").distinct().collect())):  # a handful of years
+    for i, file in enumerate(names):
         cells = [name, F.col("case_status")] if i % 2 == 0 else [F.col("case_status"), name]
         head = "EMPLOYER_NAME,CASE_STATUS,NOTE" if i % 2 == 0 else "CASE_STATUS,EMPLOYER_NAME,NOTE"
         line = F.when(F.col("row_ord") % 7 == 0, F.to_csv(F.struct(cells[0]))).otherwise(F.to_csv(F.struct(*cells, F.lit("x").alias("note"))))

@@ -7,8 +7,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lcarank.operators.allowlist import build_allowlist
-from lcarank.sources.filings import canonical, fiscal_year, header_map, header_rows, read_filings
+from lcarank.functions.names import py_strip
+from lcarank.operators.allowlist import build_allowlist, is_certified
+from lcarank.plans import queries
+from lcarank.sources.filings import _entry, canonical, fiscal_year, header_map, header_rows, read_filings
 
 
 def test_canonical_header(spark):
@@ -107,3 +109,41 @@ def test_short_rows_are_told_from_empty_cells(spark, tmp_path):
 def test_parquet_rows_are_never_short(spark, tmp_path):
     pd.DataFrame({"CASE_STATUS": ["Certified", None], "EMPLOYER_NAME": [None, "Acme"]}).to_parquet(tmp_path / "x_FY2020.parquet")
     assert [r.short for r in read_filings(spark, str(tmp_path), short_rows=True).collect()] == [False, False]
+
+
+@pytest.mark.parametrize("query", ["filings_csv", "filings_csv_accounts", "filings_files"])
+def test_filings_are_derived_once(spark, monkeypatch, query):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(name):
+        seen.add(1)
+        return name
+
+    rows = [(f"LCA_FY{2018 + i % 4}.parquet", i, "Acme, Inc" if i % 3 else None, "Certified" if i % 5 else "Denied") for i in range(60)]
+    table = spark.createDataFrame(rows, "source_file string, row_ord long, employer_name string, case_status string")
+    monkeypatch.setattr(queries.views, "lca_filings", lambda s, d: table.withColumn("source_file", counted("source_file")))
+    got = getattr(queries, query)(spark, "").collect()
+    assert seen.value == 60
+    if query == "filings_csv_accounts":
+        assert {r.source_file for r in got} == {f"LCA_FY{2018 + k}.csv" for k in range(4)} and sum(r.rows for r in got) == 60
+    else:
+        whole = [r for r in rows if r[2] and r[3] == "Certified" and (query == "filings_files" or r[1] % 7)]
+        assert [tuple(r) for r in got] == [("acme", len(whole), 2021)]
+
+
+def test_entry_of_a_path(spark):
+    paths = ["file:/a/b/x%20y.csv/part-0.txt", "file:/a/b.csv", "file:/a/d.csv/p.csv", "file:/a/.csv/q", "file:/a.csv/b/c.txt", "file:/a/1%2B.csv"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    old = F.url_decode(F.regexp_extract("p", r"([^/]+\.csv)(?:/[^/]*)?$", 1))
+    got = df.select(_entry(F.col("p"), "csv"), old).collect()
+    assert [r[0] for r in got] == [r[1] for r in got] == ["x y.csv", "b.csv", "d.csv", "", "", "1+.csv"]
+    assert "regexp" not in df.select(_entry(F.col("p"), "csv"))._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_certified(spark):
+    texts = ["certified", " CERTIFIED - WITHDRAWN ", "\x1f　\nCertiFied", "x certified", "", " ", "cert", "Certıfied", "CERTİFIED", "denied\ncertified", "​certified", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    old = F.coalesce(F.startswith(F.lower(py_strip("t")), F.lit("certified")), F.lit(False))
+    got = df.select(is_certified(F.col("t")), old).collect()
+    assert [r[0] for r in got] == [r[1] for r in got] == [True] * 3 + [False] * 9
