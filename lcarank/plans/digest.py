@@ -150,5 +150,6 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     start = "(?m)(?=^\\Q" + DIGEST_TITLE + "\\E$)"
     blocks = files.select(F.explode(F.split("value", start)).alias("block")).where("block != ''")
     lines = F.split(F.regexp_replace("block", "\\n\\z", ""), "\n")
-    return blocks.select(F.regexp_extract("block", "\n_Resume: `resume_(-?\\d+)`", 1).cast("bigint").alias("resume_id"),
-                         F.posexplode(lines).alias("line_no", "line")).select("resume_id", F.col("line_no").cast("bigint").alias("line_no"), "line")
+    # before the lines are dealt out: what stands beside a generator is worked out for every line
+    whole = blocks.select(F.regexp_extract("block", "\n_Resume: `resume_(-?\\d+)`", 1).cast("bigint").alias("resume_id"), lines.alias("lines"))
+    return whole.select("resume_id", F.posexplode("lines").alias("line_no", "line")).select("resume_id", F.col("line_no").cast("bigint").alias("line_no"), "line")

@@ -56,3 +56,10 @@ def test_line_breaks_in_a_line_and_no_digests(spark, tmp_path):
     lines = spark.createDataFrame(rows, "resume_id long, line_no long, line string")
     write_digests(lines, f"{tmp_path}/d", 2)
     assert [r.line for r in read_digests(spark, f"{tmp_path}/d").orderBy("line_no").collect()] == [DIGEST_TITLE, "", "_Resume: `resume_1` · 0_", "a b c"]
+
+
+def test_digest_lines_are_dealt_out_last(spark, tmp_path):
+    """What is worked out of a whole digest stands below the generator: above it, every line would read the digest again."""
+    write_digests(spark.createDataFrame([(1, 0, DIGEST_TITLE)], "resume_id long, line_no long, line string"), f"{tmp_path}/d", 1)
+    plan = read_digests(spark, f"{tmp_path}/d")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract(" not in plan[:plan.index("Generate posexplode")] and "regexp_extract(" in plan
