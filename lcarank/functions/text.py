@@ -71,14 +71,37 @@ def _lit_array(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def _any_of(words: list[str]) -> str:
+    """Pattern of any of the words as a whole [a-z]+ token, by first letter."""
+    by_first: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        by_first.setdefault(w[0], []).append(w[1:])
+    return "(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_first.items()) + ")(?![a-z])"
+
+
+_TITLE_WORD = _any_of(ROLE_NOUNS + TITLE_MODIFIERS)
+# Possessive: a run of any length is matched in a loop, without recursion.
+_TITLE_RUN = f"(?<![a-z]){_TITLE_WORD}(?:[^a-z]++{_TITLE_WORD})++"
+#: Stands between two runs; its token is neither a role noun nor a modifier.
+_RUN_BREAK = " x "
+
+
 def extract_titles(text: Column | str) -> Column:
     """Ordered distinct title phrases: at every role noun among the [a-z]+ tokens of the lowercased
     text, take up to MAX_TITLE_MODIFIERS (3) contiguous preceding modifiers; a role noun without
     modifiers gives nothing. Phrases may overlap ("lead" is both a noun and a modifier).
 
-    The token array is zipped once with its copies shifted by 1..3, so the per-token lambda only
+    A phrase stands within a run of two or more role nouns and modifiers, so one pattern cuts these runs out of
+    the text and only they are looked at token by token."""
+    runs = F.regexp_extract_all(F.lower(_c(text)), F.lit(_TITLE_RUN), 0)
+    # the lambda's variable is worked out once, however often it is named
+    return F.get(F.transform(F.array(F.array_join(runs, _RUN_BREAK)), _titles_of_runs), F.lit(0))
+
+
+def _titles_of_runs(runs: Column) -> Column:
+    """The token array is zipped once with its copies shifted by 1..3, so the per-token lambda only
     sees its own struct (referring to the array inside the lambda would re-tokenise per token)."""
-    tk = F.regexp_extract_all(F.lower(_c(text)), F.lit("[a-z]+"), 0)
+    tk = F.regexp_extract_all(runs, F.lit("[a-z]+"), 0)
     n = F.size(tk)
 
     def shifted(k: int) -> Column:
