@@ -89,3 +89,21 @@ def test_resume_terms(spark, text, want):
 
 def test_curated_skills_are_a_table(spark):
     assert skill_table(spark).count() == sum(map(len, SKILLS.values()))
+
+
+def test_few_terms_move_no_text(spark):
+    """Texts with hot words would else meet at the word: a task would read all of them."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = spark.createDataFrame([(i, f"java and spring boot {i}") for i in range(50)], "id int, low string")
+        terms = spark.createDataFrame([(t,) for t in ("java", "spring boot", "spring", "boots", "7")], "kw string")
+        got = find_terms(texts, terms, "kw", ["low"])
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        want = sorted((i, t) for i in range(50) for t in ["java", "spring boot", "spring"] + ["7"] * (i == 7))
+        assert sorted((r.id, r.kw) for r in got.collect()) == want
+        for few in ({"few_terms": 2}, {"few_heads": 1}):
+            assert sorted((r.id, r.kw) for r in find_terms(texts, terms, "kw", ["low"], **few).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
