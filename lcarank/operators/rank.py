@@ -49,6 +49,8 @@ from lcarank.session import materialize
 HEAD_BROADCAST = 20_000
 #: Pairs that a task holds before it cuts them down.
 HELD_PAIRS = 200_000
+#: Resumes that a task of the last join deals their rows to, about, and the most such tasks (with more resumes each beyond).
+RESUMES_PER_TASK, MOST_TASKS = 5_000, 10_000
 
 
 def _empty():
@@ -253,5 +255,7 @@ def rank_resumes(matched: DataFrame, resumes: DataFrame, keywords: DataFrame,
     """Digest rows per resume: resume_id, rank, posting and sponsor columns, score, why, extra,
     note."""
     resume_vocab, vocab_ids, terms = vocabularies(resumes, keywords)
+    # a resume's row becomes up to top_n wide ones
+    tasks = max(resumes.sparkSession.sparkContext.defaultParallelism, min(MOST_TASKS, -(-resumes.count() // RESUMES_PER_TASK)))
     kept = rank_vocabularies(matched, materialize(vocab_ids), materialize(terms), top_n, cap)
-    return fan_out(resume_vocab, kept, "vocab_id", "resume_id").drop("vocab_id")
+    return fan_out(resume_vocab, kept, "vocab_id", "resume_id", per_salt=RESUMES_PER_TASK // 5, tasks=tasks).drop("vocab_id")

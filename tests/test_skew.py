@@ -58,3 +58,13 @@ def test_resumes_of_one_vocabulary(shuffled):
     assert {r.fetch_ord: r["count"] for r in first} == {2: n - 10, 1: 10}
     tasks = _tasks(out)
     assert tasks[-1] <= 4 * tasks[len(tasks) // 2]
+
+
+def test_last_join_is_dealt_by_its_result(spark):
+    """Resumes are a few bytes, their digests are not: left to Spark, 40,000 resumes meet their rows in one task."""
+    resumes = spark.range(40_000, numPartitions=4).select(F.col("id").alias("resume_id"))
+    keywords = resumes.select("resume_id", F.lit("java").alias("kw"))
+    posts = spark.createDataFrame([("1", 1, "Java lead", "", "e", 10, 2024)],
+                                  "posting_id string, fetch_ord long, title string, description string, emp_key string, filings long, latest_year int")
+    tasks = _tasks(rank_resumes(posts, resumes, keywords, top_n=2, cap=1))
+    assert sum(tasks) == 40_000 and len(tasks) >= 4 and tasks[-1] <= 20_000
