@@ -40,8 +40,8 @@ def raw_groups(filings: DataFrame) -> DataFrame:
     with a non-empty employer, and the earliest certified row. Pure hash aggregate on the raw
     columns, combined map-side, so a hot employer collapses in every task before the shuffle and
     the costly name normalisation below runs once per distinct string instead of once per row."""
-    cert = is_certified(F.col("case_status"))
-    return filings.groupBy("employer_name", "source_file").agg(
+    cert = F.col("_cert")  # as a column: worked out once for the three
+    return filings.withColumn("_cert", is_certified(F.col("case_status"))).groupBy("employer_name", "source_file").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(cert).alias("n_cert"),
         F.count_if(cert & _named(F.col("employer_name"))).alias("n_keep"),
@@ -59,7 +59,8 @@ def keyed_filings(filings: DataFrame) -> DataFrame:
         F.col("n_keep").alias("n"),
         F.struct(F.col("source_file").alias("file"), F.col("first_row").alias("row"),
                  F.col("employer_name").alias("raw")).alias("ord"))
-        .filter(F.col("norm_name") != ""))
+        # not "norm_name != ''": Spark would move that below the aggregate and normalise the name of every row
+        .filter(F.length("norm_name") * F.col("n") > 0))
 
 
 def build_allowlist(filings: DataFrame) -> DataFrame:

@@ -147,3 +147,12 @@ def test_certified(spark):
     old = F.coalesce(F.startswith(F.lower(py_strip("t")), F.lit("certified")), F.lit(False))
     got = df.select(is_certified(F.col("t")), old).collect()
     assert [r[0] for r in got] == [r[1] for r in got] == [True] * 3 + [False] * 9
+
+
+def test_names_are_normalised_after_the_aggregate(spark):
+    """A filter on the key alone would move below the aggregate: every row's name, not every distinct name, normalised."""
+    rows = [("FY2020.parquet", i, n, "Certified") for i, n in enumerate(["Acme, Inc", "Acme Inc", "!!", "", None])]
+    allow = build_allowlist(spark.createDataFrame(rows, "source_file string, row_ord long, employer_name string, case_status string"))
+    plan = allow._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 2 and "regexp_replace(" in plan and "regexp_replace(" not in plan.split("Aggregate [")[-1]
+    assert [(r.norm_name, r.raw_name, r.filings) for r in allow.collect()] == [("acme", "Acme, Inc", 2)]
