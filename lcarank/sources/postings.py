@@ -21,7 +21,7 @@ POSTING_SCHEMA = T.StructType([
     T.StructField("redirect_url", T.StringType()),
     T.StructField("description", T.StringType()),
 ])
-PAGE_SCHEMA = T.StructType([T.StructField("results", T.ArrayType(POSTING_SCHEMA))])
+PAGE_SCHEMA = T.StructType([T.StructField("fetch_page", T.LongType()), T.StructField("results", T.ArrayType(POSTING_SCHEMA))])
 
 RAW_COLUMNS = ["posting_id", "fetch_ord", "title", "company_raw", "location", "created", "url",
                "description"]
@@ -30,6 +30,13 @@ RAW_COLUMNS = ["posting_id", "fetch_ord", "title", "company_raw", "location", "c
 #: Postings of a page at most, for the order of fetching.
 PAGE_SPAN = 1 << 20
 
+#: Ends a page in a file of many (RFC 7464). JSON has no bare record separators, so a file without them is one page whatever its
+#: lines; two, so that text in UTF-16 has none either.
+PAGE_END = "\n\x1e\x1e\n"
+
+#: Pages of a file at most: a compressed file is read by one task.
+PAGES_PER_FILE = 1000
+
 
 def page_number(path: Column) -> Column:
     """Number of a page from its path: a folder ``page=N``, else the last number in the file's name, else 0."""
@@ -39,11 +46,13 @@ def page_number(path: Column) -> Column:
 
 
 def read_posting_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of ``{"results": [...]}`` JSON, one page per file, numbered by file name or by folder (see
-    ``page_number``) in the order of fetching -> raw postings. fetch_ord orders by (page, position in it); it comes
-    from the file's own path, so no file needs to know of the others. Files that are no JSON hold no postings."""
-    pages = spark.read.schema(PAGE_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).json(path)
-    flat = pages.select(page_number(F.col("_metadata.file_path")).alias("_page"), F.posexplode("results").alias("_pos", "r"))
+    """Pages of ``{"results": [...]}`` JSON -> raw postings. A file holds one page, numbered by file name or by folder (see
+    ``page_number``) in the order of fetching, or pages that end in ``PAGE_END`` and give their own number as ``fetch_page``.
+    fetch_ord orders by (page, position in it); it comes from the page and its file's path, so no file needs to know of the
+    others. Files that are no JSON hold no postings."""
+    pages = spark.read.schema(PAGE_SCHEMA).option("lineSep", PAGE_END).option("recursiveFileLookup", True).json(path)
+    page = F.coalesce("fetch_page", page_number(F.col("_metadata.file_path")))
+    flat = pages.select(page.alias("_page"), F.posexplode("results").alias("_pos", "r"))
     return flat.select(
         F.col("r.id").alias("posting_id"),
         (F.col("_page") * PAGE_SPAN + F.col("_pos")).alias("fetch_ord"),
@@ -57,8 +66,10 @@ def read_posting_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_posting_pages(raw: DataFrame, path: str, page_size: int = RESULTS_PER_PAGE) -> None:
-    """Raw postings as fetched: a JSON file ``{"results": [...]}`` in a folder ``page=N`` for each ``page_size`` values of
-    fetch_ord, its postings in that order. Null fields and empty ids are left out, as a provider does."""
+    """Raw postings as fetched: a JSON page ``{"fetch_page": N, "results": [...]}`` for each ``page_size`` values of fetch_ord,
+    its postings in that order; page 0 also for a null or negative fetch_ord. Null fields and empty ids are left out, as a
+    provider does. Every task writes its pages to a file, or one for every ``PAGES_PER_FILE``, each ending in ``PAGE_END``: a
+    file or folder per page would be made, moved and listed one by one."""
     named = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("display_name")))
     posting = F.struct(
         "fetch_ord", F.struct(
@@ -66,7 +77,9 @@ def write_posting_pages(raw: DataFrame, path: str, page_size: int = RESULTS_PER_
             "created", F.col("url").alias("redirect_url"), "description").alias("r"))
     pages = raw.select(F.floor(F.col("fetch_ord") / page_size).cast("bigint").alias("page"), posting.alias("p")) \
         .groupBy("page").agg(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["r"]).alias("results"))
-    pages.write.partitionBy("page").json(path)
+    number = F.when(F.col("page") >= 0, F.col("page")).otherwise(0)
+    pages.select(number.alias("fetch_page"), "results") \
+        .write.option("lineSep", PAGE_END).option("compression", "lz4").option("maxRecordsPerFile", PAGES_PER_FILE).json(path)
 
 
 def ingest(raw: DataFrame) -> DataFrame:
